@@ -96,3 +96,124 @@ SELECT COUNT(*) AS total_detections,
        COUNT(DISTINCT bias_type) AS bias_types_count,
        ROUND(AVG(confidence), 6) AS avg_confidence
 FROM detections"""
+
+HISTORY = """
+SELECT r.*, f.is_correct, f.feedback_content, f.feedback_time{extra}
+FROM detections r LEFT JOIN feedback f ON r.id = f.record_id
+WHERE r.user_id = 7
+ORDER BY r.created_at DESC, r.id DESC, f.id DESC NULLS LAST
+LIMIT 10 OFFSET 10"""
+SQL["detection_history"] = with_(DETECTIONS, FEEDBACK) + HISTORY.format(extra="")
+SQL["history_next_page"] = with_(DETECTIONS, FEEDBACK) + HISTORY.format(extra=", f.id AS feedback_id")
+SQL["history_total"] = with_(DETECTIONS) + "SELECT COUNT(*) AS total FROM detections WHERE user_id = 7"
+
+SQL["feedback_list"] = with_(DETECTIONS, FEEDBACK) + """
+SELECT f.*, r.text_content, r.bias_type, r.confidence
+FROM feedback f JOIN detections r ON f.record_id = r.id
+ORDER BY f.feedback_time DESC, f.id DESC
+LIMIT 10 OFFSET 0"""
+
+LIST_WHERE = """f.is_correct = true AND f.feedback_time >= TIMESTAMP '1995-01-01 00:00:00'
+  AND f.feedback_time <= TIMESTAMP '1996-12-31 00:00:00'"""
+SQL["feedback_list_filtered"] = with_(DETECTIONS, FEEDBACK) + f"""
+SELECT f.*, r.text_content, r.bias_type, r.confidence
+FROM feedback f JOIN detections r ON f.record_id = r.id
+WHERE {LIST_WHERE}
+ORDER BY f.feedback_time DESC, f.id DESC
+LIMIT 10 OFFSET 10"""
+SQL["feedback_total"] = with_(FEEDBACK) + f"SELECT COUNT(*) AS total FROM feedback f WHERE {LIST_WHERE}"
+
+SQL["feedback_export"] = with_(DETECTIONS, FEEDBACK, USERS) + """
+SELECT f.id, f.record_id, f.is_correct, f.feedback_content, f.feedback_time,
+       r.text_content, r.bias_type, r.is_biased, r.confidence, u.username
+FROM feedback f JOIN detections r ON f.record_id = r.id JOIN users u ON f.user_id = u.id
+ORDER BY f.feedback_time DESC, f.id DESC"""
+
+NAME_KEY = "rtrim(strip_accents(lower({0})))"
+SQL["user_lookup"] = with_(USERS) + f"""
+SELECT id, username, role FROM users
+WHERE {NAME_KEY.format('username')} = {NAME_KEY.format("'CÚSTOMER#000000007 '")}"""
+SQL["user_by_id"] = with_(USERS) + "SELECT id, username, role FROM users WHERE id = 7"
+
+SQL["register_users"] = with_(USERS, REGISTRATIONS, f"""k AS (
+  SELECT *, {NAME_KEY.format('username')} AS key,
+         CASE WHEN username IS NULL OR username = '' THEN 'name_missing' END AS invalid
+  FROM registrations)""", """r AS (
+  SELECT src, src_key, row_number() OVER (PARTITION BY key ORDER BY src, src_key) AS rn
+  FROM k WHERE invalid IS NULL)""", f"""taken AS (SELECT DISTINCT {NAME_KEY.format('username')} AS key FROM users)""",
+  """s AS (
+  SELECT k.src, k.src_key, k.username,
+         CASE WHEN k.invalid IS NOT NULL THEN k.invalid WHEN r.rn > 1 THEN 'duplicate'
+              WHEN t.key IS NOT NULL THEN 'exists' ELSE 'accepted' END AS status
+  FROM k LEFT JOIN r ON k.src = r.src AND k.src_key = r.src_key
+         LEFT JOIN taken t ON k.key = t.key)""") + """
+SELECT src, src_key, username, status, CASE WHEN status = 'accepted' THEN 'user' END AS role FROM s"""
+
+SQL["apply_logins"] = with_(USERS, "latest AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id)") + """
+SELECT u.id, u.username, u.role, l.seen AS last_login FROM users u LEFT JOIN latest l ON u.id = l.user_id"""
+
+
+def _rules(table: str, src: str, checks: list[tuple[str, str]]) -> list[str]:
+    return [f"SELECT '{table}' AS table_name, '{rule}' AS rule, "
+            f"CAST(COALESCE(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations FROM {src}"
+            for rule, cond in checks]
+
+
+def _unique(table: str, src: str, key: str, rule: str) -> str:
+    return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, "
+            f"CAST(COUNT({key}) - COUNT(DISTINCT {key}) AS BIGINT) AS violations FROM {src}")
+
+
+def _fk(table: str, src: str, col: str, parent: str, pcol: str, rule: str) -> str:
+    return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(COUNT(*) AS BIGINT) AS violations "
+            f"FROM {src} c WHERE c.{col} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {parent} p WHERE p.{pcol} = c.{col})")
+
+
+_AUDIT = (
+    _rules("detections", "detections", [
+        ("id_null", "id IS NULL"), ("text_null", "text_content IS NULL"),
+        ("is_biased_null", "is_biased IS NULL"), ("bias_type_too_long", "length(bias_type) > 50"),
+        ("text_too_long", "strlen(text_content) > 65535")])
+    + [_unique("detections", "detections", "id", "id_duplicate"),
+       _fk("detections", "detections", "user_id", "users", "id", "user_unknown")]
+    + _rules("feedback", "feedback", [
+        ("id_null", "id IS NULL"), ("record_id_null", "record_id IS NULL"),
+        ("is_correct_null", "is_correct IS NULL"), ("content_too_long", "strlen(feedback_content) > 65535")])
+    + [_unique("feedback", "feedback", "id", "id_duplicate"),
+       _fk("feedback", "feedback", "record_id", "detections", "id", "record_unknown"),
+       _fk("feedback", "feedback", "user_id", "users", "id", "user_unknown")]
+    + _rules("users", "users", [
+        ("id_null", "id IS NULL"), ("username_null", "username IS NULL"),
+        ("username_too_long", "length(username) > 50"),
+        ("role_invalid", "role IS NULL OR role NOT IN ('user', 'admin')")])
+    + [_unique("users", "users", "id", "id_duplicate"),
+       _unique("users", "users", NAME_KEY.format("username"), "username_duplicate")]
+    + _rules("incoming_feedback", "incoming", [
+        ("record_id_null", "record_id IS NULL"), ("is_correct_null", "is_correct IS NULL")])
+    + [_fk("incoming_feedback", "incoming", "record_id", "detections", "id", "record_unknown"),
+       _fk("incoming_feedback", "incoming", "user_id", "users", "id", "user_unknown")]
+)
+SQL["constraint_audit"] = with_(DETECTIONS, FEEDBACK, USERS, INCOMING) + "\nUNION ALL\n".join(_AUDIT)
+
+ACCEPT = with_(DETECTIONS, USERS, INCOMING, """marked AS (
+  SELECT i.*,
+    CASE WHEN i.record_id IS NULL OR i.record_id = 0 THEN 'record_missing'
+         WHEN i.is_correct IS NULL THEN 'verdict_missing'
+         WHEN NOT EXISTS (SELECT 1 FROM detections r WHERE r.id = i.record_id) THEN 'unknown_record'
+         WHEN i.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = i.user_id) THEN 'unknown_user'
+    END AS reject_reason
+  FROM incoming i)""")
+SQL["feedback_accept"] = ACCEPT + "SELECT * EXCLUDE (reject_reason) FROM marked WHERE reject_reason IS NULL"
+SQL["feedback_rejects"] = ACCEPT + """SELECT reject_reason, COUNT(*) AS n FROM marked
+WHERE reject_reason IS NOT NULL GROUP BY reject_reason"""
+SQL["assign_ids"] = ACCEPT + """, acc AS (SELECT * EXCLUDE (reject_reason) FROM marked WHERE reject_reason IS NULL)
+SELECT acc.*, row_number() OVER (ORDER BY feedback_time NULLS FIRST, record_id NULLS FIRST, line NULLS FIRST,
+         is_correct NULLS FIRST, feedback_content NULLS FIRST, user_id NULLS FIRST)
+       + (SELECT max(o_orderkey) FROM orders) AS id
+FROM acc"""
+
+SQL["validate_texts"] = """
+SELECT concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS request_id, conv_id AS user_id, text,
+       CASE WHEN text IS NULL THEN 'text_missing' WHEN text = '' THEN 'text_empty' END AS reject_reason
+FROM conversations"""

@@ -55,3 +55,115 @@ def detection_stats(spark, sf_dir):
 @query("chart_payload")
 def chart_payload(spark, sf_dir):
     return stats.chart_payload(fx.detections(spark, sf_dir), labels=S.CHART_SEEDS)
+
+
+# --- reports ----------------------------------------------------------------
+from ..operators import reports, tables  # noqa: E402
+from ..functions.predicates import text_rules, reject_reason  # noqa: E402
+
+HISTORY_USER = 7
+LIST_FILTER = dict(verdict="correct", start="1995-01-01", end="1996-12-31")
+
+
+@query("detection_history")
+def detection_history(spark, sf_dir):
+    d, f = fx.detections(spark, sf_dir), fx.feedback(spark, sf_dir)
+    return reports.detection_history(d, f, HISTORY_USER, page=2, page_size=10).rows
+
+
+@query("history_total")
+def history_total(spark, sf_dir):
+    return reports.history_total(fx.detections(spark, sf_dir), HISTORY_USER)
+
+
+@query("history_next_page")
+def history_next_page(spark, sf_dir):
+    # The client holds the last row of page 1 and asks for what follows.
+    d, f = fx.detections(spark, sf_dir), fx.feedback(spark, sf_dir)
+    first = reports.detection_history(d, f, HISTORY_USER, 1, 10, keep_feedback_id=True).rows
+    last = first.orderBy(F.col("created_at").asc(), F.col("id").asc(),
+                         F.col("feedback_id").asc_nulls_first()).first()
+    return reports.history_after(d, f, HISTORY_USER, (last["created_at"], last["id"], last["feedback_id"]), 10)
+
+
+@query("feedback_list")
+def feedback_list(spark, sf_dir):
+    return reports.feedback_list(fx.feedback(spark, sf_dir), fx.detections(spark, sf_dir)).rows
+
+
+@query("feedback_list_filtered")
+def feedback_list_filtered(spark, sf_dir):
+    return reports.feedback_list(fx.feedback(spark, sf_dir), fx.detections(spark, sf_dir),
+                                 page=2, page_size=10, **LIST_FILTER).rows
+
+
+@query("feedback_total")
+def feedback_total(spark, sf_dir):
+    return reports.feedback_total(fx.feedback(spark, sf_dir), **LIST_FILTER)
+
+
+@query("feedback_export")
+def feedback_export(spark, sf_dir):
+    return reports.export_feedback(fx.feedback(spark, sf_dir), fx.detections(spark, sf_dir),
+                                   fx.users(spark, sf_dir))
+
+
+@query("user_lookup")
+def user_lookup(spark, sf_dir):
+    return reports.user_by_name(fx.users(spark, sf_dir), "CÚSTOMER#000000007 ")
+
+
+@query("user_by_id")
+def user_by_id(spark, sf_dir):
+    return reports.user_by_id(fx.users(spark, sf_dir), 7)
+
+
+# --- tables -----------------------------------------------------------------
+
+@query("register_users")
+def register_users(spark, sf_dir):
+    return tables.register_users(fx.registrations(spark, sf_dir), fx.users(spark, sf_dir),
+                                 order=["src", "src_key"])
+
+
+@query("apply_logins")
+def apply_logins(spark, sf_dir):
+    return tables.apply_logins(fx.users(spark, sf_dir), fx.table(spark, sf_dir, "events"))
+
+
+@query("constraint_audit")
+def constraint_audit(spark, sf_dir):
+    return tables.audit(fx.detections(spark, sf_dir), fx.feedback(spark, sf_dir),
+                        fx.users(spark, sf_dir), fx.incoming_feedback(spark, sf_dir))
+
+
+@query("feedback_accept")
+def feedback_accept(spark, sf_dir):
+    acc, _ = tables.accept_feedback(fx.incoming_feedback(spark, sf_dir), fx.detections(spark, sf_dir),
+                                    fx.users(spark, sf_dir))
+    return acc
+
+
+@query("feedback_rejects")
+def feedback_rejects(spark, sf_dir):
+    _, rej = tables.accept_feedback(fx.incoming_feedback(spark, sf_dir), fx.detections(spark, sf_dir),
+                                    fx.users(spark, sf_dir))
+    return rej.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+ID_ORDER = ["feedback_time", "record_id", "line", "is_correct", "feedback_content", "user_id"]
+
+
+@query("assign_ids")
+def assign_ids(spark, sf_dir):
+    f = fx.feedback(spark, sf_dir)
+    acc, _ = tables.accept_feedback(fx.incoming_feedback(spark, sf_dir), fx.detections(spark, sf_dir),
+                                    fx.users(spark, sf_dir))
+    start = (f.agg(F.max("id")).first()[0] or 0) + 1
+    return tables.assign_ids(acc, ID_ORDER, start=start)
+
+
+@query("validate_texts")
+def validate_texts(spark, sf_dir):
+    t = fx.text_requests(spark, sf_dir)
+    return t.withColumn("reject_reason", reject_reason(text_rules()))
