@@ -217,3 +217,76 @@ SQL["validate_texts"] = """
 SELECT concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS request_id, conv_id AS user_id, text,
        CASE WHEN text IS NULL THEN 'text_missing' WHEN text = '' THEN 'text_empty' END AS reject_reason
 FROM conversations"""
+
+SCORES = """vecs AS (
+  SELECT vec_id, embedding,
+         list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (CAST(((i - 1) * 37) % 19 - 9 AS DOUBLE) / 10.0))) AS c
+  FROM embeddings)""", """topics AS (
+  SELECT * FROM (VALUES (0, 'race', 0.3), (1, 'region', -0.2), (2, 'gender', 0.1), (3, 'false', 0.0)) t(position, topic, u))""", """scores AS (
+  SELECT v.vec_id, t.position, t.topic, 1.0 / (1.0 + exp(-(v.c + CAST(t.u AS DOUBLE)))) AS p
+  FROM vecs v CROSS JOIN topics t)"""
+SQL["topic_scores"] = with_(*SCORES) + "SELECT vec_id, position, topic, round(p, 6) AS probability FROM scores"
+SQL["classify"] = with_(*SCORES, """ranked AS (
+  SELECT vec_id, topic, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rn
+  FROM scores WHERE p > 0 AND NOT isnan(p))""", """best AS (
+  SELECT v.vec_id, coalesce(r.topic, 'false') AS topic, coalesce(r.p, 0.0) AS p,
+         EXISTS (SELECT 1 FROM scores s WHERE s.vec_id = v.vec_id AND (s.p IS NULL OR isnan(s.p))) AS err
+  FROM vecs v LEFT JOIN ranked r ON r.vec_id = v.vec_id AND r.rn = 1)""", """lab AS (
+  SELECT vec_id, CASE WHEN p >= 0.5 THEN topic ELSE 'false' END AS bias_type, p, err FROM best)""") + """
+SELECT vec_id, bias_type, bias_type <> 'false' AS is_biased,
+       CASE WHEN bias_type <> 'false' THEN 0.8 ELSE 0.2 END::DOUBLE AS confidence,
+       round(p, 6) AS best_probability, err AS score_error
+FROM lab"""
+
+TOKEN_RE = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
+VOCAB = f"""vocab AS (
+  SELECT token, count, row_number() OVER (ORDER BY count DESC, token) + 3 AS token_id
+  FROM (SELECT token, COUNT(*) AS count
+        FROM (SELECT unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) AS token FROM documents)
+        GROUP BY token)
+  ORDER BY count DESC, token LIMIT 2000)"""
+SQL["vocab_top"] = with_(VOCAB) + "SELECT token, count, token_id FROM vocab"
+SQL["token_total"] = f"""SELECT CAST(SUM(len(regexp_extract_all(lower(text), '{TOKEN_RE}'))) AS BIGINT) AS tokens
+FROM documents"""
+SQL["encode_ids"] = with_(LABELLED, VOCAB, f"""toks AS (
+  SELECT doc_id, regexp_extract_all(lower("TEXT"), '{TOKEN_RE}') AS t FROM labelled)""", """pos AS (
+  SELECT doc_id, unnest(range(1, len(t[1:126]) + 1)) AS pos, unnest(t[1:126]) AS token FROM toks)""", """ids AS (
+  SELECT p.doc_id, list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY p.pos) AS ids
+  FROM pos p LEFT JOIN vocab v ON p.token = v.token GROUP BY p.doc_id)""") + """
+SELECT t.doc_id, CAST(len(t.t) AS INTEGER) AS n_tokens,
+       list_concat([2], coalesce(i.ids, []), [3],
+                   list_transform(range(128 - 2 - len(coalesce(i.ids, []))), lambda x: 0)) AS input_ids,
+       list_concat(list_transform(range(len(coalesce(i.ids, [])) + 2), lambda x: 1),
+                   list_transform(range(128 - 2 - len(coalesce(i.ids, []))), lambda x: 0)) AS attention_mask
+FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id"""
+
+AUG = """aug AS (
+  SELECT l.*, c.cand AS cand, c.slot AS topic_slot,
+         CAST(CASE WHEN l.topic = c.cand THEN l.label ELSE 0 END AS INTEGER) AS aug_label
+  FROM labelled l CROSS JOIN (VALUES (0, 'race'), (1, 'region'), (2, 'gender')) c(slot, cand))"""
+SQL["augment"] = with_(LABELLED, AUG) + "SELECT doc_id, split, cand AS topic, topic_slot, aug_label AS label FROM aug"
+SQL["split_sizes"] = with_(LABELLED, AUG) + """
+SELECT split, COUNT(DISTINCT doc_id) AS texts, COUNT(*) AS rows,
+       CAST(SUM(CASE WHEN aug_label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives,
+       CAST(ceil(COUNT(DISTINCT doc_id) / 16.0) AS BIGINT) AS batches
+FROM aug GROUP BY split"""
+
+SQL["eval_metrics"] = with_(LABELLED, AUG, SCORES[0], """rows AS (
+  SELECT a.split, a.aug_label AS label,
+         v.c + CASE a.cand WHEN 'race' THEN 0.3 WHEN 'region' THEN -0.2 WHEN 'gender' THEN 0.1 ELSE 0.0 END AS logit
+  FROM aug a JOIN vecs v ON v.vec_id = a.doc_id)""", """scored AS (
+  SELECT split, label, CASE WHEN logit > 0 THEN 1 ELSE 0 END AS pred, 1.0 / (1.0 + exp(-logit)) AS p FROM rows)""",
+  """m AS (
+  SELECT split, COUNT(*) AS n,
+         CAST(SUM(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+         CAST(SUM(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+         CAST(SUM(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+         CAST(SUM(CASE WHEN label = 0 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+         AVG(-ln(greatest(CASE WHEN label = 1 THEN p ELSE 1 - p END, 1e-12))) AS loss
+  FROM scored GROUP BY split)""") + """
+SELECT split, n, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1,
+       round(loss, 6) AS loss
+FROM m"""
+
+SQL["csv_round_trip"] = with_(LABELLED) + 'SELECT "TEXT", topic, label, split FROM labelled'

@@ -167,3 +167,97 @@ def assign_ids(spark, sf_dir):
 def validate_texts(spark, sf_dir):
     t = fx.text_requests(spark, sf_dir)
     return t.withColumn("reject_reason", reject_reason(text_rules()))
+
+
+# --- scoring ----------------------------------------------------------------
+from ..operators import scoring  # noqa: E402
+
+
+@query("topic_scores")
+def topic_scores(spark, sf_dir):
+    out = scoring.topic_scores(fx.text_vectors(spark, sf_dir), "embedding", keep=["vec_id"])
+    return out.withColumn("probability", F.round("probability", 6))
+
+
+@query("classify")
+def classify(spark, sf_dir):
+    out = scoring.classify(fx.text_vectors(spark, sf_dir), "embedding")
+    return out.select("vec_id", "bias_type", "is_biased", "confidence",
+                      F.round("best_probability", 6).alias("best_probability"), "score_error")
+
+
+# --- encoding, training data, evaluation --------------------------------------
+from ..operators import encode as enc, training, evaluate as ev  # noqa: E402
+from ..sources import readers  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+VOCAB_SIZE = 2000
+
+
+@query("vocab_top")
+def vocab_top(spark, sf_dir):
+    return enc.build_vocab(fx.table(spark, sf_dir, "documents"), "text", VOCAB_SIZE)
+
+
+@query("token_total")
+def token_total(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    return docs.agg(F.sum(F.size(enc.tokens("text"))).cast("long").alias("tokens"))
+
+
+@query("encode_ids")
+def encode_ids(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    vocab = enc.build_vocab(docs, "text", VOCAB_SIZE)
+    return enc.encode(fx.labelled(spark, sf_dir), vocab, "TEXT", ["doc_id"], max_len=S.TRAIN_MAX_LEN)
+
+
+@query("augment")
+def augment(spark, sf_dir):
+    return training.augment(fx.labelled(spark, sf_dir)).select("doc_id", "split", "topic", "topic_slot", "label")
+
+
+@query("split_sizes")
+def split_sizes(spark, sf_dir):
+    return training.split_sizes(fx.labelled(spark, sf_dir))
+
+
+def _fixed_head_rows(spark, sf_dir):
+    lab = fx.labelled(spark, sf_dir)
+    vec = fx.text_vectors(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
+    aug = training.augment(lab.join(vec, "doc_id"))
+    head = scoring.FIXTURE_HEAD
+    offset = F.lit(0.0)
+    for t, u in head.offsets.items():
+        offset = F.when(F.col("topic") == t, F.lit(u)).otherwise(offset)
+    logit = head.text_logit("embedding") + offset
+    return aug.select("doc_id", "split", "topic", "label",
+                      (logit > 0).cast("int").alias("pred"),  # argmax of the two logits
+                      scoring.sigmoid(logit).alias("p"))
+
+
+@query("eval_metrics")
+def eval_metrics(spark, sf_dir):
+    m = ev.evaluate(_fixed_head_rows(spark, sf_dir), by="split")
+    return m.select("split", "n", "tp", "fp", "fn", "tn", F.round("accuracy", 6).alias("accuracy"),
+                    F.round("f1", 6).alias("f1"), F.round("loss", 6).alias("loss"))
+
+
+@query("train_and_score")
+def train_and_score(spark, sf_dir):
+    """Fit on the train split, save and reload the model, evaluate every split."""
+    aug = training.augment(fx.labelled(spark, sf_dir))
+    model = training.train(aug.filter(F.col("split") == "train"))
+    path = scratch_path(spark, "model")
+    training.save_model(model, path)
+    loaded = readers.load_model(path)
+    rows = training.predict_rows(aug, loaded)
+    return ev.evaluate(rows, by="split")
+
+
+@query("csv_round_trip")
+def csv_round_trip(spark, sf_dir):
+    lab = fx.labelled(spark, sf_dir).drop("doc_id")
+    path = scratch_path(spark, "labelled-csv")
+    readers.write_labelled_csv(lab, path)
+    return readers.read_labelled_csv(spark, path)
