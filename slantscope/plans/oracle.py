@@ -290,3 +290,13 @@ SELECT split, n, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy,
 FROM m"""
 
 SQL["csv_round_trip"] = with_(LABELLED) + 'SELECT "TEXT", topic, label, split FROM labelled'
+
+SQL["score_stream"] = SQL["classify"]
+SQL["feedback_stream"] = SQL["feedback_accept"]
+SQL["trend_stream"] = with_(DETECTIONS, """per_day AS (
+  SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS total,
+         CAST(SUM(CASE WHEN is_biased THEN 1 ELSE 0 END) AS BIGINT) AS biased_count
+  FROM detections GROUP BY 1)""") + f"""
+SELECT strftime(day, '%Y-%m-%d') AS date, total, biased_count, {rate_sql('biased_count', 'total')} AS rate
+FROM per_day
+WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(created_at) - INTERVAL 1 DAY FROM detections)"""

@@ -261,3 +261,50 @@ def csv_round_trip(spark, sf_dir):
     path = scratch_path(spark, "labelled-csv")
     readers.write_labelled_csv(lab, path)
     return readers.read_labelled_csv(spark, path)
+
+
+# --- streaming --------------------------------------------------------------
+from ..streaming import jobs as stream_jobs  # noqa: E402
+
+
+def _stream_of(spark, sf_dir, name):
+    """A generated table read as a file stream."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a file source watches a folder; the filter picks this table's file
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(sf_dir.rstrip("/")))
+
+
+def _run_to_table(spark, stream, tag, mode="append"):
+    sink, ckpt = scratch_path(spark, f"{tag}-sink"), scratch_path(spark, f"{tag}-ckpt")
+    q = stream_jobs.run(stream, sink, ckpt, mode=mode)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query("score_stream")
+def score_stream(spark, sf_dir):
+    vecs = _stream_of(spark, sf_dir, "embeddings")
+    out = _run_to_table(spark, stream_jobs.scored_stream(vecs, "embedding", ["vec_id"]), "score")
+    return out.select("vec_id", "bias_type", "is_biased", "confidence",
+                      F.round("best_probability", 6).alias("best_probability"), "score_error")
+
+
+@query("feedback_stream")
+def feedback_stream(spark, sf_dir):
+    li = _stream_of(spark, sf_dir, "lineitem")
+    incoming = li.select(
+        F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("line"),
+        (F.col("l_returnflag") != "R").alias("is_correct"), F.col("l_linestatus").alias("feedback_content"),
+        F.col("l_shipdate").alias("feedback_time"), (F.col("l_suppkey") % 150).alias("user_id"))
+    acc = stream_jobs.accepted_feedback_stream(incoming, fx.detections(spark, sf_dir), fx.users(spark, sf_dir))
+    return _run_to_table(spark, acc, "feedback")
+
+
+@query("trend_stream")
+def trend_stream(spark, sf_dir):
+    ev = _stream_of(spark, sf_dir, "events")
+    det = ev.select(F.col("ts").alias("created_at"),
+                    F.col("event_type").isin("click", "view", "signup").alias("is_biased"))
+    return _run_to_table(spark, stream_jobs.trend_stream(det), "trend")
