@@ -15,6 +15,10 @@ TABLE_SCHEMAS = {
 }
 
 
+# NULL is written as this marker so that an empty text stays an empty text.
+NULL_MARK = "\u0000"
+
+
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """Labelled texts as CSV with a header: ``TEXT, topic, label, split``.
 
@@ -26,6 +30,7 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("quote", '"').option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
+            .option("nullValue", NULL_MARK)
             .option("mode", "FAILFAST")
             .csv(path))
 
@@ -34,7 +39,7 @@ def write_labelled_csv(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     """Write labelled texts so that :func:`read_labelled_csv` returns them unchanged."""
     (df.select("TEXT", "topic", "label", "split").write.mode(mode)
      .option("header", True).option("quote", '"').option("escape", '"')
-     .option("quoteAll", True)
+     .option("quoteAll", True).option("nullValue", NULL_MARK)
      .option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False)
      .csv(path))
