@@ -60,15 +60,18 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str, keys: Sequence[str],
         raise ValueError("max_len must leave room for the two marks")
     keys = list(keys)
     toks = df.select(*keys, tokens(text_col).alias("_t"))
-    meta = toks.select(*keys, F.size("_t").alias("n_tokens"))
-    body = toks.select(*keys, F.posexplode(F.slice("_t", 1, max_len - 2)).alias("pos", "token"))
+    # one tokenisation per text: the whole-text length rides along with the
+    # exploded body; an empty text keeps one row with a NULL position
+    body = toks.select(*keys, F.size("_t").alias("n_tokens"),
+                       F.posexplode_outer(F.slice("_t", 1, max_len - 2)).alias("pos", "token"))
     v = F.broadcast(vocab.select("token", "token_id"))
-    ids = (body.join(v, "token", "left")
+    tid = F.coalesce("token_id", F.lit(UNK_ID))
+    out = (body.join(v, "token", "left")
            .groupBy(*keys)
-           .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid"))))
-                .alias("_p")))
-    out = meta.join(ids, keys, "left").withColumn(
-        "_ids", F.coalesce(F.transform("_p", lambda x: x["tid"].cast("int")), F.array().cast("array<int>")))
+           .agg(F.max("n_tokens").alias("n_tokens"),
+                F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
+                                                   F.struct("pos", tid.alias("tid"))))).alias("_p")))
+    out = out.withColumn("_ids", F.transform("_p", lambda x: x["tid"].cast("int")))
     n = F.size("_ids") + 2
     pad_n = F.greatest(F.lit(max_len) - n, F.lit(0)) if pad else F.lit(0)
     return out.select(

@@ -179,22 +179,21 @@ def apply_logins(users: DataFrame, logins: DataFrame, user_col: str = "user_id",
 
 # --- integrity audit (K9) ---------------------------------------------------
 
-def _rule_rows(table: str, df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
-    """Row-level rules of one table counted in a single pass, one row per rule."""
+def _rule_rows(table: str, df: DataFrame, checks: list[tuple[str, Column]],
+               uniques: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+    """Row-level rules and key uniqueness of one table in a single scan,
+    reported as one row per rule.  A key's violations are the rows beyond
+    the first per non-NULL key."""
     aggs = [F.sum(F.when(bad, 1).otherwise(0)).cast("long").alias(f"r{i}") for i, (_, bad) in enumerate(checks)]
+    aggs += [(F.count(key) - F.count_distinct(key)).alias(f"u{i}") for i, (_, key) in enumerate(uniques)]
     one = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(F.col(f"r{i}"), F.lit(0)).alias("n"))
-                      for i, (name, _) in enumerate(checks)])
-    return one.select(F.explode(pairs).alias("p")).select(
+    pairs = [F.struct(F.lit(name).alias("rule"), F.coalesce(F.col(f"r{i}"), F.lit(0)).alias("n"))
+             for i, (name, _) in enumerate(checks)]
+    pairs += [F.struct(F.lit(name).alias("rule"), F.col(f"u{i}").alias("n")) for i, (name, _) in enumerate(uniques)]
+    return one.select(F.explode(F.array(*pairs)).alias("p")).select(
         F.lit(table).alias("table_name"), F.col("p.rule").alias("rule"), F.col("p.n").alias("violations"))
 
 
-def _unique_rows(table: str, df: DataFrame, key: Column, rule: str) -> DataFrame:
-    """Rows beyond the first per non-NULL key."""
-    return df.agg((F.count(key) - F.count_distinct(key)).alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
-
-
 def _fk_rows(table: str, child: DataFrame, col: str, parent: DataFrame, pcol: str, rule: str) -> DataFrame:
     """Child rows whose non-NULL key has no parent.  Keys are counted per
     value first (partial aggregate), so hot keys shuffle once."""
@@ -217,16 +216,14 @@ def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
                   ("is_biased_null", F.col("is_biased").isNull()),
                   ("bias_type_too_long", F.char_length("bias_type") > S.BIAS_TYPE_MAX_CHARS),
                   ("text_too_long", F.octet_length("text_content") > S.TEXT_MAX_BYTES)]
-    parts.append(_rule_rows("detections", detections, det_checks))
-    parts.append(_unique_rows("detections", detections, F.col("id"), "id_duplicate"))
+    parts.append(_rule_rows("detections", detections, det_checks, [("id_duplicate", F.col("id"))]))
     parts.append(_fk_rows("detections", detections, "user_id", users, "id", "user_unknown"))
 
     fb_checks = [("id_null", F.col("id").isNull()),
                  ("record_id_null", F.col("record_id").isNull()),
                  ("is_correct_null", F.col("is_correct").isNull()),
                  ("content_too_long", F.octet_length("feedback_content") > S.TEXT_MAX_BYTES)]
-    parts.append(_rule_rows("feedback", feedback, fb_checks))
-    parts.append(_unique_rows("feedback", feedback, F.col("id"), "id_duplicate"))
+    parts.append(_rule_rows("feedback", feedback, fb_checks, [("id_duplicate", F.col("id"))]))
     parts.append(_fk_rows("feedback", feedback, "record_id", detections, "id", "record_unknown"))
     parts.append(_fk_rows("feedback", feedback, "user_id", users, "id", "user_unknown"))
 
@@ -234,9 +231,8 @@ def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
                 ("username_null", F.col("username").isNull()),
                 ("username_too_long", F.char_length("username") > S.USERNAME_MAX_CHARS),
                 ("role_invalid", F.col("role").isNull() | ~F.col("role").isin(*S.ROLES))]
-    parts.append(_rule_rows("users", users, u_checks))
-    parts.append(_unique_rows("users", users, F.col("id"), "id_duplicate"))
-    parts.append(_unique_rows("users", users, name_key("username"), "username_duplicate"))
+    parts.append(_rule_rows("users", users, u_checks, [("id_duplicate", F.col("id")),
+                                                       ("username_duplicate", name_key("username"))]))
 
     if incoming is not None:
         in_checks = [("record_id_null", F.col("record_id").isNull()),
