@@ -83,13 +83,16 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_
     partition contents are fixed, then each partition's size gives its
     offset (a running sum over one row per partition) and each row adds its
     position inside the partition.  Rows that tie on ``order`` get
-    consecutive ids in unspecified order.
+    consecutive ids in input order.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = _order_cols(order)
-    fixed = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # the row's position in its input breaks ties, so range bounds can split
+    # even a group of identical rows instead of sending it to one task
+    cols = _order_cols(order) + [F.col("_tie")]
+    fixed = (df.withColumn("_tie", F.monotonically_increasing_id())
+             .repartitionByRange(n, *cols).sortWithinPartitions(*cols)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_pos", F.monotonically_increasing_id())
              .checkpoint(eager=True))
@@ -99,7 +102,7 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_
     local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (fixed.join(F.broadcast(offsets), "_pid")
             .withColumn(id_col, F.lit(start).cast("long") + F.col("_off") + local)
-            .drop("_pid", "_pos", "_off"))
+            .drop("_pid", "_pos", "_off", "_tie"))
 
 
 def accept_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None = None

@@ -168,3 +168,12 @@ def test_export_joins_author_and_writes(spark, tmp_path):
     out = str(tmp_path / "exp")
     reports.write_export(ex, out, "csv")
     assert spark.read.option("header", True).csv(out).count() == 3
+
+
+def test_assign_ids_splits_identical_rows(spark):
+    df = spark.createDataFrame([(1, "same")] * 3000 + [(i, "other") for i in range(1000)], "a int, b string")
+    got = tables.assign_ids(df, ["b"], start=1, num_partitions=4)
+    sizes = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in sizes) < 3000  # the hot group is spread over partitions
+    assert sorted(r.id for r in got.select("id").collect()) == list(range(1, 4001))
+    assert {r.b for r in got.filter("id <= 1000").collect()} == {"other"}
