@@ -146,7 +146,8 @@ def feedback_list(f: DataFrame, d: DataFrame, verdict: str = "all", start=None,
     det = d.select(F.col("id").alias("_rid"), "text_content", "bias_type", "confidence")
     rows = (det.join(F.broadcast(top), top["record_id"] == det["_rid"], "inner")
             .select(*f.columns, "text_content", "bias_type", "confidence")
-            .orderBy(*order))
+            # at most page_size rows: a top-N re-sort, no range exchange
+            .orderBy(*order).limit(page_size))
     total = fsel.agg(F.count(F.lit(1)).alias("total"))  # Q4: counted without the join
     return Page(rows, total, page, page_size)
 
