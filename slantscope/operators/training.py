@@ -125,3 +125,12 @@ def predict_rows(augmented: DataFrame, model) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     return model.transform(augmented).withColumn(
         "p", vector_to_array(F.col("probability"))[1]).withColumn("pred", F.col("prediction").cast("int"))
+
+
+def shuffled(df: DataFrame, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """Rows in a seeded random order spread over partitions, for sampling
+    mini-batches (O7).  A random key range-partitions the rows, so no task
+    holds more than its share."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.rand(seed)
+    return df.withColumn("_r", key).repartitionByRange(n, "_r").sortWithinPartitions("_r").drop("_r")

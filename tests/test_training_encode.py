@@ -79,3 +79,24 @@ def test_train_save_load_score(spark, tmp_path):
     scored = training.score_with_model(lab, loaded, ["doc_id"]).collect()
     assert len(scored) == lab.count()
     assert all(r.bias_type in ("race", "region", "gender", "false") for r in scored)
+
+
+def test_shuffled_keeps_rows(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    out = training.shuffled(df, seed=3, partitions=4)
+    ks = [r.k for r in out.collect()]
+    assert sorted(ks) == list(range(500)) and ks != list(range(500))
+
+
+def test_append_with_defaults(spark, tmp_path):
+    import datetime as dt
+    from slantscope.operators import tables
+    df = spark.createDataFrame([(1, "some text", "race", True, 0.8, 3)],
+                               "id long, text_content string, bias_type string, is_biased boolean, "
+                               "confidence double, user_id long")
+    p = str(tmp_path / "det")
+    tables.append(df, p, "detections")
+    tables.append(df.withColumn("id", F.lit(2)), p, "detections", partition_by_day=False)
+    back = readers.load(spark, "detections", p).collect()
+    assert len(back) == 2 and all(r.created_at is not None and r.updated_at is not None for r in back)
+    assert {r.id for r in back} == {1, 2}
