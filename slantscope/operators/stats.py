@@ -87,21 +87,29 @@ def chart_payload(d: DataFrame, start=None, end=None,
                   labels: Sequence[str] = tuple(S.SCORING_TOPICS)) -> DataFrame:
     """Dashboard bundle as one row: label -> count map plus the trend arrays.
 
-    A NULL label cannot be a map key, so it is reported as ``unknown``.
-    Both parts are small (labels, days) before they are combined by one
-    global aggregate; there is no join.
+    One scan and one aggregate: grouping sets ``(day)`` and ``(bias_type)``
+    give the daily totals and the label counts together (expected labels
+    ride along as zero-weight rows), then one global roll-up over those
+    few cells builds the row.  A NULL label cannot be a map key, so it is
+    reported as ``unknown``.
     """
-    types = bias_type_stats(d, start, end, labels).select(
-        F.lit("type").alias("kind"),
-        F.coalesce("bias_type", F.lit("unknown")).alias("key"),
-        F.col("count").alias("n"), F.lit(None).cast("double").alias("rate"))
-    trend = bias_rate_trend(d, start, end).select(
-        F.lit("trend").alias("kind"), F.col("date").alias("key"),
-        F.lit(None).cast("long").alias("n"), "rate")
-    both = types.unionByName(trend)
-    counts = F.collect_list(F.when(F.col("kind") == "type", F.struct("key", "n")))
-    pts = F.array_sort(F.collect_list(F.when(F.col("kind") == "trend", F.struct("key", "rate"))))
-    return both.agg(counts.alias("c"), pts.alias("p")).select(
+    spark = d.sparkSession
+    rows = (d.filter(in_range(d, "created_at", start, end))
+            .select(day("created_at").alias("day"), "bias_type", F.lit(1).alias("w"),
+                    flag(F.col("is_biased")).alias("f")))
+    seeds = spark.createDataFrame([(lab,) for lab in labels], "bias_type string").select(
+        F.lit(None).cast("date").alias("day"), "bias_type", F.lit(0).alias("w"), F.lit(0).alias("f"))
+    cells = (rows.unionByName(seeds)
+             .groupingSets([["day"], ["bias_type"]], "day", "bias_type")
+             .agg(F.sum("w").cast("long").alias("n"), F.sum("f").cast("long").alias("b"),
+                  F.grouping_id().alias("gid")))
+    by_day = (F.col("gid") == 1) & F.col("day").isNotNull()
+    by_label = F.col("gid") == 2
+    counts = F.collect_list(F.when(by_label, F.struct(
+        F.coalesce("bias_type", F.lit("unknown")).alias("key"), F.col("n").alias("n"))))
+    pts = F.array_sort(F.collect_list(F.when(by_day, F.struct(
+        day_text("day").alias("key"), rate_pct("b", "n").alias("rate")))))
+    return cells.agg(counts.alias("c"), pts.alias("p")).select(
         F.map_from_entries("c").alias("bias_types"),
         F.transform("p", lambda x: x["key"]).alias("dates"),
         F.transform("p", lambda x: x["rate"]).alias("rates"))
