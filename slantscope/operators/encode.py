@@ -42,7 +42,8 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
         raise ValueError("vocabulary size must be positive")
     order = [F.col("count").desc(), F.col("token").asc()]
     top = token_counts(df, text_col).orderBy(*order).limit(size)
-    return top.withColumn("token_id", F.row_number().over(Window.orderBy(*order)) + (FIRST_WORD_ID - 1))
+    ids = F.row_number().over(Window.orderBy(*order)) + (FIRST_WORD_ID - 1)
+    return top.withColumn("token_id", ids.cast("long"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, text_col: str, keys: Sequence[str],

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.predicates import all_of, in_range, optional_eq, own_rows, verdict_filter
+from ..functions.predicates import all_of, in_range, optional_eq, own_rows, ts_literal, verdict_filter
 
 FEEDBACK_COLS = ["is_correct", "feedback_content", "feedback_time"]
 
@@ -108,7 +108,7 @@ def history_after(d: DataFrame, f: DataFrame, user_id, cursor: tuple, page_size:
     if page_size < 1:
         raise ValueError("page_size must be positive")
     c_ts, c_id, c_fid = cursor
-    ts = F.lit(c_ts).cast(d.schema["created_at"].dataType)
+    ts = ts_literal(c_ts, d.schema["created_at"].dataType)  # text -> type: no zone involved
     before = (F.col("created_at") < ts) | ((F.col("created_at") == ts) & (F.col("id") < F.lit(c_id)))
     same = (F.col("created_at") == ts) & (F.col("id") == F.lit(c_id))
     mine = d.filter(own_rows(user_id) & (before | same))

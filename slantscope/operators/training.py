@@ -46,29 +46,40 @@ def build_pipeline(text_col: str = "TEXT", vector_col: str | None = None, intera
                    num_features: int = 1 << 12, max_iter: int = 50, reg_param: float = 0.01,
                    weight_col: str | None = "weight"):
     """Tokens -> hashed term frequencies -> IDF (or a given vector column),
-    topic one-hot, optional text x topic interaction, logistic regression (T2)."""
+    topic one-hot, optional text x topic interaction, logistic regression (T2).
+
+    On tokens the interaction is a hashed feature cross: every token is
+    hashed once as itself and once prefixed with the row's topic, so each
+    topic gets its own word weights without widening the vector.  A given
+    vector column is crossed with Spark ML's ``Interaction``.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import (HashingTF, IDF, Interaction, OneHotEncoder, RegexTokenizer,
                                     SQLTransformer, VectorAssembler, VectorSizeHint)
+    slot = f"{topic_index()} AS _slot"
     stages = []
     if vector_col is None:
+        crossed = ("concat(_tok, transform(_tok, t -> concat('#', coalesce(topic, ''), '#', t)))"
+                   if interaction else "_tok")
         stages += [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
                                   toLowercase=True),
-                   HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-                   IDF(inputCol="_tf", outputCol="_text"),
-                   VectorSizeHint(inputCol="_text", size=num_features, handleInvalid="error"),
-                   # gives the vector per-element attributes, which Interaction needs
-                   VectorAssembler(inputCols=["_text"], outputCol="_textv")]
-        text_vec = "_textv"
+                   SQLTransformer(statement=f"SELECT *, {crossed} AS _ftok, {slot} FROM __THIS__"),
+                   HashingTF(inputCol="_ftok", outputCol="_tf", numFeatures=num_features),
+                   IDF(inputCol="_tf", outputCol="_text")]
+        parts = ["_text", "_topic"]
     else:
-        text_vec = vector_col
-    stages += [SQLTransformer(statement=f"SELECT *, {topic_index()} AS _slot FROM __THIS__"),
-               OneHotEncoder(inputCols=["_slot"], outputCols=["_topic"], dropLast=False, handleInvalid="keep")]
-    parts = [text_vec, "_topic"]
-    if interaction:
-        stages.append(Interaction(inputCols=["_topic", text_vec], outputCol="_inter"))
-        parts.append("_inter")
+        stages += [SQLTransformer(statement=f"SELECT *, {slot} FROM __THIS__"),
+                   VectorSizeHint(inputCol=vector_col, size=0, handleInvalid="optimistic")]
+        parts = [vector_col, "_topic"]
+    stages.append(OneHotEncoder(inputCols=["_slot"], outputCols=["_topic"], dropLast=False, handleInvalid="keep"))
+    if vector_col is not None:
+        stages.pop(1)
+        if interaction:
+            # per-element attributes for Interaction
+            stages.append(VectorAssembler(inputCols=[vector_col], outputCol="_vecv", handleInvalid="keep"))
+            stages.append(Interaction(inputCols=["_topic", "_vecv"], outputCol="_inter"))
+            parts.append("_inter")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     lr = LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=max_iter, regParam=reg_param)
     if weight_col:

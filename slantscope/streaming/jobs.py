@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..functions.predicates import feedback_rules, reject_reason
-from ..functions.scalars import day_text, flag, rate_pct
+from ..functions.scalars import flag, rate_pct
 from ..operators import scoring
 
 
@@ -61,13 +61,18 @@ def trend_stream(detections: DataFrame, delay: str = "1 day") -> DataFrame:
     """Per-day totals and bias rate, emitted once a day can no longer
     change: the watermark trails the newest event by ``delay`` (ST3).
 
-    Windows need a session-zone timestamp, so the wall-clock time is read
-    in the session zone (UTC in this library's sessions).
+    A watermark needs a zoned timestamp, while the tables hold wall-clock
+    times.  The wall-clock time is turned into the instant whose UTC clock
+    shows it, windows are cut at UTC midnight, and the window start is read
+    back as a UTC date, so the days match the batch trend in any session
+    time zone.
     """
-    ts = F.col("created_at").cast("timestamp")
+    tz = detections.sparkSession.conf.get("spark.sql.session.timeZone")
+    ts = F.from_utc_timestamp(F.col("created_at").cast("timestamp"), tz)
     per_day = (detections.withColumn("_ts", ts).withWatermark("_ts", delay)
                .groupBy(F.window("_ts", "1 day").alias("w"))
                .agg(F.count(F.lit(1)).alias("total"),
                     F.sum(flag(F.col("is_biased"))).cast("long").alias("biased_count")))
-    return per_day.select(day_text(F.col("w.start")).alias("date"), "total", "biased_count",
+    start = F.to_utc_timestamp(F.col("w.start"), tz)
+    return per_day.select(F.date_format(start, "yyyy-MM-dd").alias("date"), "total", "biased_count",
                           rate_pct("biased_count", "total").alias("rate"))

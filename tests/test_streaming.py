@@ -51,3 +51,15 @@ def test_feedback_stream_from_json(spark, tmp_path):
     sink, ckpt = scratch_path(spark, "fb-sink"), scratch_path(spark, "fb-ckpt")
     jobs.run(acc, sink, ckpt).awaitTermination()
     assert [r.feedback_content for r in spark.read.parquet(sink).collect()] == ["ok"]
+
+
+def test_results_do_not_depend_on_session_zone(spark):
+    q = E.queries()
+    base = {k: sorted(q[k](spark, SF001).collect()) for k in ("trend_stream", "bias_rate_trend", "history_next_page")}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        for k, rows in base.items():
+            assert sorted(q[k](spark, SF001).collect()) == rows, k
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
