@@ -88,3 +88,9 @@ def sigmoid(x: Column) -> Column:
 def argmax2(l0: Column, l1: Column) -> Column:
     """Index of the larger of two logits; ties go to 0."""
     return F.when(l1 > l0, F.lit(1)).otherwise(F.lit(0))
+
+
+def head_input(vec: str | Column, topic: str | Column) -> Column:
+    """Text vector followed by the topic one-hot, as the head sees it."""
+    v = vec if isinstance(vec, Column) else F.col(vec)
+    return F.concat(F.transform(v, lambda x: x.cast("double")), topic_onehot(topic))

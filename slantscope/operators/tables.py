@@ -248,3 +248,33 @@ def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def append_feedback(incoming: DataFrame, d: DataFrame, path: str, start_id: int,
+                    users: DataFrame | None = None, order: Sequence[str | Column] | None = None
+                    ) -> DataFrame:
+    """Accept incoming feedback, give it dense ids from ``start_id`` in
+    ``order`` (all columns by default), fill defaults and append it (K2).
+    Returns the rejected rows with their reasons."""
+    accepted, rejected = accept_feedback(incoming, d, users)
+    cols = list(order) if order else list(accepted.columns)
+    with_ids = assign_ids(accepted, cols, start=start_id)
+    append(with_ids, path, "feedback")
+    return rejected
+
+
+def write_table(df: DataFrame, table: str, path: str | None = None, fmt: str = "parquet",
+                mode: str = "append", options: dict | None = None) -> None:
+    """Write rows conformed to a table schema (K5): files at ``path``, a
+    catalog table when no path is given, or JDBC (``options`` carry url,
+    dbtable and ``batchsize`` for batched inserts)."""
+    rows = with_defaults(df, table)
+    w = rows.write.mode(mode)
+    for k, v in (options or {}).items():
+        w = w.option(k, v)
+    if fmt == "jdbc":
+        w.format("jdbc").save()
+    elif path is None:
+        w.format(fmt).saveAsTable(table)
+    else:
+        w.format(fmt).save(path)

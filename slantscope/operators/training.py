@@ -145,3 +145,11 @@ def shuffled(df: DataFrame, seed: int = 42, partitions: int | None = None) -> Da
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.rand(seed)
     return df.withColumn("_r", key).repartitionByRange(n, "_r").sortWithinPartitions("_r").drop("_r")
+
+
+def labelled_from_training(training_table: DataFrame, split: str = "train") -> DataFrame:
+    """The stored training table as labelled rows (S6): ``bias_type`` is the
+    topic and ``is_biased`` the label."""
+    return training_table.select(
+        F.col("id").alias("doc_id"), F.col("text_content").alias("TEXT"), F.col("bias_type").alias("topic"),
+        F.col("is_biased").cast("int").alias("label"), F.lit(split).alias("split"))

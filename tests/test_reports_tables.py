@@ -177,3 +177,23 @@ def test_assign_ids_splits_identical_rows(spark):
     assert max(r["count"] for r in sizes) < 3000  # the hot group is spread over partitions
     assert sorted(r.id for r in got.select("id").collect()) == list(range(1, 4001))
     assert {r.b for r in got.filter("id <= 1000").collect()} == {"other"}
+
+
+def test_append_feedback_and_training_rows(spark, tmp_path):
+    from slantscope.operators import training
+    from slantscope.sources import readers
+    d, f = small_tables(spark)
+    inc = f.select("record_id", "is_correct", "feedback_content", "feedback_time", "user_id")
+    p = str(tmp_path / "fb")
+    rej = tables.append_feedback(inc, d, p, start_id=100)
+    assert [r.reject_reason for r in rej.collect()] == ["unknown_record"]
+    back = readers.load(spark, "feedback", p).orderBy("id").collect()
+    assert [r.id for r in back] == [100, 101, 102] and all(r.created_at is not None for r in back)
+    tr = spark.createDataFrame([(1, "text", "race", True, "seed", ts("2024-01-01 00:00:00"), ts("2024-01-01 00:00:00"))],
+                               "id long, text_content string, bias_type string, is_biased boolean, source string, "
+                               "created_at timestamp_ntz, updated_at timestamp_ntz")
+    lab = training.labelled_from_training(tr).collect()[0]
+    assert (lab.TEXT, lab.topic, lab.label, lab.split) == ("text", "race", 1, "train")
+    tables.write_table(tr.select("id", "text_content", "bias_type", "is_biased"), "training",
+                       str(tmp_path / "tr"), mode="overwrite")
+    assert readers.load(spark, "training", str(tmp_path / "tr")).collect()[0].created_at is not None

@@ -82,3 +82,26 @@ def test_encoder_hook(spark):
     vec = {r.k: r.text_vector for r in out.collect()}
     assert vec[1][:2] == [5.0, 2.0] and len(vec[2]) == 64
     assert scoring.classify(out, "text_vector").count() == 2
+
+
+def test_onehot_concat_and_argmax(spark):
+    from slantscope.functions.scalars import argmax2, dot, head_input, topic_onehot
+    df = spark.createDataFrame([("race",), ("false",), ("other",), (None,)], "t string")
+    got = [r.v for r in df.select(topic_onehot("t").alias("v")).collect()]
+    assert got == [[1.0, 0, 0, 0, 0], [0, 0, 0, 0, 1.0], [0.0] * 5, [0.0] * 5]
+    # the additive split equals one dot product over [vector ++ one-hot]
+    v = spark.createDataFrame([([0.5] * 64, "gender")], "v array<float>, t string")
+    offsets = scoring.FIXTURE_HEAD.offsets
+    slot_w = {0: offsets["race"], 1: offsets["region"], 2: offsets["gender"], 4: offsets["false"]}
+
+    def w(i):
+        expr = F.lit(0.0)
+        for k, u in slot_w.items():
+            expr = F.when(i == 64 + k, F.lit(u)).otherwise(expr)
+        return F.when(i < 64, scoring._fixture_weight(i)).otherwise(expr)
+
+    row = v.select(dot(head_input("v", "t"), w).alias("full"),
+                   (scoring.FIXTURE_HEAD.text_logit("v") + F.lit(offsets["gender"])).alias("split")).collect()[0]
+    assert abs(row.full - row.split) < 1e-12
+    pairs = spark.createDataFrame([(0.1, 0.2), (0.3, 0.3), (0.5, -1.0)], "a double, b double")
+    assert [r.k for r in pairs.select(argmax2(F.col("a"), F.col("b")).alias("k")).collect()] == [1, 0, 0]
