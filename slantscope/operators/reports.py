@@ -130,21 +130,25 @@ def feedback_list(f: DataFrame, d: DataFrame, verdict: str = "all", start=None,
                   user_id=None, page: int = 1, page_size: int = S.PAGE_SIZE) -> Page:
     """Feedback with its detection's text, label and confidence, newest first (H2).
 
-    The inner join is resolved in two steps: a semi join on ids decides
-    which feedback rows have a detection (only keys shuffle, never texts),
-    the page is cut from those, and only the page's rows fetch their
-    detection columns through a broadcast of at most ``page_size`` rows.
+    The inner join is resolved on keys only: a semi join on
+    ``(record_id, feedback_time, id)`` decides which feedback has a
+    detection, the page's ids are cut from that by a per-task top-N, and
+    only those (at most ``page_size``) rows fetch their feedback columns and
+    detection columns through broadcasts.  Feedback text and detection text
+    are never shuffled.
     """
     offset, _ = page_window(page, page_size)
     fsel = f.filter(feedback_filter(f, verdict, start, end, user_id))
-    ok = fsel.join(d.select(F.col("id").alias("record_id")), "record_id", "left_semi")
+    keys = fsel.select("record_id", "feedback_time", "id").join(
+        d.select(F.col("id").alias("record_id")), "record_id", "left_semi")
     order = [F.col("feedback_time").desc(), F.col("id").desc()]
-    top = ok.orderBy(*order)
+    top = keys.orderBy(*order)
     if offset:
         top = top.offset(offset)
-    top = top.limit(page_size)
+    top = top.limit(page_size).select(F.col("id").alias("_fid"))
+    rows_f = fsel.join(F.broadcast(top), fsel["id"] == top["_fid"], "inner").drop("_fid")
     det = d.select(F.col("id").alias("_rid"), "text_content", "bias_type", "confidence")
-    rows = (det.join(F.broadcast(top), top["record_id"] == det["_rid"], "inner")
+    rows = (det.join(F.broadcast(rows_f), rows_f["record_id"] == det["_rid"], "inner")
             .select(*f.columns, "text_content", "bias_type", "confidence")
             # at most page_size rows: a top-N re-sort, no range exchange
             .orderBy(*order).limit(page_size))
@@ -163,10 +167,12 @@ EXPORT_COLS = ["id", "record_id", "is_correct", "feedback_content", "feedback_ti
 
 def export_feedback(f: DataFrame, d: DataFrame, u: DataFrame) -> DataFrame:
     """Every feedback row with its detection and its author's name,
-    newest first (K6, J3, P3, O2).  Sort-merge joins; AQE splits hot keys."""
+    newest first (K6, J3, P3, O2).  Sort-merge joins (AQE broadcasts a side
+    that turns out small and splits hot keys)."""
     fa, ra, ua = f.alias("f"), d.alias("r"), u.alias("u")
-    return (fa.join(ra, F.col("f.record_id") == F.col("r.id"))
-            .join(ua, F.col("f.user_id") == F.col("u.id"))
+    # authors first: the detection text then crosses one shuffle, not two
+    return (fa.join(ua, F.col("f.user_id") == F.col("u.id"))
+            .join(ra, F.col("f.record_id") == F.col("r.id"))
             .select(F.col("f.id").alias("id"), "f.record_id", "f.is_correct", "f.feedback_content",
                     "f.feedback_time", "r.text_content", "r.bias_type", "r.is_biased",
                     "r.confidence", "u.username")

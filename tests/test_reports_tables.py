@@ -197,3 +197,17 @@ def test_append_feedback_and_training_rows(spark, tmp_path):
     tables.write_table(tr.select("id", "text_content", "bias_type", "is_biased"), "training",
                        str(tmp_path / "tr"), mode="overwrite")
     assert readers.load(spark, "training", str(tmp_path / "tr")).collect()[0].created_at is not None
+
+
+def test_feedback_page_and_export_shuffle_little(spark):
+    from plan_utils import shuffled_columns
+    d, f = fx.detections(spark, SF001), fx.feedback(spark, SF001)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ex = shuffled_columns(reports.feedback_list(f, d, page=3).rows)
+        assert ex and all(not ({"feedback_content", "text_content"} & c) for c in ex)
+        exp = shuffled_columns(reports.export_feedback(f, d, fx.users(spark, SF001)))
+        assert sum("text_content" in c for c in exp) == 2  # the detection side, then the final sort
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
