@@ -1,0 +1,16 @@
+"""Join hints with a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest row bound for which a side is broadcast on our say-so.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` when it is known to hold at most ``max_rows`` rows
+    and that bound is small; otherwise leave the choice to Spark, whose
+    adaptive execution still broadcasts a side that turns out small."""
+    return F.broadcast(df) if max_rows <= MAX_BROADCAST_ROWS else df

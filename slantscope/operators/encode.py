@@ -53,9 +53,10 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str, keys: Sequence[str],
     mark, then padding to ``max_len`` when ``pad``.  ``keys`` must identify
     a text.
 
-    The vocabulary is broadcast (its size is the caller's bound); token
-    ids are regrouped per text with their positions, at most
-    ``max_len - 2`` rows per text.
+    The vocabulary join is left to adaptive execution, which broadcasts a
+    vocabulary that turns out small and shuffles a large one; token ids are
+    regrouped per text with their positions, at most ``max_len - 2`` rows
+    per text.
     """
     if max_len < 2:
         raise ValueError("max_len must leave room for the two marks")
@@ -65,7 +66,7 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str, keys: Sequence[str],
     # exploded body; an empty text keeps one row with a NULL position
     body = toks.select(*keys, F.size("_t").alias("n_tokens"),
                        F.posexplode_outer(F.slice("_t", 1, max_len - 2)).alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", "token_id"))
+    v = vocab.select("token", "token_id")
     tid = F.coalesce("token_id", F.lit(UNK_ID))
     out = (body.join(v, "token", "left")
            .groupBy(*keys)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.hints import bounded_broadcast
 from ..functions.predicates import all_of, in_range, optional_eq, own_rows, ts_literal, verdict_filter
 
 FEEDBACK_COLS = ["is_correct", "feedback_content", "feedback_time"]
@@ -56,18 +57,18 @@ def _history_order() -> list[Column]:
     return [F.col("created_at").desc(), F.col("id").desc(), F.col("feedback_id").desc_nulls_last()]
 
 
-def _history_rows(top: DataFrame, f: DataFrame) -> DataFrame:
+def _history_rows(top: DataFrame, f: DataFrame, bound: int) -> DataFrame:
     """Left join of a bounded set of detections with their feedback.
 
-    ``top`` is bounded by the page window, so it is broadcast and the
-    feedback table is streamed past it map-side (no shuffle of feedback,
-    hot detections included).  Detections without feedback come from an
+    ``top`` holds at most ``bound`` rows (the page window), so it is
+    broadcast and the feedback table is streamed past it map-side (no
+    shuffle of feedback, hot detections included).  Detections without feedback come from an
     anti join against the (bounded) set of matched ids.
     """
     fb = f.select("record_id", F.col("id").alias("feedback_id"), *FEEDBACK_COLS)
-    matched = fb.join(F.broadcast(top), fb["record_id"] == top["id"], "inner").drop("record_id")
+    matched = fb.join(bounded_broadcast(top, bound), fb["record_id"] == top["id"], "inner").drop("record_id")
     have = matched.select("id").distinct()
-    lonely = top.join(F.broadcast(have), "id", "left_anti").select(
+    lonely = top.join(bounded_broadcast(have, bound), "id", "left_anti").select(
         *top.columns, F.lit(None).cast("long").alias("feedback_id"),
         *[F.lit(None).cast(f.schema[c].dataType).alias(c) for c in FEEDBACK_COLS])
     return matched.select(*top.columns, "feedback_id", *FEEDBACK_COLS).unionByName(lonely)
@@ -84,7 +85,7 @@ def detection_history(d: DataFrame, f: DataFrame, user_id, page: int = 1,
     offset, need = page_window(page, page_size)
     mine = d.filter(own_rows(user_id))
     top = mine.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(need)
-    rows = _history_rows(top, f).orderBy(*_history_order())
+    rows = _history_rows(top, f, need).orderBy(*_history_order())
     if offset:
         rows = rows.offset(offset)
     rows = rows.limit(page_size)
@@ -117,7 +118,7 @@ def history_after(d: DataFrame, f: DataFrame, user_id, cursor: tuple, page_size:
         rest = F.lit(False)
     else:
         rest = same & (F.col("feedback_id").isNull() | (F.col("feedback_id") < F.lit(c_fid)))
-    return _history_rows(top, f).filter(before | rest).orderBy(*_history_order()).limit(page_size)
+    return _history_rows(top, f, page_size + 1).filter(before | rest).orderBy(*_history_order()).limit(page_size)
 
 
 def feedback_filter(f: DataFrame, verdict: str = "all", start=None, end=None, user_id=None) -> Column:
@@ -146,9 +147,9 @@ def feedback_list(f: DataFrame, d: DataFrame, verdict: str = "all", start=None,
     if offset:
         top = top.offset(offset)
     top = top.limit(page_size).select(F.col("id").alias("_fid"))
-    rows_f = fsel.join(F.broadcast(top), fsel["id"] == top["_fid"], "inner").drop("_fid")
+    rows_f = fsel.join(bounded_broadcast(top, page_size), fsel["id"] == top["_fid"], "inner").drop("_fid")
     det = d.select(F.col("id").alias("_rid"), "text_content", "bias_type", "confidence")
-    rows = (det.join(F.broadcast(rows_f), rows_f["record_id"] == det["_rid"], "inner")
+    rows = (det.join(bounded_broadcast(rows_f, page_size), rows_f["record_id"] == det["_rid"], "inner")
             .select(*f.columns, "text_content", "bias_type", "confidence")
             # at most page_size rows: a top-N re-sort, no range exchange
             .orderBy(*order).limit(page_size))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions.hints import bounded_broadcast
 from ..functions.predicates import feedback_rules, reject_reason, user_rules, validate
 from ..session import checkpoint_dir
 
@@ -100,7 +101,7 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_
     run = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.select("_pid", (F.sum("_n").over(run) - F.col("_n")).alias("_off"))
     local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (fixed.join(F.broadcast(offsets), "_pid")
+    return (fixed.join(bounded_broadcast(offsets, n), "_pid")  # one row per partition
             .withColumn(id_col, F.lit(start).cast("long") + F.col("_off") + local)
             .drop("_pid", "_pos", "_off", "_tie"))
 

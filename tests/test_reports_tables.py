@@ -211,3 +211,12 @@ def test_feedback_page_and_export_shuffle_little(spark):
         assert sum("text_content" in c for c in exp) == 2  # the detection side, then the final sort
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_deep_page_does_not_force_broadcast(spark, monkeypatch):
+    from slantscope.functions import hints
+    d, f = small_tables(spark)
+    monkeypatch.setattr(hints, "MAX_BROADCAST_ROWS", 1)
+    rows = reports.detection_history(d, f, 7, page=1, page_size=10).rows.collect()
+    assert [(r.id, r.feedback_content) for r in rows] == [(3, "ok"), (2, None), (1, "no"), (1, "ok")]
+    assert [r.id for r in reports.feedback_list(f, d, verdict="correct").rows.collect()] == [12, 10]
