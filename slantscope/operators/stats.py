@@ -83,15 +83,15 @@ def trend_arrays(trend: DataFrame) -> DataFrame:
         F.transform("pts", lambda p: p["rate"]).alias("rates"))
 
 
-def chart_payload(d: DataFrame, start=None, end=None,
-                  labels: Sequence[str] = tuple(S.SCORING_TOPICS)) -> DataFrame:
-    """Dashboard bundle as one row: label -> count map plus the trend arrays.
+def chart_long(d: DataFrame, start=None, end=None,
+               labels: Sequence[str] = tuple(S.SCORING_TOPICS)) -> DataFrame:
+    """The dashboard bundle in long form (A9): one ``type`` row per label
+    (``n`` = detections, zero-filled) and one ``trend`` row per day
+    (``n`` = detections that day, ``rate`` = biased percentage).
 
     One scan and one aggregate: grouping sets ``(day)`` and ``(bias_type)``
-    give the daily totals and the label counts together (expected labels
-    ride along as zero-weight rows), then one global roll-up over those
-    few cells builds the row.  A NULL label cannot be a map key, so it is
-    reported as ``unknown``.
+    give both parts together; expected labels ride along as zero-weight
+    rows.  The result has one row per label and per day.
     """
     spark = d.sparkSession
     rows = (d.filter(in_range(d, "created_at", start, end))
@@ -104,11 +104,26 @@ def chart_payload(d: DataFrame, start=None, end=None,
              .agg(F.sum("w").cast("long").alias("n"), F.sum("f").cast("long").alias("b"),
                   F.grouping_id().alias("gid")))
     by_day = (F.col("gid") == 1) & F.col("day").isNotNull()
-    by_label = F.col("gid") == 2
-    counts = F.collect_list(F.when(by_label, F.struct(
-        F.coalesce("bias_type", F.lit("unknown")).alias("key"), F.col("n").alias("n"))))
-    pts = F.array_sort(F.collect_list(F.when(by_day, F.struct(
-        day_text("day").alias("key"), rate_pct("b", "n").alias("rate")))))
+    return (cells.filter(by_day | (F.col("gid") == 2))
+            .select(F.when(by_day, F.lit("trend")).otherwise(F.lit("type")).alias("kind"),
+                    F.when(by_day, day_text("day")).otherwise(F.col("bias_type")).alias("key"),
+                    "n",
+                    F.when(by_day, rate_pct("b", "n")).alias("rate")))
+
+
+def chart_payload(d: DataFrame, start=None, end=None,
+                  labels: Sequence[str] = tuple(S.SCORING_TOPICS)) -> DataFrame:
+    """Dashboard bundle as one row: label -> count map plus the trend arrays.
+
+    Rolled up by one global aggregate from :func:`chart_long`, which holds
+    one row per label and per day.  A NULL label cannot be a map key, so it
+    is reported as ``unknown``.
+    """
+    cells = chart_long(d, start, end, labels)
+    is_type = F.col("kind") == "type"
+    counts = F.collect_list(F.when(is_type, F.struct(
+        F.coalesce("key", F.lit("unknown")).alias("key"), F.col("n").alias("n"))))
+    pts = F.array_sort(F.collect_list(F.when(~is_type, F.struct("key", "rate"))))
     return cells.agg(counts.alias("c"), pts.alias("p")).select(
         F.map_from_entries("c").alias("bias_types"),
         F.transform("p", lambda x: x["key"]).alias("dates"),

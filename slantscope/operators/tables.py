@@ -111,16 +111,20 @@ def accept_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None =
     """Split incoming feedback into accepted rows and rejected rows with a
     reason: failed validation, unknown detection, unknown author (K2, J5, F7).
 
-    Detection ids are pre-aggregated to distinct keys on the incoming side
-    before the shuffle, so a detection that draws most of the feedback
-    costs one key, not its rows.
+    Detection and author ids are pre-aggregated to distinct keys before
+    they meet the stored tables, so a detection that draws most of the
+    feedback costs one key, not its rows.  Both outputs come from one
+    marked frame.
     """
-    valid, invalid = validate(incoming, feedback_rules())
+    cols = incoming.columns
+    marked = incoming.withColumn("_invalid", reject_reason(feedback_rules()))
+    valid = marked.filter(F.col("_invalid").isNull())
     rec_ok = (valid.select("record_id").distinct()
               .join(d.select(F.col("id").alias("record_id")), "record_id", "left_semi")
               .withColumn("_rec_ok", F.lit(True)))
-    marked = valid.join(rec_ok, "record_id", "left")
-    reason = F.when(F.col("_rec_ok").isNull(), F.lit("unknown_record"))
+    marked = marked.join(rec_ok, "record_id", "left")
+    reason = F.when(F.col("_invalid").isNotNull(), F.col("_invalid")) \
+        .when(F.col("_rec_ok").isNull(), F.lit("unknown_record"))
     if users is not None:
         usr_ok = (valid.select("user_id").distinct().filter(F.col("user_id").isNotNull())
                   .join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
@@ -128,10 +132,8 @@ def accept_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None =
         marked = marked.join(usr_ok, "user_id", "left")
         reason = reason.when(F.col("user_id").isNotNull() & F.col("_usr_ok").isNull(), F.lit("unknown_user"))
     marked = marked.withColumn("reject_reason", reason.otherwise(F.lit(None).cast("string")))
-    cols = incoming.columns
     accepted = marked.filter(F.col("reject_reason").isNull()).select(*cols)
-    rejected = marked.filter(F.col("reject_reason").isNotNull()).select(*cols, "reject_reason") \
-        .unionByName(invalid.select(*cols, "reject_reason"))
+    rejected = marked.filter(F.col("reject_reason").isNotNull()).select(*cols, "reject_reason")
     return accepted, rejected
 
 

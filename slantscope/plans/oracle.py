@@ -90,6 +90,19 @@ SELECT bias_type, CAST(SUM(w) AS BIGINT) AS count FROM (
   SELECT * FROM (VALUES ('race', 0), ('region', 0), ('gender', 0), ('false', 0)) v(bias_type, w))
 GROUP BY bias_type"""
 
+SQL["chart_long"] = with_(DETECTIONS, """per_day AS (
+  SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS total,
+         CAST(SUM(CASE WHEN is_biased THEN 1 ELSE 0 END) AS BIGINT) AS biased_count
+  FROM detections GROUP BY 1)""") + f"""
+SELECT 'type' AS kind, bias_type AS key, CAST(SUM(w) AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS rate FROM (
+  SELECT bias_type, 1 AS w FROM detections
+  UNION ALL
+  SELECT * FROM (VALUES ('racial', 0), ('regional', 0), ('gender', 0), ('false', 0)) v(bias_type, w))
+GROUP BY bias_type
+UNION ALL
+SELECT 'trend' AS kind, strftime(day, '%Y-%m-%d') AS key, total AS n, {rate_sql('biased_count', 'total')} AS rate
+FROM per_day"""
+
 SQL["detection_stats"] = with_(DETECTIONS) + """
 SELECT COUNT(*) AS total_detections,
        CAST(SUM(CASE WHEN is_biased THEN 1 ELSE 0 END) AS BIGINT) AS biased_count,

@@ -52,6 +52,11 @@ def detection_stats(spark, sf_dir):
         "avg_confidence", F.round("avg_confidence", 6))
 
 
+@query("chart_long")
+def chart_long(spark, sf_dir):
+    return stats.chart_long(fx.detections(spark, sf_dir), labels=S.CHART_SEEDS)
+
+
 @query("chart_payload")
 def chart_payload(spark, sf_dir):
     return stats.chart_payload(fx.detections(spark, sf_dir), labels=S.CHART_SEEDS)
