@@ -78,3 +78,22 @@ def test_counts_sum_to_total(spark):
     trend = stats.bias_rate_trend(d).collect()
     assert len(trend) == 30 and sum(r.total for r in trend) == total
     assert [r.date for r in trend] == sorted(r.date for r in trend)
+
+
+def test_rate_matches_decimal_half_even(spark):
+    from decimal import Decimal, ROUND_HALF_EVEN
+    from hypothesis import given, settings, strategies as st
+    from slantscope.functions.scalars import rate_pct
+
+    pairs = st.integers(min_value=1, max_value=10**12).flatmap(
+        lambda t: st.tuples(st.integers(min_value=0, max_value=t), st.just(t)))
+
+    @settings(max_examples=40, deadline=None)
+    @given(st.lists(pairs, min_size=1, max_size=50))
+    def check(rows):
+        df = spark.createDataFrame(rows, "b long, t long")
+        got = [r.r for r in df.select(rate_pct("b", "t").alias("r")).collect()]
+        want = [float((Decimal(b) / Decimal(t) * 100).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for b, t in rows]
+        assert got == want
+
+    check()
