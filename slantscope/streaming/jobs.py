@@ -47,7 +47,9 @@ def accepted_feedback_stream(incoming: DataFrame, detections: DataFrame,
                              users: DataFrame | None = None) -> DataFrame:
     """Arriving feedback that passes validation and refers to a stored
     detection (and a known author, when given) (ST2, J5).  Stream-static
-    joins: no state is kept."""
+    joins: no state is kept.  For a large detections table pass one stored
+    with ``tables.save_bucketed(..., key="id")``; then each micro-batch
+    shuffles only its own rows."""
     valid = incoming.filter(reject_reason(feedback_rules()).isNull())
     ok = valid.join(detections.select(F.col("id").alias("record_id")), "record_id", "left_semi")
     if users is not None:

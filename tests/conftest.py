@@ -15,7 +15,8 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from slantscope.session import local_session
     s = local_session("*", shuffle_partitions=8, app="slantscope-tests",
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="slant-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="slant-test-ckpt-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="slant-test-wh-")})
     yield s
     s.stop()
 

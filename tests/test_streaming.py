@@ -63,3 +63,24 @@ def test_results_do_not_depend_on_session_zone(spark):
             assert sorted(q[k](spark, SF001).collect()) == rows, k
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_bucketed_static_side_is_not_shuffled(spark, tmp_path):
+    from plan_utils import nodes
+    from slantscope.operators import tables
+    static = tables.save_bucketed(fx.detections(spark, SF001), "det_bucketed", "id", 8)
+    src = tmp_path / "fb"
+    src.mkdir()
+    (src / "a.json").write_text('{"record_id": 1, "is_correct": true, "user_id": 1}\n')
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        acc = jobs.accepted_feedback_stream(readers.read_feedback(spark, str(src), stream=True), static)
+        q = acc.writeStream.format("memory").queryName("bucketed_fb").trigger(availableNow=True).start()
+        q.awaitTermination()
+        plan = q._jsq.streamingQuery().lastExecution().executedPlan()
+        exchanged = [n for n in nodes(plan) if n.nodeName() == "Exchange"]
+        assert len(exchanged) == 1  # the micro-batch side only
+        assert spark.table("bucketed_fb").count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
