@@ -200,13 +200,29 @@ def _rule_rows(table: str, df: DataFrame, checks: list[tuple[str, Column]],
         F.lit(table).alias("table_name"), F.col("p.rule").alias("rule"), F.col("p.n").alias("violations"))
 
 
-def _fk_rows(table: str, child: DataFrame, col: str, parent: DataFrame, pcol: str, rule: str) -> DataFrame:
-    """Child rows whose non-NULL key has no parent.  Keys are counted per
-    value first (partial aggregate), so hot keys shuffle once."""
-    keys = child.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    missing = keys.join(parent.select(F.col(pcol).alias("_k")), "_k", "left_anti")
-    return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
+def _fk_rows(parent: DataFrame, pcol: str, children: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """Child rows whose non-NULL key has no parent, for every
+    ``(table, child, column, rule)`` that references ``parent``.
+
+    Each child's keys are counted per value first (partial aggregate, so a
+    hot key shuffles once), the key sets are stacked, and the stack meets
+    the parent in a single anti join, so the parent's keys shuffle once.
+    """
+    spark = parent.sparkSession
+    stacks = [child.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k"))
+              .agg(F.count(F.lit(1)).alias("_n")).withColumn("_src", F.lit(i))
+              for i, (_, child, col, _) in enumerate(children)]
+    keys = stacks[0]
+    for st in stacks[1:]:
+        keys = keys.unionByName(st)
+    missing = keys.join(parent.select(F.col(pcol).alias("_k")), "_k", "left_anti").select("_src", "_n")
+    zeros = spark.createDataFrame([(i, 0) for i in range(len(children))], "_src int, _n long")
+    per = missing.unionByName(zeros).groupBy("_src").agg(F.sum("_n").cast("long").alias("violations"))
+    table_of, rule_of = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (table, _, _, rule) in enumerate(children):
+        table_of = F.when(F.col("_src") == i, F.lit(table)).otherwise(table_of)
+        rule_of = F.when(F.col("_src") == i, F.lit(rule)).otherwise(rule_of)
+    return per.select(table_of.alias("table_name"), rule_of.alias("rule"), "violations")
 
 
 def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
@@ -223,15 +239,12 @@ def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
                   ("bias_type_too_long", F.char_length("bias_type") > S.BIAS_TYPE_MAX_CHARS),
                   ("text_too_long", F.octet_length("text_content") > S.TEXT_MAX_BYTES)]
     parts.append(_rule_rows("detections", detections, det_checks, [("id_duplicate", F.col("id"))]))
-    parts.append(_fk_rows("detections", detections, "user_id", users, "id", "user_unknown"))
 
     fb_checks = [("id_null", F.col("id").isNull()),
                  ("record_id_null", F.col("record_id").isNull()),
                  ("is_correct_null", F.col("is_correct").isNull()),
                  ("content_too_long", F.octet_length("feedback_content") > S.TEXT_MAX_BYTES)]
     parts.append(_rule_rows("feedback", feedback, fb_checks, [("id_duplicate", F.col("id"))]))
-    parts.append(_fk_rows("feedback", feedback, "record_id", detections, "id", "record_unknown"))
-    parts.append(_fk_rows("feedback", feedback, "user_id", users, "id", "user_unknown"))
 
     u_checks = [("id_null", F.col("id").isNull()),
                 ("username_null", F.col("username").isNull()),
@@ -244,9 +257,15 @@ def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
         in_checks = [("record_id_null", F.col("record_id").isNull()),
                      ("is_correct_null", F.col("is_correct").isNull())]
         parts.append(_rule_rows("incoming_feedback", incoming, in_checks))
-        parts.append(_fk_rows("incoming_feedback", incoming, "record_id", detections, "id", "record_unknown"))
+    to_detections = [("feedback", feedback, "record_id", "record_unknown")]
+    to_users = [("detections", detections, "user_id", "user_unknown"),
+                ("feedback", feedback, "user_id", "user_unknown")]
+    if incoming is not None:
+        to_detections.append(("incoming_feedback", incoming, "record_id", "record_unknown"))
         if has(incoming, "user_id"):
-            parts.append(_fk_rows("incoming_feedback", incoming, "user_id", users, "id", "user_unknown"))
+            to_users.append(("incoming_feedback", incoming, "user_id", "user_unknown"))
+    parts.append(_fk_rows(detections, "id", to_detections))
+    parts.append(_fk_rows(users, "id", to_users))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
