@@ -215,7 +215,10 @@ def _fk_rows(parent: DataFrame, pcol: str, children: list[tuple[str, DataFrame,
     keys = stacks[0]
     for st in stacks[1:]:
         keys = keys.unionByName(st)
-    missing = keys.join(parent.select(F.col(pcol).alias("_k")), "_k", "left_anti").select("_src", "_n")
+    # an outer join + NULL test: an anti join would be pushed below the
+    # union and meet the parent once per child again
+    hits = parent.select(F.col(pcol).alias("_k"), F.lit(True).alias("_hit"))
+    missing = keys.join(hits, "_k", "left").filter(F.col("_hit").isNull()).select("_src", "_n")
     zeros = spark.createDataFrame([(i, 0) for i in range(len(children))], "_src int, _n long")
     per = missing.unionByName(zeros).groupBy("_src").agg(F.sum("_n").cast("long").alias("violations"))
     table_of, rule_of = F.lit(None).cast("string"), F.lit(None).cast("string")
