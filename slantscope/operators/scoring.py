@@ -134,3 +134,28 @@ def to_detections(scored: DataFrame, text_col: str, user_col: str | None = "user
     if user_col:
         cols.append(F.col(user_col).alias("user_id"))
     return scored.select(*cols)
+
+
+def score_requests(texts: DataFrame, make_predict_fn, dim: int, head: LinearHead = FIXTURE_HEAD,
+                   id_start: int | None = None, confidence: str = "fixed",
+                   batch_size: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Texts posted for scoring -> (detection rows, rejected requests) (T4).
+
+    Requests are validated (F7), the encoder runs once per valid text in
+    Arrow batches (T5), every topic is scored from that one vector, and the
+    result is shaped as detection rows (P4) ready for ``tables.append``.
+    Ids are dense from ``id_start`` in request order when given, otherwise
+    a hash of the request id.
+    """
+    from ..functions.predicates import text_rules, validate
+    from .tables import assign_ids
+    valid, rejects = validate(texts, text_rules())
+    vecs = with_text_vectors(valid, "text", make_predict_fn, dim, batch_size=batch_size)
+    scored = classify(vecs, "text_vector", head, confidence=confidence)
+    det = scored.select("request_id", F.col("text").alias("text_content"), "bias_type", "is_biased",
+                        F.col("confidence").cast("float").alias("confidence"), "user_id", "score_error")
+    if id_start is None:
+        det = det.withColumn("id", F.xxhash64("request_id"))
+    else:
+        det = assign_ids(det, ["request_id"], start=id_start)
+    return det, rejects

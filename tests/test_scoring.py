@@ -105,3 +105,31 @@ def test_onehot_concat_and_argmax(spark):
     assert abs(row.full - row.split) < 1e-12
     pairs = spark.createDataFrame([(0.1, 0.2), (0.3, 0.3), (0.5, -1.0)], "a double, b double")
     assert [r.k for r in pairs.select(argmax2(F.col("a"), F.col("b")).alias("k")).collect()] == [1, 0, 0]
+
+
+def test_score_requests_end_to_end(spark, tmp_path):
+    import numpy as np
+    from slantscope.operators import tables
+    from slantscope.sources import readers
+
+    def make():
+        def fn(texts):
+            out = np.zeros((len(texts), 64), dtype=np.float32)
+            for k, t in enumerate(texts):
+                out[k, 0] = len(t) / 10.0
+            return out
+        return fn
+
+    p = tmp_path / "req.json"
+    p.write_text('{"request_id": "a", "user_id": 1, "text": "some words here"}\n'
+                 '{"request_id": "b", "user_id": 2, "text": ""}\n'
+                 '{"request_id": "c", "user_id": 2, "text": "   "}\n')
+    det, rej = scoring.score_requests(readers.read_texts(spark, str(p)), make, 64, id_start=10)
+    rows = {r.request_id: r for r in det.collect()}
+    assert set(rows) == {"a", "c"} and sorted(r.id for r in rows.values()) == [10, 11]
+    assert [r.reject_reason for r in rej.collect()] == ["text_empty"]
+    for r in rows.values():
+        assert r.is_biased == (r.bias_type != "false")
+    out = str(tmp_path / "det")
+    tables.append(det, out, "detections")
+    assert readers.load(spark, "detections", out).count() == 2
