@@ -75,7 +75,7 @@ def _order_cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_col: str = "id",
+def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int | Column = 1, id_col: str = "id",
                num_partitions: int | None = None) -> DataFrame:
     """Dense ids ``start, start+1, ...`` following ``order`` (K7).
 
@@ -84,7 +84,9 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_
     partition contents are fixed, then each partition's size gives its
     offset (a running sum over one row per partition) and each row adds its
     position inside the partition.  Rows that tie on ``order`` get
-    consecutive ids in input order.
+    consecutive ids in input order.  ``start`` may be a Column, such as a
+    scalar subquery ``table.agg(max(id) + 1).scalar()``, so the next free id
+    is found inside the plan.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -102,7 +104,8 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_
     offsets = sizes.select("_pid", (F.sum("_n").over(run) - F.col("_n")).alias("_off"))
     local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (fixed.join(bounded_broadcast(offsets, n), "_pid")  # one row per partition
-            .withColumn(id_col, F.lit(start).cast("long") + F.col("_off") + local)
+            .withColumn(id_col, (start if isinstance(start, Column) else F.lit(start)).cast("long")
+                        + F.col("_off") + local)
             .drop("_pid", "_pos", "_off", "_tie"))
 
 

@@ -164,7 +164,7 @@ def assign_ids(spark, sf_dir):
     f = fx.feedback(spark, sf_dir)
     acc, _ = tables.accept_feedback(fx.incoming_feedback(spark, sf_dir), fx.detections(spark, sf_dir),
                                     fx.users(spark, sf_dir))
-    start = (f.agg(F.max("id")).first()[0] or 0) + 1
+    start = f.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()  # next free id, as a scalar subquery
     return tables.assign_ids(acc, ID_ORDER, start=start)
 
 
