@@ -220,3 +220,15 @@ def test_deep_page_does_not_force_broadcast(spark, monkeypatch):
     rows = reports.detection_history(d, f, 7, page=1, page_size=10).rows.collect()
     assert [(r.id, r.feedback_content) for r in rows] == [(3, "ok"), (2, None), (1, "no"), (1, "ok")]
     assert [r.id for r in reports.feedback_list(f, d, verdict="correct").rows.collect()] == [12, 10]
+
+
+def test_assign_ids_moves_no_data_through_one_partition(spark):
+    from plan_utils import executed
+    df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("k"), F.lit("payload").alias("p"))
+    got = tables.assign_ids(df, ["k"], start=1)
+    single = []
+    for n in executed(got):
+        if n.nodeName() == "Exchange" and "SinglePartition" in n.outputPartitioning().toString():
+            out = n.output()
+            single.append({out.apply(i).name() for i in range(out.size())})
+    assert single and all(cols <= {"_pid", "_n"} for cols in single)  # only per-partition counts
