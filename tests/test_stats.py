@@ -97,3 +97,11 @@ def test_rate_matches_decimal_half_even(spark):
         assert got == want
 
     check()
+
+
+def test_trend_arrays_in_date_order(spark):
+    d = det(spark, [(1, "a", "race", True, ts("2024-01-02 10:00:00"), 0.8, 1),
+                    (2, "b", "false", False, ts("2024-01-01 10:00:00"), 0.2, 1),
+                    (3, "c", "race", True, ts("2024-01-01 11:00:00"), 0.8, 1)])
+    r = stats.trend_arrays(stats.bias_rate_trend(d)).collect()[0]
+    assert r.dates == ["2024-01-01", "2024-01-02"] and r.rates == [50.0, 100.0]
