@@ -105,3 +105,21 @@ def test_trend_arrays_in_date_order(spark):
                     (3, "c", "race", True, ts("2024-01-01 11:00:00"), 0.8, 1)])
     r = stats.trend_arrays(stats.bias_rate_trend(d)).collect()[0]
     assert r.dates == ["2024-01-01", "2024-01-02"] and r.rates == [50.0, 100.0]
+
+
+def test_day_partitioned_detections_prune(spark, tmp_path):
+    from slantscope.operators import tables
+    from slantscope.sources import fixtures as fx, readers
+    from conftest import SF001
+    d = fx.detections(spark, SF001)
+    p = str(tmp_path / "det")
+    tables.append(d, p, "detections", partition_by_day=True)
+    back = readers.load(spark, "detections", p)
+    assert "day" in back.columns and back.count() == 1000
+    q = stats.bias_rate_trend(back.filter(F.col("day").between("2024-01-05", "2024-01-07")))
+    rows = q.collect()
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert [r.date for r in rows] == ["2024-01-05", "2024-01-06", "2024-01-07"]
+    assert "PartitionFilters: [isnotnull(day" in plan
+    full = {r.date: r for r in stats.bias_rate_trend(d).collect()}
+    assert all(full[r.date] == r for r in rows)
