@@ -56,7 +56,7 @@ def build_pipeline(text_col: str = "TEXT", vector_col: str | None = None, intera
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import (HashingTF, IDF, Interaction, OneHotEncoder, RegexTokenizer,
-                                    SQLTransformer, VectorAssembler, VectorSizeHint)
+                                    SQLTransformer, VectorAssembler)
     slot = f"{topic_index()} AS _slot"
     stages = []
     if vector_col is None:
@@ -69,17 +69,14 @@ def build_pipeline(text_col: str = "TEXT", vector_col: str | None = None, intera
                    IDF(inputCol="_tf", outputCol="_text")]
         parts = ["_text", "_topic"]
     else:
-        stages += [SQLTransformer(statement=f"SELECT *, {slot} FROM __THIS__"),
-                   VectorSizeHint(inputCol=vector_col, size=0, handleInvalid="optimistic")]
+        stages.append(SQLTransformer(statement=f"SELECT *, {slot} FROM __THIS__"))
         parts = [vector_col, "_topic"]
     stages.append(OneHotEncoder(inputCols=["_slot"], outputCols=["_topic"], dropLast=False, handleInvalid="keep"))
-    if vector_col is not None:
-        stages.pop(1)
-        if interaction:
-            # per-element attributes for Interaction
-            stages.append(VectorAssembler(inputCols=[vector_col], outputCol="_vecv", handleInvalid="keep"))
-            stages.append(Interaction(inputCols=["_topic", "_vecv"], outputCol="_inter"))
-            parts.append("_inter")
+    if vector_col is not None and interaction:
+        # the assembler gives the vector per-element attributes, which Interaction needs
+        stages.append(VectorAssembler(inputCols=[vector_col], outputCol="_vecv"))
+        stages.append(Interaction(inputCols=["_topic", "_vecv"], outputCol="_inter"))
+        parts.append("_inter")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     lr = LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=max_iter, regParam=reg_param)
     if weight_col:

@@ -100,3 +100,15 @@ def test_append_with_defaults(spark, tmp_path):
     back = readers.load(spark, "detections", p).collect()
     assert len(back) == 2 and all(r.created_at is not None and r.updated_at is not None for r in back)
     assert {r.id for r in back} == {1, 2}
+
+
+def test_train_on_given_vectors(spark):
+    from pyspark.ml.functions import array_to_vector
+    lab = fx.labelled(spark, SF001)
+    vec = fx.text_vectors(spark, SF001).withColumnRenamed("vec_id", "doc_id")
+    rows = lab.join(vec, "doc_id").withColumn("v", array_to_vector("embedding"))
+    aug = training.augment(rows)
+    for inter in (False, True):
+        model = training.train(aug.filter("split = 'train'"), vector_col="v", interaction=inter, max_iter=5)
+        m = ev.evaluate(training.predict_rows(aug, model), by="split").collect()
+        assert {r.split for r in m} <= {"train", "dev", "test"} and sum(r.n for r in m) == aug.count()
