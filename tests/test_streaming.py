@@ -84,3 +84,29 @@ def test_bucketed_static_side_is_not_shuffled(spark, tmp_path):
         assert spark.table("bucketed_fb").count() == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_text_requests_scored_as_a_stream(spark, tmp_path):
+    import numpy as np
+    from slantscope.operators import scoring
+
+    def make():
+        def fn(texts):
+            out = np.zeros((len(texts), 64), dtype=np.float32)
+            for k, t in enumerate(texts):
+                out[k, 1] = float(len(t.split()))
+            return out
+        return fn
+
+    src = tmp_path / "texts"
+    src.mkdir()
+    lines = [{"request_id": f"r{i}", "user_id": i % 3, "text": "word " * i} for i in range(20)]
+    (src / "a.json").write_text("\n".join(json.dumps(r) for r in lines) + "\n")
+    det, rej = scoring.score_requests(readers.read_texts(spark, str(src), stream=True), make, 64)
+    sink, ckpt = scratch_path(spark, "txt-sink"), scratch_path(spark, "txt-ckpt")
+    jobs.run(det, sink, ckpt).awaitTermination()
+    out = spark.read.parquet(sink)
+    assert out.count() == 19  # r0 has an empty text
+    batch, _ = scoring.score_requests(readers.read_texts(spark, str(src)), make, 64)
+    cols = ["id", "request_id", "bias_type", "is_biased"]
+    assert sorted(out.select(*cols).collect()) == sorted(batch.select(*cols).collect())
