@@ -62,8 +62,8 @@ def _history_rows(top: DataFrame, f: DataFrame, bound: int) -> DataFrame:
 
     ``top`` holds at most ``bound`` rows (the page window), so it is
     broadcast and the feedback table is streamed past it map-side (no
-    shuffle of feedback, hot detections included).  Detections without feedback come from an
-    anti join against the (bounded) set of matched ids.
+    shuffle of feedback, hot detections included).  Detections without
+    feedback come from an anti join against the (bounded) set of matched ids.
     """
     fb = f.select("record_id", F.col("id").alias("feedback_id"), *FEEDBACK_COLS)
     matched = fb.join(bounded_broadcast(top, bound), fb["record_id"] == top["id"], "inner").drop("record_id")
