@@ -62,3 +62,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a job reading ``input_bytes`` on ``total_cores``.
+
+    Shuffle partitions are sized so that a partition holds about
+    ``target_partition_bytes`` of input (shuffled data is usually smaller
+    after pruning and partial aggregation), and never fewer than two waves
+    of the cluster's cores.  AQE then coalesces small partitions and splits
+    skewed ones at run time.
+    """
+    by_size = -(-int(input_bytes) // int(target_partition_bytes))
+    partitions = max(2 * int(total_cores), by_size)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    }

@@ -19,3 +19,11 @@ def test_trend_range_filter_reaches_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan
+
+
+def test_scale_conf_sizes_partitions():
+    from slantscope.session import scale_conf
+    big = scale_conf(100 * 1024 ** 4, total_cores=8000)  # 100 TiB on 1000 executors x 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    small = scale_conf(10 << 20, total_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
