@@ -144,8 +144,8 @@ def score_requests(texts: DataFrame, make_predict_fn, dim: int, head: LinearHead
     Requests are validated (F7), the encoder runs once per valid text in
     Arrow batches (T5), every topic is scored from that one vector, and the
     result is shaped as detection rows (P4) ready for ``tables.append``.
-    Ids are dense from ``id_start`` in request order when given, otherwise
-    a hash of the request id.
+    Ids are dense from ``id_start`` in request order when given; without
+    it no id is added (a stream gets its ids from ``jobs.run_with_ids``).
     """
     from ..functions.predicates import text_rules, validate
     from .tables import assign_ids
@@ -154,8 +154,6 @@ def score_requests(texts: DataFrame, make_predict_fn, dim: int, head: LinearHead
     scored = classify(vecs, "text_vector", head, confidence=confidence)
     det = scored.select("request_id", F.col("text").alias("text_content"), "bias_type", "is_biased",
                         F.col("confidence").cast("float").alias("confidence"), "user_id", "score_error")
-    if id_start is None:
-        det = det.withColumn("id", F.xxhash64("request_id"))
-    else:
+    if id_start is not None:
         det = assign_ids(det, ["request_id"], start=id_start)
     return det, rejects

@@ -291,7 +291,10 @@ def _run_to_table(spark, stream, tag, mode="append"):
 @query("score_stream")
 def score_stream(spark, sf_dir):
     vecs = _stream_of(spark, sf_dir, "embeddings")
-    out = _run_to_table(spark, stream_jobs.scored_stream(vecs, "embedding", ["vec_id"]), "score")
+    sink, ckpt = scratch_path(spark, "score-sink"), scratch_path(spark, "score-ckpt")
+    stream_jobs.run_with_ids(stream_jobs.scored_stream(vecs, "embedding", ["vec_id"]), ["vec_id"],
+                             sink, ckpt).awaitTermination()
+    out = spark.read.parquet(sink)
     return out.select("vec_id", "bias_type", "is_biased", "confidence",
                       F.round("best_probability", 6).alias("best_probability"), "score_error")
 

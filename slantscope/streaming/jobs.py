@@ -35,14 +35,40 @@ def run(stream: DataFrame, sink_path: str, checkpoint: str, mode: str = "append"
 
 def scored_stream(vectors: DataFrame, vec_col: str, keys: Sequence[str],
                   head: scoring.LinearHead = scoring.FIXTURE_HEAD) -> DataFrame:
-    """Detections for arriving texts (ST1).  Ids are a hash of the request
-    key: dense ids need the whole batch, a stream has only its micro-batch."""
+    """Detections for arriving texts, without ids (ST1); ``run_with_ids``
+    numbers them per micro-batch."""
     out = scoring.classify(vectors, vec_col, head)
-    return out.select(F.xxhash64(*keys).alias("id"), *keys, "bias_type", "is_biased",
-                      "confidence", "best_probability", "score_error",
+    return out.select(*keys, "bias_type", "is_biased", "confidence", "best_probability", "score_error",
                       F.current_timestamp().alias("created_at"))
 
 
+ID_BITS = 40  # ids of one micro-batch: epoch << 40 plus a dense rank (up to 1.1e12 rows per batch)
+
+
+def run_with_ids(stream: DataFrame, order: Sequence[str], sink_path: str, checkpoint: str,
+                 available_now: bool = True, id_col: str = "id") -> StreamingQuery:
+    """Write a stream with unique ids (ST1, K7).
+
+    Each micro-batch is numbered densely in ``order`` (which should be a
+    unique request key) from ``(epoch + 1) << 40``, and written to its own
+    ``epoch`` partition with dynamic overwrite.  A batch replayed after a
+    failure gets the same ids and replaces its own files, so the sink stays
+    free of duplicates.  Hashing the key instead would collide at this
+    scale.
+    """
+    from ..operators.tables import assign_ids
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        start = (int(epoch_id) + 1) << ID_BITS
+        out = assign_ids(batch, list(order), start=start, id_col=id_col).withColumn("epoch", F.lit(int(epoch_id)))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(sink_path))
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def accepted_feedback_stream(incoming: DataFrame, detections: DataFrame,
                              users: DataFrame | None = None) -> DataFrame:
     """Arriving feedback that passes validation and refers to a stored

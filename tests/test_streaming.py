@@ -27,14 +27,30 @@ def test_score_stream_matches_batch_and_restart_adds_nothing(spark, tmp_path):
     schema = vec.schema
     stream = spark.readStream.schema(schema).parquet(str(src / "part1"))
     sink, ckpt = scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
-    jobs.run(jobs.scored_stream(stream, "embedding", ["vec_id"]), sink, ckpt).awaitTermination()
-    jobs.run(jobs.scored_stream(stream, "embedding", ["vec_id"]), sink, ckpt).awaitTermination()
+    jobs.run_with_ids(jobs.scored_stream(stream, "embedding", ["vec_id"]), ["vec_id"], sink, ckpt).awaitTermination()
+    first = sorted(spark.read.parquet(sink).select("id", "vec_id").collect())
+    jobs.run_with_ids(jobs.scored_stream(stream, "embedding", ["vec_id"]), ["vec_id"], sink, ckpt).awaitTermination()
     got = spark.read.parquet(sink)
     assert got.count() == vec.count()  # the second run resumed from the checkpoint
+    assert sorted(got.select("id", "vec_id").collect()) == first
     batch = E.queries()["classify"](spark, SF001)
     cols = ["vec_id", "bias_type", "is_biased", "confidence"]
     assert sorted(got.select(*cols).collect()) == sorted(batch.select(*cols).collect())
-    assert got.select("id").distinct().count() == vec.count()
+    ids = sorted(r.id for r in got.select("id").collect())
+    assert ids == list(range(1 << 40, (1 << 40) + vec.count()))  # dense within the one micro-batch
+    # a second micro-batch gets its own id range, no overlap
+    vec.write.mode("overwrite").parquet(str(src / "part1" / "more"))
+    more = (spark.readStream.schema(schema).option("recursiveFileLookup", True)
+            .option("maxFilesPerTrigger", 1).parquet(str(src / "part1")))
+    sink2, ckpt2 = scratch_path(spark, "t-sink2"), scratch_path(spark, "t-ckpt2")
+    q = jobs.run_with_ids(jobs.scored_stream(more, "embedding", ["vec_id"]),
+                          ["vec_id"], sink2, ckpt2)
+    q.awaitTermination()
+    out2 = spark.read.parquet(sink2)
+    all_ids = [r.id for r in out2.select("id").collect()]
+    assert len(all_ids) == len(set(all_ids)) == 2 * vec.count()
+    assert out2.select("epoch").distinct().count() >= 2
+    assert all((r.id >> 40) == r.epoch + 1 for r in out2.select("id", "epoch").collect())
 
 
 def test_feedback_stream_from_json(spark, tmp_path):
@@ -104,9 +120,9 @@ def test_text_requests_scored_as_a_stream(spark, tmp_path):
     (src / "a.json").write_text("\n".join(json.dumps(r) for r in lines) + "\n")
     det, rej = scoring.score_requests(readers.read_texts(spark, str(src), stream=True), make, 64)
     sink, ckpt = scratch_path(spark, "txt-sink"), scratch_path(spark, "txt-ckpt")
-    jobs.run(det, sink, ckpt).awaitTermination()
+    jobs.run_with_ids(det, ["request_id"], sink, ckpt).awaitTermination()
     out = spark.read.parquet(sink)
     assert out.count() == 19  # r0 has an empty text
-    batch, _ = scoring.score_requests(readers.read_texts(spark, str(src)), make, 64)
+    batch, _ = scoring.score_requests(readers.read_texts(spark, str(src)), make, 64, id_start=(1 << 40))
     cols = ["id", "request_id", "bias_type", "is_biased"]
     assert sorted(out.select(*cols).collect()) == sorted(batch.select(*cols).collect())
