@@ -13,6 +13,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
@@ -90,17 +91,21 @@ def trend_stream(detections: DataFrame, delay: str = "1 day") -> DataFrame:
     change: the watermark trails the newest event by ``delay`` (ST3).
 
     A watermark needs a zoned timestamp, while the tables hold wall-clock
-    times.  The wall-clock time is turned into the instant whose UTC clock
-    shows it, windows are cut at UTC midnight, and the window start is read
-    back as a UTC date, so the days match the batch trend in any session
-    time zone.
+    times.  The wall-clock time becomes the instant whose UTC clock shows
+    it (``unix_timestamp`` of a wall-clock value involves no zone), windows
+    are cut at UTC midnight, and the window start goes back to a date by
+    whole days since the epoch, so no session zone or daylight-saving gap
+    can move a row to another day.
     """
-    tz = detections.sparkSession.conf.get("spark.sql.session.timeZone")
-    ts = F.from_utc_timestamp(F.col("created_at").cast("timestamp"), tz)
+    c = F.col("created_at")
+    if isinstance(detections.schema["created_at"].dataType, T.TimestampNTZType):
+        ts = F.timestamp_seconds(F.unix_timestamp(c))
+    else:
+        ts = c
     per_day = (detections.withColumn("_ts", ts).withWatermark("_ts", delay)
                .groupBy(F.window("_ts", "1 day").alias("w"))
                .agg(F.count(F.lit(1)).alias("total"),
                     F.sum(flag(F.col("is_biased"))).cast("long").alias("biased_count")))
-    start = F.to_utc_timestamp(F.col("w.start"), tz)
-    return per_day.select(F.date_format(start, "yyyy-MM-dd").alias("date"), "total", "biased_count",
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / F.lit(86400)).cast("int"))
+    return per_day.select(F.date_format(day, "yyyy-MM-dd").alias("date"), "total", "biased_count",
                           rate_pct("biased_count", "total").alias("rate"))
