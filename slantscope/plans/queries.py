@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import stats
+from ..functions.predicates import reject_reason, text_rules
+from ..operators import encode as enc
+from ..operators import evaluate as ev
+from ..operators import reports, scoring, stats, tables, training
+from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..sources import readers
+from ..streaming import jobs as stream_jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -63,8 +69,6 @@ def chart_payload(spark, sf_dir):
 
 
 # --- reports ----------------------------------------------------------------
-from ..operators import reports, tables  # noqa: E402
-from ..functions.predicates import text_rules, reject_reason  # noqa: E402
 
 HISTORY_USER = 7
 LIST_FILTER = dict(verdict="correct", start="1995-01-01", end="1996-12-31")
@@ -175,7 +179,6 @@ def validate_texts(spark, sf_dir):
 
 
 # --- scoring ----------------------------------------------------------------
-from ..operators import scoring  # noqa: E402
 
 
 @query("topic_scores")
@@ -192,9 +195,6 @@ def classify(spark, sf_dir):
 
 
 # --- encoding, training data, evaluation --------------------------------------
-from ..operators import encode as enc, training, evaluate as ev  # noqa: E402
-from ..sources import readers  # noqa: E402
-from ..session import scratch_path  # noqa: E402
 
 VOCAB_SIZE = 2000
 
@@ -269,7 +269,6 @@ def csv_round_trip(spark, sf_dir):
 
 
 # --- streaming --------------------------------------------------------------
-from ..streaming import jobs as stream_jobs  # noqa: E402
 
 
 def _stream_of(spark, sf_dir, name):
