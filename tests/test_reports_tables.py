@@ -244,3 +244,15 @@ def test_page_of_and_registrations_reader(spark, tmp_path):
     users = spark.createDataFrame([(1, "bob", "user")], "id long, username string, role string")
     got = sorted(r.status for r in tables.register_users(regs, users, ["seq"]).collect())
     assert got == ["accepted", "name_missing", "name_missing"]
+
+
+def test_fixture_facts_sf0001(spark):
+    d, f = fx.detections(spark, SF001), fx.feedback(spark, SF001)
+    p = reports.detection_history(d, f, 7, 1, 100_000)
+    assert (p.total_count(), p.rows.count()) == (75, 250)
+    assert f.groupBy("record_id").count().agg(F.max("count")).first()[0] == 18
+    audit = {(r.table_name, r.rule): r.violations
+             for r in tables.audit(d, f, fx.users(spark, SF001), fx.incoming_feedback(spark, SF001)).collect()}
+    assert audit[("incoming_feedback", "record_unknown")] == 1991
+    assert audit[("feedback", "record_unknown")] == 0 and audit[("feedback", "user_unknown")] == 0
+    assert audit[("detections", "user_unknown")] == 0
