@@ -300,11 +300,7 @@ def score_stream(spark, sf_dir):
 
 @query("feedback_stream")
 def feedback_stream(spark, sf_dir):
-    li = _stream_of(spark, sf_dir, "lineitem")
-    incoming = li.select(
-        F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("line"),
-        (F.col("l_returnflag") != "R").alias("is_correct"), F.col("l_linestatus").alias("feedback_content"),
-        F.col("l_shipdate").alias("feedback_time"), (F.col("l_suppkey") % 150).alias("user_id"))
+    incoming = fx.feedback_from_lineitem(_stream_of(spark, sf_dir, "lineitem"))
     acc = stream_jobs.accepted_feedback_stream(incoming, fx.detections(spark, sf_dir), fx.users(spark, sf_dir))
     return _run_to_table(spark, acc, "feedback")
 

@@ -75,7 +75,11 @@ def incoming_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     Order keys that are no event id make orphan requests for the foreign-key
     checks.  ``line`` keeps the request's own key part.
     """
-    li = table(spark, sf_dir, "lineitem")
+    return feedback_from_lineitem(table(spark, sf_dir, "lineitem"))
+
+
+def feedback_from_lineitem(li: DataFrame) -> DataFrame:
+    """The ``lineitem`` -> incoming feedback mapping; works on a stream too."""
     return li.select(
         F.col("l_orderkey").alias("record_id"),
         F.col("l_linenumber").alias("line"),
