@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -57,21 +57,35 @@ def _history_order() -> list[Column]:
     return [F.col("created_at").desc(), F.col("id").desc(), F.col("feedback_id").desc_nulls_last()]
 
 
-def _history_rows(top: DataFrame, f: DataFrame, bound: int) -> DataFrame:
-    """Left join of a bounded set of detections with their feedback.
+def _history_rows(top: DataFrame, f: DataFrame, bound: int, keep: Column | None = None,
+                  keep_lonely: Column | None = None) -> DataFrame:
+    """The first ``bound`` rows, in history order, of the left join of a
+    bounded set of detections with their feedback (J1, P1).
 
-    ``top`` holds at most ``bound`` rows (the page window), so it is
-    broadcast and the feedback table is streamed past it map-side (no
-    shuffle of feedback, hot detections included).  Detections without
-    feedback come from an anti join against the (bounded) set of matched ids.
+    ``top`` holds at most ``bound`` detections (the page window), so it is
+    broadcast and the feedback table is scanned once, streamed past it
+    map-side: no shuffle of feedback, hot detections included.  Matched
+    rows are cut to a per-task top-``bound`` and joined by one NULL row per
+    detection; a window over those at most ``2 * bound`` rows drops the
+    NULL row of every detection that has matches.  A detection whose
+    matches were all cut can keep a NULL row, but only behind ``bound``
+    earlier rows, so it never reaches the result.
+
+    ``keep`` filters joined rows before the cut (a keyset cursor), and
+    ``keep_lonely`` chooses which detections may contribute a NULL row.
     """
     fb = f.select("record_id", F.col("id").alias("feedback_id"), *FEEDBACK_COLS)
-    matched = fb.join(bounded_broadcast(top, bound), fb["record_id"] == top["id"], "inner").drop("record_id")
-    have = matched.select("id").distinct()
-    lonely = top.join(bounded_broadcast(have, bound), "id", "left_anti").select(
-        *top.columns, F.lit(None).cast("long").alias("feedback_id"),
-        *[F.lit(None).cast(f.schema[c].dataType).alias(c) for c in FEEDBACK_COLS])
-    return matched.select(*top.columns, "feedback_id", *FEEDBACK_COLS).unionByName(lonely)
+    matched = (fb.join(bounded_broadcast(top, bound), fb["record_id"] == top["id"], "inner")
+               .select(*top.columns, "feedback_id", *FEEDBACK_COLS))
+    if keep is not None:
+        matched = matched.filter(keep)
+    first = matched.orderBy(*_history_order()).limit(bound)
+    lonely = top if keep_lonely is None else top.filter(keep_lonely)
+    lonely = lonely.select(*top.columns, F.lit(None).cast("long").alias("feedback_id"),
+                           *[F.lit(None).cast(f.schema[c].dataType).alias(c) for c in FEEDBACK_COLS])
+    has = F.max(F.col("feedback_id").isNotNull().cast("int")).over(Window.partitionBy("id"))
+    return (first.unionByName(lonely).withColumn("_has", has)
+            .filter(F.col("feedback_id").isNotNull() | (F.col("_has") == 0)).drop("_has"))
 
 
 def detection_history(d: DataFrame, f: DataFrame, user_id, page: int = 1,
@@ -117,8 +131,9 @@ def history_after(d: DataFrame, f: DataFrame, user_id, cursor: tuple, page_size:
     if c_fid is None:
         rest = F.lit(False)
     else:
-        rest = same & (F.col("feedback_id").isNull() | (F.col("feedback_id") < F.lit(c_fid)))
-    return _history_rows(top, f, page_size + 1).filter(before | rest).orderBy(*_history_order()).limit(page_size)
+        rest = same & (F.col("feedback_id") < F.lit(c_fid))
+    rows = _history_rows(top, f, page_size + 1, keep=before | rest, keep_lonely=before)
+    return rows.orderBy(*_history_order()).limit(page_size)
 
 
 def feedback_filter(f: DataFrame, verdict: str = "all", start=None, end=None, user_id=None) -> Column:

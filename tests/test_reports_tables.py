@@ -256,3 +256,29 @@ def test_fixture_facts_sf0001(spark):
     assert audit[("incoming_feedback", "record_unknown")] == 1991
     assert audit[("feedback", "record_unknown")] == 0 and audit[("feedback", "user_unknown")] == 0
     assert audit[("detections", "user_unknown")] == 0
+
+
+def test_keyset_walk_through_a_hot_detection(spark):
+    dets = [(1, "hot", "race", True, ts("2024-01-03 00:00:00"), 0.8, 7),
+            (2, "cold", "false", False, ts("2024-01-02 00:00:00"), 0.2, 7),
+            (3, "warm", "gender", True, ts("2024-01-01 00:00:00"), 0.8, 7)]
+    fbs = [(100 + i, 1, i % 2 == 0, f"c{i}", ts("2024-01-04 00:00:00"), 1) for i in range(30)]
+    fbs += [(200, 3, True, "w", ts("2024-01-04 00:00:00"), 1)]
+    d = spark.createDataFrame(dets, DET_SCHEMA)
+    f = spark.createDataFrame(fbs, FB_SCHEMA)
+    full = reports.detection_history(d, f, 7, 1, 1000, keep_feedback_id=True).rows.collect()
+    assert len(full) == 32 and [r.id for r in full[-2:]] == [2, 3]
+    seen, cursor = [], None
+    while True:
+        if cursor is None:
+            page = reports.detection_history(d, f, 7, 1, 7, keep_feedback_id=True).rows.collect()
+        else:
+            page = reports.history_after(d, f, 7, cursor, 7).collect()
+        if not page:
+            break
+        seen += page
+        last = page[-1]
+        cursor = (last.created_at, last.id, last.feedback_id)
+    assert seen == full
+    for k in range(1, 6):
+        assert reports.detection_history(d, f, 7, k, 7, keep_feedback_id=True).rows.collect() == full[(k - 1) * 7:k * 7]
