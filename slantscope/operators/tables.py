@@ -90,12 +90,15 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int | Column
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
+    # without an explicit count AQE sizes the range partitions; coalesced
+    # partitions are contiguous ranges, so partition order stays key order
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the row's position in its input breaks ties, so range bounds can split
     # even a group of identical rows instead of sending it to one task
     cols = _order_cols(order) + [F.col("_tie")]
-    fixed = (df.withColumn("_tie", F.monotonically_increasing_id())
-             .repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(num_partitions, *cols) if num_partitions else tied.repartitionByRange(*cols)
+    fixed = (ranged.sortWithinPartitions(*cols)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_pos", F.monotonically_increasing_id())
              .checkpoint(eager=True))
