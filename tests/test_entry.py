@@ -27,3 +27,13 @@ def test_scale_conf_sizes_partitions():
     assert int(big["spark.sql.shuffle.partitions"]) == 409600
     small = scale_conf(10 << 20, total_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_no_python_in_any_registered_plan(spark):
+    from plan_utils import executed
+    from conftest import SF001
+    python_nodes = ("Python", "ArrowEval", "BatchEval", "InPandas", "MapInArrow")
+    for name, fn in E.queries().items():
+        ns = executed(fn(spark, SF001))
+        bad = [n.nodeName() for n in ns if any(p in n.getClass().getSimpleName() for p in python_nodes)]
+        assert not bad, (name, bad)
