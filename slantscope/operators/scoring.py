@@ -157,3 +157,17 @@ def score_requests(texts: DataFrame, make_predict_fn, dim: int, head: LinearHead
     if id_start is not None:
         det = assign_ids(det, ["request_id"], start=id_start)
     return det, rejects
+
+
+def score(df: DataFrame, model, keys: Sequence[str], vec_col: str = "text_vector",
+          threshold: float = S.THRESHOLD) -> DataFrame:
+    """Label texts with either kind of model (T4): a ``LinearHead`` over a
+    text-vector column (narrow, no shuffle), or a fitted Spark ML pipeline
+    over the text (one model row per text and topic)."""
+    if isinstance(model, LinearHead):
+        out = classify(df, vec_col, model, threshold=threshold)
+        return out.select(*keys, "bias_type", "is_biased", "confidence", "best_probability", "score_error")
+    from .training import score_with_model
+    out = score_with_model(df, model, keys, threshold=threshold)
+    return out.withColumn("is_biased", F.col("bias_type") != F.lit(S.NO_BIAS)).withColumn(
+        "confidence", fixed_confidence("is_biased"))

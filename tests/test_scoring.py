@@ -133,3 +133,17 @@ def test_score_requests_end_to_end(spark, tmp_path):
     out = str(tmp_path / "det")
     tables.append(det, out, "detections")
     assert readers.load(spark, "detections", out).count() == 2
+
+
+def test_score_dispatches_on_model_kind(spark):
+    from conftest import SF001
+    from slantscope.operators import training
+    from slantscope.sources import fixtures as fx
+    vecs = fx.text_vectors(spark, SF001)
+    a = scoring.score(vecs, scoring.FIXTURE_HEAD, ["vec_id"], vec_col="embedding")
+    b = scoring.classify(vecs, "embedding").select("vec_id", "bias_type")
+    assert sorted(a.select("vec_id", "bias_type").collect()) == sorted(b.collect())
+    lab = fx.labelled(spark, SF001)
+    model = training.train(training.augment(lab).filter("split = 'train'"), num_features=128, max_iter=5)
+    out = scoring.score(lab, model, ["doc_id"]).collect()
+    assert len(out) == lab.count() and all(r.is_biased == (r.bias_type != "false") for r in out)
