@@ -1,4 +1,5 @@
 import __spark_entry__ as E
+from slantscope.plans.queries import QUERIES
 
 
 def test_entry_smoke(spark):
@@ -9,7 +10,7 @@ def test_entry_smoke(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(QUERIES) - set(E.oracle_sql())
     assert rows_only == {"chart_payload", "train_and_score"}
 
 
@@ -33,7 +34,7 @@ def test_no_python_in_any_registered_plan(spark):
     from plan_utils import executed
     from conftest import SF001
     python_nodes = ("Python", "ArrowEval", "BatchEval", "InPandas", "MapInArrow")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         ns = executed(fn(spark, SF001))
         bad = [n.nodeName() for n in ns if any(p in n.getClass().getSimpleName() for p in python_nodes)]
         assert not bad, (name, bad)
