@@ -10,3 +10,97 @@ g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.body) AS text_sha256
 FROM t JOIN g USING (body)
 """
+
+# The generated pages name no canonical or refresh target, so spellings are the only links here;
+# links from html are tested against brute force on a fixture.
+SQL["op2_url_filter"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+q AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+         array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')), '&') AS kept
+  FROM p),
+s AS (
+  SELECT *, 'https://' || regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '')
+            || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS plain
+  FROM q WHERE strpos(url, '://') > 0),
+edges AS (
+  SELECT DISTINCT url AS u, plain AS v FROM s WHERE url <> plain
+  UNION SELECT DISTINCT plain, url FROM s WHERE url <> plain),
+reach(node, other) AS (
+  SELECT u, u FROM edges
+  UNION SELECT r.node, e.v FROM reach r JOIN edges e ON r.other = e.u),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+nodes AS (SELECT url FROM s UNION SELECT node FROM roots),
+parts AS (
+  SELECT url, translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM nodes),
+rules(h, r, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+ruled AS (
+  SELECT parts.url, arg_max(h || r, length(h || r)) AS rule, arg_max(verdict, length(h || r)) AS rule_verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r) GROUP BY parts.url),
+all_nodes AS (
+  SELECT n.url, rule, rule_verdict, coalesce(root, n.url) AS root
+  FROM nodes n LEFT JOIN ruled USING (url) LEFT JOIN roots ON node = n.url),
+said AS (SELECT root, max((rule_verdict = 'allow')::INT) AS some_allow FROM all_nodes WHERE rule IS NOT NULL GROUP BY root)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NOT NULL THEN rule_verdict WHEN some_allow = 0 THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IS NOT NULL THEN 'rule' WHEN some_allow = 0 THEN 'alias'
+            WHEN some_allow = 1 THEN 'allowed alias' ELSE 'none' END AS decided_by,
+       root AS alias_of
+FROM q LEFT JOIN all_nodes USING (url) LEFT JOIN said USING (root)
+"""
+
+# One statement for the mix of any frame; the pipeline uses it on what its earlier stages keep.
+MIX = r"""
+d AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+             md5(coalesce(doc_id::VARCHAR, '')) AS k FROM {docs}),
+per AS (SELECT source, sum(size)::HUGEINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS cls
+        FROM d GROUP BY source),
+wgt AS (SELECT *, [5, 2, 1][cls + 1]::HUGEINT AS w FROM per),
+lvl AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (
+                  ORDER BY source_size::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+               sum(w) OVER () - coalesce(sum(w) OVER (
+                  ORDER BY source_size::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_w,
+               row_number() OVER (ORDER BY source_size::DOUBLE / w, source) AS nth FROM wgt),
+stop AS (SELECT rest, open_w FROM lvl WHERE 3 * source_size * open_w >= w * rest ORDER BY nth LIMIT 1),
+tgt AS (SELECT source, source_size, cls, CASE WHEN 3 * source_size * open_w < w * rest THEN (3 * source_size)::DOUBLE
+               ELSE (w * rest)::DOUBLE / open_w::DOUBLE END AS target FROM wgt, stop),
+opn AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS whole FROM tgt),
+run AS (SELECT d.*, source_size, cls, target, whole, target - (whole * source_size)::DOUBLE AS open,
+               coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM d JOIN opn ON d.source IS NOT DISTINCT FROM opn.source),
+ext AS (SELECT *, before + size <= open AS extra FROM run),
+gap AS (SELECT source, any_value(open) AS open, coalesce(sum(size) FILTER (extra), 0) AS first FROM ext GROUP BY source),
+f1 AS (SELECT e.source, arg_max(k, (size, k)) AS k, max(size) AS size FROM ext e JOIN gap g ON e.source IS NOT DISTINCT FROM g.source
+       WHERE NOT extra AND size > 0 AND size <= g.open - g.first GROUP BY e.source),
+gap2 AS (SELECT g.source, g.first, coalesce(f1.size, 0) AS s1, g.open - g.first - coalesce(f1.size, 0) AS left_open, f1.k AS k1
+         FROM gap g LEFT JOIN f1 ON g.source IS NOT DISTINCT FROM f1.source),
+f2 AS (SELECT e.source, arg_max(e.k, (size, e.k)) AS k, max(size) AS size
+       FROM ext e JOIN gap2 g ON e.source IS NOT DISTINCT FROM g.source
+       WHERE NOT extra AND size > 0 AND size <= g.left_open AND e.k IS DISTINCT FROM g.k1 GROUP BY e.source),
+fin AS (SELECT g.source, g.first, g.s1, g.k1, f2.k AS k2, g.first + g.s1 + coalesce(f2.size, 0) AS extra_sum
+        FROM gap2 g LEFT JOIN f2 ON g.source IS NOT DISTINCT FROM f2.source),
+cop AS (SELECT e.*, whole + (extra OR coalesce(e.k = k1, false) OR coalesce(e.k = k2, false))::BIGINT AS copies,
+               (whole * source_size + extra_sum)::DOUBLE AS all_words,
+               CASE WHEN e.k = k1 THEN f.first WHEN e.k = k2 THEN f.first + s1 ELSE before END AS extra_at
+        FROM ext e JOIN fin f ON e.source IS NOT DISTINCT FROM f.source)
+"""
+
+SQL["op6_mixing"] = "WITH " + MIX.format(docs="documents") + r""",
+u AS (SELECT *, CASE WHEN copies = 0 THEN NULL WHEN all_words > 0 THEN
+        (((CASE WHEN whole > 0 THEN before ELSE extra_at END)::DOUBLE + size / 2.0::DOUBLE) / all_words) ELSE 0.0 END AS u FROM cop)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * copies)::BIGINT AS taken, copies,
+       CASE WHEN u IS NULL THEN NULL WHEN u > 1 THEN 1.0 ELSE least(greatest(CASE cls
+         WHEN 0 THEN u WHEN 1 THEN sqrt(greatest(0.25::DOUBLE + 2.0::DOUBLE * u, 0.0)) - 0.5::DOUBLE
+         ELSE (sqrt(greatest(2.25::DOUBLE - 2.0::DOUBLE * u, 0.0)) - 1.5::DOUBLE) / -1.0::DOUBLE END, 0.0), 1.0) END::DOUBLE AS position
+FROM u
+"""

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import mixing as _mixing
+from . import url_filter as _url
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,3 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op10_exact_dedup")
 def op10_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(table(spark, sf_dir, "documents")).drop("_rid")
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark, sf_dir):
+    return _url.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    m = _mixing.mix(table(spark, sf_dir, "documents"))
+    return m.select("doc_id", "size", "source_size", "target", "taken", "copies",
+                    F.get("positions", F.lit(0)).alias("position"))
