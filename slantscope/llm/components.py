@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
         both = _both(cur)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # stored, so that the join reads two plain exchanges and a hub's rows can be split
+        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u")
         seen = scratch.put(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"),
                                                        (F.col("m") != F.col("u")).alias("moved")))
@@ -40,7 +41,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         moved = seen.where("moved").limit(1).count()
         done = not moved and not nxt.groupBy("u").count().where("count > 1").limit(1).count() and not (
             nxt.select(F.col("v").alias("u")).join(nxt.select("u"), "u", "left_semi").limit(1).count())
-        scratch.drop(cur, seen)
+        scratch.drop(cur, least, seen)
         cur = nxt
         if done:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -95,8 +95,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     t = Scratch(docs.sparkSession, "exact-dedup")
     ident = block_identity(docs, id_col, text_col, block_chars, key, t)
-    groups = (ident.groupBy("n_blocks", "name")
-              .agg(F.max(F.struct("id", "_rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")))
+    # stored, so that the join below reads two plain exchanges and a large group can be split
+    groups = t.put(ident.groupBy("n_blocks", "name")
+                   .agg(F.max(F.struct("id", "_rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")))
     return ident.join(groups, ["n_blocks", "name"]).select(
         "_rid", F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("_rid") == F.col("keep._rid")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import mixing as _mixing
 from . import url_filter as _url
 
+#: Rank file of the registered queries; the operator takes any.
+VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -40,3 +45,9 @@ def op6_mixing(spark, sf_dir):
     m = _mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", "taken", "copies",
                     F.get("positions", F.lit(0)).alias("position"))
+
+
+@query("op1_bpe")
+def op1_bpe(spark, sf_dir):
+    ids = _bpe.encode(table(spark, sf_dir, "documents"), VOCAB, public_tokenizers.PATTERN)
+    return _bpe.digests(_bpe.decode(ids, VOCAB))
