@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,3 +85,18 @@ def dense_index(stored: DataFrame, pid: str, order: list[Column], index: str = "
     local = F.row_number().over(Window.partitionBy(pid).orderBy(*order)) - 1
     return stored.withColumn("_local", local).join(offsets, pid).withColumn(
         index, F.col("_off") + F.col("_local")).drop("_off", "_local", pid)
+
+
+LONG_TEXT = 1 << 21
+_BLANK = re.compile(r"\s")
+
+
+def text_parts(text: str, size: int = LONG_TEXT) -> Iterator[str]:
+    """A long text in parts that end at a blank, so that no word is cut and memory stays bounded."""
+    at = 0
+    while len(text) - at > size:
+        m = _BLANK.search(text, at + size)
+        cut = m.end() if m else len(text)
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import mixing as _mixing
+from . import simhash as _simhash
+from . import toxicity as _toxicity
 from . import url_filter as _url
 
 #: Rank file of the registered queries; the operator takes any.
@@ -51,3 +53,14 @@ def op6_mixing(spark, sf_dir):
 def op1_bpe(spark, sf_dir):
     ids = _bpe.encode(table(spark, sf_dir, "documents"), VOCAB, public_tokenizers.PATTERN)
     return _bpe.digests(_bpe.decode(ids, VOCAB))
+
+
+@query("op8_simhash")
+def op8_simhash(spark, sf_dir):
+    return _simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _toxicity.score(docs, _toxicity.train(docs, table(spark, sf_dir, "labels")))
