@@ -104,3 +104,12 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * copies)
          ELSE (sqrt(greatest(2.25::DOUBLE - 2.0::DOUBLE * u, 0.0)) - 1.5::DOUBLE) / -1.0::DOUBLE END, 0.0), 1.0) END::DOUBLE AS position
 FROM u
 """
+
+SQL["op4_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

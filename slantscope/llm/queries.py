@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import exact_dedup as _exact
+from . import langid as _langid
 from . import mixing as _mixing
 from . import simhash as _simhash
+from . import topk as _topk
 from . import toxicity as _toxicity
 from . import url_filter as _url
 
@@ -64,3 +66,17 @@ def op8_simhash(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _toxicity.score(docs, _toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_topk")
+def op4_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return _topk.top_k(rows, F.col("vec_id") % 50 == 0).select(
+        F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score")
+
+
+@query("op7_langid")
+def op7_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = _langid.predict(docs, _langid.train(docs))
+    return found.select("doc_id", _langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
