@@ -13,6 +13,7 @@ from . import exact_dedup as _exact
 from . import langid as _langid
 from . import mixing as _mixing
 from . import simhash as _simhash
+from . import suffix_dedup as _suffix
 from . import topk as _topk
 from . import toxicity as _toxicity
 from . import url_filter as _url
@@ -80,3 +81,9 @@ def op7_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = _langid.predict(docs, _langid.train(docs))
     return found.select("doc_id", _langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    return _suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
