@@ -13,6 +13,7 @@ from . import exact_dedup as _exact
 from . import langid as _langid
 from . import mixing as _mixing
 from . import simhash as _simhash
+from . import substring_dedup as _substring
 from . import suffix_dedup as _suffix
 from . import topk as _topk
 from . import toxicity as _toxicity
@@ -87,3 +88,9 @@ def op7_langid(spark, sf_dir):
 def op9_suffix_dedup(spark, sf_dir):
     return _suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark, sf_dir):
+    return _substring.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
