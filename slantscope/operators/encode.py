@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import drop_path, written
 
 # A token is a run of letters, marks and digits, or one other non-space character.
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
@@ -35,15 +36,31 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
     """The ``size`` most frequent tokens (ties by token) with ids from 4;
     0-3 are padding, unknown, start and end marks.
 
-    Only ``size`` rows survive the per-task top-N, so numbering them in
-    one window is bounded by the vocabulary size.
+    The smallest kept count is found from the number of tokens per count, so
+    only tokens tied at that count are sorted to find the last few.  At most
+    ``size`` rows are numbered.
     """
     if size < 1:
         raise ValueError("vocabulary size must be positive")
+    # stored once: three passes read the counts, none reads the texts again
+    counts, path = written(token_counts(df, text_col), "token-counts")
+    per_count = counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    # counts that many tokens share are low; the highest `size` counts are enough
+    seen, least, above = 0, 0, 0
+    for r in per_count.orderBy(F.col("count").desc()).limit(size).collect():
+        if seen + r["n"] > size:
+            least, above = r["count"], seen
+            break
+        seen, above = seen + r["n"], seen + r["n"]
+    top = counts.filter(F.col("count") > least)
+    if least:
+        last = counts.filter(F.col("count") == least).orderBy("token").limit(size - above)
+        top = top.unionByName(last)
     order = [F.col("count").desc(), F.col("token").asc()]
-    top = token_counts(df, text_col).orderBy(*order).limit(size)
     ids = F.row_number().over(Window.orderBy(*order)) + (FIRST_WORD_ID - 1)
-    return top.withColumn("token_id", ids.cast("long"))
+    vocab, _ = written(top.withColumn("token_id", ids.cast("long")), "vocab")
+    drop_path(df.sparkSession, path)
+    return vocab
 
 
 def encode(df: DataFrame, vocab: DataFrame, text_col: str, keys: Sequence[str],

@@ -1,10 +1,11 @@
 """Paged history, feedback list, export and user lookups
 (H1, H2, K6, P1-P6, J1-J3, O1-O6, A2).
 
-A page only ever needs the first ``offset + size`` rows of an order, so the
-plans cut the big side down to that bound before anything is joined or
-collected: ``orderBy().limit()`` becomes a per-task top-N
-(``TakeOrderedAndProject``), and only that bounded set is broadcast.
+A page is found by its keys.  The keys of the page window come first, from
+scans that read key columns only; they are bounded by the window and pass
+through the driver.  Everything else is fetched by literal ``IN`` lists that
+reach the scan as pushed filters, texts last and only for the rows shown.
+No text is shuffled or broadcast.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.hints import bounded_broadcast
 from ..functions.predicates import all_of, in_range, optional_eq, own_rows, ts_literal, verdict_filter
 
 FEEDBACK_COLS = ["is_correct", "feedback_content", "feedback_time"]
@@ -53,39 +53,68 @@ def page_of(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -
     return out.limit(page_size)
 
 
-def _history_order() -> list[Column]:
-    return [F.col("created_at").desc(), F.col("id").desc(), F.col("feedback_id").desc_nulls_last()]
+#: Keys that a page may pass through the driver.  A numbered page that ends
+#: behind it is found by joins instead; a cursor never needs more than a page.
+MAX_WINDOW = 10_000
 
 
-def _history_rows(top: DataFrame, f: DataFrame, bound: int, keep: Column | None = None,
-                  keep_lonely: Column | None = None) -> DataFrame:
-    """The first ``bound`` rows, in history order, of the left join of a
-    bounded set of detections with their feedback (J1, P1).
+def _key_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """Bounded key rows as a local relation."""
+    return spark.createDataFrame(rows, schema)
 
-    ``top`` holds at most ``bound`` detections (the page window), so it is
-    broadcast and the feedback table is scanned once, streamed past it
-    map-side: no shuffle of feedback, hot detections included.  Matched
-    rows are cut to a per-task top-``bound`` and joined by one NULL row per
-    detection; a window over those at most ``2 * bound`` rows drops the
-    NULL row of every detection that has matches.  A detection whose
-    matches were all cut can keep a NULL row, but only behind ``bound``
-    earlier rows, so it never reaches the result.
 
-    ``keep`` filters joined rows before the cut (a keyset cursor), and
-    ``keep_lonely`` chooses which detections may contribute a NULL row.
+def _fetch(df: DataFrame, col: str, ids: Sequence, *cols: str) -> DataFrame:
+    """The rows with the given ids, by a filter that the scan can push down."""
+    return df.filter(F.col(col).isin(sorted(set(ids)))).select(*cols)
+
+
+def _history_page(d: DataFrame, f: DataFrame, mine: DataFrame, offset: int, need: int, after: tuple | None = None) -> DataFrame:
+    """Rows ``offset`` to ``need`` of the history of ``mine``, by keys.
+
+    ``after`` = (id, feedback_id) drops the rows of that one detection up to
+    and including that feedback.  A detection's feedback is cut to a per-task
+    top-``need``, so a hot detection costs its keys, not a task.
     """
-    fb = f.select("record_id", F.col("id").alias("feedback_id"), *FEEDBACK_COLS)
-    matched = (fb.join(bounded_broadcast(top, bound), fb["record_id"] == top["id"], "inner")
-               .select(*top.columns, "feedback_id", *FEEDBACK_COLS))
-    if keep is not None:
-        matched = matched.filter(keep)
-    first = matched.orderBy(*_history_order()).limit(bound)
-    lonely = top if keep_lonely is None else top.filter(keep_lonely)
-    lonely = lonely.select(*top.columns, F.lit(None).cast("long").alias("feedback_id"),
-                           *[F.lit(None).cast(f.schema[c].dataType).alias(c) for c in FEEDBACK_COLS])
-    has = F.max(F.col("feedback_id").isNotNull().cast("int")).over(Window.partitionBy("id"))
-    return (first.unionByName(lonely).withColumn("_has", has)
-            .filter(F.col("feedback_id").isNotNull() | (F.col("_has") == 0)).drop("_has"))
+    spark = d.sparkSession
+    top = (mine.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(need).select("id").collect())
+    ids = [r["id"] for r in top]
+    place = {i: k for k, i in enumerate(ids)}
+    found: list[tuple[int, int]] = []
+    if ids:
+        keys = _fetch(f, "record_id", ids, "record_id", "id")
+        if after is not None:
+            a_id, a_fid = after
+            keys = keys.filter((F.col("record_id") != F.lit(a_id)) | (F.col("id") < F.lit(a_fid))
+                               if a_fid is not None else F.col("record_id") != F.lit(a_id))
+        at = F.broadcast(_key_frame(spark, [(i, k) for i, k in place.items()], "record_id long, place int"))
+        first = keys.join(at, "record_id").orderBy("place", F.col("id").desc()).limit(need)
+        found = [(r["record_id"], r["id"]) for r in first.select("record_id", "id").collect()]
+    by_id: dict[int, list] = {}
+    for i, fid in found:
+        by_id.setdefault(i, []).append(fid)
+    # a detection whose feedback was all cut stands behind `need` rows already
+    lonely = lambda i: [] if after is not None and i == after[0] else [None]
+    page = [(n, i, fid) for n, (i, fid) in enumerate(
+        (i, fid) for i in ids for fid in by_id.get(i) or lonely(i))][offset:need]
+    shown = _key_frame(spark, page, "_n int, id long, feedback_id long")
+    fb = _fetch(f, "id", [x for _, _, x in page if x is not None], F.col("id").alias("feedback_id"), *FEEDBACK_COLS)
+    # at most a page of feedback is broadcast; the texts are read where they are
+    shown = shown.join(F.broadcast(fb), "feedback_id", "left")
+    det = d.filter(F.col("id").isin(sorted({i for _, i, _ in page})))
+    return (det.join(F.broadcast(shown), "id").select(*d.columns, "feedback_id", *FEEDBACK_COLS, "_n")
+            .orderBy("_n").limit(max(need - offset, 1)).drop("_n"))
+
+
+def _history_deep(d: DataFrame, f: DataFrame, mine: DataFrame, offset: int, need: int) -> DataFrame:
+    """The same page by joins on keys; nothing passes through the driver."""
+    top = mine.select("created_at", "id").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(need)
+    fk = f.select("record_id", F.col("id").alias("feedback_id"))
+    order = [F.col("created_at").desc(), F.col("id").desc(), F.col("feedback_id").desc_nulls_last()]
+    keys = top.join(fk, fk["record_id"] == top["id"], "left").select("id", "created_at", "feedback_id").orderBy(*order)
+    keys = (keys.offset(offset) if offset else keys).limit(need - offset).select("id", "feedback_id")
+    fb = f.select(F.col("id").alias("feedback_id"), *FEEDBACK_COLS)
+    return (d.join(keys, "id").join(fb, "feedback_id", "left").select(*d.columns, "feedback_id", *FEEDBACK_COLS)
+            .orderBy(*order).limit(need - offset))
 
 
 def detection_history(d: DataFrame, f: DataFrame, user_id, page: int = 1,
@@ -97,12 +126,8 @@ def detection_history(d: DataFrame, f: DataFrame, user_id, page: int = 1,
     and feedback id, newest first.
     """
     offset, need = page_window(page, page_size)
-    mine = d.filter(own_rows(user_id))
-    top = mine.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(need)
-    rows = _history_rows(top, f, need).orderBy(*_history_order())
-    if offset:
-        rows = rows.offset(offset)
-    rows = rows.limit(page_size)
+    find = _history_page if need <= MAX_WINDOW else _history_deep
+    rows = find(d, f, d.filter(own_rows(user_id)), offset, need)
     if not keep_feedback_id:
         rows = rows.drop("feedback_id")
     return Page(rows, history_total(d, user_id), page, page_size)
@@ -127,13 +152,8 @@ def history_after(d: DataFrame, f: DataFrame, user_id, cursor: tuple, page_size:
     before = (F.col("created_at") < ts) | ((F.col("created_at") == ts) & (F.col("id") < F.lit(c_id)))
     same = (F.col("created_at") == ts) & (F.col("id") == F.lit(c_id))
     mine = d.filter(own_rows(user_id) & (before | same))
-    top = mine.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(page_size + 1)
-    if c_fid is None:
-        rest = F.lit(False)
-    else:
-        rest = same & (F.col("feedback_id") < F.lit(c_fid))
-    rows = _history_rows(top, f, page_size + 1, keep=before | rest, keep_lonely=before)
-    return rows.orderBy(*_history_order()).limit(page_size)
+    # one detection more: the cursor's own may have nothing left
+    return _history_page(d, f, mine, 0, page_size + 1, after=(c_id, c_fid)).limit(page_size)
 
 
 def feedback_filter(f: DataFrame, verdict: str = "all", start=None, end=None, user_id=None) -> Column:
@@ -142,36 +162,82 @@ def feedback_filter(f: DataFrame, verdict: str = "all", start=None, end=None, us
                   optional_eq("user_id", user_id))
 
 
-def feedback_list(f: DataFrame, d: DataFrame, verdict: str = "all", start=None, end=None,
-                  user_id=None, page: int = 1, page_size: int = S.PAGE_SIZE) -> Page:
-    """Feedback with its detection's text, label and confidence, newest first (H2).
-
-    The inner join is resolved on keys only: a semi join on
-    ``(record_id, feedback_time, id)`` decides which feedback has a
-    detection, the page's ids are cut from that by a per-task top-N, and
-    only those (at most ``page_size``) rows fetch their feedback columns and
-    detection columns through broadcasts.  Feedback text and detection text
-    are never shuffled.
+def _feedback_keys(fsel: DataFrame, d: DataFrame, need: int) -> list:
+    """Keys of the first ``need`` feedback rows that have a detection, newest first.
+
+    Feedback refers to stored detections, so the newest rows nearly always
+    do: their keys are read by a per-task top-N and checked by a pushed
+    ``IN`` on the detections.  Where many are orphans, windows of tenfold size
+    follow, and then a semi join on the keys of all.
     """
-    offset, _ = page_window(page, page_size)
-    fsel = f.filter(feedback_filter(f, verdict, start, end, user_id))
-    keys = fsel.select("record_id", "feedback_time", "id").join(
-        d.select(F.col("id").alias("record_id")), "record_id", "left_semi")
     order = [F.col("feedback_time").desc(), F.col("id").desc()]
-    top = keys.orderBy(*order)
-    if offset:
-        top = top.offset(offset)
-    top = top.limit(page_size).select(F.col("id").alias("_fid"))
-    rows_f = fsel.join(bounded_broadcast(top, page_size), fsel["id"] == top["_fid"], "inner").drop("_fid")
-    det = d.select(F.col("id").alias("_rid"), "text_content", "bias_type", "confidence")
-    rows = (det.join(bounded_broadcast(rows_f, page_size), rows_f["record_id"] == det["_rid"], "inner")
-            .select(*f.columns, "text_content", "bias_type", "confidence")
-            # at most page_size rows: a top-N re-sort, no range exchange
+    keys = fsel.select("record_id", "feedback_time", "id")
+    size, rest, got = need + S.PAGE_SIZE, keys, []
+    for _ in range(3):
+        window = rest.orderBy(*order).limit(size).collect()
+        refs = sorted({r["record_id"] for r in window if r["record_id"] is not None})
+        known = {r["id"] for r in _fetch(d, "id", refs, "id").distinct().collect()} if refs else set()
+        got += [r for r in window if r["record_id"] in known]
+        if len(got) >= need or len(window) < size:
+            return got[:need]
+        if size * 10 > MAX_WINDOW:
+            break
+        rest, size = keys.filter(_older(keys, window[-1]["feedback_time"], window[-1]["id"])), size * 10
+    return (keys.join(d.select(F.col("id").alias("record_id")), "record_id", "left_semi")
+            .orderBy(*order).limit(need).collect())
+
+
+def _older(f: DataFrame, time, fid) -> Column:
+    ts = ts_literal(time, f.schema["feedback_time"].dataType)
+    return (F.col("feedback_time") < ts) | ((F.col("feedback_time") == ts) & (F.col("id") < F.lit(fid)))
+
+
+def _feedback_rows(f: DataFrame, d: DataFrame, keys: list) -> DataFrame:
+    """The feedback rows of a page of keys with their detection's columns."""
+    shown = F.broadcast(_key_frame(f.sparkSession, [(n, r["id"]) for n, r in enumerate(keys)], "_n int, _fid long"))
+    fb = f.filter(F.col("id").isin([r["id"] for r in keys])).join(shown, F.col("id") == F.col("_fid")).drop("_fid")
+    det = _fetch(d, "id", [r["record_id"] for r in keys], F.col("id").alias("_det"), "text_content", "bias_type", "confidence")
+    # at most a page of feedback is broadcast; the texts are read where they are
+    return (det.join(F.broadcast(fb), F.col("record_id") == F.col("_det"))
+            .select(*f.columns, "text_content", "bias_type", "confidence", "_n")
+            .orderBy("_n").limit(max(len(keys), 1)).drop("_n"))
+
+
+def _feedback_deep(fsel: DataFrame, d: DataFrame, offset: int, page_size: int) -> DataFrame:
+    """The same page by joins on keys; nothing passes through the driver."""
+    order = [F.col("feedback_time").desc(), F.col("id").desc()]
+    keys = fsel.select("record_id", "feedback_time", "id").join(
+        d.select(F.col("id").alias("record_id")), "record_id", "left_semi").orderBy(*order).offset(offset).limit(page_size)
+    det = d.select(F.col("id").alias("record_id"), "text_content", "bias_type", "confidence")
+    page = fsel.join(keys.select("id"), "id", "left_semi")
+    return (page.join(det, "record_id").select(*fsel.columns, "text_content", "bias_type", "confidence")
             .orderBy(*order).limit(page_size))
+
+
+def feedback_list(f: DataFrame, d: DataFrame, verdict: str = "all", start=None, end=None,
+                  user_id=None, page: int = 1, page_size: int = S.PAGE_SIZE) -> Page:
+    """Feedback with its detection's text, label and confidence, newest first (H2)."""
+    offset, need = page_window(page, page_size)
+    fsel = f.filter(feedback_filter(f, verdict, start, end, user_id))
+    if need <= MAX_WINDOW:
+        rows = _feedback_rows(f, d, _feedback_keys(fsel, d, need)[offset:])
+    else:
+        rows = _feedback_deep(fsel, d, offset, page_size)
     total = fsel.agg(F.count(F.lit(1)).alias("total"))  # Q4: counted without the join
     return Page(rows, total, page, page_size)
 
 
+def feedback_after(f: DataFrame, d: DataFrame, cursor: tuple, page_size: int = S.PAGE_SIZE,
+                   verdict: str = "all", start=None, end=None, user_id=None) -> DataFrame:
+    """Keyset page: the ``page_size`` feedback rows after ``cursor`` =
+    (feedback_time, id) of the last row already shown (O6).  Cost does not
+    grow with the page number."""
+    if page_size < 1:
+        raise ValueError("page_size must be positive")
+    fsel = f.filter(feedback_filter(f, verdict, start, end, user_id) & _older(f, *cursor))
+    return _feedback_rows(f, d, _feedback_keys(fsel, d, page_size))
+
+
 def feedback_total(f: DataFrame, verdict: str = "all", start=None, end=None, user_id=None) -> DataFrame:
     """Feedback rows under the list's filters (A2)."""
     return f.filter(feedback_filter(f, verdict, start, end, user_id)).agg(F.count(F.lit(1)).alias("total"))
@@ -207,13 +273,11 @@ PUBLIC_USER_COLS = ["id", "username", "role", "created_at", "last_login"]
 
 
 def user_by_id(users: DataFrame, user_id) -> DataFrame:
-    """Public columns of one user (P5)."""
-    cols = [c for c in PUBLIC_USER_COLS if c in users.columns]
-    return users.filter(F.col("id") == F.lit(user_id)).select(*cols)
+    """Public columns of one user (P5); a users table without them is an error."""
+    return users.filter(F.col("id") == F.lit(user_id)).select(*PUBLIC_USER_COLS)
 
 
 def user_by_name(users: DataFrame, name: str) -> DataFrame:
     """A user by name under the accounts' collation: case, accents and
     trailing blanks are ignored (P6)."""
-    cols = [c for c in PUBLIC_USER_COLS if c in users.columns]
-    return users.filter(F.collate("username", S.NAME_COLLATION) == F.lit(name)).select(*cols)
+    return users.filter(F.collate("username", S.NAME_COLLATION) == F.lit(name)).select(*PUBLIC_USER_COLS)

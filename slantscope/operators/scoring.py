@@ -95,9 +95,11 @@ def classify(df: DataFrame, vec_col: str, head: LinearHead = FIXTURE_HEAD,
     ``score_error`` flag when a probability could not be computed, in which
     case the label falls back to ``false`` (X6-X8, X15).
 
-    ``confidence='fixed'`` gives 0.8 / 0.2 like the reference; any other
-    value gives the winning probability.
+    ``confidence='fixed'`` gives 0.8 / 0.2 like the reference;
+    ``'probability'`` gives the winning probability.
     """
+    if confidence not in ("fixed", "probability"):
+        raise ValueError(f"confidence must be 'fixed' or 'probability', got {confidence!r}")
     cands = candidates(head.text_logit(vec_col), head, topics)
     scored = df.withColumn("_c", cands).withColumn("_best", pick_best(F.col("_c")))
     bad = F.exists("_c", lambda x: x["probability"].isNull() | F.isnan(x["probability"]))
@@ -121,7 +123,11 @@ def with_text_vectors(df: DataFrame, text_col: str, make_predict_fn, dim: int,
     from pyspark.ml.functions import predict_batch_udf
     enc = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
                             batch_size=batch_size, input_tensor_shapes=None)
-    return df.withColumn(out_col, enc(F.col(text_col)))
+    vec = enc(F.col(text_col))
+    # a vector of another length would score wrongly without a word
+    right = F.when(F.size(vec) == dim, vec).otherwise(
+        F.raise_error(F.lit(f"the encoder must return {dim} numbers per text")).cast("array<float>"))
+    return df.withColumn(out_col, right)
 
 
 def to_detections(scored: DataFrame, text_col: str, user_col: str | None = "user_id",

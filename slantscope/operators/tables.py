@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.hints import bounded_broadcast
 from ..functions.predicates import feedback_rules, reject_reason, user_rules, validate
-from ..session import checkpoint_dir
+from ..session import drop_path, written
 
 # Column defaults of the stored tables (K8); "now" means the write time.
 NOW = "now"
@@ -53,18 +52,48 @@ def with_defaults(df: DataFrame, table: str, now: _dt.datetime | None = None,
     return df.select(*out)
 
 
-def append(df: DataFrame, path: str, table: str, partition_by_day: bool = False) -> None:
+def checked(rows: DataFrame, table: str) -> DataFrame:
+    """The rows; a NULL in a column that the table declares NOT NULL fails the job."""
+    out = []
+    for f in SCHEMAS[table].fields:
+        c = F.col(f.name)
+        if not f.nullable:
+            c = F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"{table}.{f.name} must not be NULL")).cast(f.dataType))
+        out.append(c.alias(f.name))
+    return rows.select(*out)
+
+
+def append(df: DataFrame, path: str, table: str, partition_by_day: bool = False, now: _dt.datetime | None = None) -> None:
     """Append rows to a stored table (K1, K2, K5).  With ``partition_by_day``
-    the files are laid out by ``created_at`` day, so day ranges prune."""
-    rows = with_defaults(df, table)
-    w = rows
+    the files are laid out by ``created_at`` day, so day ranges prune.
+    NULLs in NOT NULL columns fail the write; nothing is stored then."""
+    w = checked(with_defaults(df, table, now), table)
     if partition_by_day:
-        w = rows.withColumn("day", F.to_date("created_at"))
+        w = w.withColumn("day", F.to_date("created_at"))
         w.write.mode("append").partitionBy("day").parquet(path)
     else:
         w.write.mode("append").parquet(path)
 
 
+def next_id(spark, path: str, id_col: str = "id") -> int:
+    """One more than the largest id of a stored table (1 for an empty one)."""
+    return spark.read.parquet(path).agg(F.coalesce(F.max(id_col), F.lit(0)) + 1).first()[0]
+
+
+def append_new(df: DataFrame, path: str, table: str, order: Sequence[str | Column], now: _dt.datetime | None = None) -> None:
+    """Append rows that have no id yet: ids follow the stored ones, densely, in ``order`` (K1, K7).
+
+    The work tables are deleted after the write.  One writer at a time: two
+    appends that start together would read the same largest id."""
+    work: list[str] = []
+    try:
+        with_ids = assign_ids(df, order, start=next_id(df.sparkSession, path), work=work)
+        append(with_ids, path, table, now=now)
+    finally:
+        for w in work:
+            drop_path(df.sparkSession, w)
+
+
 def seed_admin(spark, username: str = "admin", now: _dt.datetime | None = None) -> DataFrame:
     """The first administrator row, without a credential."""
     now = now or _dt.datetime.now().replace(microsecond=0)
@@ -76,42 +105,54 @@ def _order_cols(order: Sequence[str | Column]) -> list[Column]:
 
 
 def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int | Column = 1, id_col: str = "id",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, work: list[str] | None = None) -> DataFrame:
     """Dense ids ``start, start+1, ...`` following ``order`` (K7).
 
-    No single-partition sort: the rows are range-partitioned and sorted
-    within partitions, the result is checkpointed to the shared folder so
-    partition contents are fixed, then each partition's size gives its
-    offset (a running sum over one row per partition) and each row adds its
-    position inside the partition.  Rows that tie on ``order`` get
-    consecutive ids in input order.  ``start`` may be a Column, such as a
-    scalar subquery ``table.agg(max(id) + 1).scalar()``, so the next free id
-    is found inside the plan.
+    No single-partition sort.  The rows, with their place in the input as the
+    last key, are stored first, so a task that runs again sees the same
+    keys; then they are range-partitioned and sorted within partitions and
+    stored again, each partition's size gives its offset (a running sum over
+    one row per partition) and each row adds its position inside the
+    partition.  Rows that tie on ``order`` get consecutive ids in input order.
+    ``start`` may be a Column, such as a scalar subquery
+    ``table.agg(max(id) + 1).scalar()``, so the next free id is found inside
+    the plan.  ``work`` receives the paths of the stored tables; a caller that
+    has consumed the result may delete them.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    # without an explicit count AQE sizes the range partitions; coalesced
-    # partitions are contiguous ranges, so partition order stays key order
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the row's position in its input breaks ties, so range bounds can split
+    work = [] if work is None else work
+    # the row's place in its input breaks ties, so range bounds can split
     # even a group of identical rows instead of sending it to one task
+    tied, path = written(df.withColumn("_tie", F.monotonically_increasing_id()), "ids-in")
+    work.append(path)
     cols = _order_cols(order) + [F.col("_tie")]
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    # without an explicit count AQE sizes the range partitions; coalesced
+    # partitions are contiguous ranges, so partition order stays key order
     ranged = tied.repartitionByRange(num_partitions, *cols) if num_partitions else tied.repartitionByRange(*cols)
-    fixed = (ranged.sortWithinPartitions(*cols)
-             .withColumn("_pid", F.spark_partition_id())
-             .withColumn("_pos", F.monotonically_increasing_id())
-             .checkpoint(eager=True))
+    fixed, path = written(ranged.sortWithinPartitions(*cols)
+                          .withColumn("_pid", F.spark_partition_id())
+                          .withColumn("_pos", F.monotonically_increasing_id()), "ids")
+    work.append(path)
     sizes = fixed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.select("_pid", (F.sum("_n").over(run) - F.col("_n")).alias("_off"))
     local = F.col("_pos") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (fixed.join(bounded_broadcast(offsets, n), "_pid")  # one row per partition
+    return (fixed.join(F.broadcast(offsets), "_pid")  # one row of two numbers per partition
             .withColumn(id_col, (start if isinstance(start, Column) else F.lit(start)).cast("long")
                         + F.col("_off") + local)
             .drop("_pid", "_pos", "_off", "_tie"))
 
 
+def _mark_known(rows: DataFrame, key: str, known: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with ``flag`` true where ``key`` is among ``known`` (distinct, stored).
+
+    Rows with a NULL key never match; a salt spreads them over all tasks.
+    Both sides of the join are plain exchanges, so a hot key's rows can be split.
+    """
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).otherwise(F.lit(0))
+    right = known.select(F.col(key), F.lit(0).cast("long").alias("_salt"), F.lit(True).alias(flag))
+    return rows.withColumn("_salt", salt.cast("long")).join(right, [key, "_salt"], "left").drop("_salt")
+
+
 def accept_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None = None
                     ) -> tuple[DataFrame, DataFrame]:
     """Split incoming feedback into accepted rows and rejected rows with a
@@ -123,24 +164,33 @@ def accept_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None =
     marked frame.
     """
     cols = incoming.columns
+    marked = mark_feedback(incoming, d, users)
+    accepted = marked.filter(F.col("reject_reason").isNull()).select(*cols)
+    rejected = marked.filter(F.col("reject_reason").isNotNull()).select(*cols, "reject_reason")
+    return accepted, rejected
+
+
+def mark_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None = None, work: list[str] | None = None) -> DataFrame:
+    """Incoming feedback with a ``reject_reason`` (NULL: accepted)."""
+    work = [] if work is None else work
     marked = incoming.withColumn("_invalid", reject_reason(feedback_rules()))
     valid = marked.filter(F.col("_invalid").isNull())
-    rec_ok = (valid.select("record_id").distinct()
-              .join(d.select(F.col("id").alias("record_id")), "record_id", "left_semi")
-              .withColumn("_rec_ok", F.lit(True)))
-    marked = marked.join(rec_ok, "record_id", "left")
+
+    def known(key: str, table: DataFrame) -> DataFrame:
+        keys = (valid.select(key).filter(F.col(key).isNotNull()).distinct()
+                .join(table.select(F.col("id").alias(key)), key, "left_semi"))
+        stored, path = written(keys, "known")
+        work.append(path)
+        return stored
+
+    marked = _mark_known(marked, "record_id", known("record_id", d), "_rec_ok")
     reason = F.when(F.col("_invalid").isNotNull(), F.col("_invalid")) \
         .when(F.col("_rec_ok").isNull(), F.lit("unknown_record"))
     if users is not None:
-        usr_ok = (valid.select("user_id").distinct().filter(F.col("user_id").isNotNull())
-                  .join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-                  .withColumn("_usr_ok", F.lit(True)))
-        marked = marked.join(usr_ok, "user_id", "left")
+        marked = _mark_known(marked, "user_id", known("user_id", users), "_usr_ok")
         reason = reason.when(F.col("user_id").isNotNull() & F.col("_usr_ok").isNull(), F.lit("unknown_user"))
-    marked = marked.withColumn("reject_reason", reason.otherwise(F.lit(None).cast("string")))
-    accepted = marked.filter(F.col("reject_reason").isNull()).select(*cols)
-    rejected = marked.filter(F.col("reject_reason").isNotNull()).select(*cols, "reject_reason")
-    return accepted, rejected
+    return marked.withColumn("reject_reason", reason.otherwise(F.lit(None).cast("string"))).select(
+        *incoming.columns, "reject_reason")
 
 
 def name_key(col: str | Column = "username") -> Column:
@@ -155,26 +205,31 @@ def register_users(new: DataFrame, users: DataFrame, order: Sequence[str]) -> Da
     sign-up in ``order`` has the same name under the collation;
     ``exists`` when the name is taken; else ``accepted`` (role ``user``).
 
-    The earliest sign-up per name is found by a partial aggregate
-    (``min`` of the order key), so one name sent by a third of all rows
-    never gathers in one task.
+    The earliest sign-up per name is found by a partial aggregate (``min`` of
+    the order key), and only those, one row per name, meet the stored users.
+    Sign-ups then look themselves up by their order key, which is unique, so
+    one name sent by a third of all rows never gathers in one task.
     """
-    keyed = new.withColumn("_key", name_key("username")).withColumn("_ord", F.struct(*order))
-    reason = reject_reason(user_rules())
-    keyed = keyed.withColumn("_invalid", reason)
-    firsts = (keyed.filter(F.col("_invalid").isNull()).groupBy("_key")
-              .agg(F.min("_ord").alias("_first")))
+    keyed = new.withColumn("_ord", F.struct(*order)).withColumn("_invalid", reject_reason(user_rules()))
+    firsts = (keyed.filter(F.col("_invalid").isNull()).groupBy(name_key("username").alias("_key"))
+              .agg(F.min("_ord").alias("_ord")))
     taken = users.select(name_key("username").alias("_key")).distinct().withColumn("_taken", F.lit(True))
-    firsts = firsts.join(taken, "_key", "left")
-    marked = keyed.join(firsts, "_key", "left")
+    firsts = firsts.join(taken, "_key", "left").select("_ord", F.coalesce("_taken", F.lit(False)).alias("_taken"))
+    marked = keyed.join(firsts, "_ord", "left")
     status = (F.when(F.col("_invalid").isNotNull(), F.col("_invalid"))
-              .when(F.col("_ord") != F.col("_first"), F.lit("duplicate"))
+              .when(F.col("_taken").isNull(), F.lit("duplicate"))
               .when(F.col("_taken"), F.lit("exists"))
               .otherwise(F.lit("accepted")))
     return marked.select(*new.columns, status.alias("status"),
                          F.when(status == "accepted", F.lit(S.DEFAULT_ROLE)).alias("role"))
 
 
+def append_registered(marked: DataFrame, path: str, order: Sequence[str], now: _dt.datetime | None = None) -> None:
+    """Store the accepted sign-ups as users with ids, role and sign-up time (K3, K5)."""
+    new = marked.filter(F.col("status") == "accepted").select("username", "role", *order)
+    append_new(new, path, "users", order, now)
+
+
 def apply_logins(users: DataFrame, logins: DataFrame, user_col: str = "user_id",
                  time_col: str = "ts") -> DataFrame:
     """Users with ``last_login`` moved to their latest login (K4).
@@ -235,11 +290,14 @@ def _fk_rows(parent: DataFrame, pcol: str, children: list[tuple[str, DataFrame,
 
 
 def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
-          incoming: DataFrame | None = None) -> DataFrame:
+          incoming: DataFrame | None = None, training: DataFrame | None = None) -> DataFrame:
     """Integrity report ``(table_name, rule, violations)``: primary and unique
-    keys, NOT NULL, foreign keys, the role set and column lengths (K9, J5)."""
-    def has(df, c):
-        return c in df.columns
+    keys, NOT NULL, foreign keys, the role set and column lengths (K9, J5).
+
+    Incoming feedback needs its author column; time columns that a frame has
+    are checked for NULL."""
+    def time_checks(df, *cols):
+        return [(f"{c}_null", F.col(c).isNull()) for c in cols if c in df.columns]
 
     parts = []
     det_checks = [("id_null", F.col("id").isNull()),
@@ -247,18 +305,21 @@ def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
                   ("is_biased_null", F.col("is_biased").isNull()),
                   ("bias_type_too_long", F.char_length("bias_type") > S.BIAS_TYPE_MAX_CHARS),
                   ("text_too_long", F.octet_length("text_content") > S.TEXT_MAX_BYTES)]
+    det_checks += time_checks(detections, "detection_time", "created_at", "updated_at")
     parts.append(_rule_rows("detections", detections, det_checks, [("id_duplicate", F.col("id"))]))
 
     fb_checks = [("id_null", F.col("id").isNull()),
                  ("record_id_null", F.col("record_id").isNull()),
                  ("is_correct_null", F.col("is_correct").isNull()),
                  ("content_too_long", F.octet_length("feedback_content") > S.TEXT_MAX_BYTES)]
+    fb_checks += time_checks(feedback, "feedback_time", "created_at")
     parts.append(_rule_rows("feedback", feedback, fb_checks, [("id_duplicate", F.col("id"))]))
 
     u_checks = [("id_null", F.col("id").isNull()),
                 ("username_null", F.col("username").isNull()),
                 ("username_too_long", F.char_length("username") > S.USERNAME_MAX_CHARS),
                 ("role_invalid", F.col("role").isNull() | ~F.col("role").isin(*S.ROLES))]
+    u_checks += time_checks(users, "created_at")
     parts.append(_rule_rows("users", users, u_checks, [("id_duplicate", F.col("id")),
                                                        ("username_duplicate", name_key("username"))]))
 
@@ -266,13 +327,20 @@ def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
         in_checks = [("record_id_null", F.col("record_id").isNull()),
                      ("is_correct_null", F.col("is_correct").isNull())]
         parts.append(_rule_rows("incoming_feedback", incoming, in_checks))
+    if training is not None:
+        tr_checks = [("id_null", F.col("id").isNull()), ("text_null", F.col("text_content").isNull()),
+                     ("bias_type_null", F.col("bias_type").isNull()), ("is_biased_null", F.col("is_biased").isNull()),
+                     ("bias_type_too_long", F.char_length("bias_type") > S.BIAS_TYPE_MAX_CHARS),
+                     ("text_too_long", F.octet_length("text_content") > S.TEXT_MAX_BYTES),
+                     ("source_too_long", F.char_length("source") > S.SOURCE_MAX_CHARS)]
+        tr_checks += time_checks(training, "created_at", "updated_at")
+        parts.append(_rule_rows("training", training, tr_checks, [("id_duplicate", F.col("id"))]))
     to_detections = [("feedback", feedback, "record_id", "record_unknown")]
     to_users = [("detections", detections, "user_id", "user_unknown"),
                 ("feedback", feedback, "user_id", "user_unknown")]
     if incoming is not None:
         to_detections.append(("incoming_feedback", incoming, "record_id", "record_unknown"))
-        if has(incoming, "user_id"):
-            to_users.append(("incoming_feedback", incoming, "user_id", "user_unknown"))
+        to_users.append(("incoming_feedback", incoming, "user_id", "user_unknown"))
     parts.append(_fk_rows(detections, "id", to_detections))
     parts.append(_fk_rows(users, "id", to_users))
     out = parts[0]
@@ -287,11 +355,15 @@ def append_feedback(incoming: DataFrame, d: DataFrame, path: str, start_id: int,
     """Accept incoming feedback, give it dense ids from ``start_id`` in
     ``order`` (all columns by default), fill defaults and append it (K2).
     Returns the rejected rows with their reasons."""
-    accepted, rejected = accept_feedback(incoming, d, users)
+    spark, work = incoming.sparkSession, []
+    marked, path_marked = written(mark_feedback(incoming, d, users, work), "feedback-marked")
+    accepted = marked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     cols = list(order) if order else list(accepted.columns)
-    with_ids = assign_ids(accepted, cols, start=start_id)
-    append(with_ids, path, "feedback")
-    return rejected
+    append(assign_ids(accepted, cols, start=start_id, work=work), path, "feedback")
+    for w in work:
+        drop_path(spark, w)
+    # the rejected half is read from the marked rows, not computed again
+    return marked.filter(F.col("reject_reason").isNotNull())
 
 
 def write_table(df: DataFrame, table: str, path: str | None = None, fmt: str = "parquet",

@@ -26,13 +26,16 @@ def augment(df: DataFrame, topics: Sequence[str] = tuple(S.TRAINING_TOPICS),
             .drop("_x"))
 
 
-def split_sizes(labelled: DataFrame, batch_size: int = S.BATCH_SIZE) -> DataFrame:
-    """Texts, augmented rows, positive rows and batches per split."""
-    aug = augment(labelled)
-    return (aug.groupBy("split")
-            .agg(F.count_distinct("doc_id").alias("texts"),
-                 F.count(F.lit(1)).alias("rows"),
-                 F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("positives"))
+def split_sizes(labelled: DataFrame, batch_size: int = S.BATCH_SIZE, topics: Sequence[str] = tuple(S.TRAINING_TOPICS)) -> DataFrame:
+    """Texts, augmented rows, positive rows and batches per split.
+
+    Counted before the rows multiply: every text gives one row per topic, and
+    a positive one where its own topic is among them."""
+    positive = (F.col("label") == 1) & F.col("topic").isin(*topics)
+    return (labelled.groupBy("split")
+            .agg(F.count(F.lit(1)).alias("texts"),
+                 (F.count(F.lit(1)) * len(topics)).alias("rows"),
+                 F.sum(F.when(positive, 1).otherwise(0)).cast("long").alias("positives"))
             .withColumn("batches", F.ceil(F.col("texts") / F.lit(batch_size)).cast("long")))
 
 
@@ -43,14 +46,16 @@ def topic_index(topic_col: str = "topic") -> str:
 
 
 def build_pipeline(text_col: str = "TEXT", vector_col: str | None = None, interaction: bool = True,
-                   num_features: int = 1 << 12, max_iter: int = 50, reg_param: float = 0.01,
+                   num_features: int = 1 << 18, max_iter: int = 50, reg_param: float = 0.01,
                    weight_col: str | None = "weight"):
     """Tokens -> hashed term frequencies -> IDF (or a given vector column),
     topic one-hot, optional text x topic interaction, logistic regression (T2).
 
     On tokens the interaction is a hashed feature cross: every token is
     hashed once as itself and once prefixed with the row's topic, so each
-    topic gets its own word weights without widening the vector.  A given
+    topic gets its own word weights without widening the vector.  Words and
+    crosses share ``num_features`` slots; with many more words than slots
+    some of them collide, so raise it with the vocabulary.  A given
     vector column is crossed with Spark ML's ``Interaction``.
     """
     from pyspark.ml import Pipeline

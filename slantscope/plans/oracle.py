@@ -26,6 +26,10 @@ USERS = """users AS (
          CASE WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'user' END AS role
   FROM customer)"""
 
+ACCOUNTS = """accounts AS (
+  SELECT *, CASE WHEN id % 3 <> 0 THEN created_at + INTERVAL 1 DAY END AS last_login
+  FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(id % 365 AS INTEGER)) AS created_at FROM users))"""
+
 LABELLED = """labelled AS (
   SELECT d.doc_id, d.text AS "TEXT",
          CASE d.doc_id % 3 WHEN 0 THEN 'race' WHEN 1 THEN 'region' ELSE 'gender' END AS topic,
@@ -134,6 +138,13 @@ FROM feedback f JOIN detections r ON f.record_id = r.id
 WHERE {LIST_WHERE}
 ORDER BY f.feedback_time DESC, f.id DESC
 LIMIT 10 OFFSET 10"""
+SQL["feedback_next_page"] = SQL["feedback_list"].replace("OFFSET 0", "OFFSET 10")
+SQL["feedback_list_author"] = with_(DETECTIONS, FEEDBACK) + """
+SELECT f.*, r.text_content, r.bias_type, r.confidence
+FROM feedback f JOIN detections r ON f.record_id = r.id
+WHERE NOT f.is_correct AND f.user_id = 7
+ORDER BY f.feedback_time DESC, f.id DESC
+LIMIT 25"""
 SQL["feedback_total"] = with_(FEEDBACK) + f"SELECT COUNT(*) AS total FROM feedback f WHERE {LIST_WHERE}"
 
 SQL["feedback_export"] = with_(DETECTIONS, FEEDBACK, USERS) + """
@@ -143,10 +154,10 @@ FROM feedback f JOIN detections r ON f.record_id = r.id JOIN users u ON f.user_i
 ORDER BY f.feedback_time DESC, f.id DESC"""
 
 NAME_KEY = "rtrim(strip_accents(lower({0})))"
-SQL["user_lookup"] = with_(USERS) + f"""
-SELECT id, username, role FROM users
+SQL["user_lookup"] = with_(USERS, ACCOUNTS) + f"""
+SELECT * FROM accounts
 WHERE {NAME_KEY.format('username')} = {NAME_KEY.format("'CÚSTOMER#000000007 '")}"""
-SQL["user_by_id"] = with_(USERS) + "SELECT id, username, role FROM users WHERE id = 7"
+SQL["user_by_id"] = with_(USERS, ACCOUNTS) + "SELECT * FROM accounts WHERE id = 7"
 
 SQL["register_users"] = with_(USERS, REGISTRATIONS, f"""k AS (
   SELECT *, {NAME_KEY.format('username')} AS key,
@@ -187,12 +198,13 @@ _AUDIT = (
     _rules("detections", "detections", [
         ("id_null", "id IS NULL"), ("text_null", "text_content IS NULL"),
         ("is_biased_null", "is_biased IS NULL"), ("bias_type_too_long", "length(bias_type) > 50"),
-        ("text_too_long", "strlen(text_content) > 65535")])
+        ("text_too_long", "strlen(text_content) > 65535"), ("created_at_null", "created_at IS NULL")])
     + [_unique("detections", "detections", "id", "id_duplicate"),
        _fk("detections", "detections", "user_id", "users", "id", "user_unknown")]
     + _rules("feedback", "feedback", [
         ("id_null", "id IS NULL"), ("record_id_null", "record_id IS NULL"),
-        ("is_correct_null", "is_correct IS NULL"), ("content_too_long", "strlen(feedback_content) > 65535")])
+        ("is_correct_null", "is_correct IS NULL"), ("content_too_long", "strlen(feedback_content) > 65535"),
+        ("feedback_time_null", "feedback_time IS NULL")])
     + [_unique("feedback", "feedback", "id", "id_duplicate"),
        _fk("feedback", "feedback", "record_id", "detections", "id", "record_unknown"),
        _fk("feedback", "feedback", "user_id", "users", "id", "user_unknown")]
@@ -284,10 +296,12 @@ SELECT split, COUNT(DISTINCT doc_id) AS texts, COUNT(*) AS rows,
        CAST(ceil(COUNT(DISTINCT doc_id) / 16.0) AS BIGINT) AS batches
 FROM aug GROUP BY split"""
 
-SQL["eval_metrics"] = with_(LABELLED, AUG, SCORES[0], """rows AS (
+SQL["eval_metrics"] = with_(LABELLED, AUG, """rows AS (
   SELECT a.split, a.aug_label AS label,
-         v.c + CASE a.cand WHEN 'race' THEN 0.3 WHEN 'region' THEN -0.2 WHEN 'gender' THEN 0.1 ELSE 0.0 END AS logit
-  FROM aug a JOIN vecs v ON v.vec_id = a.doc_id)""", """scored AS (
+         list_sum(list_transform(range(8), lambda i: (((length("TEXT") * (i + 3) + strlen("TEXT")) % (11 + i))::DOUBLE / 10.0)
+                                                     * (((i * 37) % 19 - 9)::DOUBLE / 10.0)))
+         + CASE a.cand WHEN 'race' THEN 0.3 WHEN 'region' THEN -0.2 WHEN 'gender' THEN 0.1 ELSE 0.0 END AS logit
+  FROM aug a)""", """scored AS (
   SELECT split, label, CASE WHEN logit > 0 THEN 1 ELSE 0 END AS pred, 1.0 / (1.0 + exp(-logit)) AS p FROM rows)""",
   """m AS (
   SELECT split, COUNT(*) AS n,
@@ -313,3 +327,88 @@ SQL["trend_stream"] = with_(DETECTIONS, """per_day AS (
 SELECT strftime(day, '%Y-%m-%d') AS date, total, biased_count, {rate_sql('biased_count', 'total')} AS rate
 FROM per_day
 WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(created_at) - INTERVAL 1 DAY FROM detections)"""
+
+
+SQL["trend_arrays"] = "SELECT CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS pos, date AS dates, rate AS rates FROM (" + SQL[
+    "bias_rate_trend"] + ")"
+SQL["chart_payload_rows"] = ("SELECT kind, coalesce(key, 'unknown') AS key, CASE WHEN kind = 'type' THEN n END AS n, rate FROM ("
+                             + SQL["chart_long"] + ")")
+SQL["encode_scoring"] = with_(LABELLED, VOCAB, f"""toks AS (
+  SELECT doc_id, regexp_extract_all(lower("TEXT"), '{TOKEN_RE}') AS t FROM labelled)""", """pos AS (
+  SELECT doc_id, unnest(range(1, len(t[1:510]) + 1)) AS pos, unnest(t[1:510]) AS token FROM toks)""", """ids AS (
+  SELECT p.doc_id, list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY p.pos) AS ids
+  FROM pos p LEFT JOIN vocab v ON p.token = v.token GROUP BY p.doc_id)""") + """
+SELECT t.doc_id, CAST(len(t.t) AS INTEGER) AS n_tokens, list_concat([2], coalesce(i.ids, []), [3]) AS input_ids,
+       list_transform(range(len(coalesce(i.ids, [])) + 2), lambda x: 1) AS attention_mask
+FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id"""
+SQL["head_input"] = """
+SELECT vec_id, topic, CAST(len(embedding) + 5 AS INTEGER) AS width,
+       list_transform(range(5), lambda i: CASE WHEN i = slot THEN 1.0 ELSE 0.0 END::DOUBLE) AS onehot
+FROM embeddings CROSS JOIN (VALUES ('race', 0), ('region', 1), ('gender', 2), ('false', 4)) t(topic, slot)"""
+SQL["train_split_rows"] = with_(LABELLED, AUG) + """
+SELECT split, COUNT(*) AS rows, CAST(SUM(aug_label) AS BIGINT) AS positives, COUNT(*) AS same FROM aug GROUP BY split"""
+
+SQL["append_detections"] = with_(DETECTIONS) + """
+SELECT id, text_content, bias_type, is_biased, created_at, TIMESTAMP '2024-06-01 00:00:00' AS updated_at, user_id
+FROM detections WHERE id % 2 = 0
+UNION ALL
+SELECT (SELECT max(id) FROM detections WHERE id % 2 = 0)
+       + row_number() OVER (ORDER BY created_at, user_id, text_content, bias_type) AS id,
+       text_content, bias_type, is_biased, created_at, TIMESTAMP '2024-06-01 00:00:00', user_id
+FROM detections WHERE id % 2 = 1"""
+
+AWKWARD_REGISTRATIONS = """registrations AS (
+  SELECT src, src_key, CASE WHEN src_key % 19 = 0 THEN '' WHEN src_key % 23 = 0 THEN NULL
+         WHEN src_key % 3 = 0 THEN 'Ünique Name' || CASE WHEN src_key % 2 = 0 THEN ' ' ELSE '' END ELSE username END AS username
+  FROM registrations0)"""
+_REG0 = REGISTRATIONS.replace("registrations AS", "registrations0 AS", 1)
+SQL["register_awkward"] = SQL["register_users"].replace(REGISTRATIONS, _REG0 + ",\n" + AWKWARD_REGISTRATIONS)
+SQL["append_users"] = SQL["register_awkward"].replace("WITH users AS", "WITH " + ACCOUNTS + ",\nusers AS", 1).replace(
+    ACCOUNTS + ",\n" + USERS, USERS + ",\n" + ACCOUNTS).replace("""
+SELECT src, src_key, username, status, CASE WHEN status = 'accepted' THEN 'user' END AS role FROM s""", """
+SELECT id, username, role, created_at, last_login FROM accounts
+UNION ALL
+SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY src, src_key), username, 'user', TIMESTAMP '2024-06-01 00:00:00', NULL
+FROM s WHERE status = 'accepted'""")
+
+AWKWARD_INCOMING = """incoming AS (
+  SELECT CASE WHEN record_id % 41 = 0 THEN NULL WHEN record_id % 43 = 0 THEN 0 ELSE record_id END AS record_id, line,
+         CASE WHEN (record_id + line) % 37 = 0 THEN NULL ELSE is_correct END AS is_correct, feedback_content, feedback_time,
+         CASE WHEN record_id % 5 = 0 THEN NULL WHEN record_id % 29 = 0 THEN record_id + 10000000 ELSE user_id END AS user_id
+  FROM incoming0)"""
+_IN0 = INCOMING.replace("incoming AS", "incoming0 AS", 1)
+SQL["feedback_rejects_awkward"] = SQL["feedback_rejects"].replace(INCOMING, _IN0 + ",\n" + AWKWARD_INCOMING)
+SQL["validate_awkward_texts"] = """
+SELECT *, CASE WHEN text IS NULL THEN 'text_missing' WHEN text = '' THEN 'text_empty' END AS reject_reason FROM (
+  SELECT request_id, user_id, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN '' WHEN k % 17 = 0 THEN '  ' ELSE text END AS text
+  FROM (SELECT *, user_id * 7 + length(request_id) AS k FROM (
+    SELECT concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS request_id, conv_id AS user_id, text FROM conversations)))"""
+
+BROKEN = [DETECTIONS.replace("detections AS", "detections0 AS", 1), FEEDBACK.replace("feedback AS", "feedback0 AS", 1),
+          USERS.replace("users AS", "users0 AS", 1), _IN0, AWKWARD_INCOMING, LABELLED, """detections AS (
+  SELECT CASE WHEN id % 101 = 0 THEN NULL WHEN id % 103 = 0 THEN id - 1 ELSE id END AS id,
+         CASE WHEN id % 89 = 0 THEN NULL WHEN id % 997 = 0 THEN repeat('x', 70000) ELSE text_content END AS text_content,
+         CASE WHEN id % 83 = 0 THEN repeat('é', 60) ELSE bias_type END AS bias_type,
+         CASE WHEN id % 79 = 0 THEN NULL ELSE is_biased END AS is_biased,
+         CASE WHEN id % 73 = 0 THEN NULL ELSE created_at END AS created_at, confidence,
+         CASE WHEN id % 71 = 0 THEN -id ELSE user_id END AS user_id FROM detections0)""", """feedback AS (
+  SELECT CASE WHEN id % 101 = 0 THEN NULL WHEN id % 103 = 0 THEN id - id % 10 ELSE id END AS id,
+         CASE WHEN id % 89 = 0 THEN NULL WHEN id % 61 = 0 THEN -id ELSE record_id END AS record_id,
+         CASE WHEN id % 79 = 0 THEN NULL ELSE is_correct END AS is_correct,
+         CASE WHEN id % 997 = 0 THEN repeat('x', 70000) ELSE feedback_content END AS feedback_content,
+         CASE WHEN id % 73 = 0 THEN NULL ELSE feedback_time END AS feedback_time,
+         CASE WHEN id % 71 = 0 THEN -id ELSE user_id END AS user_id FROM feedback0)""", """users AS (
+  SELECT CASE WHEN id % 53 = 0 THEN NULL WHEN id % 59 = 0 THEN id - 1 ELSE id END AS id,
+         CASE WHEN id % 47 = 0 THEN NULL WHEN id % 43 = 0 THEN repeat('n', 51) ELSE username END AS username,
+         CASE WHEN id % 41 = 0 THEN 'root' ELSE role END AS role FROM users0)""", """training AS (
+  SELECT CASE WHEN doc_id % 31 = 0 THEN NULL WHEN doc_id % 37 = 0 THEN doc_id - 1 ELSE doc_id END AS id,
+         CASE WHEN doc_id % 29 = 0 THEN NULL ELSE "TEXT" END AS text_content,
+         CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN repeat('t', 51) ELSE topic END AS bias_type,
+         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE label = 1 END AS is_biased,
+         CASE WHEN doc_id % 13 = 0 THEN repeat('s', 101) ELSE split END AS source FROM labelled)"""]
+_AUDIT_TRAINING = _rules("training", "training", [
+    ("id_null", "id IS NULL"), ("text_null", "text_content IS NULL"), ("bias_type_null", "bias_type IS NULL"),
+    ("is_biased_null", "is_biased IS NULL"), ("bias_type_too_long", "length(bias_type) > 50"),
+    ("text_too_long", "strlen(text_content) > 65535"), ("source_too_long", "length(source) > 100")]) + [
+    _unique("training", "training", "id", "id_duplicate")]
+SQL["constraint_audit_broken"] = with_(*BROKEN) + "\nUNION ALL\n".join(_AUDIT + _AUDIT_TRAINING)

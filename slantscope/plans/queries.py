@@ -3,6 +3,7 @@ over the whole generated tables."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.predicates import reject_reason, text_rules
+from ..functions.scalars import argmax2, head_input
 from ..operators import encode as enc
 from ..operators import evaluate as ev
 from ..operators import reports, scoring, stats, tables, training
@@ -95,6 +97,21 @@ def history_next_page(spark, sf_dir):
     return reports.history_after(d, f, HISTORY_USER, (last["created_at"], last["id"], last["feedback_id"]), 10)
 
 
+@query("trend_arrays")
+def trend_arrays(spark, sf_dir):
+    one = stats.trend_arrays(stats.bias_rate_trend(fx.detections(spark, sf_dir)))
+    return one.select(F.posexplode(F.arrays_zip("dates", "rates")).alias("pos", "x")).select("pos", "x.dates", "x.rates")
+
+
+@query("chart_payload_rows")
+def chart_payload_rows(spark, sf_dir):
+    one = stats.chart_payload(fx.detections(spark, sf_dir), labels=S.CHART_SEEDS)
+    types = one.select(F.explode("bias_types").alias("key", "n")).select(F.lit("type").alias("kind"), "key", "n", F.lit(None).cast("double").alias("rate"))
+    days = one.select(F.explode(F.arrays_zip("dates", "rates")).alias("x")).select(
+        F.lit("trend").alias("kind"), F.col("x.dates").alias("key"), F.lit(None).cast("long").alias("n"), F.col("x.rates").alias("rate"))
+    return types.unionByName(days)
+
+
 @query("feedback_list")
 def feedback_list(spark, sf_dir):
     return reports.feedback_list(fx.feedback(spark, sf_dir), fx.detections(spark, sf_dir)).rows
@@ -106,6 +123,20 @@ def feedback_list_filtered(spark, sf_dir):
                                  page=2, page_size=10, **LIST_FILTER).rows
 
 
+@query("feedback_next_page")
+def feedback_next_page(spark, sf_dir):
+    # The client holds the last row of page 1 and asks for what follows.
+    f, d = fx.feedback(spark, sf_dir), fx.detections(spark, sf_dir)
+    last = reports.feedback_list(f, d).rows.orderBy(F.col("feedback_time").asc(), F.col("id").asc()).first()
+    return reports.feedback_after(f, d, (last["feedback_time"], last["id"]), 10)
+
+
+@query("feedback_list_author")
+def feedback_list_author(spark, sf_dir):
+    return reports.feedback_list(fx.feedback(spark, sf_dir), fx.detections(spark, sf_dir), verdict="incorrect",
+                                 user_id=HISTORY_USER, page_size=25).rows
+
+
 @query("feedback_total")
 def feedback_total(spark, sf_dir):
     return reports.feedback_total(fx.feedback(spark, sf_dir), **LIST_FILTER)
@@ -119,12 +150,12 @@ def feedback_export(spark, sf_dir):
 
 @query("user_lookup")
 def user_lookup(spark, sf_dir):
-    return reports.user_by_name(fx.users(spark, sf_dir), "CÚSTOMER#000000007 ")
+    return reports.user_by_name(fx.accounts(spark, sf_dir), "CÚSTOMER#000000007 ")
 
 
 @query("user_by_id")
 def user_by_id(spark, sf_dir):
-    return reports.user_by_id(fx.users(spark, sf_dir), 7)
+    return reports.user_by_id(fx.accounts(spark, sf_dir), 7)
 
 
 # --- tables -----------------------------------------------------------------
@@ -172,6 +203,48 @@ def assign_ids(spark, sf_dir):
     return tables.assign_ids(acc, ID_ORDER, start=start)
 
 
+@query("append_detections")
+def append_detections(spark, sf_dir):
+    # every second detection is stored; the others arrive without an id and continue the numbering
+    d = fx.detections(spark, sf_dir)
+    path, now = scratch_path(spark, "detections"), dt.datetime(2024, 6, 1)
+    tables.append(d.filter(F.col("id") % 2 == 0), path, "detections", now=now)
+    tables.append_new(d.filter(F.col("id") % 2 == 1).drop("id"), path, "detections",
+                      ["created_at", "user_id", "text_content", "bias_type"], now=now)
+    return spark.read.parquet(path).select("id", "text_content", "bias_type", "is_biased", "created_at", "updated_at", "user_id")
+
+
+@query("append_users")
+def append_users(spark, sf_dir):
+    order = ["src", "src_key"]
+    path, now = scratch_path(spark, "users"), dt.datetime(2024, 6, 1)
+    stored = fx.accounts(spark, sf_dir)
+    tables.append(stored, path, "users")
+    tables.append_registered(tables.register_users(fx.awkward_registrations(spark, sf_dir), stored, order), path, order, now)
+    return spark.read.parquet(path)
+
+
+@query("register_awkward")
+def register_awkward(spark, sf_dir):
+    return tables.register_users(fx.awkward_registrations(spark, sf_dir), fx.users(spark, sf_dir), order=["src", "src_key"])
+
+
+@query("feedback_rejects_awkward")
+def feedback_rejects_awkward(spark, sf_dir):
+    _, rej = tables.accept_feedback(fx.awkward_feedback(spark, sf_dir), fx.detections(spark, sf_dir), fx.users(spark, sf_dir))
+    return rej.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("constraint_audit_broken")
+def constraint_audit_broken(spark, sf_dir):
+    return tables.audit(*fx.broken_tables(spark, sf_dir))
+
+
+@query("validate_awkward_texts")
+def validate_awkward_texts(spark, sf_dir):
+    return fx.awkward_requests(spark, sf_dir).withColumn("reject_reason", reject_reason(text_rules()))
+
+
 @query("validate_texts")
 def validate_texts(spark, sf_dir):
     t = fx.text_requests(spark, sf_dir)
@@ -217,6 +290,39 @@ def encode_ids(spark, sf_dir):
     return enc.encode(fx.labelled(spark, sf_dir), vocab, "TEXT", ["doc_id"], max_len=S.TRAIN_MAX_LEN)
 
 
+@query("encode_scoring")
+def encode_scoring(spark, sf_dir):
+    # scoring mode: longer cut, no padding
+    docs = fx.table(spark, sf_dir, "documents")
+    vocab = enc.build_vocab(docs, "text", VOCAB_SIZE)
+    return enc.encode(fx.labelled(spark, sf_dir), vocab, "TEXT", ["doc_id"], max_len=S.SCORE_MAX_LEN, pad=False)
+
+
+@query("head_input")
+def head_input_rows(spark, sf_dir):
+    # the input of the head per text and topic: its length, its sum and the topic's slot
+    v = fx.text_vectors(spark, sf_dir)
+    topics = F.explode(F.array(*[F.lit(t) for t in S.SCORING_TOPICS]))
+    rows = v.select("vec_id", "embedding", topics.alias("topic")).withColumn("x", head_input("embedding", "topic"))
+    tail = F.slice("x", -S.TOPIC_WIDTH, S.TOPIC_WIDTH)
+    return rows.select("vec_id", "topic", F.size("x").alias("width"), tail.alias("onehot"))
+
+
+@query("train_split_rows")
+def train_split_rows(spark, sf_dir):
+    """What is deterministic about training: rows and positives per split, and that a reloaded model answers like the fitted one."""
+    aug = training.augment(fx.labelled(spark, sf_dir))
+    model = training.train(aug.filter(F.col("split") == "train"), max_iter=5)
+    path = scratch_path(spark, "model")
+    training.save_model(model, path)
+    key = ["doc_id", "topic"]
+    one = training.predict_rows(aug, model).select(*key, "split", "label", "p", "pred")
+    two = training.predict_rows(aug, readers.load_model(path)).select(*key, F.col("p").alias("p2"), F.col("pred").alias("pred2"))
+    both = one.join(two, key)
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"),
+                                     F.sum(((F.col("p") == F.col("p2")) & (F.col("pred") == F.col("pred2"))).cast("long")).alias("same"))
+
+
 @query("augment")
 def augment(spark, sf_dir):
     return training.augment(fx.labelled(spark, sf_dir)).select("doc_id", "split", "topic", "topic_slot", "label")
@@ -227,17 +333,24 @@ def split_sizes(spark, sf_dir):
     return training.split_sizes(fx.labelled(spark, sf_dir))
 
 
+def _text_vector(text: str):
+    """A text vector that SQL can compute too: eight numbers from the text's length in characters and bytes."""
+    c, b = F.char_length(text), F.octet_length(text)
+    return F.array(*[((c * (i + 3) + b) % (11 + i)).cast("double") / F.lit(10.0) for i in range(8)])
+
+
 def _fixed_head_rows(spark, sf_dir):
-    lab = fx.labelled(spark, sf_dir)
-    vec = fx.text_vectors(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
-    aug = training.augment(lab.join(vec, "doc_id"))
+    """Every labelled text, scored once by the fixed head, then crossed with the topics."""
     head = scoring.FIXTURE_HEAD
+    lab = fx.labelled(spark, sf_dir)
+    lab = lab.withColumn("text_logit", head.text_logit(_text_vector("TEXT"))).drop("TEXT")
+    aug = training.augment(lab)
     offset = F.lit(0.0)
     for t, u in head.offsets.items():
         offset = F.when(F.col("topic") == t, F.lit(u)).otherwise(offset)
-    logit = head.text_logit("embedding") + offset
+    logit = F.col("text_logit") + offset
     return aug.select("doc_id", "split", "topic", "label",
-                      (logit > 0).cast("int").alias("pred"),  # argmax of the two logits
+                      argmax2(F.lit(0.0), logit).alias("pred"),
                       scoring.sigmoid(logit).alias("p"))
 
 

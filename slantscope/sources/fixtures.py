@@ -56,6 +56,13 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``users`` with the times of sign-up and last login (never, for a third of them)."""
+    day = F.expr("CAST('2024-01-01' AS TIMESTAMP_NTZ) + make_dt_interval(CAST(id % 365 AS INT))")
+    u = users(spark, sf_dir).withColumn("created_at", day)
+    return u.withColumn("last_login", F.when(F.col("id") % 3 != 0, F.expr("created_at + INTERVAL '1' DAY")))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry a label; topic and split by arithmetic on the id."""
     d = table(spark, sf_dir, "documents")
@@ -111,6 +118,60 @@ def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def awkward_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_requests`` with some texts missing, empty or blank."""
+    t = text_requests(spark, sf_dir).withColumn("_k", F.col("user_id") * 7 + F.length("request_id"))
+    text = F.when(F.col("_k") % 11 == 0, F.lit(None)).when(F.col("_k") % 13 == 0, "").when(F.col("_k") % 17 == 0, "  ").otherwise(F.col("text"))
+    return t.withColumn("text", text).drop("_k")
+
+
+def awkward_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``incoming_feedback`` with missing records, verdicts and authors, and unknown authors."""
+    i = incoming_feedback(spark, sf_dir)
+    rec, line = F.col("record_id"), F.col("line")
+    return i.select(
+        F.when(rec % 41 == 0, F.lit(None)).when(rec % 43 == 0, 0).otherwise(rec).cast("long").alias("record_id"), "line",
+        F.when((rec + line) % 37 == 0, F.lit(None)).otherwise(F.col("is_correct")).alias("is_correct"), "feedback_content", "feedback_time",
+        F.when(rec % 5 == 0, F.lit(None)).when(rec % 29 == 0, rec + 10_000_000).otherwise(F.col("user_id")).cast("long").alias("user_id"))
+
+
+def awkward_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``registrations`` with missing names, and with one new name on a third of the rows."""
+    r = registrations(spark, sf_dir)
+    k = F.col("src_key")
+    return r.withColumn("username", F.when(k % 19 == 0, "").when(k % 23 == 0, F.lit(None)).when(k % 3 == 0, F.concat(
+        F.lit("Ünique Name"), F.when(k % 2 == 0, " ").otherwise(""))).otherwise(F.col("username")))
+
+
+def broken_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Detections, feedback, users, incoming feedback and training rows that break the tables' rules, by arithmetic on the ids."""
+    d, f, u = detections(spark, sf_dir), feedback(spark, sf_dir), users(spark, sf_dir)
+    i = F.col("id")
+    d = d.select(F.when(i % 101 == 0, F.lit(None)).when(i % 103 == 0, i - 1).otherwise(i).alias("id"),
+                 F.when(i % 89 == 0, F.lit(None)).when(i % 997 == 0, F.repeat(F.lit("x"), 70000)).otherwise(F.col("text_content")).alias("text_content"),
+                 F.when(i % 83 == 0, F.repeat(F.lit("é"), 60)).otherwise(F.col("bias_type")).alias("bias_type"),
+                 F.when(i % 79 == 0, F.lit(None)).otherwise(F.col("is_biased")).alias("is_biased"),
+                 F.when(i % 73 == 0, F.lit(None)).otherwise(F.col("created_at")).alias("created_at"), "confidence",
+                 F.when(i % 71 == 0, -i).otherwise(F.col("user_id")).alias("user_id"))
+    f = f.select(F.when(i % 101 == 0, F.lit(None)).when(i % 103 == 0, i - (i % 10)).otherwise(i).alias("id"),
+                 F.when(i % 89 == 0, F.lit(None)).when(i % 61 == 0, -i).otherwise(F.col("record_id")).alias("record_id"),
+                 F.when(i % 79 == 0, F.lit(None)).otherwise(F.col("is_correct")).alias("is_correct"),
+                 F.when(i % 997 == 0, F.repeat(F.lit("x"), 70000)).otherwise(F.col("feedback_content")).alias("feedback_content"),
+                 F.when(i % 73 == 0, F.lit(None)).otherwise(F.col("feedback_time")).alias("feedback_time"),
+                 F.when(i % 71 == 0, -i).otherwise(F.col("user_id")).alias("user_id"))
+    u = u.select(F.when(i % 53 == 0, F.lit(None)).when(i % 59 == 0, i - 1).otherwise(i).alias("id"),
+                 F.when(i % 47 == 0, F.lit(None)).when(i % 43 == 0, F.repeat(F.lit("n"), 51)).otherwise(F.col("username")).alias("username"),
+                 F.when(i % 41 == 0, "root").otherwise(F.col("role")).alias("role"))
+    lab = labelled(spark, sf_dir)
+    k = F.col("doc_id")
+    tr = lab.select(F.when(k % 31 == 0, F.lit(None)).when(k % 37 == 0, k - 1).otherwise(k).alias("id"),
+                    F.when(k % 29 == 0, F.lit(None)).otherwise(F.col("TEXT")).alias("text_content"),
+                    F.when(k % 23 == 0, F.lit(None)).when(k % 19 == 0, F.repeat(F.lit("t"), 51)).otherwise(F.col("topic")).alias("bias_type"),
+                    F.when(k % 17 == 0, F.lit(None)).otherwise(F.col("label") == 1).alias("is_biased"),
+                    F.when(k % 13 == 0, F.repeat(F.lit("s"), 101)).otherwise(F.col("split")).alias("source"))
+    return d, f, u, awkward_feedback(spark, sf_dir), tr
+
+
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` stand in for the encoder output of a text."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

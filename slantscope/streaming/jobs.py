@@ -58,12 +58,18 @@ def run_with_ids(stream: DataFrame, order: Sequence[str], sink_path: str, checkp
     scale.
     """
     from ..operators.tables import assign_ids
+    from ..session import drop_path
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        start = (int(epoch_id) + 1) << ID_BITS
-        out = assign_ids(batch, list(order), start=start, id_col=id_col).withColumn("epoch", F.lit(int(epoch_id)))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        start, end = (int(epoch_id) + 1) << ID_BITS, (int(epoch_id) + 2) << ID_BITS
+        work: list[str] = []
+        out = assign_ids(batch, list(order), start=start, id_col=id_col, work=work).withColumn("epoch", F.lit(int(epoch_id)))
+        fits = F.when(F.col(id_col) < end, F.col(id_col)).otherwise(
+            F.raise_error(F.lit("micro-batch too large for its id range")).cast("long"))
+        (out.withColumn(id_col, fits).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("epoch").parquet(sink_path))
+        for w in work:
+            drop_path(batch.sparkSession, w)
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -80,7 +86,8 @@ def accepted_feedback_stream(incoming: DataFrame, detections: DataFrame,
     valid = incoming.filter(reject_reason(feedback_rules()).isNull())
     ok = valid.join(detections.select(F.col("id").alias("record_id")), "record_id", "left_semi")
     if users is not None:
-        known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))
+        # distinct ids: a user stored twice must not double the feedback
+        known = users.select(F.col("id").alias("user_id")).distinct().withColumn("_known", F.lit(True))
         ok = (ok.join(known, "user_id", "left")
               .filter(F.col("user_id").isNull() | F.col("_known").isNotNull()).drop("_known"))
     return ok.select(*incoming.columns)

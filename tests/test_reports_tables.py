@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -102,7 +103,7 @@ def test_feedback_list_inner_join_and_total(spark):
 
 
 def test_user_names_collation(spark):
-    users = spark.createDataFrame([(1, "zed", "user")], "id long, username string, role string")
+    users = spark.createDataFrame([(1, "zed", "user", None, None)], "id long, username string, role string, created_at timestamp_ntz, last_login timestamp_ntz")
     new = spark.createDataFrame([(1, "Ann"), (2, "ANN"), (3, "ánn"), (4, "Ann "), (5, ""), (6, "Zed")],
                                 "seq long, username string")
     got = {r.seq: r.status for r in tables.register_users(new, users, ["seq"]).collect()}
@@ -205,18 +206,28 @@ def test_feedback_page_and_export_shuffle_little(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        ex = shuffled_columns(reports.feedback_list(f, d, page=3).rows)
-        assert ex and all(not ({"feedback_content", "text_content"} & c) for c in ex)
+        # the page itself shuffles nothing; its keys were found before
+        page = reports.feedback_list(f, d, page=3).rows
+        assert shuffled_columns(page) == []
+        history = reports.detection_history(d, f, 7, page=2).rows
+        assert shuffled_columns(history) == []
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        for rows, keys in ((page, ("event_id", "o_orderkey")), (history, ("event_id",))):
+            plan = rows._jdf.queryExecution().explainString(formatted)
+            pushed = " ".join(re.findall(r"PushedFilters: \[(.*)\]", plan))
+            for key in keys:  # the scans get a page of keys
+                assert re.search(rf"(In|EqualTo)\({key}", pushed), pushed
+            sent = re.findall(r"BroadcastExchange\s*\nInput \[\d+\]: \[([^\]]*)\]", plan)
+            assert sent and not any("text_content" in x or "props" in x for x in sent)
         exp = shuffled_columns(reports.export_feedback(f, d, fx.users(spark, SF001)))
         assert sum("text_content" in c for c in exp) == 2  # the detection side, then the final sort
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_deep_page_does_not_force_broadcast(spark, monkeypatch):
-    from slantscope.functions import hints
+def test_deep_pages_by_joins_are_the_same(spark, monkeypatch):
     d, f = small_tables(spark)
-    monkeypatch.setattr(hints, "MAX_BROADCAST_ROWS", 1)
+    monkeypatch.setattr(reports, "MAX_WINDOW", 1)
     rows = reports.detection_history(d, f, 7, page=1, page_size=10).rows.collect()
     assert [(r.id, r.feedback_content) for r in rows] == [(3, "ok"), (2, None), (1, "no"), (1, "ok")]
     assert [r.id for r in reports.feedback_list(f, d, verdict="correct").rows.collect()] == [12, 10]
@@ -282,3 +293,80 @@ def test_keyset_walk_through_a_hot_detection(spark):
     assert seen == full
     for k in range(1, 6):
         assert reports.detection_history(d, f, 7, k, 7, keep_feedback_id=True).rows.collect() == full[(k - 1) * 7:k * 7]
+
+
+def test_feedback_pages_follow_a_cursor(spark):
+    d, f = fx.detections(spark, SF001), fx.feedback(spark, SF001)
+    full = reports.feedback_list(f, d, page_size=40).rows.collect()
+    seen, cursor = [], None
+    while len(seen) < 40:
+        page = (reports.feedback_list(f, d, page_size=8).rows if cursor is None else reports.feedback_after(f, d, cursor, 8)).collect()
+        seen += page
+        cursor = (page[-1].feedback_time, page[-1].id)
+    assert seen == full
+
+
+def test_feedback_keys_behind_many_orphans(spark):
+    d, _ = small_tables(spark)
+    orphans = [(i, 1000 + i, True, "x", ts("2024-02-01 00:00:00"), 1) for i in range(100, 700)]
+    f = spark.createDataFrame(orphans + [(5, 1, True, "ok", ts("2024-01-05 00:00:00"), 1)], FB_SCHEMA)
+    assert [r.id for r in reports.feedback_list(f, d, page_size=2).rows.collect()] == [5]
+
+
+def test_append_refuses_null_keys_and_numbers_new_rows(spark, tmp_path):
+    path = str(tmp_path / "det")
+    d, _ = small_tables(spark)
+    tables.append(d, path, "detections")
+    with pytest.raises(Exception, match="detections.id must not be NULL"):
+        tables.append(d.withColumn("id", F.lit(None).cast("long")), path, "detections")
+    tables.append_new(d.drop("id"), path, "detections", ["created_at", "text_content"])
+    got = spark.read.parquet(path)
+    assert sorted(r.id for r in got.collect()) == list(range(1, 9))
+
+
+def test_work_tables_are_deleted(spark, tmp_path):
+    import os
+    from slantscope.session import checkpoint_dir
+    base = checkpoint_dir(spark).replace("file:", "")
+    path = str(tmp_path / "det")
+    d, f = small_tables(spark)
+    tables.append(d, path, "detections")
+    before = set(os.listdir(base))
+    tables.append_new(d.drop("id"), path, "detections", ["created_at", "text_content"])
+    tables.append_feedback(f.drop("id"), d, str(tmp_path / "fb"), 1).count()
+    left = set(os.listdir(base)) - before
+    assert all(x.startswith("feedback-marked") for x in left)  # the rejected half is read from it
+
+
+def test_hot_and_null_keys_do_not_gather(spark):
+    # a third of the rows has one record, a third no author
+    n = 3000
+    rows = [(1 if i % 3 else 10 + i, True, None if i % 3 == 1 else i) for i in range(n)]
+    inc = spark.createDataFrame(rows, "record_id long, is_correct boolean, user_id long")
+    d = spark.range(n + 20).select("id")
+    users = spark.range(n).select("id")
+    marked = tables.mark_feedback(inc, d, users)
+    assert marked.filter("reject_reason is null").count() == n
+    salted = tables._mark_known(inc, "user_id", users.select(F.col("id").alias("user_id")), "_ok")
+    parts = salted.filter("user_id is null").withColumn("p", F.spark_partition_id()).groupBy("p").count()
+    assert salted.filter("_ok").count() == n - n // 3
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in parts.collect()]
+        assert len(sizes) > 2 and max(sizes) < n / 3 / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_one_name_on_a_third_of_the_sign_ups(spark):
+    new = spark.createDataFrame([(i, "Ann" if i % 3 == 0 else f"u{i}") for i in range(300)], "seq long, username string")
+    users = spark.createDataFrame([(1, "u1")], "id long, username string")
+    got = tables.register_users(new, users, ["seq"])
+    count = {r.status: r["count"] for r in got.groupBy("status").count().collect()}
+    assert count == {"accepted": 200, "duplicate": 99, "exists": 1}
+    # sign-ups are joined by their unique order key, not by the name
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_ord#" in plan.split("Join LeftOuter")[1].split("\n")[0]

@@ -126,3 +126,15 @@ def test_text_requests_scored_as_a_stream(spark, tmp_path):
     batch, _ = scoring.score_requests(readers.read_texts(spark, str(src)), make, 64, id_start=(1 << 40))
     cols = ["id", "request_id", "bias_type", "is_biased"]
     assert sorted(out.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+
+
+def test_feedback_of_a_user_stored_twice_comes_once(spark):
+    from slantscope.operators import tables
+    from slantscope.streaming import jobs
+    inc = spark.createDataFrame([(1, True, "x", 7), (1, True, "y", None), (1, True, "z", 9)],
+                                "record_id long, is_correct boolean, feedback_content string, user_id long")
+    d = spark.createDataFrame([(1,)], "id long")
+    users = spark.createDataFrame([(7,), (7,)], "id long")
+    got = sorted(r.feedback_content for r in jobs.accepted_feedback_stream(inc, d, users).collect())
+    batch, _ = tables.accept_feedback(inc, d, users)
+    assert got == ["x", "y"] == sorted(r.feedback_content for r in batch.collect())
