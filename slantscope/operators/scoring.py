@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.scalars import dot, fixed_confidence, sigmoid
+from ..functions.scalars import dot, fixed_confidence, is_biased, sigmoid
 
 
 @dataclass
@@ -105,7 +105,7 @@ def classify(df: DataFrame, vec_col: str, head: LinearHead = FIXTURE_HEAD,
     bad = F.exists("_c", lambda x: x["probability"].isNull() | F.isnan(x["probability"]))
     label = F.coalesce(decide(F.col("_best"), threshold), F.lit(S.NO_BIAS))
     out = (scored.withColumn("bias_type", label)
-           .withColumn("is_biased", F.col("bias_type") != F.lit(S.NO_BIAS))
+           .withColumn("is_biased", is_biased("bias_type"))
            .withColumn("best_probability", F.col("_best")["probability"])
            .withColumn("score_error", bad))
     conf = fixed_confidence("is_biased") if confidence == "fixed" else F.col("best_probability")
@@ -130,16 +130,10 @@ def with_text_vectors(df: DataFrame, text_col: str, make_predict_fn, dim: int,
     return df.withColumn(out_col, right)
 
 
-def to_detections(scored: DataFrame, text_col: str, user_col: str | None = "user_id",
-                  id_col: str | None = None) -> DataFrame:
+def to_detections(scored: DataFrame, text_col: str = "text", user_col: str = "user_id", keep: Sequence[str] = ()) -> DataFrame:
     """Scored texts shaped as detection rows (P4, K1 input)."""
-    cols = [F.col(text_col).alias("text_content"), "bias_type", "is_biased",
-            F.col("confidence").cast("float").alias("confidence")]
-    if id_col:
-        cols.insert(0, F.col(id_col).alias("id"))
-    if user_col:
-        cols.append(F.col(user_col).alias("user_id"))
-    return scored.select(*cols)
+    return scored.select(*keep, F.col(text_col).alias("text_content"), "bias_type", "is_biased",
+                         F.col("confidence").cast("float").alias("confidence"), F.col(user_col).alias("user_id"))
 
 
 def score_requests(texts: DataFrame, make_predict_fn, dim: int, head: LinearHead = FIXTURE_HEAD,
@@ -158,8 +152,7 @@ def score_requests(texts: DataFrame, make_predict_fn, dim: int, head: LinearHead
     valid, rejects = validate(texts, text_rules())
     vecs = with_text_vectors(valid, "text", make_predict_fn, dim, batch_size=batch_size)
     scored = classify(vecs, "text_vector", head, confidence=confidence)
-    det = scored.select("request_id", F.col("text").alias("text_content"), "bias_type", "is_biased",
-                        F.col("confidence").cast("float").alias("confidence"), "user_id", "score_error")
+    det = to_detections(scored, keep=["request_id", "score_error"])
     if id_start is not None:
         det = assign_ids(det, ["request_id"], start=id_start)
     return det, rejects
@@ -175,5 +168,6 @@ def score(df: DataFrame, model, keys: Sequence[str], vec_col: str = "text_vector
         return out.select(*keys, "bias_type", "is_biased", "confidence", "best_probability", "score_error")
     from .training import score_with_model
     out = score_with_model(df, model, keys, threshold=threshold)
-    return out.withColumn("is_biased", F.col("bias_type") != F.lit(S.NO_BIAS)).withColumn(
-        "confidence", fixed_confidence("is_biased"))
+    out = out.withColumn("is_biased", is_biased("bias_type"))
+    return out.withColumn("confidence", fixed_confidence("is_biased")).select(
+        *keys, "bias_type", "is_biased", "confidence", "best_probability", "score_error")

@@ -117,20 +117,24 @@ def score_with_model(df: DataFrame, model, keys: Sequence[str],
                      topics: Sequence[str] = tuple(S.SCORING_TOPICS), threshold: float = S.THRESHOLD) -> DataFrame:
     """Label texts with a fitted pipeline: one model row per (text, topic),
     then the best topic per text in candidate order (T4 with a trained
-    model).  Each text regroups exactly ``len(topics)`` small rows."""
+    model).  Each text regroups exactly ``len(topics)`` small rows; ``keys``
+    must tell texts apart.  ``score_error`` marks a text with a probability
+    that could not be computed."""
     from pyspark.ml.functions import vector_to_array
     keys = list(keys)
     cand = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(t).alias("topic")) for i, t in enumerate(topics)]))
     rows = df.withColumn("_x", cand).withColumn("topic", F.col("_x.topic")).withColumn("position", F.col("_x.position")).drop("_x")
     p = vector_to_array(F.col("probability"))[1]
     scored = model.transform(rows).select(*keys, "position", "topic", p.alias("p"))
-    ok = scored.filter(F.col("p").isNotNull() & ~F.isnan("p") & (F.col("p") > 0))
-    best = (ok.groupBy(*keys)
-            .agg(F.max_by(F.struct("p", "topic"), F.struct(F.col("p"), -F.col("position"))).alias("b")))
+    bad = F.col("p").isNull() | F.isnan("p")
+    rank = F.when(~bad & (F.col("p") > 0), F.struct(F.col("p"), -F.col("position")))
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct("p", "topic"), rank).alias("b"), F.max(rank).isNotNull().alias("any"),
+                                     F.max(bad).alias("bad"))
     out = df.select(*keys).join(best, keys, "left")
-    label = F.when(F.col("b.p") >= F.lit(threshold), F.col("b.topic")).otherwise(F.lit(S.NO_BIAS))
+    p = F.when(F.col("any"), F.col("b.p"))
+    label = F.when(p >= F.lit(threshold), F.col("b.topic")).otherwise(F.lit(S.NO_BIAS))
     return out.select(*keys, F.coalesce(label, F.lit(S.NO_BIAS)).alias("bias_type"),
-                      F.coalesce(F.col("b.p"), F.lit(0.0)).alias("best_probability"))
+                      F.coalesce(p, F.lit(0.0)).alias("best_probability"), F.coalesce("bad", F.lit(True)).alias("score_error"))
 
 
 def predict_rows(augmented: DataFrame, model) -> DataFrame:

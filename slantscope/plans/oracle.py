@@ -412,3 +412,15 @@ _AUDIT_TRAINING = _rules("training", "training", [
     ("text_too_long", "strlen(text_content) > 65535"), ("source_too_long", "length(source) > 100")]) + [
     _unique("training", "training", "id", "id_duplicate")]
 SQL["constraint_audit_broken"] = with_(*BROKEN) + "\nUNION ALL\n".join(_AUDIT + _AUDIT_TRAINING)
+
+SQL["model_scores"] = with_(LABELLED) + "SELECT doc_id, true AS consistent FROM labelled"
+SQL["train_rows"] = with_(LABELLED) + "SELECT doc_id, topic, label FROM labelled WHERE split = 'train'"
+SQL["shuffled_rows"] = with_(LABELLED) + "SELECT doc_id, split, label FROM labelled"
+SQL["load_training"] = with_(LABELLED) + """
+SELECT doc_id, topic, label, md5("TEXT") AS text_md5, 'corpus' AS source, TIMESTAMP '2024-06-01 00:00:00' AS created_at,
+       CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-06-02 00:00:00' ELSE TIMESTAMP '2024-06-01 00:00:00' END AS updated_at
+FROM labelled"""
+SQL["texts_json"] = SQL["validate_awkward_texts"].replace(
+    "*, CASE WHEN text IS NULL THEN 'text_missing' WHEN text = '' THEN 'text_empty' END AS reject_reason", "*")
+SQL["feedback_json"] = with_(_IN0, AWKWARD_INCOMING) + "SELECT record_id, is_correct, feedback_content, user_id FROM incoming"
+SQL["registrations_json"] = with_(_REG0, AWKWARD_REGISTRATIONS) + "SELECT username FROM registrations"

@@ -373,6 +373,68 @@ def train_and_score(spark, sf_dir):
     return ev.evaluate(rows, by="split")
 
 
+@query("model_scores")
+def model_scores(spark, sf_dir):
+    # a fitted model labels every text: one row per text with both kinds of model, whatever the fitted numbers are
+    lab = fx.labelled(spark, sf_dir)
+    model = training.train(training.augment(lab.filter(F.col("split") == "train")), max_iter=2, num_features=1 << 14)
+    out = scoring.score(lab, model, ["doc_id"])
+    consistent = (F.col("is_biased") == (F.col("best_probability") >= S.THRESHOLD) & (F.col("bias_type") != S.NO_BIAS)) & ~F.col("score_error")
+    return out.select("doc_id", consistent.alias("consistent"))
+
+
+@query("train_rows")
+def train_rows(spark, sf_dir):
+    return fx.labelled(spark, sf_dir).filter(F.col("split") == "train").select("doc_id", "topic", "label")
+
+
+@query("shuffled_rows")
+def shuffled_rows(spark, sf_dir):
+    return training.shuffled(fx.labelled(spark, sf_dir)).select("doc_id", "split", "label")
+
+
+FIXED_CLOCK = dt.datetime(2024, 6, 1)
+
+
+@query("load_training")
+def load_training(spark, sf_dir):
+    # rows without times take the clock's, an update moves updated_at; the stored table is read by its schema
+    lab = fx.labelled(spark, sf_dir)
+    rows = lab.select(F.col("doc_id").alias("id"), F.col("TEXT").alias("text_content"), F.col("topic").alias("bias_type"),
+                      (F.col("label") == 1).alias("is_biased"), F.lit("corpus").alias("source"))
+    path, later = scratch_path(spark, "training"), FIXED_CLOCK + dt.timedelta(days=1)
+    first = tables.with_defaults(rows, "training", FIXED_CLOCK)
+    touched = tables.with_defaults(first.filter(F.col("id") % 2 == 0), "training", later, touch=["updated_at"])
+    tables.write_table(first.filter(F.col("id") % 2 != 0), "training", path)
+    tables.write_table(touched, "training", path)
+    stored = readers.load(spark, "training", path)
+    back = training.labelled_from_training(stored).select("doc_id", "topic", "label", F.md5("TEXT").alias("text_md5"))
+    return back.join(stored.select(F.col("id").alias("doc_id"), "source", "created_at", "updated_at"), "doc_id")
+
+
+def _json_trip(spark, df, tag, read):
+    path = scratch_path(spark, tag)
+    df.write.json(path)
+    return read(spark, path)
+
+
+@query("texts_json")
+def texts_json(spark, sf_dir):
+    return _json_trip(spark, fx.awkward_requests(spark, sf_dir), "texts-json", readers.read_texts)
+
+
+@query("feedback_json")
+def feedback_json(spark, sf_dir):
+    f = fx.awkward_feedback(spark, sf_dir).select("record_id", "is_correct", "feedback_content", "user_id")
+    return _json_trip(spark, f, "feedback-json", readers.read_feedback)
+
+
+@query("registrations_json")
+def registrations_json(spark, sf_dir):
+    r = fx.awkward_registrations(spark, sf_dir).select("username")
+    return _json_trip(spark, r, "registrations-json", readers.read_registrations)
+
+
 @query("csv_round_trip")
 def csv_round_trip(spark, sf_dir):
     lab = fx.labelled(spark, sf_dir).drop("doc_id")

@@ -94,8 +94,6 @@ PAGE_SIZE = 10
 TRAIN_MAX_LEN = 128
 SCORE_MAX_LEN = 512
 BATCH_SIZE = 16
-EPOCHS = 3
-LEARNING_RATE = 2e-5
 ROLES = ["user", "admin"]
 DEFAULT_ROLE = "user"
 USERNAME_MAX_CHARS = 50

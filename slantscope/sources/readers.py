@@ -19,14 +19,16 @@ TABLE_SCHEMAS = {
 NULL_MARK = "\u0000"
 
 
-def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_labelled_csv(spark: SparkSession, path: str, single_line: bool = False) -> DataFrame:
     """Labelled texts as CSV with a header: ``TEXT, topic, label, split``.
 
     Texts may hold commas, quotes and line breaks, so records are parsed
-    as multi-line with ``"`` escaping ``"``.
+    as multi-line with ``"`` escaping ``"``; such a file is read by one task.
+    ``single_line`` promises texts without line breaks, and large files are
+    then split among tasks.
     """
     return (spark.read.schema(S.LABELLED_CSV)
-            .option("header", True).option("multiLine", True)
+            .option("header", True).option("multiLine", not single_line)
             .option("quote", '"').option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
@@ -52,10 +54,14 @@ def load(spark: SparkSession, name: str, path: str | None = None, fmt: str = "pa
     ``path`` given: read files of ``fmt`` (parquet by default) with the
     table's schema.  ``fmt='jdbc'``: ``options`` carry url/dbtable and, for a
     parallel read, ``partitionColumn``/``lowerBound``/``upperBound``/
-    ``numPartitions``.  No path: a catalog table of that name.
+    ``numPartitions``; without them the whole table would come through one
+    task, which needs ``numPartitions`` 1 to be said.  No path: a catalog
+    table of that name.
     """
     schema = TABLE_SCHEMAS.get(name)
     if fmt == "jdbc":
+        if "partitionColumn" not in (options or {}) and str((options or {}).get("numPartitions")) != "1":
+            raise ValueError("give partitionColumn, lowerBound, upperBound and numPartitions, or numPartitions=1 for one task")
         r = spark.read.format("jdbc")
         for k, v in (options or {}).items():
             r = r.option(k, v)
