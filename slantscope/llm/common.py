@@ -99,4 +99,5 @@ def text_parts(text: str, size: int = LONG_TEXT) -> Iterator[str]:
         cut = m.end() if m else len(text)
         yield text[at:cut]
         at = cut
-    yield text[at:] if at else text
+    if at < len(text) or not at:
+        yield text[at:]

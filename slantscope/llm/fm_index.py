@@ -52,16 +52,19 @@ class WaveletTree:
             self.levels.append(BitVector(bit))
             self.zeros.append(int(len(s) - bit.sum()))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
+        # where each symbol begins in the order after the last level
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        self.start = np.zeros(sigma, dtype=np.int64)
+        self.start[s[first]] = first
 
     def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each symbol among the first ``lo`` and the first ``hi`` symbols."""
-        start = np.zeros_like(lo)
         for k, (bits, zeros) in enumerate(zip(self.levels, self.zeros)):
             one = ((symbol >> (self.depth - 1 - k)) & 1).astype(bool)
-            a, b, c = bits.rank1(lo), bits.rank1(hi), bits.rank1(start)
+            a, b = bits.rank1(lo), bits.rank1(hi)
             lo = np.where(one, zeros + a, lo - a)
             hi = np.where(one, zeros + b, hi - b)
-            start = np.where(one, zeros + c, start - c)
+        start = self.start[symbol]
         return lo - start, hi - start
 
 
@@ -108,22 +111,30 @@ class FMIndex:
 def repeated_windows(index: FMIndex, length: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows of ``length`` symbols of the indexed texts that occur twice or more: (text, window) pairs.
 
-    Each text is streamed against the index.  A first search from its end settles texts that repeat as a whole, and the
-    windows behind the longest repeated ending.  The others are searched window by window from the left; a
-    search that fails at place i rules out all windows that hold the string from i on, so the next window starts behind i.
+    Each text is streamed against the index.  A search from its end settles texts that repeat as a whole, and the windows
+    inside the longest repeated ending.  A second search, from before the place where the first one failed, settles
+    those inside the longest repeated stretch there.  The windows left are searched from the left; a search that fails at
+    place i rules out all windows that hold the string from i on, so the next window starts behind i.
     """
     starts = index.starts
-    last = sizes - length  # last window of each text
-    use = np.flatnonzero(last >= 0)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    reach = index.longest_back(starts[use] + sizes[use] - 1, starts[use]) - starts[use]
-    n = np.maximum(last[use] - reach + 1, 0)
-    found.append(_spread(use, reach, n))
-    limit = np.where(n > 0, reach, last[use] + 1)  # windows from here on are settled, but for one that was never repeated
-    text, x = use, np.zeros(len(use), dtype=np.int64)
+    text = np.flatnonzero(sizes >= length)
+    last = (sizes - length)[text]  # last window
+    begin = starts[text]
+    reach = index.longest_back(begin + sizes[text] - 1, begin) - begin
+    found = [_spread(text, reach, np.maximum(last - reach + 1, 0))]
+    limit = np.minimum(reach, last + 1)  # windows from here on are settled
+    # windows that end before the place of failure, reach - 1
+    end = reach - 2
+    use = np.flatnonzero(end >= length - 1)
+    low, high = np.zeros(len(text), dtype=np.int64), np.full(len(text), -1)  # settled windows in between
+    low[use] = index.longest_back(begin[use] + end[use], begin[use]) - begin[use]
+    high[use] = end[use] - length + 1
+    found.append(_spread(text, low, np.maximum(high - low + 1, 0)))
+    x = np.zeros(len(text), dtype=np.int64)
     while len(text):
+        x = np.where((x >= low) & (x <= high), high + 1, x)
         go = x < limit
-        text, x, limit = text[go], x[go], limit[go]
+        text, x, limit, low, high = text[go], x[go], limit[go], low[go], high[go]
         if not len(text):
             break
         begin = starts[text] + x

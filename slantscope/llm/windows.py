@@ -28,17 +28,23 @@ _IS_BLANK[list(b" \t\n\r\x0b\x0c")] = True
 
 
 class Units:
-    """A text as units: hashes, number, and the bytes of a stretch of units."""
+    """A text as units: hashes, number, and the bytes of a stretch of units.
+
+    With ``words``, ``data`` is the words joined by one blank."""
 
     def __init__(self, text: str, words: bool):
         self.data = text.encode("utf-8", "surrogatepass")
         self.words = words
         raw = np.frombuffer(self.data, dtype=np.uint8)
         if words:
-            inside = np.concatenate([[False], ~_IS_BLANK[raw], [False]])
+            inside = ~_IS_BLANK[raw]
+            keep = inside.copy()
+            keep[1:] |= inside[:-1]  # one blank behind each word
+            line = np.where(inside, raw, np.uint8(32))[keep]
+            inside = np.concatenate([[False], line != 32, [False]])
             edges = np.flatnonzero(inside[1:] != inside[:-1])
             self.starts, self.ends = edges[::2], edges[1::2]
-            self.n = len(self.starts)
+            self.n, self.data = len(self.starts), line.tobytes()
         else:
             self.raw, self.n = raw, len(raw)
 
@@ -51,9 +57,7 @@ class Units:
 
     def stretch(self, lo: int, hi: int) -> bytes:
         """Units ``lo`` to ``hi``; words joined by one blank."""
-        if not self.words:
-            return self.data[lo:hi]
-        return b" ".join(self.data[self.starts[lo]:self.ends[hi - 1]].split())
+        return self.data[self.starts[lo]:self.ends[hi - 1]] if self.words else self.data[lo:hi]
 
 
 def name128(data: bytes) -> tuple[int, int]:

@@ -35,7 +35,7 @@ def test_swap_penalty_removes_a_groups_weight():
     held = toxicity.fit(rows, words, swap_penalty=10.0)
     gap = lambda m: m.score("two women") - m.score("two men")
     assert gap(free) > 0.3 and abs(gap(held)) < 0.05
-    assert held.score("you idiot") > 0.7 > held.score("women and men")
+    assert held.score("you idiot") > 0.7 > 0.5 > held.score("two women")
     assert toxicity.swapped({"women", "x"}, toxicity.swap_table()) == {"men", "x"}
 
 
