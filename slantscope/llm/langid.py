@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held_out, text_parts, whole_text
+from .common import Scratch, held_out, text_parts, whole_text
 
 ORDER = 5
 MAX_GRAMS = 200_000  # most frequent n-grams kept per language, which bounds the model that is broadcast
@@ -200,6 +200,20 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """The n-grams of each language with the highest counts, at most ``most`` of them.
+
+    The least count that stays is read off the number of n-grams per count; those of equal count are told apart by a
+    hash, so nothing but these numbers is ranked.
+    """
+    mark = [F.col("n"), F.pmod(F.xxhash64("gram"), F.lit(4096))]
+    marked = counts.withColumn("mark", F.struct(mark[0].alias("n"), mark[1].alias("h")))
+    per = marked.groupBy("lang", "mark").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("lang").orderBy(F.col("mark").desc()))
+    least = per.withColumn("upto", upto).where(F.col("upto") <= (most or MAX_GRAMS)).groupBy("lang").agg(F.min("mark").alias("least"))
+    return marked.join(F.broadcast(least), "lang").where(F.col("mark") >= F.col("least")).select("lang", "gram", "n")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """Models of the languages in ``lang_col``, learned from the rows that :func:`held_out` leaves to learn from.
 
@@ -212,9 +226,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Identifier({})
     known = known.where(F.col("lang").isin(sorted(sizes)))
     apart = _calibration(sum(sizes.values()))
-    ranked = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    top = gram_counts(known.where(~apart)).withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= MAX_GRAMS)
-    table = top.select("lang", "gram", "n").toArrow()  # MAX_LANGS * MAX_GRAMS rows at most
+    t = Scratch(docs.sparkSession, "langid")
+    counts = t.put(gram_counts(known.where(~apart)))
+    table = most_frequent(counts).toArrow()  # MAX_LANGS * MAX_GRAMS rows at most
+    t.drop(counts)
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
     grams = np.array(table.column("gram").to_pylist(), dtype=object)
     counts = table.column("n").to_numpy()

@@ -111,3 +111,12 @@ def test_text_in_chunks_scores_alike(monkeypatch):
     monkeypatch.setattr(langid, "text_parts", lambda t, size: iter([t]))
     h2, n2 = m.entropies(texts)
     assert np.allclose(h, h2, equal_nan=True) and (n == n2).all() and n.tolist() == [8, 0, 15, 0, 2]
+
+
+def test_most_frequent_grams(spark):
+    rows = [("a", f"g{i:05d}", 1 + i // 50) for i in range(500)] + [("b", "x", 3)]
+    df = spark.createDataFrame(rows, "lang string, gram string, n long")
+    got = langid.most_frequent(df, 120).collect()
+    own = [r["n"] for r in got if r["lang"] == "a"]
+    assert 110 <= len(own) <= 120 and own.count(10) == own.count(9) == 50 and min(own) == 8
+    assert [r["gram"] for r in got if r["lang"] == "b"] == ["x"]
