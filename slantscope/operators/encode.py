@@ -45,17 +45,18 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
     # stored once: three passes read the counts, none reads the texts again
     counts, path = written(token_counts(df, text_col), "token-counts")
     per_count = counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
-    # counts that many tokens share are low; the highest `size` counts are enough
-    seen, least, above = 0, 0, 0
+    # every count down to `least` fits whole; of the next one, `tie`, only `room` tokens do
+    least, tie, room = None, None, size
     for r in per_count.orderBy(F.col("count").desc()).limit(size).collect():
-        if seen + r["n"] > size:
-            least, above = r["count"], seen
+        if r["n"] > room:
+            tie = r["count"]
             break
-        seen, above = seen + r["n"], seen + r["n"]
-    top = counts.filter(F.col("count") > least)
-    if least:
-        last = counts.filter(F.col("count") == least).orderBy("token").limit(size - above)
-        top = top.unionByName(last)
+        least, room = r["count"], room - r["n"]
+        if not room:
+            break
+    top = counts.filter(F.col("count") >= F.lit(least)) if least is not None else counts.limit(0)
+    if tie is not None:
+        top = top.unionByName(counts.filter(F.col("count") == tie).orderBy("token").limit(room))
     order = [F.col("count").desc(), F.col("token").asc()]
     ids = F.row_number().over(Window.orderBy(*order)) + (FIRST_WORD_ID - 1)
     vocab, _ = written(top.withColumn("token_id", ids.cast("long")), "vocab")

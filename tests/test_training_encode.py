@@ -112,3 +112,12 @@ def test_train_on_given_vectors(spark):
         model = training.train(aug.filter("split = 'train'"), vector_col="v", interaction=inter, max_iter=5)
         m = ev.evaluate(training.predict_rows(aug, model), by="split").collect()
         assert {r.split for r in m} <= {"train", "dev", "test"} and sum(r.n for r in m) == aug.count()
+
+
+def test_vocabulary_sizes_around_ties(spark):
+    docs = spark.createDataFrame([("a a a b b c c d e",)], "text string")
+    want = ["a", "b", "c", "d", "e"]
+    for size in range(1, 8):
+        vocab = enc.build_vocab(docs, "text", size).orderBy("token_id").collect()
+        assert [r.token for r in vocab] == want[:size]
+        assert [r.token_id for r in vocab] == list(range(4, 4 + len(vocab)))
