@@ -41,7 +41,7 @@ def judge_stages(spark, docs, tmp_path):  # noqa: F811
         elif name == "simhash_near_dedup":
             want, classes = expect_simhash(a)
             assert len(b) == classes
-            assert Counter(r["doc_id"] for r in b) == Counter(c for c in {k[2]: 1 for k in want}) or classes > len({k[2] for k in want})
+            assert {r["doc_id"] for r in b} == {least for _, _, least in want}
         elif name == "mixing":
             plan = mixing.mix(before).collect()
             assert len(b) == sum(r["copies"] for r in plan)
@@ -66,7 +66,7 @@ def judge_stages(spark, docs, tmp_path):  # noqa: F811
 def test_stages_on_generated_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")  # noqa: F811
     counts = judge_stages(spark, docs, tmp_path)
-    assert 0 < counts[2] < counts[1] < counts[0] < docs.count()
+    assert 0 < counts[2] <= counts[1] < counts[0] < docs.count()
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
 
 
