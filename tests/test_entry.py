@@ -38,3 +38,17 @@ def test_no_python_in_any_registered_plan(spark):
         ns = executed(fn(spark, SF001))
         bad = [n.nodeName() for n in ns if any(p in n.getClass().getSimpleName() for p in python_nodes)]
         assert not bad, (name, bad)
+
+
+def test_entry_without_the_optional_part(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+    here = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
+    shutil.copytree(os.path.join(here, "slantscope"), tmp_path / "slantscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES), set(e.oracle_sql()) <= set(e.QUERIES))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                         env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.stdout.split() == ["True", "True"], out.stderr
