@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -15,6 +16,15 @@ from ..session import scratch_path
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package where it is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def whole_text(col: str | Column = "text") -> Column:
     """The text itself; null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -1,6 +1,6 @@
 """Toxicity scores from a counterfactual-regularised classifier.
 
-A logistic classifier over the words of a text is fitted on labelled rows.  Each labelled text that mentions a group is
+A logistic classifier over the words of a text and their beginnings (so that inflected forms count) is fitted on labelled rows.  Each labelled text that mentions a group is
 also read with its identity terms swapped for those of another group, and the squared difference of the two scores is
 part of the loss, so that a group's mention by itself neither raises nor lowers a score.
 
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, held_out, text_parts, whole_text
 
 SAMPLE = 20_000  # labelled rows to fit on
-MAX_WORDS = 500  # selected words in the model; identity terms come on top
+MAX_WORDS = 500  # selected words and beginnings in the model; identity terms come on top
+STEMS = (3, 4, 5, 6)  # lengths of word beginnings
 MIN_CHI2, MIN_DOCS = 30.0, 4
 L2, SWAP_PENALTY = 1e-4, 1.0
 CUT = 0.7
@@ -49,6 +50,14 @@ def words_of(text: str | None) -> set[str]:
     return out
 
 
+def features_of(words: set[str]) -> set[str]:
+    """Words, and the beginnings of longer ones, marked with ``^``."""
+    out = set(words)
+    for k in STEMS:
+        out.update({"^" + w[:k] for w in words if len(w) > k})
+    return out
+
+
 def swap_table(terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> dict[str, str]:
     """Each identity term and the next one of its line."""
     return {t: line[(i + 1) % len(line)] for line in terms for i, t in enumerate(line)}
@@ -67,7 +76,7 @@ class Model:
         self.known = frozenset(weights)
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(sorted(self.weights[w] for w in words_of(text) & self.known))
+        z = self.bias + sum(sorted(self.weights[w] for w in features_of(words_of(text)) & self.known))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -142,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [words_of(x) for x in b.column("text").to_pylist()]
+            sets = [features_of(words_of(x)) for x in b.column("text").to_pylist()]
             y = np.repeat(b.column("label").to_numpy(zero_copy_only=False), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array([w for s in sets for w in s], pa.string()), pa.array(y, pa.int32())], names=["word", "label"])
 
@@ -161,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [words_of(x) for x in b.column("text").to_pylist()]
-            own = [sorted(number[w] for w in s if w in number) for s in sets]
-            other = [sorted(number[w] for w in swapped(s, swaps) if w in number) for s in sets]
+            own = [sorted(number[w] for w in features_of(s) if w in number) for s in sets]
+            other = [sorted(number[w] for w in features_of(swapped(s, swaps)) if w in number) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(own, pa.list_(pa.int32())),
                                               pa.array(other, pa.list_(pa.int32()))], names=["id", "label", "own", "other"])
 
