@@ -15,13 +15,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from slantscope.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from slantscope.llm.common import Scratch
+from slantscope.llm.common import Scratch, importable
 
 VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
+    importable(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
 
@@ -33,6 +34,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (SimHash, 3-word shingles, 3 bits), the row with the smallest doc_id stays."""
+    importable(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -43,6 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and checksums of ids and decoded bytes, one row per row of ``docs``."""
+    importable(spark)
     ids = bpe.encode(docs, VOCAB, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(ids, VOCAB))
 
