@@ -31,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)))
 MAX_REPEAT = 3
 FILLS = 2
-BUCKET_HEX = 4  # 65,536 buckets a source: 150,000 documents each for a source of 10 billion
+PART_HEX, BUCKET_HEX = 2, 4  # 256 parts of 256 buckets a source; a source of 10 billion documents has 150,000 in each
 
 
 def word_count(col: str | Column = "text") -> Column:
@@ -91,9 +91,16 @@ def invert_schedule(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 def _running(rows: DataFrame, value: str, into: str) -> DataFrame:
     """``rows`` with the sum of ``value`` over the rows before, in each source's shuffled order."""
-    sums = rows.groupBy("source", "bucket").agg(F.sum(value).alias("_s"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_start"))
+    part = F.substring("bucket", 1, PART_HEX)
+    sums = rows.groupBy("source", part.alias("part"), "bucket").agg(F.sum(value).alias("_s"))
+    # two levels, so that no window holds more than 256 rows
+    by_part = sums.groupBy("source", "part").agg(F.sum("_s").alias("_p"))
+    parts = by_part.select("source", "part", F.coalesce(F.sum("_p").over(
+        Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    ahead = Window.partitionBy("source", "part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inner = sums.select("source", "part", "bucket", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_in"))
+    starts = inner.alias("i").join(parts.alias("p"), F.col("i.source").eqNullSafe(F.col("p.source")) & (
+        F.col("i.part") == F.col("p.part"))).select("i.source", "i.bucket", (F.col("_ahead") + F.col("_in")).alias("_start"))
     inside = (Window.partitionBy("source", "bucket").orderBy("mix_key", "id", "size", "rid")
               .rowsBetween(Window.unboundedPreceding, -1))
     local = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))

@@ -18,6 +18,7 @@ from . import suffix_dedup as _suffix
 from . import topk as _topk
 from . import toxicity as _toxicity
 from . import url_filter as _url
+from .common import importable
 
 #: Rank file of the registered queries; the operator takes any.
 VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,6 +34,7 @@ def query(name: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,8 +51,9 @@ def op2_url_filter(spark, sf_dir):
 @query("op6_mixing")
 def op6_mixing(spark, sf_dir):
     m = _mixing.mix(table(spark, sf_dir, "documents"))
+    # range-sorted by the training position of the first copy, documents that are not taken last
     return m.select("doc_id", "size", "source_size", "target", "taken", "copies",
-                    F.get("positions", F.lit(0)).alias("position"))
+                    F.get("positions", F.lit(0)).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 @query("op1_bpe")
