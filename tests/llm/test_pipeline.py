@@ -66,7 +66,7 @@ def judge_stages(spark, docs, tmp_path):  # noqa: F811
 def test_stages_on_generated_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")  # noqa: F811
     counts = judge_stages(spark, docs, tmp_path)
-    assert 0 < counts[2] <= counts[1] < counts[0] < docs.count()
+    assert 0 < counts[2] <= counts[1] <= counts[0] <= docs.count()  # the smallest table may hold nothing to drop
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
 
 
