@@ -2,10 +2,15 @@
 
 Texts are lower-cased; every run of other characters than letters is one blank.  Character n-grams of the highest
 order are counted per language over all documents that may be learned from (a Spark aggregation); the counts of the lower orders
-are Kneser-Ney continuation counts.  A language's model is, per order, a sorted array of 64-bit n-gram hashes with
-the discounted probabilities, and one of context hashes with the interpolation weights.  A text gets the language
+are Kneser-Ney continuation counts, and discounts and context totals are aggregations, too.  Every n-gram is kept.  A language's
+model is, per order, a list of 64-bit n-gram hashes with the discounted probabilities, and one of context hashes with the
+interpolation weights; a stored table holds them for all languages.  A text gets the language
 with the lowest cross-entropy per character.  Rejection: a text whose cross-entropy is above what all but a share
 of a language's calibration documents reach is marked.
+
+Scoring: a table of up to ``SMALL`` rows is broadcast as sorted arrays.  A larger one stays where it is: texts are scored in
+batches of neighbouring rows, the distinct n-grams of a batch are joined with the table, and each batch meets the part of the
+table that it asks for.  Both ways give the same values.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +28,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, held_out, text_parts, whole_text
 
 ORDER = 5
-MAX_GRAMS = 200_000  # most frequent n-grams kept per language, which bounds the model that is broadcast
+SMALL = 2_000_000  # rows of a model table that is broadcast; larger ones are joined
+BATCH = 1 << 23  # bytes of text that share the joined part of a larger table
 MAX_LANGS = 100  # most frequent languages
 CALIBRATION = 4_000  # documents to calibrate on; they are not counted
 REJECT_SHARE = 0.01
@@ -104,7 +111,7 @@ class LanguageModel:
     def __init__(self, grams: list[str], counts: np.ndarray, alphabet: int):
         cols = [np.array([ord(g[i]) for g in grams], dtype=np.uint32) for i in range(ORDER)]
         self.floor = 1.0 / (alphabet + 1)
-        self.orders = []
+        self.orders: list[tuple[np.ndarray, ...]] = []
         c = counts.astype(float)
         for n in range(ORDER, 0, -1):
             ones, twos = (c == 1).sum(), (c == 2).sum()
@@ -123,17 +130,28 @@ class LanguageModel:
                 cols, c = [x[first] for x in cols[1:]], c.astype(float)
         self.orders.reverse()
 
+    @classmethod
+    def of(cls, orders: list[tuple[np.ndarray, ...]], floor: float) -> LanguageModel:
+        """A model from its arrays, or from those parts of them that some texts ask for."""
+        m = cls.__new__(cls)
+        m.orders, m.floor = orders, floor
+        return m
+
     def log_prob(self, cols: list[np.ndarray]) -> np.ndarray:
         """Log probability of the last character of each n-gram after the others."""
         p = np.full(len(cols[0]), self.floor)
         for n, (grams, prob, ctx, weight) in enumerate(self.orders, 1):
             own = cols[ORDER - n:]
             h = _hash(own[:-1]) if n > 1 else np.repeat(_hash([]), len(p))
+            if not len(ctx):
+                continue
             i = np.minimum(np.searchsorted(ctx, h), len(ctx) - 1)
             known = ctx[i] == h
-            g = _hash(own)
-            j = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-            seen = np.where(grams[j] == g, prob[j], 0.0)
+            seen = 0.0
+            if len(grams):
+                g = _hash(own)
+                j = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+                seen = np.where(grams[j] == g, prob[j], 0.0)
             p = np.where(known, seen + weight[i] * p, p)
         return np.log(p)
 
@@ -200,21 +218,95 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The n-grams of each language with the highest counts, at most ``most`` of them.
 
     The least count that stays is read off the number of n-grams per count; those of equal count are told apart by a
-    hash, so nothing but these numbers is ranked.
+    hash, so nothing but these numbers is ranked.  :func:`train` keeps all n-grams and does not use this.
     """
     mark = [F.col("n"), F.pmod(F.xxhash64("gram"), F.lit(4096))]
     marked = counts.withColumn("mark", F.struct(mark[0].alias("n"), mark[1].alias("h")))
     per = marked.groupBy("lang", "mark").agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(Window.partitionBy("lang").orderBy(F.col("mark").desc()))
-    least = per.withColumn("upto", upto).where(F.col("upto") <= (most or MAX_GRAMS)).groupBy("lang").agg(F.min("mark").alias("least"))
+    least = per.withColumn("upto", upto).where(F.col("upto") <= most).groupBy("lang").agg(F.min("mark").alias("least"))
     return marked.join(F.broadcast(least), "lang").where(F.col("mark") >= F.col("least")).select("lang", "gram", "n")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
+def model_table(counts: DataFrame, t: Scratch) -> tuple[DataFrame, float]:
+    """``lang, gram, n`` -> the stored table ``lang, kind, key, value`` of all languages' models, and the share of an unseen character.
+
+    ``kind`` is 2 k for n-grams of order k (``value``: discounted probability) and 2 k + 1 for its contexts
+    (interpolation weight); ``key`` is the hash.
+    """
+    levels = [counts.select("lang", "gram", "n")]
+    for k in range(ORDER, 1, -1):  # continuation counts: distinct characters seen before the shorter n-gram
+        levels.append(t.put(levels[-1].groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+    letters = levels[-1].select("gram").distinct().count()
+    rows = None
+    for k, level in zip(range(ORDER, 0, -1), levels):
+        one = level.select(F.lit(k).alias("k"), "lang", "gram", F.substring("gram", 1, k - 1).alias("ctx"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    ones, twos = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
+    discount = F.when(ones + twos > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), ones / (ones + 2 * twos)))).otherwise(0.5)
+    steps = rows.groupBy("k", "lang").agg(discount.alias("d"))
+    own = Window.partitionBy("k", "lang", "ctx")
+    placed = rows.select("k", "lang", "gram", "n", F.sum("n").over(own).alias("total"), F.count(F.lit(1)).over(own).alias("kinds"),
+                         (F.row_number().over(own.orderBy("gram")) == 1).alias("first"))
+    valued = placed.join(F.broadcast(steps), ["k", "lang"]).select(
+        "k", "lang", "gram", "first", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("prob"),
+        (F.col("d") * F.col("kinds") / F.col("total")).alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            orders = b.column("k").to_numpy()
+            for k in np.unique(orders):
+                part = b.filter(pa.array(orders == k))
+                flat = np.frombuffer("".join(part.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+                cols = list(flat.reshape(-1, k).T)
+                heads = part.column("first").to_numpy(zero_copy_only=False)
+                ctx = np.broadcast_to(_hash(cols[:-1]), len(heads))
+                key = np.concatenate([_hash(cols), ctx[heads]]).view(np.int64)
+                kind = np.repeat([2 * k, 2 * k + 1], [len(heads), heads.sum()]).astype(np.int32)
+                value = np.concatenate([part.column("prob").to_numpy(), part.column("weight").to_numpy()[heads]])
+                lang = pa.concat_arrays([part.column("lang"), part.column("lang").filter(pa.array(heads))])
+                yield pa.RecordBatch.from_arrays([lang, pa.array(kind), pa.array(key), pa.array(value)], names=["lang", "kind", "key", "value"])
+
+    table = t.put(valued.mapInArrow(run, "lang string, kind int, key long, value double"))
+    t.drop(*levels[1:])
+    return table, 1.0 / (letters + 1)
+
+
+def assemble(names: list[str], floor: float, lang: np.ndarray, kind: np.ndarray, key: np.ndarray, value: np.ndarray) -> Identifier:
+    """The models of ``names`` from rows of a model table; ``lang`` holds places in ``names``."""
+    code = lang.astype(np.int64) * (2 * ORDER + 2) + kind
+    key = key.view(np.uint64)
+    order = np.lexsort((key, code))
+    code, key, value = code[order], key[order], value[order]
+    ends = np.searchsorted(code, np.arange(len(names) * (2 * ORDER + 2) + 1))
+
+    def part(i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(*ends[i * (2 * ORDER + 2) + k:][:2])
+        return key[at], value[at]
+
+    return Identifier({name: LanguageModel.of([(*part(i, 2 * n), *part(i, 2 * n + 1)) for n in range(1, ORDER + 1)], floor)
+                       for i, name in enumerate(names)})
+
+
+class StoredModels:
+    """The models of all learned languages as a stored table, with rejection limits."""
+
+    def __init__(self, names: list[str], floor: float, table: DataFrame):
+        self.names, self.floor, self.table, self.limits = sorted(names), floor, table, {}
+
+    def whole(self) -> Identifier:
+        """All of the table in memory."""
+        rows = self.table.toArrow()
+        place = {name: i for i, name in enumerate(self.names)}
+        lang = np.array([place[x] for x in rows.column("lang").to_pylist()], dtype=np.int64)
+        return assemble(self.names, self.floor, lang, *(rows.column(c).to_numpy() for c in ("kind", "key", "value")))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | StoredModels:
     """Models of the languages in ``lang_col``, learned from the rows that :func:`held_out` leaves to learn from.
 
     Rows with a null text or language are not learned from.  Without any, every prediction is ``und``.
@@ -228,41 +320,117 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     apart = _calibration(sum(sizes.values()))
     t = Scratch(docs.sparkSession, "langid")
     counts = t.put(gram_counts(known.where(~apart)))
-    table = most_frequent(counts).toArrow()  # MAX_LANGS * MAX_GRAMS rows at most
+    table, floor = model_table(counts, t)
     t.drop(counts)
-    langs = np.array(table.column("lang").to_pylist(), dtype=object)
-    grams = np.array(table.column("gram").to_pylist(), dtype=object)
-    counts = table.column("n").to_numpy()
-    alphabet = len({g[-1] for g in grams})
-    models = {}
-    for lang in sorted(set(langs)):
-        own = np.flatnonzero(langs == lang)
-        own = own[np.argsort(grams[own])]
-        models[lang] = LanguageModel(list(grams[own]), counts[own], alphabet)
-    found = Identifier(models)
+    held = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}
+    found = StoredModels(list(held), floor, table)
+    if sum(held.values()) <= SMALL:
+        found = found.whole()
+        t.drop(table)
     shares = predict(known.where(apart), found, "id", "text", ["lang"]).where("lang = lang_pred").groupBy("lang").agg(
         F.percentile_approx("entropy", 1 - REJECT_SHARE, 10_000).alias("most"))
     found.limits = {r["lang"]: r["most"] for r in shares.collect()}
     return found
 
 
-def predict(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _scored(found: Identifier, cols: list[pa.Array], names: list[str], texts: pa.Array) -> pa.RecordBatch:
+    lang, score, entropy, rejected = found.predict(texts.to_pylist())
+    return pa.RecordBatch.from_arrays(
+        [*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()),
+         pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "entropy", "rejected"])
+
+
+def predict(docs: DataFrame, model: Identifier | StoredModels, id_col: str = "doc_id", text_col: str = "text",
+            keep: list[str] | None = None) -> DataFrame:
     """``lang_pred, score, entropy, rejected`` per row of ``docs``; only the text is an input.
 
     A null text, or one without a letter, gets ``und``, score 0 and null entropy, and is rejected.  ``lang_pred`` names the best
     language also where ``rejected`` says that no learned language fits well.  Repeated rows get the same
-    values; null ids stay null; an empty table gives an empty result.
+    values; null ids stay null; an empty table gives an empty result.  With :class:`StoredModels`, ``docs`` is read
+    twice and must be a read of stored files.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [id_col, *(keep or [])]
+    src = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(text_col).alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    out = f"{schema}, lang_pred string, score double, entropy double, rejected boolean"
+    if isinstance(model, StoredModels):
+        return _predict_joined(src, model, names, schema, out)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score, entropy, rejected = shared.value.predict(b.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()),
-                 pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "entropy", "rejected"])
+            yield _scored(shared.value, b.columns[:-1], names, b.column(len(names)))
 
-    src = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+    return src.mapInArrow(run, out)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch with its rows' batch numbers: neighbouring rows of a partition share one up to ``size`` bytes of text."""
+    before = 0
+    for b in batches:
+        ends = before + np.cumsum(pc.binary_length(b.column("_text")).to_numpy().astype(np.int64) + 1)
+        if len(ends):
+            starts = np.concatenate([[before], ends[:-1]])
+            before = int(ends[-1])
+            yield b, (b.column("_part").to_numpy().astype(np.int64) << 40) + starts // size
+
+
+def _runs(*cols: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends of stretches of equal values."""
+    cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(cols[0])])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """``_batch, kind, key`` of the rows of a model table that each batch's texts look up."""
+    for b, number in _numbered(batches, size):
+        for lo, hi in _runs(number):
+            for parts in _chunks((0, b.column("_text")[i].as_py()) for i in range(lo, hi)):
+                cols, _, _ = _distinct(parts)
+                for n in range(1, ORDER + 1):
+                    own = cols[ORDER - n:]
+                    for kind, key in ((2 * n, np.unique(_hash(own))), (2 * n + 1, np.unique(_hash(own[:-1])))):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), number[lo])), pa.array(np.full(len(key), kind, np.int32)),
+                                                          pa.array(key.view(np.int64))], names=["_batch", "kind", "key"])
+
+
+def _predict_joined(src: DataFrame, model: StoredModels, names: list[str], schema: str, out: str) -> DataFrame:
+    """:func:`predict` by joining each batch's n-grams and contexts with the stored table."""
+    size = BATCH
+    src = src.withColumn("_part", F.spark_partition_id())
+    shared = src.sparkSession.sparkContext.broadcast((model.names, model.floor, model.limits))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at in _numbered(batches, size):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(at)], names=[*names, "_text", "_batch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, floor, limits = shared.value
+        place = {name: i for i, name in enumerate(known)}
+        now, rows, found = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, is_text = b.column("_batch").to_numpy(), b.column("_is_text").to_numpy(zero_copy_only=False)
+            for lo, hi in _runs(at, is_text):
+                part = b.slice(lo, hi - lo)
+                if at[lo] != now:
+                    now, rows, found = at[lo], [], None
+                if not is_text[lo]:
+                    lang = np.array([place[x] for x in part.column("_lang").to_pylist()], dtype=np.int64)
+                    rows.append((lang, *(part.column(c).to_numpy() for c in ("_kind", "_key", "_value"))))
+                    continue
+                if found is None:
+                    empty = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+                    found = assemble(known, floor, *(np.concatenate(c) for c in zip(empty, *rows)))
+                    found.limits, rows = limits, []
+                yield _scored(found, [part.column(c) for c in names], names, part.column("_text"))
+
+    # a batch asks for a row once; hashing by the row's key serves both steps
+    asked = src.mapInArrow(lambda batches: _asked(batches, size), "_batch long, kind int, key long").repartition("kind", "key").distinct()
+    given = asked.join(model.table, ["kind", "key"]).select(
+        "_batch", F.lit(False).alias("_is_text"), F.col("lang").alias("_lang"), F.col("kind").alias("_kind"), F.col("key").alias("_key"),
+        F.col("value").alias("_value"))
+    texts = src.mapInArrow(number, f"{schema}, _text string, _batch long").withColumn("_is_text", F.lit(True))
+    both = texts.unionByName(given, allowMissingColumns=True)
+    return both.repartition("_batch").sortWithinPartitions("_batch", "_is_text").mapInArrow(run, out)

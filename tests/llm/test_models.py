@@ -120,3 +120,38 @@ def test_most_frequent_grams(spark):
     own = [r["n"] for r in got if r["lang"] == "a"]
     assert 110 <= len(own) <= 120 and own.count(10) == own.count(9) == 50 and min(own) == 8
     assert [r["gram"] for r in got if r["lang"] == "b"] == ["x"]
+
+
+def test_model_keeps_every_gram(spark, tmp_path):
+    # more 5-grams than any fixed number of places, nearly all of them seen once
+    rng = np.random.default_rng(7)
+    words = [bytes(w).decode() for w in rng.integers(97, 123, (100_000, 5), dtype=np.uint8)]
+    texts = [" ".join(words[i:i + 1000]) for i in range(0, len(words), 1000)]
+    rows = [(i, "xx", x) for i, x in enumerate(texts)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "id long, lang string, text string").write.parquet(path)
+    counts = langid.gram_counts(spark.read.parquet(path)).toPandas().sort_values("gram")
+    assert len(counts) > 250_000 and (counts["n"] == 1).mean() > 0.9
+    table, floor = langid.model_table(spark.read.parquet(path).transform(langid.gram_counts), langid.Scratch(spark, "langid-test"))
+    got = langid.StoredModels(["xx"], floor, table).whole().models["xx"]
+    want = langid.LanguageModel(list(counts["gram"]), counts["n"].to_numpy(), 27)
+    assert got.floor == want.floor and len(got.orders) == len(want.orders) == langid.ORDER
+    for a, b in zip(got.orders, want.orders):
+        assert all(np.array_equal(a[i], b[i]) for i in (0, 2)) and all(np.allclose(a[i], b[i], rtol=1e-12) for i in (1, 3))
+    trained = langid.train(spark.read.parquet(path), "id")
+    assert isinstance(trained, langid.Identifier) and len(trained.models["xx"].orders[-1][0]) > 200_000
+
+
+def test_joined_models_score_alike(spark, tables, docs, monkeypatch):
+    for source in (tables["documents"], docs):
+        whole = langid.train(source)
+        assert isinstance(whole, langid.Identifier)
+        want = langid.predict(source, whole, keep=["source"]).collect()
+        with monkeypatch.context() as m:
+            m.setattr(langid, "SMALL", 0)
+            m.setattr(langid, "BATCH", 50_000)
+            stored = langid.train(source)
+            assert isinstance(stored, langid.StoredModels) and stored.limits == pytest.approx(whole.limits)
+            got = langid.predict(source, stored, keep=["source"]).collect()
+        key = lambda r: (str(r["doc_id"]), str(r["source"]), r["lang_pred"], round(r["score"], 9), round(r["entropy"] or -1, 9), r["rejected"])
+        assert sorted(map(key, got)) == sorted(map(key, want))
