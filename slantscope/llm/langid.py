@@ -30,7 +30,6 @@ from .common import Scratch, held_out, text_parts, whole_text
 ORDER = 5
 SMALL = 2_000_000  # rows of a model table that is broadcast; larger ones are joined
 BATCH = 1 << 23  # bytes of text that share the joined part of a larger table
-MAX_LANGS = 100  # most frequent languages
 CALIBRATION = 4_000  # documents to calibrate on; they are not counted
 REJECT_SHARE = 0.01
 EVIDENCE = 20  # characters that a score's confidence counts at most
@@ -313,11 +312,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text is not null and lang is not null").where(~held_out("id"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()}
-    if not sizes:
+    n = known.count()
+    if not n:
         return Identifier({})
-    known = known.where(F.col("lang").isin(sorted(sizes)))
-    apart = _calibration(sum(sizes.values()))
+    apart = _calibration(n)
     t = Scratch(docs.sparkSession, "langid")
     counts = t.put(gram_counts(known.where(~apart)))
     table, floor = model_table(counts, t)

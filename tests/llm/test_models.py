@@ -155,3 +155,22 @@ def test_joined_models_score_alike(spark, tables, docs, monkeypatch):
             got = langid.predict(source, stored, keep=["source"]).collect()
         key = lambda r: (str(r["doc_id"]), str(r["source"]), r["lang_pred"], round(r["score"], 9), round(r["entropy"] or -1, 9), r["rejected"])
         assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """130 languages of nine documents, each with letters of its own."""
+    rows = []
+    for i in range(130):
+        letters = [chr(0x4E00 + 20 * i + j) for j in range(20)]
+        rng = np.random.default_rng(i)
+        rows += [(9 * i + k, f"l{i:03d}", " ".join("".join(rng.choice(letters, 4)) for _ in range(30))) for k in range(9)]
+    path = str(tmp_path_factory.mktemp("many") / "d")
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_every_language_is_learned(many):
+    model = langid.train(many)
+    got = langid.predict(many, model, keep=["lang"]).collect()
+    assert len(got) == 9 * 130 and all(r["lang_pred"] == r["lang"] for r in got)
