@@ -30,7 +30,8 @@ from .common import Scratch, held_out, text_parts, whole_text
 ORDER = 5
 SMALL = 2_000_000  # rows of a model table that is broadcast; larger ones are joined
 BATCH = 1 << 23  # bytes of text that share the joined part of a larger table
-CALIBRATION = 4_000  # documents to calibrate on; they are not counted
+CALIBRATION = 0.1  # share of a language's documents to calibrate on; they are not counted
+FLOOR = 20  # documents of a language to calibrate on at least, if it has twice as many
 REJECT_SHARE = 0.01
 EVIDENCE = 20  # characters that a score's confidence counts at most
 CHUNK = 1 << 21  # characters scored at a time
@@ -194,10 +195,21 @@ class Identifier:
         return out
 
 
-def _calibration(n: int):
-    """True for a share of the documents that gives about CALIBRATION of n, chosen by the text's hash."""
-    share = min(0.1, CALIBRATION / max(n, 1))
-    return F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30)) < int(share * (1 << 30))
+def set_apart(known: DataFrame, t: Scratch) -> DataFrame:
+    """``known(id, text, lang)`` with ``apart``: true for the documents to calibrate on, chosen by a hash.
+
+    A share of each language; of a language too small for ``FLOOR`` in it, ``FLOOR`` different ones or half of them, whichever is less.
+    """
+    place = F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30))
+    sizes = t.put(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    small = sizes.where(F.col("n") * CALIBRATION < FLOOR).select("lang")
+    below = F.lit(int(CALIBRATION * (1 << 30)))
+    if small.isEmpty():
+        return known.withColumn("apart", place < below)
+    firsts = known.join(F.broadcast(small), "lang").groupBy("lang").agg(F.sort_array(F.collect_set(place)).alias("p"))
+    own = firsts.select("lang", F.element_at("p", F.least(F.lit(FLOOR), F.floor(F.size("p") / 2)).cast("int") + 1).alias("own"))
+    cuts = t.put(sizes.join(own, "lang", "left").select("lang", F.coalesce("own", below).alias("below")))
+    return known.join(F.broadcast(cuts), "lang").withColumn("apart", place < F.col("below")).drop("below")
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -312,20 +324,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text is not null and lang is not null").where(~held_out("id"))
-    n = known.count()
-    if not n:
-        return Identifier({})
-    apart = _calibration(n)
     t = Scratch(docs.sparkSession, "langid")
-    counts = t.put(gram_counts(known.where(~apart)))
+    known = set_apart(known, t)
+    counts = t.put(gram_counts(known.where("not apart")))
     table, floor = model_table(counts, t)
     t.drop(counts)
     held = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}
+    if not held:
+        return Identifier({})
     found = StoredModels(list(held), floor, table)
     if sum(held.values()) <= SMALL:
         found = found.whole()
         t.drop(table)
-    shares = predict(known.where(apart), found, "id", "text", ["lang"]).where("lang = lang_pred").groupBy("lang").agg(
+    shares = predict(known.where("apart"), found, "id", "text", ["lang"]).where("lang = lang_pred").groupBy("lang").agg(
         F.percentile_approx("entropy", 1 - REJECT_SHARE, 10_000).alias("most"))
     found.limits = {r["lang"]: r["most"] for r in shares.collect()}
     return found

@@ -174,3 +174,17 @@ def test_every_language_is_learned(many):
     model = langid.train(many)
     got = langid.predict(many, model, keep=["lang"]).collect()
     assert len(got) == 9 * 130 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_every_language_is_calibrated(spark, many, tmp_path):
+    model = langid.train(many)
+    assert len(model.limits) == 130
+    known = many.where(~langid.held_out("doc_id")).withColumnRenamed("doc_id", "id")
+    split = langid.set_apart(known, langid.Scratch(spark, "langid-test")).groupBy("lang").agg(
+        langid.F.count("*").alias("n"), langid.F.sum(langid.F.col("apart").cast("int")).alias("k")).collect()
+    assert len(split) == 130 and all(r["k"] == min(langid.FLOOR, r["n"] // 2) for r in split)
+    # the share does not shrink where there are many documents
+    big = spark.range(60_000).selectExpr("id", "cast(id as string) as text", "if(id % 1000 = 0, 'rare', 'frequent') as lang")
+    split = {r["lang"]: r["k"] for r in langid.set_apart(big, langid.Scratch(spark, "langid-test")).where("apart").groupBy("lang").agg(
+        langid.F.count("*").alias("k")).collect()}
+    assert split["rare"] == langid.FLOOR and 5_500 < split["frequent"] < 6_500
