@@ -5,7 +5,9 @@
    shared again by weight until no target is above its stop.
 2. Copies.  A source takes every document as often as its target holds the whole source, and
    once more for documents in a fixed shuffled order (MD5 of the id) as far as they fit; then,
-   ``FILLS`` times, the largest document that fits the gap still open.
+   ``FILLS`` times, the largest document that fits the gap still open.  That is the mix of the registered SQL, and it can stop
+   far below a target behind a long document; with ``close``, the shuffled order is read again among the documents
+   that fit, until none does.
 3. Positions.  A source's weight varies over training time t in [0, 1] by a piecewise-linear
    schedule.  Its integral says how much of the source is due by time t; the inverse of that
    integral gives each copy, by the words its source took before it, a training position.
@@ -19,6 +21,7 @@ no task gets a whole source.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,12 +112,34 @@ def _running(rows: DataFrame, value: str, into: str) -> DataFrame:
     return joined.select("l.*", (F.col("r._start") + F.col("l._local")).alias(into)).drop("_local")
 
 
+def _close(rows: DataFrame, state: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Documents of ``rows`` for the gaps of ``state(source, gap, extra_sum)``, until no other fits: ``rid, fill_before``, and the new sums.
+
+    A round takes, in shuffled order, the documents before the first one that crosses the gap; those too large for it are left out.
+    """
+    free = rows.where("not extra and size > 0").select("rid", "source", "id", "size", "mix_key", "bucket")
+    state, taken = t.put(state), []
+    while True:
+        fit = t.put(free.alias("d").join(state.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).where(
+            "d.size <= g.gap").select("d.*", "g.gap", "g.extra_sum"))
+        took = t.put(_running(fit, "size", "at").where(F.col("at") + F.col("size") <= F.col("gap")).select(
+            "rid", "source", "size", (F.col("extra_sum") + F.col("at")).alias("fill_before")))
+        taken.append(took.select("rid", "fill_before"))
+        if fit.isEmpty():
+            return reduce(DataFrame.unionByName, taken), state.select("source", "extra_sum")
+        more = took.groupBy("source").agg(F.sum("size").alias("more"))
+        state = t.put(state.alias("g").join(more.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source")), "left").select(
+            "g.source", (F.col("gap") - F.coalesce("more", F.lit(0))).alias("gap"),
+            (F.col("extra_sum") + F.coalesce("more", F.lit(0))).alias("extra_sum")))
+        free = fit.join(took.select("rid"), "rid", "left_anti").drop("gap", "extra_sum")
+
+
 def _at_times(due, knots):
     return lambda s: invert_schedule(due(s), knots)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT) -> DataFrame:
+        weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, close: bool = False) -> DataFrame:
     """How often, and when in training, the mix takes each row of ``docs``.
 
     Returns one row per row of ``docs``: ``rid`` (row number), the id column, ``source``, ``size``
@@ -124,7 +149,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sources are ranked by code point with null last, and weights repeat along that order.  A null
     source is a source of its own.  Empty texts have size 0: they are copied as often as the target
     holds the whole source, and cost nothing.  Repeated rows are separate documents.
-    An empty table gives an empty result.  Other columns are not read.
+    An empty table gives an empty result.  Other columns are not read.  With ``close``, no document that is left would fit
+    what a source lacks of its target.
     """
     if len(schedules) != len(weights):
         raise ValueError("one schedule per weight")
@@ -166,6 +192,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             Window.unboundedPreceding, -1)), F.lit(0))).alias("fill_before"))
     sums = gaps.alias("g").join(got.alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left").select(
         "g.source", (F.col("g.first") + F.coalesce("f.filled", F.lit(0))).alias("extra_sum"))
+    if close:
+        closed, sums = _close(rows.join(picked.select("rid"), "rid", "left_anti"), cur.join(sums.withColumnRenamed(
+            "source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("source", "gap", "extra_sum"), t)
+        fills = fills.unionByName(closed)
 
     out = rows.join(fills, "rid", "left")
     out = out.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.extra_sum")

@@ -1,4 +1,5 @@
 from collections import defaultdict
+from hashlib import md5
 
 import pytest
 from brute import words
@@ -75,3 +76,26 @@ def test_bad_schedules():
     for knots in (((0.0, 1.0),), ((0.1, 1.0), (1.0, 1.0)), ((0.0, -1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 0.0)), ((0.0, 1.0), (0.0, 1.0), (1.0, 1.0))):
         with pytest.raises(ValueError):
             mixing.invert_schedule(None, knots)
+
+
+def test_long_document_does_not_end_the_mix(spark, docs, rows, tmp_path):
+    # a long document early in the shuffled order, larger than the target
+    ids = sorted(range(1001), key=lambda i: md5(str(i).encode()).hexdigest())
+    sizes = {i: 100_000 if i == ids[10] else 100 for i in ids}
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, "a", n) for i, n in sizes.items()] + [(5000, "b", 200_000)], "doc_id long, source string, n int").selectExpr(
+        "doc_id", "source", "repeat('w ', n) as text").write.parquet(path)
+    two = dict(weights=(9, 31), schedules=mixing.SCHEDULES[:2])
+    got = [r for r in mixing.mix(spark.read.parquet(path), close=True, **two).collect() if r["source"] == "a"]
+    assert got[0]["target"] == 90_000 and sum(r["taken"] for r in got) == 90_000
+    spots = sorted(p for r in got for p in r["positions"])
+    assert len(spots) == 900 and spots == pytest.approx([(i + 0.5) / 900 for i in range(900)])
+    # nothing that is left fits
+    left: dict = defaultdict(list)
+    for r in mixing.mix(docs, close=True).collect():
+        left[r["source"]].append(r)
+    assert sum(map(len, left.values())) == len(rows)
+    for own in left.values():
+        gap = own[0]["target"] - sum(r["taken"] for r in own)
+        whole = min(r["copies"] for r in own)
+        assert gap >= 0 and all(r["size"] > gap for r in own if r["size"] and r["copies"] == whole and gap < own[0]["source_size"])
