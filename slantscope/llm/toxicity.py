@@ -4,8 +4,8 @@ A logistic classifier over the words of a text and their beginnings (so that inf
 also read with its identity terms swapped for those of another group, and the squared difference of the two scores is
 part of the loss, so that a group's mention by itself neither raises nor lowers a score.
 
-Fitting uses a bounded sample of the labelled rows (``sample`` of them, chosen by a hash of the id); words are selected by
-their chi-square against the label, so the model that is broadcast is bounded too.
+Fitting uses a bounded sample of the labelled rows (``sample`` of them, chosen by a hash of the id); every word
+or beginning with enough rows and chi-square against the label is kept, so the sample alone bounds the model that is broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, held_out, text_parts, whole_text
 
 SAMPLE = 20_000  # labelled rows to fit on
-MAX_WORDS = 500  # selected words and beginnings in the model; identity terms come on top
 STEMS = (3, 4, 5, 6)  # lengths of word beginnings
 MIN_CHI2, MIN_DOCS = 30.0, 4
 L2, SWAP_PENALTY = 1e-4, 1.0
@@ -80,9 +79,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def _solve(times, right: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """The solution of a positive definite system, by conjugate gradients; ``times`` multiplies its matrix."""
+    x, rest = np.zeros_like(right), right.copy()
+    z = rest / diagonal
+    way, old = z.copy(), rest @ z
+    for _ in range(2 * len(right) + 100):
+        if np.linalg.norm(rest) <= 1e-9 * np.linalg.norm(right):
+            break
+        moved = times(way)
+        a = old / (way @ moved)
+        x, rest = x + a * way, rest - a * moved
+        z = rest / diagonal
+        new = rest @ z
+        way, old = z + new / old * way, new
+    return x
+
+
 def fit(rows: list[tuple[int, list[int], list[int]]], words: list[str], l2: float = L2,
         swap_penalty: float = SWAP_PENALTY, steps: int = 50) -> Model:
-    """Weights for ``rows`` of (label, word numbers, word numbers after the swap), by Newton's method.
+    """Weights for ``rows`` of (label, word numbers, word numbers after the swap), by Newton's method with sparse products.
 
     Loss: mean log loss + l2/2 |w|^2 + swap_penalty * mean squared change of the logit under the swap.
     Without rows, every score is 0.5.
@@ -91,33 +107,39 @@ def fit(rows: list[tuple[int, list[int], list[int]]], words: list[str], l2: floa
     if not n:
         return Model({}, 0.0)
     y = np.array([r[0] for r in rows], dtype=float)
-    x = np.zeros((n, m + 1), dtype=np.float32)  # the last column is the bias
-    x[:, m] = 1
-    change = np.zeros((sum(r[1] != r[2] for r in rows), m + 1), dtype=np.float32)
-    k = 0
-    for i, (_, own, other) in enumerate(rows):
-        x[i, own] = 1
-        if own != other:
-            change[k, own] += 1
-            change[k, other] -= 1
-            k += 1
+    # rows and columns of the ones of a sparse matrix; the last column is the bias
+    at = np.repeat(np.arange(n), [len(r[1]) + 1 for r in rows])
+    col = np.array([i for r in rows for i in (*r[1], m)], dtype=np.int64)
+    # rows, columns and values of the changes under the swap
+    swaps = [(k, i, v) for k, r in enumerate(rows) if r[1] != r[2] for v, side in ((1.0, r[1]), (-1.0, r[2])) for i in side]
+    s_at, s_col, s_val = (np.array([x[k] for x in swaps], dtype=d) for k, d in enumerate((np.int64, np.int64, float)))
     ridge = np.full(m + 1, l2)
     ridge[m] = 0
-    pull = 2 * swap_penalty / n * (change.T @ change).astype(float)
     rate = (y.sum() + 0.5) / (n + 1)
     w = np.zeros(m + 1)
     w[m] = np.log(rate / (1 - rate))
 
+    def logits(v):
+        return np.bincount(at, weights=v[col], minlength=n)
+
+    def back(v):
+        return np.bincount(col, weights=v[at], minlength=m + 1)
+
+    def pull(v):
+        moved = np.bincount(s_at, weights=s_val * v[s_col], minlength=n)
+        return 2 * swap_penalty / n * np.bincount(s_col, weights=s_val * moved[s_at], minlength=m + 1)
+
     def loss(w):
-        z = x @ w
-        return float(np.mean(np.logaddexp(0, z) - y * z) + 0.5 * ridge @ (w * w) + 0.5 * w @ pull @ w)
+        z = logits(w)
+        return float(np.mean(np.logaddexp(0, z) - y * z) + 0.5 * ridge @ (w * w) + 0.5 * w @ pull(w))
 
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ (p - y) / n + ridge * w + pull @ w
-        curve = (x.T * (p * (1 - p) / n).astype(np.float32)) @ x + np.diag(ridge + 1e-9) + pull
-        step, size = np.linalg.solve(curve.astype(float), grad), 1.0
+        p = 1 / (1 + np.exp(-np.clip(logits(w), -40, 40)))
+        grad = back(p - y) / n + ridge * w + pull(w)
+        weight = p * (1 - p) / n
+        diagonal = back(weight) + ridge + 1e-9 + 2 * swap_penalty / n * np.bincount(s_col, weights=s_val * s_val, minlength=m + 1)
+        step, size = _solve(lambda v: back(weight * logits(v)) + (ridge + 1e-9) * v + pull(v), grad, diagonal), 1.0
         while size > 1e-6 and (new := loss(w - size * step)) > now:
             size /= 2
         if size <= 1e-6 or now - new < 1e-10:
@@ -162,8 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     gap = a * float(n) - c * float(n1)
     chi2 = F.lit(float(n)) * gap * gap / (c * (F.lit(float(n)) - c) * float(max(n1 * (n - n1), 1)))
     swaps = swap_table(terms)
-    best = (seen.where((c >= MIN_DOCS) & (c < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-            .orderBy(F.col("chi2").desc(), "word").limit(MAX_WORDS))
+    best = seen.where((c >= MIN_DOCS) & (c < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
     words = sorted({r["word"] for r in best.select("word").collect()} | set(swaps))
     number = {w: i for i, w in enumerate(words)}
 
@@ -176,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                               pa.array(other, pa.list_(pa.int32()))], names=["id", "label", "own", "other"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    # about `sample` rows of at most MAX_WORDS numbers; the order makes reruns agree
+    # about `sample` rows; the order makes reruns agree
     found = rows.mapInArrow(encode, f"id {kind}, label int, own array<int>, other array<int>").toArrow().to_pylist()
     found.sort(key=lambda r: (str(r["id"]), r["label"], r["own"]))
     t.drop(rows)

@@ -188,3 +188,26 @@ def test_every_language_is_calibrated(spark, many, tmp_path):
     split = {r["lang"]: r["k"] for r in langid.set_apart(big, langid.Scratch(spark, "langid-test")).where("apart").groupBy("lang").agg(
         langid.F.count("*").alias("k")).collect()}
     assert split["rare"] == langid.FLOOR and 5_500 < split["frequent"] < 6_500
+
+
+def test_every_significant_word_is_learned(spark, tmp_path):
+    # more toxic words, with their beginnings, than a fixed number of places
+    rng = np.random.default_rng(3)
+    toxic = sorted({bytes(w).decode() for w in rng.integers(97, 123, (600, 7), dtype=np.uint8)})
+    rows, clean = [], ["some", "plain", "talk", "about", "nothing"]
+    for i in range(600):
+        rows.append((i, 1, " ".join([*rng.choice(clean, 3), *[toxic[(i + 37 * k) % len(toxic)] for k in range(8)]])))
+    rows += [(600 + i, 0, " ".join(rng.choice(clean, 4))) for i in range(7200)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, toxic int, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    seen: dict = {}
+    for r in df.where("toxic = 1").where(~toxicity.held_out("doc_id")).collect():
+        for w in r["text"].split()[3:]:
+            seen[w] = seen.get(w, 0) + 1
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    often = [w for w, n in seen.items() if n >= toxicity.MIN_DOCS]
+    assert len(often) > 500 and all(w in model.weights for w in often)
+    plain = model.score("some plain talk")
+    assert plain < 0.1 and all(model.score("some plain talk " + w) > plain for w in often)
+    assert all(model.score(" ".join(often[i:i + 8])) >= 0.7 for i in range(0, len(often), 8))
