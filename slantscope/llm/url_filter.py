@@ -10,6 +10,7 @@ allow goes before a block that was only carried over.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +50,29 @@ def plain_spelling(url: Column) -> Column:
     return F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
 
 
+def decoded(value: Column) -> Column:
+    """An attribute's value with its character references replaced; unknown ones stay as they are."""
+    names = F.str_to_map(F.lit("\x01".join(f"&{k}\x02{v}" for k, v in sorted(html5.items()))), F.lit("\x01"), F.lit("\x02"))
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, "^&#[xX]?0*([0-9a-fA-F]{1,7});?$", 1)
+        code = F.conv(digits, 16, 10).cast("long")
+        code = F.when(F.regexp_like(part, F.lit("^&#[xX]")), code).otherwise(F.conv(digits, 10, 10).cast("long"))
+        valid = (digits != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(F.length(part) < 2, part).when(~part.startswith("&"), part).when(valid, letter).when(
+            part.startswith("&#"), part).otherwise(F.coalesce(F.try_element_at(names, part), part))
+
+    # names without a semicolon count unless a letter, digit or equals sign follows
+    parts = F.regexp_extract_all(value, F.lit(
+        "(?s)&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+(?:;|(?!=))|[^&]+|&"), F.lit(0))
+    return F.when(value.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(value)
+
+
 def _attribute(tag: Column, name: str) -> Column:
     # the value of a tag's attribute, quoted or not
     got = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*("([^"]*)"|'([^']*)'|([^\s"'>]+))""", 1)
-    return F.trim(F.regexp_replace(got, "^[\"']|[\"']$", ""))
+    return F.trim(decoded(F.regexp_replace(got, "^[\"']|[\"']$", "")))
 
 
 def page_targets(html: Column) -> Column:
@@ -66,15 +86,30 @@ def page_targets(html: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(canonical, refresh), lambda x: x != ""))
 
 
+def _without_dots(address: Column) -> Column:
+    """A full address without the segments ``.`` and ``..`` of its path."""
+    pattern = "(?s)^([^:/?#]+://[^/?#]*)([^?#]*)(.*)$"
+    path = F.regexp_extract(address, pattern, 2)
+    segments = F.split(path, "/")
+    left = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1))), F.array().cast("array<string>"), lambda kept, s: F.when(
+        s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s))))
+    end = F.when(F.regexp_like(path, F.lit("/\\.{1,2}$")) & (F.size(left) > 0), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(F.regexp_extract(address, pattern, 1), F.lit("/"), F.array_join(left, "/"), end, F.regexp_extract(address, pattern, 3))
+    return F.when(F.regexp_like(path, F.lit("/\\.{1,2}(/|$)")), plain).otherwise(address)
+
+
 def resolved(url: Column, target: Column) -> Column:
     """A target as a full address, seen from the page at ``url``."""
     scheme = F.substring_index(url, "://", 1)
     site = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.regexp_extract(path_of(url), "^.*/", 0)
-    return (F.when(target.contains("://"), target)
-            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(site, target))
-            .otherwise(F.concat(site, F.when(folder != "", folder).otherwise(F.lit("/")), target)))
+    return _without_dots(
+        F.when(F.regexp_like(target, F.lit("^[^:/?#]+://")), target)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, path_of(url), target))
+        .when(target.startswith("#"), F.concat(F.substring_index(url, "#", 1), target))
+        .otherwise(F.concat(site, F.when(folder != "", folder).otherwise(F.lit("/")), target)))
 
 
 def rules_frame(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:

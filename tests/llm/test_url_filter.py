@@ -64,3 +64,26 @@ def test_redirect_table_rule_frame_and_nothing(spark, tmp_path):
     got = verdicts(uf.judge(pages, rules, redirects=hops))
     assert got == {1: (None, "block", "alias"), 2: (None, "block", "alias")}
     assert uf.judge(pages.limit(0)).count() == 0
+
+
+def test_targets_are_decoded_and_resolved(spark, tmp_path):
+    rows = [page(1, "https://hub.com/s?p=1&q=2", canonical("http://bad.net/b")),  # blocked; the others reach it by its exact address
+            page(2, "https://other.com/1", canonical("https://hub.com/s?p=1&amp;q=2")),
+            page(3, "https://hub.com/x/y/z", canonical("../../s?p=1&#38;q=2")),
+            page(4, "https://hub.com/s?p=9", canonical("?p=1&#x26;q=2")),
+            page(5, "https://other.com/2", canonical("https://hub.com/a/./b/../../s?p=1&q=2")),
+            page(6, "https://other.com/3", '<meta http-equiv=refresh content="0; url=https://hub.com/s?p=1&amp;q=2">'),
+            page(7, "https://other.com/4", canonical("https://hub.com/s?p=1&amp;q=3")),
+            page(8, "https://hub.com/t?p=7", canonical("?next=https://bad.net/b"))]
+    got = verdicts(uf.judge(pages_frame(spark, tmp_path, rows)))
+    assert all(got[i] == (None, "block", "alias") for i in range(1, 7))
+    assert got[7] == got[8] == (None, "allow", "none")
+    texts = {"a&eacute;b": "a\xe9b", "x&copy=2&lt=3": "x&copy=2&lt=3", "x&amp": "x&", "&#233;&#xe9;&#x1F600;": "\xe9\xe9\U0001f600",
+             "&nothing;&#xD800;&#99999999;&": "&nothing;&#xD800;&#99999999;&", "a&b;c&&amp;amp;": "a&b;c&&amp;", "": ""}
+    df = spark.createDataFrame(list(texts.items()), "t string, want string")
+    assert all(r["want"] == r["got"] for r in df.withColumn("got", uf.decoded(uf.F.col("t"))).collect())
+    paths = {"../../../u": "https://a.com/u", "./v/..": "https://a.com/p/q/", "w/.": "https://a.com/p/q/w/", "#f": "https://a.com/p/q/r?k=1#f",
+             "//b.com/./c?../d": "https://b.com/c?../d", "..": "https://a.com/p/", "s..t/.u": "https://a.com/p/q/s..t/.u"}
+    df = spark.createDataFrame(list(paths.items()), "t string, want string")
+    got = {r["t"]: r["got"] for r in df.withColumn("got", uf.resolved(uf.F.lit("https://a.com/p/q/r?k=1#z"), uf.F.col("t"))).collect()}
+    assert got == paths
