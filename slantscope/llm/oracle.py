@@ -113,3 +113,35 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def _vector_codes(rounds: int = 4, parts: int = 4, entries: int = 256, scale: int = 1024) -> str:
+    """Every round spelled out: all distances, the nearest entries, the floors of the averages."""
+    out = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT vec_id, p, w[p * len(w) // {parts} + 1 : (p + 1) * len(w) // {parts}] AS v FROM kept, (SELECT unnest(range({parts})) AS p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}),
+c0 AS MATERIALIZED (SELECT p, e, v AS c FROM cut JOIN first USING (vec_id))"""]
+    for r in range(rounds + 1):
+        out.append(f"""
+d{r} AS MATERIALIZED (
+  SELECT vec_id, p, v, e, list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS d FROM cut JOIN c{r} USING (p)),
+a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(v) AS v, arg_min(e, (d, e)) AS e, min(d) AS d FROM d{r} GROUP BY vec_id, p)""")
+        if r < rounds:
+            out.append(f"""
+m{r} AS (SELECT p, e, i, floor(sum(x) / count(*)) AS x FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{r}) GROUP BY p, e, i),
+n{r} AS (SELECT p, e, list(x ORDER BY i) AS c FROM m{r} GROUP BY p, e),
+c{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN n{r} n USING (p, e))""")
+    return "WITH" + ",".join(out) + f""",
+books AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+          FROM (SELECT p, e, unnest(c) AS x, unnest(range(len(c))) AS i FROM c{rounds})),
+one AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM one JOIN kept USING (vec_id), books
+"""
+
+
+SQL["op11_vector_codes"] = _vector_codes()

@@ -18,7 +18,8 @@ from . import suffix_dedup as _suffix
 from . import topk as _topk
 from . import toxicity as _toxicity
 from . import url_filter as _url
-from .common import importable
+from . import vector_codes as _codes
+from .common import Scratch, importable
 
 #: Rank file of the registered queries; the operator takes any.
 VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -97,3 +98,11 @@ def op9_suffix_dedup(spark, sf_dir):
 def op3_substring_dedup(spark, sf_dir):
     return _substring.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_vector_codes")
+def op11_vector_codes(spark, sf_dir):
+    codes, books = _codes.compress(table(spark, sf_dir, "embeddings"))
+    found = _codes.with_label_error(codes, Scratch(spark, "vector-codes"))
+    return found.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+                        F.lit(_codes.books_digest(books)).alias("codebooks_sha256"))
