@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import langid as _langid
+from . import merkle as _merkle
 from . import mixing as _mixing
 from . import simhash as _simhash
 from . import substring_dedup as _substring
@@ -106,3 +107,8 @@ def op11_vector_codes(spark, sf_dir):
     found = _codes.with_label_error(codes, Scratch(spark, "vector-codes"))
     return found.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
                         F.lit(_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_merkle")
+def op12_merkle(spark, sf_dir):
+    return _merkle.prove(_merkle.manifest(table(spark, sf_dir, "documents"))).drop("proof")
