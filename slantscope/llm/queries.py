@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann as _ann
 from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import langid as _langid
@@ -112,3 +113,10 @@ def op11_vector_codes(spark, sf_dir):
 @query("op12_merkle")
 def op12_merkle(spark, sf_dir):
     return _merkle.prove(_merkle.manifest(table(spark, sf_dir, "documents"))).drop("proof")
+
+
+@query("op13_ann")
+def op13_ann(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return _ann.search(rows, F.col("vec_id") % 100 == 0).select(
+        F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score")
