@@ -26,6 +26,8 @@ STEMS = (3, 4, 5, 6)  # lengths of word beginnings
 MIN_CHI2, MIN_DOCS = 30.0, 4
 L2, SWAP_PENALTY = 1e-4, 1.0
 CUT = 0.7
+COUNTED = 200_000  # different words that a task counts before it hands the counts on
+SLICE = 256  # texts whose word numbers are handed on together
 
 # Terms that name a group of people; a swap stays within a line.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -164,6 +166,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, t: Scratch, id_col: str,
     return t.put(text.join(F.broadcast(chosen), "id").select("id", "label", "text"))  # about `sample` rows
 
 
+def _counted(seen: dict[str, list[int]]) -> pa.RecordBatch:
+    """Words with the rows that hold them and the labels of those rows, summed."""
+    rows, labels = zip(*seen.values())
+    return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(rows, pa.int64()), pa.array(labels, pa.int64())],
+                                      names=["word", "c", "a"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           sample: int = SAMPLE, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, **options) -> Model:
     """A model of ``label_col``, learned from the rows that :func:`held_out` leaves to learn from."""
@@ -172,13 +181,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # counted one text at a time; what a task holds is bounded by COUNTED words, not by its batches
+        seen: dict[str, list[int]] = {}
         for b in batches:
-            sets = [features_of(words_of(x)) for x in b.column("text").to_pylist()]
-            y = np.repeat(b.column("label").to_numpy(zero_copy_only=False), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array([w for s in sets for w in s], pa.string()), pa.array(y, pa.int32())], names=["word", "label"])
-
-    seen = rows.select("label", "text").mapInArrow(spread, "word string, label int").groupBy("word").agg(
-        F.count(F.lit(1)).cast("double").alias("c"), F.sum("label").cast("double").alias("a"))
+            for y, x in zip(b.column("label").to_pylist(), b.column("text")):
+                for w in features_of(words_of(x.as_py())):
+                    c = seen.setdefault(w, [0, 0])
+                    c[0] += 1
+                    c[1] += y
+                if len(seen) >= COUNTED:
+                    yield _counted(seen)
+                    seen = {}
+        if seen:
+            yield _counted(seen)
+
+    seen = rows.select("label", "text").mapInArrow(spread, "word string, c long, a long").groupBy("word").agg(
+        F.sum("c").cast("double").alias("c"), F.sum("a").cast("double").alias("a"))
     # chi-square of the 2 x 2 table of word and label
     a, c = F.col("a"), F.col("c")
     gap = a * float(n) - c * float(n1)
@@ -189,12 +207,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number = {w: i for i, w in enumerate(words)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [words_of(x) for x in b.column("text").to_pylist()]
-            own = [sorted(number[w] for w in features_of(s) if w in number) for s in sets]
-            other = [sorted(number[w] for w in features_of(swapped(s, swaps)) if w in number) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(own, pa.list_(pa.int32())),
-                                              pa.array(other, pa.list_(pa.int32()))], names=["id", "label", "own", "other"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                own, other = [], []
+                for x in b.column("text"):
+                    words = words_of(x.as_py())
+                    for into, of in ((own, words), (other, swapped(words, swaps))):
+                        into.append(sorted(number[w] for w in features_of(of) if w in number))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(own, pa.list_(pa.int32())),
+                                                  pa.array(other, pa.list_(pa.int32()))], names=["id", "label", "own", "other"])
 
     kind = rows.schema["id"].dataType.simpleString()
     # about `sample` rows; the order makes reruns agree
