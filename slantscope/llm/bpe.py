@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 MAX_VOCAB_BYTES = 64 << 20  # bound of what is broadcast
-MEMO_SIZE = 1_000_000  # pre-tokens whose ids a task remembers
+MEMO_BYTES = 64 << 20  # memory of the pre-tokens whose ids a task remembers
+ENTRY_BYTES = 200  # of it, what an entry takes beside its characters and ids
 LONG_TEXT = 1 << 21  # characters from which a text's pre-tokens are taken in several lists
 
 
@@ -166,17 +167,22 @@ class Encoder:
     """Encodes texts; remembers the pre-tokens it has resolved, in bounded memory."""
 
     def __init__(self, vocab: Vocabulary, pattern: str):
-        self.vocab, self.pattern, self.memo = vocab, regex.compile(pattern), {}
+        self.vocab, self.pattern, self.memo, self.held = vocab, regex.compile(pattern), {}, 0
 
     def encode(self, text: str) -> bytes:
         out, memo = [], self.memo
         for pieces in _runs_of_pieces(self.pattern, text):
             new = list(set(pieces).difference(memo))
             if new:
-                if len(memo) + len(new) > MEMO_SIZE:
+                ids = self.vocab.encode_pieces([p.encode() for p in new])
+                size = sum(map(len, new)) + sum(map(len, ids)) + ENTRY_BYTES * len(new)
+                if self.held + size > MEMO_BYTES:  # what these pieces need stays, the rest is resolved again when it returns
+                    known = {p: memo[p] for p in set(pieces).intersection(memo)}
                     memo.clear()
-                    new = list(set(pieces))
-                memo.update(zip(new, self.vocab.encode_pieces([p.encode() for p in new])))
+                    memo.update(known)
+                    self.held = sum(len(p) + len(i) + ENTRY_BYTES for p, i in known.items())
+                memo.update(zip(new, ids))
+                self.held += size
             out.append(b"".join([memo[p] for p in pieces]))
         return b"".join(out)
 

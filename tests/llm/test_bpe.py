@@ -45,7 +45,7 @@ def test_long_words_and_long_texts(monkeypatch):
 
 
 def test_memory_of_pieces_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_SIZE", 3)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 3 * bpe.ENTRY_BYTES)
     e = bpe.Encoder(VOCAB, P.PATTERN)
     for text in ("one two three four", "five one six", "seven"):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == LIBRARY.encode_ordinary(text)
