@@ -73,6 +73,13 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def numbered(df: DataFrame, t: Scratch, name: str = "rid") -> DataFrame:
+    """``df``, stored once with a row number, so that every later pass sees the same numbers.
+
+    Numbers given while files are read again would follow the splits, which change with the executors at hand."""
+    return t.put(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def sorted_names(df: DataFrame, *cols: str, name: str = "name") -> DataFrame:
     """Distinct rows of ``cols`` with integer names that follow their sort order.
 

@@ -15,16 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh_name, sorted_names, whole_text
+from .common import Scratch, fresh_name, numbered, sorted_names, whole_text
 
 NONE = -(1 << 62)  # the missing right half of a last odd pair
 
 
-def row_keyed(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """``docs`` with a row number that is the same each time the same files are read."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
-
-
 def _block_names(blocks: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Names by key, and names by (key, block) for keys that different blocks share (else None)."""
     keys = t.put(blocks.groupBy("h", "block").agg(F.lit(1).alias("one"))
@@ -39,14 +34,16 @@ def _block_names(blocks: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame |
 
 
 def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096,
-                   key: Callable[[str], Column] = F.xxhash64, scratch: Scratch | None = None) -> DataFrame:
+                   key: Callable[[str], Column] = F.xxhash64, scratch: Scratch | None = None, rid_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``_rid, id, sha, n_blocks, name``.
 
     ``(n_blocks, name)`` is the text's identity.  ``key`` only sorts blocks; any
-    function of the block gives the same identities.
+    function of the block gives the same identities.  ``rid_col`` names a stored row number; without one, rows are numbered
+    where they are read for the table that keeps the numbers, and nowhere else.
     """
     t = scratch or Scratch(docs.sparkSession, "exact-dedup")
-    src = row_keyed(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")))
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
+    src = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), rid.alias("_rid"))
     cut = src.select("_rid", "id", F.sha2("text", 256).alias("sha"), F.regexp_extract_all(
         "text", F.lit("(?s).{1,%d}" % block_chars), F.lit(0)).alias("cut"))
     parts = cut.select("_rid", "id", "sha", F.greatest(F.size("cut"), F.lit(1)).alias("n_blocks"),
@@ -85,16 +82,16 @@ def block_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096,
-                key: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+                key: Callable[[str], Column] = F.xxhash64, rid_col: str | None = None) -> DataFrame:
     """Which row of each group of equal texts stays.
 
-    Returns one row per row of ``docs``: ``_rid`` (see :func:`row_keyed`), the id column,
+    Returns one row per row of ``docs``: ``_rid`` (a row number, ``rid_col`` if given), the id column,
     ``keep_id`` (largest id of the group; a null id is the smallest), ``group_size``,
     ``kept`` and ``text_sha256``.  Null text equals the empty text.  Of repeated rows with the same id, one stays.
     An empty table gives an empty result.  Other columns of ``docs`` are not read, whatever their names.
     """
     t = Scratch(docs.sparkSession, "exact-dedup")
-    ident = block_identity(docs, id_col, text_col, block_chars, key, t)
+    ident = block_identity(docs, id_col, text_col, block_chars, key, t, rid_col)
     # stored, so that the join below reads two plain exchanges and a large group can be split
     groups = t.put(ident.groupBy("n_blocks", "name")
                    .agg(F.max(F.struct("id", "_rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")))
@@ -104,10 +101,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest id.
 
-    ``docs`` must be a read of stored files, so that both passes number its rows alike.
+    Null text equals the empty text, and a null id is smaller than any other; of repeated rows one stays.  An empty table stays
+    empty.  ``docs`` is stored once with row numbers; it may be any frame.
     """
     rid = fresh_name(docs, "_rid")
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("_rid").alias(rid))
-    return row_keyed(docs, rid).join(kept, rid, "left_semi").drop(rid)
+    stored = numbered(docs, Scratch(docs.sparkSession, "exact-dedup"), rid)
+    kept = exact_dedup(stored, id_col, text_col, rid_col=rid).where("kept").select(F.col("_rid").alias(rid))
+    return stored.join(kept, rid, "left_semi").drop(rid)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh_name, whole_text
+from .common import Scratch, fresh_name, numbered, whole_text
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -71,14 +71,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``rid, id, fp`` per row of ``docs``; ``rid`` numbers the rows alike each time the same files are read."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rid_col: str | None = None) -> DataFrame:
+    """``rid, id, fp`` per row of ``docs``; ``rid`` is ``rid_col``, or a number that holds once the result is stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(x.as_py(), shingle) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), pa.array(fps, pa.int64())], names=["rid", "id", "fp"])
 
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
+    src = docs.select(rid.alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     return src.mapInArrow(run, f"rid long, id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
@@ -160,10 +161,10 @@ def links(fps: DataFrame, t: Scratch, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    radius: int = RADIUS) -> DataFrame:
+                    radius: int = RADIUS, rid_col: str | None = None) -> DataFrame:
     """The near-duplicate class of each row of ``docs``.
 
-    Returns one row per row: ``rid``, the id column, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id
+    Returns one row per row: ``rid`` (a row number, ``rid_col`` if given), the id column, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id
     reachable over links of at most ``radius`` differing bits, itself included), ``kept`` (one row of each class: the
     smallest id, of repeated ids the first row) and ``class_size``.
 
@@ -172,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read.
     """
     t = Scratch(docs.sparkSession, "simhash")
-    rows = t.put(fingerprints(docs, id_col, text_col, shingle))
+    rows = t.put(fingerprints(docs, id_col, text_col, shingle, rid_col))
     distinct = t.put(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(
         F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))).alias("first")))
     found = t.put(links(distinct.select("fp"), t, radius))
@@ -188,10 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                          radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each class.
+    """The rows of ``docs`` that stay, with all their columns: one of each class, the smallest id.
 
-    ``docs`` must be a read of stored files, so that both passes number its rows alike.
+    Null and empty texts are one class; a null id is larger than any other; of repeated rows one stays.  An empty table stays empty.
+    ``docs`` is stored once with row numbers; it may be any frame.
     """
     rid = fresh_name(docs, "_rid")
-    kept = near_duplicates(docs, id_col, text_col, shingle, radius).where("kept").select(F.col("rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)
+    stored = numbered(docs, Scratch(docs.sparkSession, "simhash"), rid)
+    kept = near_duplicates(stored, id_col, text_col, shingle, radius, rid).where("kept").select(F.col("rid").alias(rid))
+    return stored.join(kept, rid, "left_semi").drop(rid)

@@ -93,10 +93,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of anything but ASCII blanks, unchanged.  Null text has none; texts with fewer than ``length`` words lose
     nothing.  Windows do not cross rows; repeated rows and copies match each other, whatever their ids, so all copies are cut.
-    Windows are judged on the input.  An empty table gives an empty result.  ``docs`` must be a read of stored files.  Other columns are not read.
+    Windows are judged on the input.  An empty table gives an empty result.  Other columns are not read.
     """
     t = Scratch(docs.sparkSession, "substring-dedup")
-    texts = keyed_text(docs, id_col, text_col)
+    texts = keyed_text(docs, id_col, text_col, t)
     cut = cut_spans(texts, repeated_spans(texts, t, length, core, shard_words, hot), True)
     return cut.select("rid", F.col("id").alias(id_col), F.col("n_units").alias("n_words"), F.aggregate(
         "spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]).alias("n_removed"), "spans", "kept")

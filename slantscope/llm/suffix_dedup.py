@@ -111,11 +111,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes), ``spans`` (their byte offsets) and ``kept`` (the bytes left, which may end inside a character).
 
     Null text is empty; texts shorter than ``length`` lose nothing.  Matches never cross rows; repeated rows and copies match each
-    other, whatever their ids, so all copies are cut.  Strings are judged on the input.  An empty table gives an empty result.  ``docs``
-    must be a read of stored files.  Other columns are not read.
+    other, whatever their ids, so all copies are cut.  Strings are judged on the input.  An empty table gives an empty result.
+    Other columns are not read.
     """
     t = Scratch(docs.sparkSession, "suffix-dedup")
-    texts = keyed_text(docs, id_col, text_col)
+    texts = keyed_text(docs, id_col, text_col, t)
     cut = cut_spans(texts, repeated_spans(texts, t, length, core, sizes), False)
     return cut.select("rid", F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), F.aggregate(
         "spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]).alias("n_removed"),

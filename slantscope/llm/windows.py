@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, whole_text
+from .common import Scratch, numbered, whole_text
 
 CHUNK = 1 << 20  # windows looked at together
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -115,9 +115,9 @@ def runs_of(units: Units, length: int, core: int) -> Iterator[tuple[np.ndarray,
         yield h[at[first]], first + lo, last + lo, at[first] + lo
 
 
-def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rid, id, text``; rows have the same number each time the same files are read."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+def keyed_text(docs: DataFrame, id_col: str, text_col: str, t: Scratch) -> DataFrame:
+    """``rid, id, text`` of each row, stored."""
+    return numbered(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), t).select("rid", "id", "text")
 
 
 def repeated_runs(texts: DataFrame, length: int, core: int, words: bool, t: Scratch) -> DataFrame:
