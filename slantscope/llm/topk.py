@@ -22,16 +22,17 @@ from .common import Scratch
 
 SCALE, K = 256, 5
 QUERY_ROWS, CANDIDATE_ROWS = 1024, 4096
-LIMIT = 1 << 27  # integer components stop here, so that scores fit a long up to 512 dimensions
+LONG = 1 << 63  # integer components and scores have to be smaller
 
 
-def integer_vectors(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """``rid, id, vec`` of the rows that take part."""
-    src = rows.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
+def integer_vectors(rows: DataFrame, is_query: Column, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
+    """``rid, id, asks, vec`` of the rows that take part; the row numbers hold once the result is stored."""
+    src = rows.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"),
                       F.col(vec_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    whole = F.transform("v", lambda x: F.floor(F.least(F.greatest(x * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("int"))
-    return src.where(F.col("v").isNotNull() & ~bad).select("rid", "id", whole.alias("vec"))
+    whole = F.transform("v", lambda x: F.when(F.abs(x * scale) < float(LONG), F.floor(x * scale)).otherwise(
+        F.raise_error(F.lit("a component does not fit a long")).cast("long")))
+    return src.where(F.col("v").isNotNull() & ~bad).select("rid", "id", "asks", whole.alias("vec"))
 
 
 def _blocks(vectors: DataFrame, rows: int, n: int, prefix: str) -> DataFrame:
@@ -52,8 +53,17 @@ def _unpack(rows: pa.ListScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return s.field("id"), s.field("rid").to_numpy(zero_copy_only=False), m
 
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Inner products, one term (dimension) after another."""
+def accumulate(queries: np.ndarray, candidates: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Inner products, one term (dimension) after another; in Python's whole numbers where sums could leave a long.
+
+    ``allowed`` marks the pairs whose score counts; others may be anything."""
+    most = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))) for m in (queries, candidates)]
+    if most[0] * most[1] * min(queries.shape[1], candidates.shape[1]) >= LONG:
+        scores = queries[:, :candidates.shape[1]].astype(object) @ candidates[:, :queries.shape[1]].T.astype(object)
+        scores[~allowed] = 0
+        if any(abs(x) >= LONG for x in scores.flat):
+            raise OverflowError("a score does not fit a long")
+        return scores.astype(np.int64)
     scores = np.zeros((len(queries), len(candidates)), dtype=np.int64)
     for term in range(min(queries.shape[1], candidates.shape[1])):
         posted, asking = np.flatnonzero(candidates[:, term]), np.flatnonzero(queries[:, term])
@@ -90,15 +100,12 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
 
     ``is_query`` is a condition on the rows of ``rows``.  Null vectors and vectors with null or non-finite
     components take no part.  Vectors of different lengths meet as if zeros followed; an empty vector
-    scores 0 with all.  Integer components saturate at 2^27.  Repeated rows are rows of their own: a query row's own row is left out, a
+    scores 0 with all.  A component or score that no long can hold is an error.  Repeated rows are rows of their own: a query row's own row is left out, a
     repetition of it is not.  An empty table gives an empty result.  Other columns are not read.
     """
     t = Scratch(rows.sparkSession, "topk")
-    q = F.coalesce(is_query, F.lit(False))
-    marked = rows.select(F.col(id_col), F.col(vec_col), q.alias("_asks"))
-    flag = marked.select(F.monotonically_increasing_id().alias("rid"), "_asks").where("_asks").select("rid")
-    vectors = t.put(integer_vectors(marked, id_col, vec_col, scale))
-    asking = t.put(vectors.join(flag, "rid", "left_semi"))
+    vectors = t.put(integer_vectors(rows, is_query, id_col, vec_col, scale))
+    asking = vectors.where("asks")
     nq, nc = asking.count(), vectors.count()
     qb, cb = _blocks(asking, QUERY_ROWS, nq, "q"), _blocks(vectors, CANDIDATE_ROWS, nc, "c")
     blocks = max(1, -(-nq // QUERY_ROWS))
@@ -110,8 +117,9 @@ def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
                 q_id, q_rid, qm = _unpack(qr)
                 c_id, c_rid, cm = _unpack(cr)
                 for s in range(0, len(qm), 128):
-                    scores = accumulate(qm[s:s + 128], cm)
-                    i, j = best_of(scores, q_rid[s:s + 128, None] != c_rid[None, :], k)
+                    allowed = q_rid[s:s + 128, None] != c_rid[None, :]
+                    scores = accumulate(qm[s:s + 128], cm, allowed)
+                    i, j = best_of(scores, allowed, k)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(q_rid[s + i]), q_id.take(pa.array(s + i)), c_id.take(pa.array(j)), pa.array(c_rid[j]),
                          pa.array(scores[i, j])], names=["q_rid", "query_id", "id", "rid", "score"])

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from slantscope.llm import topk
@@ -47,5 +48,19 @@ def test_few_rows_repeated_rows_and_none(spark, tmp_path):
     got = run(spark, tmp_path, [(50, [1.0]), (50, [1.0]), (7, [2.0])], "twice")
     assert got == [(50, 1, 7, 512 * 256)] * 2 + [(50, 2, 50, 256 * 256)] * 2
     assert run(spark, tmp_path, [], "none") == []
-    big = run(spark, tmp_path, [(0, [3e38, -3e38]), (1, [1.0, 0.0])], "big")
-    assert big == [(0, 1, 1, topk.LIMIT * 256)]
+
+
+def test_large_components_are_exact_or_an_error(spark, tmp_path):
+    # partial sums leave a long, the scores do not
+    rows = [(0, [2.0 ** 40, 2.0 ** 40, 1.0]), (1, [2.0 ** 30, -(2.0 ** 30), 3.0]), (2, [2.0 ** 4, 2.0 ** 4, 0.0]), (50, [0.5, 0.25, -1.0])]
+    want = brute(rows)
+    assert run(spark, tmp_path, rows, "large") == want and (0, 1, 2, 2 * 2 ** 44 * 2 ** 16) in want
+    for k, bad in enumerate(([(0, [3e38]), (1, [1.0])], [(0, [2.0 ** 50]), (1, [2.0 ** 50])])):
+        with pytest.raises(Exception, match="fit a long"):
+            run(spark, tmp_path, bad, f"bad{k}")
+
+
+def test_many_dimensions(spark, tmp_path):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in r.uniform(-100_000, 100_000, 1500)]) for i in range(55)]
+    assert run(spark, tmp_path, rows, "wide") == brute(rows)
