@@ -4,10 +4,8 @@
    weight.  A target stops at ``max_repeat`` times its source's words, and the excess is
    shared again by weight until no target is above its stop.
 2. Copies.  A source takes every document as often as its target holds the whole source, and
-   once more for documents in a fixed shuffled order (MD5 of the id) as far as they fit; then,
-   ``FILLS`` times, the largest document that fits the gap still open.  That is the mix of the registered SQL, and it can stop
-   far below a target behind a long document; with ``close``, the shuffled order is read again among the documents
-   that fit, until none does.
+   once more for documents in a fixed shuffled order (MD5 of id and text) as far as they fit.  Behind a document that
+   crosses the gap still open, the order is read again among the documents that fit it, until none does.
 3. Positions.  A source's weight varies over training time t in [0, 1] by a piecewise-linear
    schedule.  Its integral says how much of the source is due by time t; the inverse of that
    integral gives each copy, by the words its source took before it, a training position.
@@ -15,7 +13,7 @@
 
 The running sums behind 2 and 3 go over buckets of the shuffled order: one sum per source and
 bucket, a window over a source's buckets, then windows inside single buckets, so
-no task gets a whole source.
+no task gets a whole source.  The rounds that close gaps sort only the buckets where a gap ends.
 """
 
 from __future__ import annotations
@@ -27,13 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, dense_index, fresh_name, whole_text
+from .common import WORD, Scratch, dense_index, fresh_name, numbered, whole_text
 
 WEIGHTS = (5, 2, 1)
 #: Per weight class, (time, relative weight) knots from time 0 to 1: steady, rising, falling.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)))
 MAX_REPEAT = 3
-FILLS = 2
 PART_HEX, BUCKET_HEX = 2, 4  # 256 parts of 256 buckets a source; a source of 10 billion documents has 150,000 in each
 
 
@@ -92,8 +89,8 @@ def invert_schedule(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
-def _running(rows: DataFrame, value: str, into: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` over the rows before, in each source's shuffled order."""
+def _starts(rows: DataFrame, value: str) -> DataFrame:
+    """``source, bucket, _start``: the sum of ``value`` over a source's buckets before, in the shuffled order."""
     part = F.substring("bucket", 1, PART_HEX)
     sums = rows.groupBy("source", part.alias("part"), "bucket").agg(F.sum(value).alias("_s"))
     # two levels, so that no window holds more than 256 rows
@@ -102,31 +99,51 @@ def _running(rows: DataFrame, value: str, into: str) -> DataFrame:
         Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     ahead = Window.partitionBy("source", "part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     inner = sums.select("source", "part", "bucket", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_in"))
-    starts = inner.alias("i").join(parts.alias("p"), F.col("i.source").eqNullSafe(F.col("p.source")) & (
+    return inner.alias("i").join(parts.alias("p"), F.col("i.source").eqNullSafe(F.col("p.source")) & (
         F.col("i.part") == F.col("p.part"))).select("i.source", "i.bucket", (F.col("_ahead") + F.col("_in")).alias("_start"))
+
+
+def _in_bucket(value: str) -> Column:
+    """The sum of ``value`` over the rows before, inside a bucket of a source."""
     inside = (Window.partitionBy("source", "bucket").orderBy("mix_key", "id", "size", "rid")
               .rowsBetween(Window.unboundedPreceding, -1))
-    local = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = local.alias("l").join(starts.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & (
-        F.col("l.bucket") == F.col("r.bucket")))
-    return joined.select("l.*", (F.col("r._start") + F.col("l._local")).alias(into)).drop("_local")
+    return F.coalesce(F.sum(value).over(inside), F.lit(0))
+
+
+def _placed(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """``rows`` with the ``_start`` of their bucket; rows whose bucket has none go."""
+    return rows.alias("l").join(starts.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & (
+        F.col("l.bucket") == F.col("r.bucket"))).select("l.*", "r._start")
+
 
+def _running(rows: DataFrame, value: str, into: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before, in each source's shuffled order."""
+    local = rows.withColumn("_local", _in_bucket(value))
+    return _placed(local, _starts(rows, value)).withColumn(into, F.col("_start") + F.col("_local")).drop("_start", "_local")
+
+
+def _of_source(rows: DataFrame, per_source: DataFrame, *cols: str) -> DataFrame:
+    """``rows`` with columns of their source's row in ``per_source``."""
+    return rows.alias("d").join(per_source.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", *[f"g.{c}" for c in cols])
 
-def _close(rows: DataFrame, state: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Documents of ``rows`` for the gaps of ``state(source, gap, extra_sum)``, until no other fits: ``rid, fill_before``, and the new sums.
 
-    A round takes, in shuffled order, the documents before the first one that crosses the gap; those too large for it are left out.
+def _close(free: DataFrame, state: DataFrame, t: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Documents of ``free`` for the gaps of ``state(source, gap, extra_sum)``, until no other fits: ``rid, fill_before``, and the new sums.
+
+    A round takes, in shuffled order, the documents before the first one that crosses the gap.  Those too large for what is left of it never
+    fit again, so rounds shrink fast; their number follows the number of different sizes, not of documents.
     """
-    free = rows.where("not extra and size > 0").select("rid", "source", "id", "size", "mix_key", "bucket")
-    state, taken = t.put(state), []
+    taken = [free.select("rid", F.col("size").cast("long").alias("fill_before")).limit(0)]
     while True:
-        fit = t.put(free.alias("d").join(state.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).where(
-            "d.size <= g.gap").select("d.*", "g.gap", "g.extra_sum"))
-        took = t.put(_running(fit, "size", "at").where(F.col("at") + F.col("size") <= F.col("gap")).select(
-            "rid", "source", "size", (F.col("extra_sum") + F.col("at")).alias("fill_before")))
-        taken.append(took.select("rid", "fill_before"))
+        fit = t.put(_of_source(free, state, "gap", "extra_sum").where("size <= gap"))
         if fit.isEmpty():
             return reduce(DataFrame.unionByName, taken), state.select("source", "extra_sum")
+        # only buckets that begin inside the gap can hold documents that the round takes; stored, so that Spark sees how few they are
+        near = t.put(_of_source(_starts(fit, "size"), state, "gap").where("_start < gap").drop("gap"))
+        at = F.col("_start") + _in_bucket("size")
+        took = t.put(_placed(fit, near).withColumn("_at", at).where(F.col("_at") + F.col("size") <= F.col("gap")).select(
+            "rid", "source", "size", (F.col("extra_sum") + F.col("_at")).cast("long").alias("fill_before")))
+        taken.append(took.select("rid", "fill_before"))
         more = took.groupBy("source").agg(F.sum("size").alias("more"))
         state = t.put(state.alias("g").join(more.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source")), "left").select(
             "g.source", (F.col("gap") - F.coalesce("more", F.lit(0))).alias("gap"),
@@ -139,26 +156,26 @@ def _at_times(due, knots):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, close: bool = False) -> DataFrame:
+        weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, rid_col: str | None = None) -> DataFrame:
     """How often, and when in training, the mix takes each row of ``docs``.
 
-    Returns one row per row of ``docs``: ``rid`` (row number), the id column, ``source``, ``size``
+    Returns one row per row of ``docs``: ``rid`` (a row number, ``rid_col`` if given), the id column, ``source``, ``size``
     (words; null text: 0), ``source_size``, ``target`` (of its source), ``copies``, ``taken``
     (size times copies) and ``positions`` (training times of the copies, ascending by copy).
 
     Sources are ranked by code point with null last, and weights repeat along that order.  A null
     source is a source of its own.  Empty texts have size 0: they are copied as often as the target
     holds the whole source, and cost nothing.  Repeated rows are separate documents.
-    An empty table gives an empty result.  Other columns are not read.  With ``close``, no document that is left would fit
-    what a source lacks of its target.
+    An empty table gives an empty result.  Other columns are not read.  No document that is left would fit
+    what its source lacks of its target.
     """
     if len(schedules) != len(weights):
         raise ValueError("one schedule per weight")
     t = Scratch(docs.sparkSession, "mixing")
-    key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    base = t.put(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                             word_count(text_col).alias("size")).withColumn("rid", F.monotonically_increasing_id())
-                 .withColumn("mix_key", key).withColumn("bucket", F.substring("mix_key", 1, BUCKET_HEX)))
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()  # holds, because `base` is stored
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(whole_text(text_col).cast("binary"))).cast("binary"))
+    base = t.put(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
+                             rid.alias("rid"), key.alias("mix_key")).withColumn("bucket", F.substring("mix_key", 1, BUCKET_HEX)))
     per = t.put(source_targets(base, weights, max_repeat, t).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("open", F.col("target") - F.col("whole") * F.col("source_size")))
@@ -168,34 +185,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "d.*", "p.cls", "p.source_size", "p.target", "p.whole", "p.open")
     rows = t.put(rows.withColumn("extra", (F.col("before") + F.col("size")) <= F.col("open")))
 
-    # the gap that the shuffled order leaves, closed by the largest documents that fit
-    gaps = t.put(rows.groupBy("source").agg(
-        F.first("open").alias("open"), F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0)).alias("first")))
-    gaps = gaps.select("source", "first", (F.col("open") - F.col("first")).alias("gap"))
-    picked, cur = None, gaps
-    for k in range(FILLS):
-        free = rows.where("not extra and size > 0")
-        if picked is not None:
-            free = free.join(picked.select("rid"), "rid", "left_anti")
-        fit = free.alias("d").join(cur.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).where(
-            "d.size <= g.gap")
-        best = (fit.groupBy(F.col("d.source").alias("source"))
-                .agg(F.max(F.struct("d.size", "d.mix_key", "d.rid")).alias("b")))
-        best = t.put(best.select("source", F.col("b.size").alias("size"), F.col("b.rid").alias("rid"),
-                                 F.lit(k).alias("k")))
-        picked = best if picked is None else picked.unionByName(best)
-        cur = cur.alias("g").join(best.alias("b"), F.col("g.source").eqNullSafe(F.col("b.source")), "left").select(
-            "g.source", "g.first", (F.col("g.gap") - F.coalesce("b.size", F.lit(0))).alias("gap"))
-    got = picked.groupBy("source").agg(F.sum("size").alias("filled"))
-    fills = picked.alias("b").join(gaps.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select(
-        "b.rid", (F.col("g.first") + F.coalesce(F.sum("b.size").over(Window.partitionBy("b.source").orderBy("b.k").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).alias("fill_before"))
-    sums = gaps.alias("g").join(got.alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left").select(
-        "g.source", (F.col("g.first") + F.coalesce("f.filled", F.lit(0))).alias("extra_sum"))
-    if close:
-        closed, sums = _close(rows.join(picked.select("rid"), "rid", "left_anti"), cur.join(sums.withColumnRenamed(
-            "source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("source", "gap", "extra_sum"), t)
-        fills = fills.unionByName(closed)
+    # the gaps that the shuffled order leaves
+    first = F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))
+    gaps = rows.groupBy("source").agg((F.first("open") - first).alias("gap"), first.cast("long").alias("extra_sum"))
+    fills, sums = _close(rows.where("not extra and size > 0").select("rid", "source", "id", "size", "mix_key", "bucket"), t.put(gaps), t)
 
     out = rows.join(fills, "rid", "left")
     out = out.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.extra_sum")
@@ -221,12 +214,12 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    **options) -> DataFrame:
     """The rows of ``docs`` as training reads them: one row per copy, range-sorted by training position.
 
-    All columns of ``docs`` stay as they are.  ``docs`` must be a read of stored files, so
-    that both passes number its rows alike.
+    All columns of ``docs`` stay as they are.  Nulls, empty and repeated rows count as in :func:`mix`; an empty table stays empty.  ``docs`` is
+    stored once with row numbers; it may be any frame.
     """
     rid, pos, n = (fresh_name(docs, c) for c in ("_rid", "_position", "_copy"))
-    plan = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").select(
+    stored = numbered(docs, Scratch(docs.sparkSession, "mixing"), rid)
+    plan = mix(stored, id_col, text_col, source_col, rid_col=rid, **options).where("copies > 0").select(
         F.col("rid").alias(rid), F.posexplode("positions").alias(n, pos))
-    full = docs.withColumn(rid, F.monotonically_increasing_id()).join(plan, rid)
-    return full.repartitionByRange(pos, rid, n).sortWithinPartitions(pos, rid, n).select(
+    return stored.join(plan, rid).repartitionByRange(pos, rid, n).sortWithinPartitions(pos, rid, n).select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -61,7 +61,7 @@ FROM q LEFT JOIN all_nodes USING (url) LEFT JOIN said USING (root)
 # One statement for the mix of any frame; the pipeline uses it on what its earlier stages keep.
 MIX = r"""
 d AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-             md5(coalesce(doc_id::VARCHAR, '')) AS k FROM {docs}),
+             md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM {docs}),
 per AS (SELECT source, sum(size)::HUGEINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS cls
         FROM d GROUP BY source),
 wgt AS (SELECT *, [5, 2, 1][cls + 1]::HUGEINT AS w FROM per),
@@ -79,23 +79,29 @@ run AS (SELECT d.*, source_size, cls, target, whole, target - (whole * source_si
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM d JOIN opn ON d.source IS NOT DISTINCT FROM opn.source),
 ext AS (SELECT *, before + size <= open AS extra FROM run),
-gap AS (SELECT source, any_value(open) AS open, coalesce(sum(size) FILTER (extra), 0) AS first FROM ext GROUP BY source),
-f1 AS (SELECT e.source, arg_max(k, (size, k)) AS k, max(size) AS size FROM ext e JOIN gap g ON e.source IS NOT DISTINCT FROM g.source
-       WHERE NOT extra AND size > 0 AND size <= g.open - g.first GROUP BY e.source),
-gap2 AS (SELECT g.source, g.first, coalesce(f1.size, 0) AS s1, g.open - g.first - coalesce(f1.size, 0) AS left_open, f1.k AS k1
-         FROM gap g LEFT JOIN f1 ON g.source IS NOT DISTINCT FROM f1.source),
-f2 AS (SELECT e.source, arg_max(e.k, (size, e.k)) AS k, max(size) AS size
-       FROM ext e JOIN gap2 g ON e.source IS NOT DISTINCT FROM g.source
-       WHERE NOT extra AND size > 0 AND size <= g.left_open AND e.k IS DISTINCT FROM g.k1 GROUP BY e.source),
-fin AS (SELECT g.source, g.first, g.s1, g.k1, f2.k AS k2, g.first + g.s1 + coalesce(f2.size, 0) AS extra_sum
-        FROM gap2 g LEFT JOIN f2 ON g.source IS NOT DISTINCT FROM f2.source),
-cop AS (SELECT e.*, whole + (extra OR coalesce(e.k = k1, false) OR coalesce(e.k = k2, false))::BIGINT AS copies,
-               (whole * source_size + extra_sum)::DOUBLE AS all_words,
-               CASE WHEN e.k = k1 THEN f.first WHEN e.k = k2 THEN f.first + s1 ELSE before END AS extra_at
-        FROM ext e JOIN fin f ON e.source IS NOT DISTINCT FROM f.source)
+gap AS (SELECT source, any_value(open) - coalesce(sum(size) FILTER (extra), 0) AS gap, coalesce(sum(size) FILTER (extra), 0) AS first
+        FROM ext GROUP BY source),
+-- round by round: the documents before the first one that crosses the gap, among those that fit it
+fill AS (
+  SELECT e.source, k, doc_id, size, gap, first AS base, coalesce(sum(size) OVER (PARTITION BY e.source ORDER BY k, doc_id, size
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
+  FROM ext e JOIN gap g ON e.source IS NOT DISTINCT FROM g.source WHERE NOT extra AND size > 0 AND size <= gap
+  UNION ALL
+  SELECT source, k, doc_id, size, gap, base, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  FROM (SELECT source, k, doc_id, size, gap - got AS gap, base + got AS base
+        FROM (SELECT *, sum(CASE WHEN pre + size <= gap THEN size ELSE 0 END) OVER (PARTITION BY source) AS got FROM fill)
+        WHERE pre + size > gap AND size <= gap - got)),
+fills AS (SELECT source, k, size, base + pre AS fill_at FROM fill WHERE pre + size <= gap),
+fin AS (SELECT g.source, first + coalesce(sum(size), 0) AS extra_sum
+        FROM gap g LEFT JOIN fills f ON g.source IS NOT DISTINCT FROM f.source GROUP BY g.source, first),
+cop AS (SELECT e.*, whole + (extra OR fill_at IS NOT NULL)::BIGINT AS copies, (whole * source_size + extra_sum)::DOUBLE AS all_words,
+               coalesce(fill_at, before) AS extra_at
+        FROM ext e JOIN fin f ON e.source IS NOT DISTINCT FROM f.source
+        LEFT JOIN fills x ON e.source IS NOT DISTINCT FROM x.source AND e.k = x.k)
 """
 
-SQL["op6_mixing"] = "WITH " + MIX.format(docs="documents") + r""",
+SQL["op6_mixing"] = "WITH RECURSIVE " + MIX.format(docs="documents") + r""",
 u AS (SELECT *, CASE WHEN copies = 0 THEN NULL WHEN all_words > 0 THEN
         (((CASE WHEN whole > 0 THEN before ELSE extra_at END)::DOUBLE + size / 2.0::DOUBLE) / all_words) ELSE 0.0 END AS u FROM cop)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * copies)::BIGINT AS taken, copies,

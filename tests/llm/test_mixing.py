@@ -86,13 +86,13 @@ def test_long_document_does_not_end_the_mix(spark, docs, rows, tmp_path):
     spark.createDataFrame([(i, "a", n) for i, n in sizes.items()] + [(5000, "b", 200_000)], "doc_id long, source string, n int").selectExpr(
         "doc_id", "source", "repeat('w ', n) as text").write.parquet(path)
     two = dict(weights=(9, 31), schedules=mixing.SCHEDULES[:2])
-    got = [r for r in mixing.mix(spark.read.parquet(path), close=True, **two).collect() if r["source"] == "a"]
+    got = [r for r in mixing.mix(spark.read.parquet(path), **two).collect() if r["source"] == "a"]
     assert got[0]["target"] == 90_000 and sum(r["taken"] for r in got) == 90_000
     spots = sorted(p for r in got for p in r["positions"])
     assert len(spots) == 900 and spots == pytest.approx([(i + 0.5) / 900 for i in range(900)])
     # nothing that is left fits
     left: dict = defaultdict(list)
-    for r in mixing.mix(docs, close=True).collect():
+    for r in mixing.mix(docs).collect():
         left[r["source"]].append(r)
     assert sum(map(len, left.values())) == len(rows)
     for own in left.values():
