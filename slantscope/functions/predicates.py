@@ -47,6 +47,25 @@ def ts_literal(value: _dt.datetime, dtype: T.DataType) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast(dtype)
 
 
+def day_column(col: str) -> str:
+    """Name of the column in which a clustered table keeps the day of a time column."""
+    return f"{col}_day"
+
+
+def shown(df: DataFrame) -> list[str]:
+    """The table's own columns, without the days that a layout added."""
+    return [c for c in df.columns if not (c.endswith("_day") and c[:-4] in df.columns)]
+
+
+def on_days(df: DataFrame, col: str, first: _dt.datetime | None = None, last: _dt.datetime | None = None) -> Column | None:
+    """The same range of a time column by its day column, if the table has one.  Parquet compares days with its row groups, but
+    not times without a zone, so the day is what leaves row groups out."""
+    name = day_column(col)
+    if name not in df.columns or (first is None and last is None):
+        return None
+    return all_of(None if first is None else F.col(name) >= F.lit(first.date()), None if last is None else F.col(name) <= F.lit(last.date()))
+
+
 def in_range(df: DataFrame, col: str, start=None, end=None) -> Column:
     """Inclusive time range with either end optional."""
     dtype = df.schema[col].dataType
@@ -54,6 +73,7 @@ def in_range(df: DataFrame, col: str, start=None, end=None) -> Column:
     return all_of(
         None if lo is None else F.col(col) >= ts_literal(lo, dtype),
         None if hi is None else F.col(col) <= ts_literal(hi, dtype),
+        on_days(df, col, lo, hi),
     )
 
 

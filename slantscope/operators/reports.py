@@ -11,13 +11,15 @@ No text is shuffled or broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.predicates import all_of, in_range, optional_eq, own_rows, ts_literal, verdict_filter
+from ..functions.predicates import all_of, in_range, on_days, optional_eq, own_rows, shown, ts_literal, verdict_filter
 
 FEEDBACK_COLS = ["is_correct", "feedback_content", "feedback_time"]
 
@@ -44,15 +46,6 @@ def page_window(page: int = 1, page_size: int = S.PAGE_SIZE) -> tuple[int, int]:
     return offset, offset + int(page_size)
 
 
-def page_of(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:
-    """LIMIT/OFFSET page of a total order."""
-    offset, _ = page_window(page, page_size)
-    out = df.orderBy(*order)
-    if offset:
-        out = out.offset(offset)
-    return out.limit(page_size)
-
-
 #: Keys that a page may pass through the driver.  A numbered page that ends
 #: behind it is found by joins instead; a cursor never needs more than a page.
 MAX_WINDOW = 10_000
@@ -63,9 +56,21 @@ def _key_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+#: Longer IN lists reach Parquet as one range only; short ones also meet its Bloom filters and dictionaries.
+_SHORT_LIST, _SHORT_LISTS = 10, 50
+
+
+def among(col: str, ids: Sequence) -> Column:
+    """``col`` is one of ``ids``, in lists that the scan can check value by value."""
+    ids = sorted(set(ids))
+    if len(ids) > _SHORT_LIST * _SHORT_LISTS or not ids:
+        return F.col(col).isin(ids)
+    return reduce(or_, [F.col(col).isin(ids[i:i + _SHORT_LIST]) for i in range(0, len(ids), _SHORT_LIST)])
+
+
 def _fetch(df: DataFrame, col: str, ids: Sequence, *cols: str) -> DataFrame:
     """The rows with the given ids, by a filter that the scan can push down."""
-    return df.filter(F.col(col).isin(sorted(set(ids)))).select(*cols)
+    return df.filter(among(col, ids)).select(*cols)
 
 
 def _history_page(d: DataFrame, f: DataFrame, mine: DataFrame, offset: int, need: int, after: tuple | None = None) -> DataFrame:
@@ -96,12 +101,12 @@ def _history_page(d: DataFrame, f: DataFrame, mine: DataFrame, offset: int, need
     lonely = lambda i: [] if after is not None and i == after[0] else [None]
     page = [(n, i, fid) for n, (i, fid) in enumerate(
         (i, fid) for i in ids for fid in by_id.get(i) or lonely(i))][offset:need]
-    shown = _key_frame(spark, page, "_n int, id long, feedback_id long")
+    keyed = _key_frame(spark, page, "_n int, id long, feedback_id long")
     fb = _fetch(f, "id", [x for _, _, x in page if x is not None], F.col("id").alias("feedback_id"), *FEEDBACK_COLS)
     # at most a page of feedback is broadcast; the texts are read where they are
-    shown = shown.join(F.broadcast(fb), "feedback_id", "left")
-    det = d.filter(F.col("id").isin(sorted({i for _, i, _ in page})))
-    return (det.join(F.broadcast(shown), "id").select(*d.columns, "feedback_id", *FEEDBACK_COLS, "_n")
+    keyed = keyed.join(F.broadcast(fb), "feedback_id", "left")
+    det = d.filter(among("id", [i for _, i, _ in page]))
+    return (det.join(F.broadcast(keyed), "id").select(*shown(d), "feedback_id", *FEEDBACK_COLS, "_n")
             .orderBy("_n").limit(max(need - offset, 1)).drop("_n"))
 
 
@@ -113,7 +118,7 @@ def _history_deep(d: DataFrame, f: DataFrame, mine: DataFrame, offset: int, need
     keys = top.join(fk, fk["record_id"] == top["id"], "left").select("id", "created_at", "feedback_id").orderBy(*order)
     keys = (keys.offset(offset) if offset else keys).limit(need - offset).select("id", "feedback_id")
     fb = f.select(F.col("id").alias("feedback_id"), *FEEDBACK_COLS)
-    return (d.join(keys, "id").join(fb, "feedback_id", "left").select(*d.columns, "feedback_id", *FEEDBACK_COLS)
+    return (d.join(keys, "id").join(fb, "feedback_id", "left").select(*shown(d), "feedback_id", *FEEDBACK_COLS)
             .orderBy(*order).limit(need - offset))
 
 
@@ -151,7 +156,7 @@ def history_after(d: DataFrame, f: DataFrame, user_id, cursor: tuple, page_size:
     ts = ts_literal(c_ts, d.schema["created_at"].dataType)  # text -> type: no zone involved
     before = (F.col("created_at") < ts) | ((F.col("created_at") == ts) & (F.col("id") < F.lit(c_id)))
     same = (F.col("created_at") == ts) & (F.col("id") == F.lit(c_id))
-    mine = d.filter(own_rows(user_id) & (before | same))
+    mine = d.filter(all_of(own_rows(user_id), before | same, on_days(d, "created_at", last=c_ts)))
     # one detection more: the cursor's own may have nothing left
     return _history_page(d, f, mine, 0, page_size + 1, after=(c_id, c_fid)).limit(page_size)
 
@@ -189,17 +194,17 @@ def _feedback_keys(fsel: DataFrame, d: DataFrame, need: int) -> list:
 
 def _older(f: DataFrame, time, fid) -> Column:
     ts = ts_literal(time, f.schema["feedback_time"].dataType)
-    return (F.col("feedback_time") < ts) | ((F.col("feedback_time") == ts) & (F.col("id") < F.lit(fid)))
+    return all_of((F.col("feedback_time") < ts) | ((F.col("feedback_time") == ts) & (F.col("id") < F.lit(fid))), on_days(f, "feedback_time", last=time))
 
 
 def _feedback_rows(f: DataFrame, d: DataFrame, keys: list) -> DataFrame:
     """The feedback rows of a page of keys with their detection's columns."""
-    shown = F.broadcast(_key_frame(f.sparkSession, [(n, r["id"]) for n, r in enumerate(keys)], "_n int, _fid long"))
-    fb = f.filter(F.col("id").isin([r["id"] for r in keys])).join(shown, F.col("id") == F.col("_fid")).drop("_fid")
+    keyed = F.broadcast(_key_frame(f.sparkSession, [(n, r["id"]) for n, r in enumerate(keys)], "_n int, _fid long"))
+    fb = f.filter(among("id", [r["id"] for r in keys])).join(keyed, F.col("id") == F.col("_fid")).drop("_fid")
     det = _fetch(d, "id", [r["record_id"] for r in keys], F.col("id").alias("_det"), "text_content", "bias_type", "confidence")
     # at most a page of feedback is broadcast; the texts are read where they are
     return (det.join(F.broadcast(fb), F.col("record_id") == F.col("_det"))
-            .select(*f.columns, "text_content", "bias_type", "confidence", "_n")
+            .select(*shown(f), "text_content", "bias_type", "confidence", "_n")
             .orderBy("_n").limit(max(len(keys), 1)).drop("_n"))
 
 
@@ -210,7 +215,7 @@ def _feedback_deep(fsel: DataFrame, d: DataFrame, offset: int, page_size: int) -
         d.select(F.col("id").alias("record_id")), "record_id", "left_semi").orderBy(*order).offset(offset).limit(page_size)
     det = d.select(F.col("id").alias("record_id"), "text_content", "bias_type", "confidence")
     page = fsel.join(keys.select("id"), "id", "left_semi")
-    return (page.join(det, "record_id").select(*fsel.columns, "text_content", "bias_type", "confidence")
+    return (page.join(det, "record_id").select(*shown(fsel), "text_content", "bias_type", "confidence")
             .orderBy(*order).limit(page_size))
 
 

@@ -119,7 +119,11 @@ def chart_payload(d: DataFrame, start=None, end=None,
     one row per label and per day.  A NULL label cannot be a map key, so it
     is reported as ``unknown``.
     """
-    cells = chart_long(d, start, end, labels)
+    return bundle(chart_long(d, start, end, labels))
+
+
+def bundle(cells: DataFrame) -> DataFrame:
+    """The rows of :func:`chart_long` as one row."""
     is_type = F.col("kind") == "type"
     counts = F.collect_list(F.when(is_type, F.struct(
         F.coalesce("key", F.lit("unknown")).alias("key"), F.col("n").alias("n"))))

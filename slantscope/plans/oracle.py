@@ -107,6 +107,11 @@ UNION ALL
 SELECT 'trend' AS kind, strftime(day, '%Y-%m-%d') AS key, total AS n, {rate_sql('biased_count', 'total')} AS rate
 FROM per_day"""
 
+SQL["rollup_chart_long"] = SQL["chart_long"]
+SQL["rollup_trend_range"] = SQL["bias_rate_trend_range"]
+SQL["rollup_types_hours"] = SQL["bias_type_stats_range"].replace("2024-01-05 00:00:00", "2024-01-05 07:30:00").replace(
+    "2024-01-20 00:00:00", "2024-01-20 16:45:00")
+
 SQL["detection_stats"] = with_(DETECTIONS) + """
 SELECT COUNT(*) AS total_detections,
        CAST(SUM(CASE WHEN is_biased THEN 1 ELSE 0 END) AS BIGINT) AS biased_count,
@@ -114,6 +119,8 @@ SELECT COUNT(*) AS total_detections,
        ROUND(AVG(confidence), 6) AS avg_confidence
 FROM detections"""
 
+SQL["rollup_stats"] = SQL["detection_stats"]
+
 HISTORY = """
 SELECT r.*, f.is_correct, f.feedback_content, f.feedback_time{extra}
 FROM detections r LEFT JOIN feedback f ON r.id = f.record_id
@@ -138,6 +145,8 @@ FROM feedback f JOIN detections r ON f.record_id = r.id
 WHERE {LIST_WHERE}
 ORDER BY f.feedback_time DESC, f.id DESC
 LIMIT 10 OFFSET 10"""
+SQL["history_clustered"] = SQL["detection_history"]
+SQL["feedback_list_clustered"] = SQL["feedback_list_filtered"]
 SQL["feedback_next_page"] = SQL["feedback_list"].replace("OFFSET 0", "OFFSET 10")
 SQL["feedback_list_author"] = with_(DETECTIONS, FEEDBACK) + """
 SELECT f.*, r.text_content, r.bias_type, r.confidence
@@ -158,6 +167,7 @@ SQL["user_lookup"] = with_(USERS, ACCOUNTS) + f"""
 SELECT * FROM accounts
 WHERE {NAME_KEY.format('username')} = {NAME_KEY.format("'CÚSTOMER#000000007 '")}"""
 SQL["user_by_id"] = with_(USERS, ACCOUNTS) + "SELECT * FROM accounts WHERE id = 7"
+SQL["user_by_id_clustered"] = SQL["user_by_id"]
 
 SQL["register_users"] = with_(USERS, REGISTRATIONS, f"""k AS (
   SELECT *, {NAME_KEY.format('username')} AS key,

@@ -14,10 +14,10 @@ from ..functions.predicates import reject_reason, text_rules
 from ..functions.scalars import argmax2, head_input
 from ..operators import encode as enc
 from ..operators import evaluate as ev
-from ..operators import reports, scoring, stats, tables, training
+from ..operators import reports, rollup, scoring, stats, tables, training
 from ..session import scratch_path
 from ..sources import fixtures as fx
-from ..sources import readers
+from ..sources import layout, readers
 from ..streaming import jobs as stream_jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +158,85 @@ def user_by_id(spark, sf_dir):
     return reports.user_by_id(fx.accounts(spark, sf_dir), 7)
 
 
+# --- the same pages from clustered tables -------------------------------------
+
+
+def _clustered(spark, sf_dir):
+    """Detections clustered by user and time, feedback by record: stored in two parts, as a table that grows."""
+    out = []
+    for name, df in (("detections_by_user", fx.detections(spark, sf_dir)), ("feedback_by_record", fx.feedback(spark, sf_dir))):
+        path = scratch_path(spark, name)
+        layout.write_layout(df.filter(F.col("id") % 3 != 0), path, name)
+        layout.append_clustered(df.filter(F.col("id") % 3 == 0), path, name)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+@query("history_clustered")
+def history_clustered(spark, sf_dir):
+    d, f = _clustered(spark, sf_dir)
+    return reports.detection_history(d, f, HISTORY_USER, page=2, page_size=10).rows
+
+
+@query("feedback_list_clustered")
+def feedback_list_clustered(spark, sf_dir):
+    f = fx.feedback(spark, sf_dir)
+    path, by_id = scratch_path(spark, "feedback_by_time"), scratch_path(spark, "detections_by_id")
+    layout.write_layout(f, path, "feedback_by_time")
+    d = fx.detections(spark, sf_dir)
+    layout.write_layout(d, by_id, "detections_by_id")
+    return reports.feedback_list(spark.read.parquet(path), spark.read.parquet(by_id),
+                                 page=2, page_size=10, **LIST_FILTER).rows
+
+
+@query("user_by_id_clustered")
+def user_by_id_clustered(spark, sf_dir):
+    u = fx.accounts(spark, sf_dir)
+    path, new = scratch_path(spark, "users_by_id"), scratch_path(spark, "users_by_id")
+    layout.write_layout(u.filter(F.col("id") % 2 == 0), path, "users_by_id")
+    layout.append_clustered(u.filter(F.col("id") % 2 == 1), path, "users_by_id")
+    layout.merge_increments(spark, path, new, "users_by_id")
+    return reports.user_by_id(spark.read.schema(u.schema).parquet(new), 7)
+
+
+# --- the dashboard from the daily roll-up --------------------------------------
+
+
+def _rolled_up(spark, sf_dir):
+    """The state of all detections, grown by two increments; one is stored twice, and one day is computed anew."""
+    d = fx.detections(spark, sf_dir)
+    path, new = scratch_path(spark, "rollup"), scratch_path(spark, "rollup")
+    rollup.add_increment(d.filter(F.col("id") % 2 == 0), path, "b1")
+    for _ in range(2):
+        rollup.add_increment(d.filter(F.col("id") % 2 == 1), path, "b2")
+    rollup.rewrite_days(d, path, new, [dt.date(2024, 1, 10)])
+    return rollup.read_state(spark, new), d
+
+
+@query("rollup_chart_long")
+def rollup_chart_long(spark, sf_dir):
+    return rollup.chart_long(_rolled_up(spark, sf_dir)[0], labels=S.CHART_SEEDS)
+
+
+@query("rollup_stats")
+def rollup_stats(spark, sf_dir):
+    return rollup.detection_stats(_rolled_up(spark, sf_dir)[0]).withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+@query("rollup_trend_range")
+def rollup_trend_range(spark, sf_dir):
+    return rollup.bias_rate_trend(rollup.state_between(*_rolled_up(spark, sf_dir), *RANGE))
+
+
+# A range that begins and ends inside a day: those parts come from the rows.
+HOURS = ("2024-01-05 07:30:00", "2024-01-20 16:45:00")
+
+
+@query("rollup_types_hours")
+def rollup_types_hours(spark, sf_dir):
+    return rollup.bias_type_stats(rollup.state_between(*_rolled_up(spark, sf_dir), *HOURS))
+
+
 # --- tables -----------------------------------------------------------------
 
 @query("register_users")

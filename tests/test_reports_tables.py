@@ -245,10 +245,8 @@ def test_assign_ids_moves_no_data_through_one_partition(spark):
     assert single and all(cols <= {"_pid", "_n"} for cols in single)  # only per-partition counts
 
 
-def test_page_of_and_registrations_reader(spark, tmp_path):
+def test_registrations_reader(spark, tmp_path):
     from slantscope.sources import readers
-    df = spark.range(25).withColumnRenamed("id", "k")
-    assert [r.k for r in reports.page_of(df, [F.col("k").desc()], 3, 10).collect()] == [4, 3, 2, 1, 0]
     p = tmp_path / "reg.json"
     p.write_text('{"username": "Ann"}\n{"username": ""}\n{}\n')
     regs = readers.read_registrations(spark, str(p)).withColumn("seq", F.monotonically_increasing_id())
