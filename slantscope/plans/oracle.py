@@ -434,3 +434,22 @@ SQL["texts_json"] = SQL["validate_awkward_texts"].replace(
     "*, CASE WHEN text IS NULL THEN 'text_missing' WHEN text = '' THEN 'text_empty' END AS reject_reason", "*")
 SQL["feedback_json"] = with_(_IN0, AWKWARD_INCOMING) + "SELECT record_id, is_correct, feedback_content, user_id FROM incoming"
 SQL["registrations_json"] = with_(_REG0, AWKWARD_REGISTRATIONS) + "SELECT username FROM registrations"
+
+SQL["texts_intake"] = with_("r AS (" + SQL["texts_json"] + ")", """posted AS (
+  SELECT *, CASE WHEN k % 19 = 0 THEN '{"request_id": "' || request_id || '", "text": "cut'
+                 WHEN k % 23 = 0 THEN '[' || user_id || ']'
+                 WHEN k % 29 = 0 THEN '{"request_id": "' || request_id || '", "user_id": "none", "text": "t"}' END AS raw
+  FROM (SELECT *, user_id + length(request_id) AS k FROM r))""", """marked AS (
+  SELECT *, CASE WHEN raw IS NOT NULL THEN 'malformed' WHEN text IS NULL THEN 'text_missing' WHEN text = '' THEN 'text_empty' END AS reason
+  FROM posted)""") + """
+SELECT CASE WHEN reason IS NULL THEN request_id END AS request_id, CASE WHEN reason IS NULL THEN user_id END AS user_id,
+       CASE WHEN reason IS NULL THEN md5(text) END AS text_md5, reason, raw
+FROM marked"""
+SQL["texts_intake_stream"] = SQL["texts_intake"]
+
+SQL["open_days_stream"] = SQL["bias_rate_trend"]
+
+SQL["feedback_two_streams"] = """
+SELECT event_id AS record_id, event_id % 2 = 0 AS is_correct, props AS feedback_content,
+       ts + to_hours(CAST(event_id % 7 - 3 AS INTEGER)) AS feedback_time, user_id
+FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id <> 0 AND abs(event_id % 7 - 3) <= 2"""

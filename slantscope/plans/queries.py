@@ -17,7 +17,7 @@ from ..operators import evaluate as ev
 from ..operators import reports, rollup, scoring, stats, tables, training
 from ..session import scratch_path
 from ..sources import fixtures as fx
-from ..sources import layout, readers
+from ..sources import intake, layout, readers
 from ..streaming import jobs as stream_jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -514,6 +514,40 @@ def registrations_json(spark, sf_dir):
     return _json_trip(spark, r, "registrations-json", readers.read_registrations)
 
 
+def _posted(spark, sf_dir):
+    """Posted texts as JSON lines, some of them cut off, no object, or with a value of another type."""
+    r = fx.awkward_requests(spark, sf_dir)
+    k = F.col("user_id") + F.length("request_id")
+    cut = F.concat(F.lit('{"request_id": "'), "request_id", F.lit('", "text": "cut'))
+    typed = F.concat(F.lit('{"request_id": "'), "request_id", F.lit('", "user_id": "none", "text": "t"}'))
+    line = (F.when(k % 19 == 0, cut).when(k % 23 == 0, F.concat(F.lit("["), "user_id", F.lit("]"))).when(k % 29 == 0, typed)
+            .otherwise(F.to_json(F.struct("request_id", "user_id", "text"))))
+    path = scratch_path(spark, "posted")
+    r.select(line.alias("value")).write.text(path)
+    return path
+
+
+def _posted_rows(good, bad):
+    """Usable and quarantined lines side by side."""
+    raw = F.when(F.col("reason") == intake.MALFORMED, F.col("raw"))
+    return good.select("request_id", "user_id", F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("raw")).unionByName(
+        bad.select(F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("text_md5"), "reason", raw.alias("raw")))
+
+
+@query("texts_intake")
+def texts_intake(spark, sf_dir):
+    lines = intake.read_lines(spark, _posted(spark, sf_dir), "texts")
+    return _posted_rows(intake.usable(lines), intake.quarantined(lines))
+
+
+@query("texts_intake_stream")
+def texts_intake_stream(spark, sf_dir):
+    lines = intake.read_lines(spark, _posted(spark, sf_dir), "texts", stream=True)
+    good, bad, ckpt = (scratch_path(spark, f"intake-{x}") for x in ("sink", "quarantine", "ckpt"))
+    intake.run_intake(lines, good, bad, ckpt).awaitTermination()
+    return _posted_rows(spark.read.parquet(good), spark.read.parquet(bad))
+
+
 @query("csv_round_trip")
 def csv_round_trip(spark, sf_dir):
     lab = fx.labelled(spark, sf_dir).drop("doc_id")
@@ -565,3 +599,27 @@ def trend_stream(spark, sf_dir):
     det = ev.select(F.col("ts").alias("created_at"),
                     F.col("event_type").isin("click", "view", "signup").alias("is_biased"))
     return _run_to_table(spark, stream_jobs.trend_stream(det), "trend")
+
+
+@query("open_days_stream")
+def open_days_stream(spark, sf_dir):
+    # every day is there, the open ones too
+    ev = _stream_of(spark, sf_dir, "events")
+    det = ev.select(F.col("ts").alias("created_at"), F.col("event_type").isin("click", "view", "signup").alias("is_biased"))
+    sink, ckpt = scratch_path(spark, "days-sink"), scratch_path(spark, "days-ckpt")
+    stream_jobs.run_open_days(det, sink, ckpt).awaitTermination()
+    return stream_jobs.read_days(spark, sink)
+
+
+@query("feedback_two_streams")
+def feedback_two_streams(spark, sf_dir):
+    # feedback posted from three hours before to three hours after its detection, which is accepted up to two hours either way
+    ev = _stream_of(spark, sf_dir, "events")
+    det = ev.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    hours = F.col("event_id") % 7 - 3
+    fb = _stream_of(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 13 == 0, F.col("event_id") + 10_000_000).otherwise(F.col("event_id")).alias("record_id"),
+        F.when(F.col("event_id") % 17 != 0, F.col("event_id") % 2 == 0).alias("is_correct"), F.col("props").alias("feedback_content"),
+        (F.col("ts") + F.make_dt_interval(F.lit(0), hours.cast("int"))).alias("feedback_time"), "user_id")
+    marked = stream_jobs.timed_feedback_stream(fb, det, older="2 hours", newer="2 hours", delay="1 hour")
+    return _run_to_table(spark, marked, "two-streams").where(F.col("reject_reason").isNull()).drop("reject_reason")

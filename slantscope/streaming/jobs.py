@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -93,26 +93,85 @@ def accepted_feedback_stream(incoming: DataFrame, detections: DataFrame,
     return ok.select(*incoming.columns)
 
 
-def trend_stream(detections: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Per-day totals and bias rate, emitted once a day can no longer
-    change: the watermark trails the newest event by ``delay`` (ST3).
-
-    A watermark needs a zoned timestamp, while the tables hold wall-clock
-    times.  The wall-clock time becomes the instant whose UTC clock shows
-    it (``unix_timestamp`` of a wall-clock value involves no zone), windows
-    are cut at UTC midnight, and the window start goes back to a date by
-    whole days since the epoch, so no session zone or daylight-saving gap
-    can move a row to another day.
-    """
-    c = F.col("created_at")
-    if isinstance(detections.schema["created_at"].dataType, T.TimestampNTZType):
-        ts = F.timestamp_seconds(F.unix_timestamp(c))
-    else:
-        ts = c
-    per_day = (detections.withColumn("_ts", ts).withWatermark("_ts", delay)
+def _instant(df: DataFrame, col: str) -> Column:
+    """A time column as the instant whose UTC clock shows it.
+
+    A watermark needs a zoned timestamp, while the tables hold wall-clock times.  ``unix_timestamp`` of a wall-clock
+    value involves no zone, so no session zone or daylight-saving gap can move a row."""
+    c = F.col(col)
+    return F.timestamp_seconds(F.unix_timestamp(c)) if isinstance(df.schema[col].dataType, T.TimestampNTZType) else c
+
+
+def _per_day(detections: DataFrame, delay: str) -> DataFrame:
+    """Running totals per day behind a watermark: ``date, total, biased_count, rate``.
+
+    Windows are cut at UTC midnight, and the window start goes back to a date by whole days since the epoch."""
+    per_day = (detections.withColumn("_ts", _instant(detections, "created_at")).withWatermark("_ts", delay)
                .groupBy(F.window("_ts", "1 day").alias("w"))
                .agg(F.count(F.lit(1)).alias("total"),
                     F.sum(flag(F.col("is_biased"))).cast("long").alias("biased_count")))
     day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / F.lit(86400)).cast("int"))
     return per_day.select(F.date_format(day, "yyyy-MM-dd").alias("date"), "total", "biased_count",
                           rate_pct("biased_count", "total").alias("rate"))
+
+
+def trend_stream(detections: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Per-day totals and bias rate, emitted once a day can no longer
+    change: the watermark trails the newest event by ``delay`` (ST3)."""
+    return _per_day(detections, delay)
+
+
+TREND_SCHEMA = "total long, biased_count long, rate double, date string"
+
+
+def run_open_days(detections: DataFrame, sink_path: str, checkpoint: str, delay: str = "1 day", available_now: bool = True) -> StreamingQuery:
+    """Keep a table of all days, the open ones included (ST3).
+
+    Each micro-batch gives the days that changed with their totals so far, and overwrites those days' partitions; a batch that runs
+    again writes the same.  State is one row per day that the watermark still leaves open.  Rows behind the watermark change nothing; see
+    :func:`late_rows`.  Read the table by :func:`read_days`.
+    """
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(sink_path)
+
+    w = _per_day(detections, delay).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+
+
+def read_days(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The table that :func:`run_open_days` keeps, in date order."""
+    return spark.read.schema(TREND_SCHEMA).parquet(sink_path).select("date", "total", "biased_count", "rate").orderBy("date")
+
+
+def dropped_groups(query: StreamingQuery) -> int:
+    """What the watermark dropped, by Spark's ``numRowsDroppedByWatermark`` of the kept progress reports.
+
+    It is counted behind the partial aggregate: one for each task and day, not for each row."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def late_rows(query: StreamingQuery, sink_path: str, before: int = 0) -> int:
+    """Rows that came behind the watermark: those that a run of :func:`run_open_days` read less those that it counted.
+
+    ``before`` is the sum of the totals that the table held when the run began.  Rows without a time are not counted in any day and
+    so are late, too.  Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` reports; a longer run has to be asked in between."""
+    read = sum(p["numInputRows"] for p in query.recentProgress)
+    counted = read_days(SparkSession.active(), sink_path).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    return read - (counted - before)
+
+
+def timed_feedback_stream(incoming: DataFrame, detections: DataFrame, older: str = "30 days", newer: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """Arriving feedback met with arriving detections, whichever comes first (ST2, J5).
+
+    Both are streams.  Feedback is accepted when its detection's time lies at most ``older`` before and at most ``newer`` after its own.  Accepted
+    rows come out as soon as both sides are there; feedback whose detection can no longer come, because both watermarks have
+    passed, comes out with ``reject_reason`` ``unknown_record``; invalid feedback comes out with its rule's reason, then too.
+    State holds detections and feedback inside these bounds only.  Detection ids must be unique.
+    """
+    invalid = reject_reason(feedback_rules())
+    fb = (incoming.withColumn("_invalid", invalid).withColumn("_f", _instant(incoming, "feedback_time")).withWatermark("_f", delay)
+          .withColumn("_key", F.when(F.col("_invalid").isNull(), F.col("record_id"))))
+    det = detections.select(F.col("id").alias("_id"), _instant(detections, "created_at").alias("_d")).withWatermark("_d", delay)
+    near = F.expr(f"_key = _id AND _d >= _f - INTERVAL {older} AND _d <= _f + INTERVAL {newer}")
+    reason = F.coalesce("_invalid", F.when(F.col("_id").isNull(), F.lit("unknown_record")))
+    return fb.join(det, near, "left_outer").select(*incoming.columns, reason.alias("reject_reason"))
