@@ -453,3 +453,11 @@ SQL["feedback_two_streams"] = """
 SELECT event_id AS record_id, event_id % 2 = 0 AS is_correct, props AS feedback_content,
        ts + to_hours(CAST(event_id % 7 - 3 AS INTEGER)) AS feedback_time, user_id
 FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id <> 0 AND abs(event_id % 7 - 3) <= 2"""
+
+SQL["logins_in_buckets"] = with_(USERS, ACCOUNTS, "seen AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id)") + """
+SELECT id, username, role, created_at, greatest(last_login, ts) AS last_login FROM accounts LEFT JOIN seen ON id = user_id"""
+
+SQL["training_changes"] = with_(LABELLED) + """
+SELECT doc_id AS id, md5("TEXT") AS text_md5, topic AS bias_type, label = 1 AND doc_id % 5 <> 0 AS is_biased, TIMESTAMP '2024-06-01 00:00:00' AS created_at,
+       CASE WHEN label = 1 AND doc_id % 5 = 0 THEN TIMESTAMP '2024-06-02 00:00:00' ELSE TIMESTAMP '2024-06-01 00:00:00' END AS updated_at
+FROM labelled"""

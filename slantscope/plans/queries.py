@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.predicates import reject_reason, text_rules
 from ..functions.scalars import argmax2, head_input
+from ..operators import buckets
 from ..operators import encode as enc
 from ..operators import evaluate as ev
 from ..operators import reports, rollup, scoring, stats, tables, training
@@ -250,6 +251,30 @@ def apply_logins(spark, sf_dir):
     return tables.apply_logins(fx.users(spark, sf_dir), fx.table(spark, sf_dir, "events"))
 
 
+@query("logins_in_buckets")
+def logins_in_buckets(spark, sf_dir):
+    # the logins come in two lots, the second one of a few users only
+    path, ev, u = scratch_path(spark, "accounts"), fx.table(spark, sf_dir, "events"), fx.accounts(spark, sf_dir)
+    buckets.write_buckets(u, path, buckets=16)
+    few = F.col("user_id") % 50 == 3
+    for lot in (ev.filter(~few), ev.filter(few)):
+        buckets.apply_logins(spark, path, lot, buckets=16, schema=u.schema)
+    return buckets.read_buckets(spark, path, u.schema)
+
+
+@query("training_changes")
+def training_changes(spark, sf_dir):
+    # labels of every fifth text are set to false; where that changed one, updated_at moves
+    lab = fx.labelled(spark, sf_dir)
+    rows = lab.select(F.col("doc_id").alias("id"), F.col("TEXT").alias("text_content"), F.col("topic").alias("bias_type"),
+                      (F.col("label") == 1).alias("is_biased"), F.lit("corpus").alias("source"))
+    path = scratch_path(spark, "training")
+    buckets.write_buckets(tables.with_defaults(rows, "training", FIXED_CLOCK), path, buckets=8)
+    buckets.apply_changes(spark, path, lab.filter(F.col("doc_id") % 5 == 0).select(F.col("doc_id").alias("id"), F.lit(False).alias("is_biased")),
+                          now=FIXED_CLOCK + dt.timedelta(days=1), buckets=8, schema=S.TRAINING)
+    return buckets.read_buckets(spark, path, S.TRAINING).select("id", F.md5("text_content").alias("text_md5"), "bias_type", "is_biased", "created_at", "updated_at")
+
+
 @query("constraint_audit")
 def constraint_audit(spark, sf_dir):
     return tables.audit(fx.detections(spark, sf_dir), fx.feedback(spark, sf_dir),
