@@ -423,7 +423,18 @@ _AUDIT_TRAINING = _rules("training", "training", [
     _unique("training", "training", "id", "id_duplicate")]
 SQL["constraint_audit_broken"] = with_(*BROKEN) + "\nUNION ALL\n".join(_AUDIT + _AUDIT_TRAINING)
 
-SQL["model_scores"] = with_(LABELLED) + "SELECT doc_id, true AS consistent FROM labelled"
+_HAND = {"race": ("[0.3, -0.2, 0.1, 0.4, -0.5, 0.2, -0.1, 0.05]", -0.4), "region": ("[-0.4, 0.3, 0.2, -0.1, 0.1, -0.3, 0.4, 0.15]", 0.1),
+         "gender": ("[0.2, 0.1, -0.6, 0.3, 0.2, 0.1, -0.2, -0.05]", -0.2), "false": ("[0.0, 0.05, 0.1, -0.05, 0.1, 0.0, 0.05, 0.0]", -0.3)}
+SQL["model_scores"] = with_(LABELLED, """vec AS (
+  SELECT doc_id, list_transform(range(8), lambda i: ((length("TEXT") * (i + 3) + strlen("TEXT")) % (11 + i))::DOUBLE / 10.0) AS v FROM labelled)""",
+  "p AS (" + " UNION ALL ".join(
+      f"SELECT doc_id, {k} AS position, '{t}' AS topic, 1.0 / (1.0 + exp(-(list_dot_product(v, {w}::DOUBLE[]) + {b}))) AS p FROM vec"
+      for k, (t, (w, b)) in enumerate(_HAND.items())) + ")",
+  "best AS (SELECT doc_id, arg_max(topic, (p, -position)) AS topic, max(p) AS p FROM p GROUP BY doc_id)",
+  "named AS (SELECT doc_id, CASE WHEN p >= 0.5 THEN topic ELSE 'false' END AS bias_type, p FROM best)") + """
+SELECT doc_id, bias_type, bias_type <> 'false' AS is_biased, CAST(CASE WHEN bias_type <> 'false' THEN 0.8 ELSE 0.2 END AS DOUBLE) AS confidence,
+       round(p, 6) AS best_probability, false AS score_error
+FROM named"""
 SQL["train_rows"] = with_(LABELLED) + "SELECT doc_id, topic, label FROM labelled WHERE split = 'train'"
 SQL["shuffled_rows"] = with_(LABELLED) + "SELECT doc_id, split, label FROM labelled"
 SQL["load_training"] = with_(LABELLED) + """
