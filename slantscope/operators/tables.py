@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.predicates import feedback_rules, reject_reason, user_rules, validate
+from ..functions.predicates import feedback_rules, reject_reason, user_rules
 from ..session import drop_path, written
 
 # Column defaults of the stored tables (K8); "now" means the write time.
@@ -142,55 +142,40 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int | Column
             .drop("_pid", "_pos", "_off", "_tie"))
 
 
-def _mark_known(rows: DataFrame, key: str, known: DataFrame, flag: str) -> DataFrame:
-    """``rows`` with ``flag`` true where ``key`` is among ``known`` (distinct, stored).
-
-    Rows with a NULL key never match; a salt spreads them over all tasks.
-    Both sides of the join are plain exchanges, so a hot key's rows can be split.
-    """
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).otherwise(F.lit(0))
-    right = known.select(F.col(key), F.lit(0).cast("long").alias("_salt"), F.lit(True).alias(flag))
-    return rows.withColumn("_salt", salt.cast("long")).join(right, [key, "_salt"], "left").drop("_salt")
-
-
 def accept_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None = None
                     ) -> tuple[DataFrame, DataFrame]:
     """Split incoming feedback into accepted rows and rejected rows with a
     reason: failed validation, unknown detection, unknown author (K2, J5, F7).
 
-    Detection and author ids are pre-aggregated to distinct keys before
-    they meet the stored tables, so a detection that draws most of the
-    feedback costs one key, not its rows.  Both outputs come from one
-    marked frame.
+    Semi and anti joins of plain exchanges, so Spark can split a detection
+    that draws most of the feedback, and reuses the exchanges that both halves
+    share.  Rows without an author do not meet the users.
     """
     cols = incoming.columns
-    marked = mark_feedback(incoming, d, users)
-    accepted = marked.filter(F.col("reject_reason").isNull()).select(*cols)
-    rejected = marked.filter(F.col("reject_reason").isNotNull()).select(*cols, "reject_reason")
-    return accepted, rejected
-
-
-def mark_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None = None, work: list[str] | None = None) -> DataFrame:
+    marked = incoming.withColumn("reject_reason", reject_reason(feedback_rules()))
+    valid = marked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+
+    def named(rows: DataFrame, reason: str) -> DataFrame:
+        return rows.select(*cols, F.lit(reason).alias("reject_reason"))
+
+    records = d.select(F.col("id").alias("_id"))
+    known = valid.join(records, valid["record_id"] == records["_id"], "left_semi")
+    unknown = valid.join(records, valid["record_id"] == records["_id"], "left_anti")
+    rejected = marked.filter(F.col("reject_reason").isNotNull()).select(*cols, "reject_reason").unionByName(named(unknown, "unknown_record"))
+    if users is None:
+        return known.select(*cols), rejected
+    authors = users.select(F.col("id").alias("_author"))
+    signed = known.filter(F.col("user_id").isNotNull())
+    accepted = signed.join(authors, signed["user_id"] == authors["_author"], "left_semi").select(*cols).unionByName(
+        known.filter(F.col("user_id").isNull()).select(*cols))
+    strangers = signed.join(authors, signed["user_id"] == authors["_author"], "left_anti")
+    return accepted, rejected.unionByName(named(strangers, "unknown_user"))
+
+
+def mark_feedback(incoming: DataFrame, d: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Incoming feedback with a ``reject_reason`` (NULL: accepted)."""
-    work = [] if work is None else work
-    marked = incoming.withColumn("_invalid", reject_reason(feedback_rules()))
-    valid = marked.filter(F.col("_invalid").isNull())
-
-    def known(key: str, table: DataFrame) -> DataFrame:
-        keys = (valid.select(key).filter(F.col(key).isNotNull()).distinct()
-                .join(table.select(F.col("id").alias(key)), key, "left_semi"))
-        stored, path = written(keys, "known")
-        work.append(path)
-        return stored
-
-    marked = _mark_known(marked, "record_id", known("record_id", d), "_rec_ok")
-    reason = F.when(F.col("_invalid").isNotNull(), F.col("_invalid")) \
-        .when(F.col("_rec_ok").isNull(), F.lit("unknown_record"))
-    if users is not None:
-        marked = _mark_known(marked, "user_id", known("user_id", users), "_usr_ok")
-        reason = reason.when(F.col("user_id").isNotNull() & F.col("_usr_ok").isNull(), F.lit("unknown_user"))
-    return marked.withColumn("reject_reason", reason.otherwise(F.lit(None).cast("string"))).select(
-        *incoming.columns, "reject_reason")
+    accepted, rejected = accept_feedback(incoming, d, users)
+    return accepted.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejected)
 
 
 def name_key(col: str | Column = "username") -> Column:
@@ -248,17 +233,19 @@ def apply_logins(users: DataFrame, logins: DataFrame, user_col: str = "user_id",
 
 def _rule_rows(table: str, df: DataFrame, checks: list[tuple[str, Column]],
                uniques: Sequence[tuple[str, Column]] = ()) -> DataFrame:
-    """Row-level rules and key uniqueness of one table in a single scan,
-    reported as one row per rule.  A key's violations are the rows beyond
-    the first per non-NULL key."""
-    aggs = [F.sum(F.when(bad, 1).otherwise(0)).cast("long").alias(f"r{i}") for i, (_, bad) in enumerate(checks)]
-    aggs += [(F.count(key) - F.count_distinct(key)).alias(f"u{i}") for i, (_, key) in enumerate(uniques)]
-    one = df.agg(*aggs)
+    """Row-level rules of one table in a single scan, and each unique key by an
+    aggregate of its own that reads the key only; one row per rule.  A key's
+    violations are the rows beyond the first per non-NULL key."""
+    one = df.agg(*[F.sum(F.when(bad, 1).otherwise(0)).cast("long").alias(f"r{i}") for i, (_, bad) in enumerate(checks)])
     pairs = [F.struct(F.lit(name).alias("rule"), F.coalesce(F.col(f"r{i}"), F.lit(0)).alias("n"))
              for i, (name, _) in enumerate(checks)]
-    pairs += [F.struct(F.lit(name).alias("rule"), F.col(f"u{i}").alias("n")) for i, (name, _) in enumerate(uniques)]
-    return one.select(F.explode(F.array(*pairs)).alias("p")).select(
+    out = one.select(F.explode(F.array(*pairs)).alias("p")).select(
         F.lit(table).alias("table_name"), F.col("p.rule").alias("rule"), F.col("p.n").alias("violations"))
+    for name, key in uniques:
+        per_key = df.select(key.alias("_k")).filter(F.col("_k").isNotNull()).groupBy("_k").agg((F.count(F.lit(1)) - 1).alias("_more"))
+        out = out.unionByName(per_key.agg(F.coalesce(F.sum("_more"), F.lit(0)).cast("long").alias("violations")).select(
+            F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations"))
+    return out
 
 
 def _fk_rows(parent: DataFrame, pcol: str, children: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -349,21 +336,23 @@ def audit(detections: DataFrame, feedback: DataFrame, users: DataFrame,
     return out
 
 
-def append_feedback(incoming: DataFrame, d: DataFrame, path: str, start_id: int,
-                    users: DataFrame | None = None, order: Sequence[str | Column] | None = None
-                    ) -> DataFrame:
-    """Accept incoming feedback, give it dense ids from ``start_id`` in
-    ``order`` (all columns by default), fill defaults and append it (K2).
-    Returns the rejected rows with their reasons."""
+def append_feedback(incoming: DataFrame, d: DataFrame, path: str, start_id: int | None = None,
+                    users: DataFrame | None = None, order: Sequence[str | Column] | None = None,
+                    now: _dt.datetime | None = None) -> DataFrame:
+    """Accept incoming feedback, give it dense ids in ``order`` (all columns
+    by default), fill defaults and append it (K2).  Ids follow the stored ones, or
+    begin at ``start_id``.  Returns the rejected rows with their reasons; they are
+    found when they are read, and no work table is left."""
     spark, work = incoming.sparkSession, []
-    marked, path_marked = written(mark_feedback(incoming, d, users, work), "feedback-marked")
-    accepted = marked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    accepted, rejected = accept_feedback(incoming, d, users)
     cols = list(order) if order else list(accepted.columns)
-    append(assign_ids(accepted, cols, start=start_id, work=work), path, "feedback")
-    for w in work:
-        drop_path(spark, w)
-    # the rejected half is read from the marked rows, not computed again
-    return marked.filter(F.col("reject_reason").isNotNull())
+    try:
+        start = next_id(spark, path) if start_id is None else start_id
+        append(assign_ids(accepted, cols, start=start, work=work), path, "feedback", now=now)
+    finally:
+        for w in work:
+            drop_path(spark, w)
+    return rejected
 
 
 def write_table(df: DataFrame, table: str, path: str | None = None, fmt: str = "parquet",

@@ -353,7 +353,8 @@ SELECT t.doc_id, CAST(len(t.t) AS INTEGER) AS n_tokens, list_concat([2], coalesc
 FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id"""
 SQL["head_input"] = """
 SELECT vec_id, topic, CAST(len(embedding) + 5 AS INTEGER) AS width,
-       list_transform(range(5), lambda i: CASE WHEN i = slot THEN 1.0 ELSE 0.0 END::DOUBLE) AS onehot
+       list_transform(range(5), lambda i: CASE WHEN i = slot THEN 1.0 ELSE 0.0 END::DOUBLE) AS onehot,
+       md5(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ',')) AS vector_md5
 FROM embeddings CROSS JOIN (VALUES ('race', 0), ('region', 1), ('gender', 2), ('false', 4)) t(topic, slot)"""
 SQL["train_split_rows"] = with_(LABELLED, AUG) + """
 SELECT split, COUNT(*) AS rows, CAST(SUM(aug_label) AS BIGINT) AS positives, COUNT(*) AS same FROM aug GROUP BY split"""
@@ -472,3 +473,24 @@ SQL["training_changes"] = with_(LABELLED) + """
 SELECT doc_id AS id, md5("TEXT") AS text_md5, topic AS bias_type, label = 1 AND doc_id % 5 <> 0 AS is_biased, TIMESTAMP '2024-06-01 00:00:00' AS created_at,
        CASE WHEN label = 1 AND doc_id % 5 = 0 THEN TIMESTAMP '2024-06-02 00:00:00' ELSE TIMESTAMP '2024-06-01 00:00:00' END AS updated_at
 FROM labelled"""
+
+SQL["append_feedback"] = with_(USERS, DETECTIONS, _IN0, AWKWARD_INCOMING, """ok AS (
+  SELECT i.*, row_number() OVER (ORDER BY CASE WHEN line <= 2 THEN 0 ELSE 1 END, feedback_time NULLS FIRST, record_id NULLS FIRST, line NULLS FIRST,
+         is_correct NULLS FIRST, feedback_content NULLS FIRST, user_id NULLS FIRST) AS id
+  FROM incoming i
+  WHERE record_id IS NOT NULL AND record_id <> 0 AND is_correct IS NOT NULL AND record_id IN (SELECT id FROM detections)
+    AND (user_id IS NULL OR user_id IN (SELECT id FROM users)))""") + """
+SELECT id, record_id, is_correct, feedback_content, feedback_time, TIMESTAMP '2024-06-01 00:00:00' AS created_at, user_id FROM ok"""
+
+# A posted text's way to its stored detection; float32 numbers of the encoder, the fixed head, ids of the first micro-batch.
+SQL["posted_texts_stream"] = with_("lines AS (" + SQL["texts_intake"].replace("md5(text) END AS text_md5", "text END AS text") + ")", """vec AS (
+  SELECT *, list_sum(list_transform(range(8), lambda i: (((length(text) * (i + 3) + strlen(text)) % (11 + i))::DOUBLE / 10.0)::FLOAT::DOUBLE
+                                                        * (((i * 37) % 19 - 9)::DOUBLE / 10.0))) AS logit
+  FROM lines WHERE reason IS NULL)""", """p AS (
+  SELECT request_id, topic, position, 1.0 / (1.0 + exp(-(logit + u))) AS p
+  FROM vec CROSS JOIN (VALUES (0, 'race', 0.3), (1, 'region', -0.2), (2, 'gender', 0.1), (3, 'false', 0.0)) t(position, topic, u))""",
+  "best AS (SELECT request_id, arg_max(topic, (p, -position)) AS topic, max(p) AS p FROM p GROUP BY request_id)",
+  "named AS (SELECT request_id, CASE WHEN p >= 0.5 THEN topic ELSE 'false' END AS bias_type FROM best)") + """
+SELECT 1099511627776 + row_number() OVER (ORDER BY request_id) - 1 AS id, request_id, md5(text) AS text_md5, bias_type, bias_type <> 'false' AS is_biased,
+       CAST(CASE WHEN bias_type <> 'false' THEN 0.8 ELSE 0.2 END AS FLOAT) AS confidence, user_id
+FROM vec JOIN named USING (request_id)"""

@@ -295,6 +295,16 @@ def feedback_rejects(spark, sf_dir):
     return rej.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("append_feedback")
+def append_feedback(spark, sf_dir):
+    # two lots of requests are appended; ids follow the stored ones, in the order of the requests
+    inc = fx.awkward_feedback(spark, sf_dir)
+    path, now = scratch_path(spark, "feedback"), dt.datetime(2024, 6, 1)
+    for k, lot in enumerate((F.col("line") <= 2, F.col("line") > 2)):
+        tables.append_feedback(inc.filter(lot), fx.detections(spark, sf_dir), path, None if k else 1, fx.users(spark, sf_dir), order=ID_ORDER, now=now)
+    return spark.read.parquet(path)
+
+
 ID_ORDER = ["feedback_time", "record_id", "line", "is_correct", "feedback_content", "user_id"]
 
 
@@ -404,12 +414,14 @@ def encode_scoring(spark, sf_dir):
 
 @query("head_input")
 def head_input_rows(spark, sf_dir):
-    # the input of the head per text and topic: its length, its sum and the topic's slot
+    # the input of the head per text and topic: its length, its numbers and the topic's slot
     v = fx.text_vectors(spark, sf_dir)
     topics = F.explode(F.array(*[F.lit(t) for t in S.SCORING_TOPICS]))
     rows = v.select("vec_id", "embedding", topics.alias("topic")).withColumn("x", head_input("embedding", "topic"))
     tail = F.slice("x", -S.TOPIC_WIDTH, S.TOPIC_WIDTH)
-    return rows.select("vec_id", "topic", F.size("x").alias("width"), tail.alias("onehot"))
+    # of the vector part, every number is compared, rounded to whole millionths
+    vector = F.transform(F.slice("x", 1, F.size("x") - S.TOPIC_WIDTH), lambda v: F.floor(v * 1_000_000).cast("long").cast("string"))
+    return rows.select("vec_id", "topic", F.size("x").alias("width"), tail.alias("onehot"), F.md5(F.array_join(vector, ",")).alias("vector_md5"))
 
 
 @query("train_split_rows")
@@ -613,6 +625,27 @@ def score_stream(spark, sf_dir):
                       F.round("best_probability", 6).alias("best_probability"), "score_error")
 
 
+def _length_encoder():
+    """An encoder that SQL can repeat: eight numbers from a text's length in characters and bytes."""
+    import numpy as np
+
+    def encode(texts):
+        c = np.array([len(t) for t in texts], dtype=np.int64)
+        b = np.array([len(t.encode()) for t in texts], dtype=np.int64)
+        return np.stack([((c * (i + 3) + b) % (11 + i)) / 10.0 for i in range(8)], axis=1).astype(np.float32)
+
+    return encode
+
+
+@query("posted_texts_stream")
+def posted_texts_stream(spark, sf_dir):
+    # posted lines to stored detections: quarantine, encoder, every topic, ids
+    lines = intake.read_lines(spark, _posted(spark, sf_dir), "texts", stream=True)
+    sink, bad, ckpt = (scratch_path(spark, f"scored-{x}") for x in ("sink", "quarantine", "ckpt"))
+    stream_jobs.run_scoring(lines, _length_encoder, 8, sink, bad, ckpt).awaitTermination()
+    return spark.read.parquet(sink).select("id", "request_id", F.md5("text_content").alias("text_md5"), "bias_type", "is_biased", "confidence", "user_id")
+
+
 @query("feedback_stream")
 def feedback_stream(spark, sf_dir):
     incoming = fx.feedback_from_lineitem(_stream_of(spark, sf_dir, "lineitem"))

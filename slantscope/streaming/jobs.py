@@ -57,23 +57,57 @@ def run_with_ids(stream: DataFrame, order: Sequence[str], sink_path: str, checkp
     free of duplicates.  Hashing the key instead would collide at this
     scale.
     """
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        _write_numbered(batch, order, int(epoch_id), sink_path, id_col)
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def _write_numbered(batch: DataFrame, order: Sequence[str], epoch: int, sink_path: str, id_col: str = "id") -> None:
+    """A micro-batch with its ids, in its own ``epoch`` partition; written again, it replaces itself."""
     from ..operators.tables import assign_ids
     from ..session import drop_path
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        start, end = (int(epoch_id) + 1) << ID_BITS, (int(epoch_id) + 2) << ID_BITS
-        work: list[str] = []
-        out = assign_ids(batch, list(order), start=start, id_col=id_col, work=work).withColumn("epoch", F.lit(int(epoch_id)))
+    start, end = (epoch + 1) << ID_BITS, (epoch + 2) << ID_BITS
+    work: list[str] = []
+    try:
+        out = assign_ids(batch, list(order), start=start, id_col=id_col, work=work).withColumn("epoch", F.lit(epoch))
         fits = F.when(F.col(id_col) < end, F.col(id_col)).otherwise(
             F.raise_error(F.lit("micro-batch too large for its id range")).cast("long"))
-        (out.withColumn(id_col, fits).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(sink_path))
+        _replace_epoch(out.withColumn(id_col, fits), sink_path)
+    finally:
         for w in work:
             drop_path(batch.sparkSession, w)
 
-    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+
+def _replace_epoch(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+
+def run_scoring(lines: DataFrame, make_predict_fn, dim: int, sink_path: str, quarantine_path: str, checkpoint: str,
+                head: scoring.LinearHead = scoring.FIXTURE_HEAD, available_now: bool = True) -> StreamingQuery:
+    """Posted texts to stored detections (ST1, T4, T5, P4, F7): one job from the lines of ``intake.read_lines`` on.
+
+    Lines that cannot be used go to the quarantine with their reason.  The encoder runs once per usable text, every topic is scored from that
+    vector, and the detections get their ids and times and are stored with their request.  Each micro-batch replaces its own ``epoch`` in both
+    tables, so one that runs again adds nothing.
+    """
+    from ..sources.intake import quarantined, usable
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        held = batch.persist()
+        try:
+            _replace_epoch(quarantined(held).withColumn("epoch", F.lit(int(epoch_id))), quarantine_path)
+            detections, _ = scoring.score_requests(usable(held), make_predict_fn, dim, head)
+            now = F.localtimestamp()
+            timed = detections.withColumns({c: now for c in ("detection_time", "created_at", "updated_at")})
+            _write_numbered(timed, ["request_id", "user_id", "text_content"], int(epoch_id), sink_path)
+        finally:
+            held.unpersist()
+
+    w = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
 
 
 def accepted_feedback_stream(incoming: DataFrame, detections: DataFrame,

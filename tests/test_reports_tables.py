@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -332,31 +333,61 @@ def test_work_tables_are_deleted(spark, tmp_path):
     before = set(os.listdir(base))
     tables.append_new(d.drop("id"), path, "detections", ["created_at", "text_content"])
     tables.append_feedback(f.drop("id"), d, str(tmp_path / "fb"), 1).count()
-    left = set(os.listdir(base)) - before
-    assert all(x.startswith("feedback-marked") for x in left)  # the rejected half is read from it
+    # without a start the ids follow the stored ones
+    tables.append_feedback(f.drop("id"), d, str(tmp_path / "fb")).count()
+    ids = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "fb")).collect())
+    assert ids == list(range(1, len(ids) + 1))
+    tables.accept_feedback(f, d)[0].count()
+    assert set(os.listdir(base)) == before
+
+    def lost(*args, **options):
+        raise OSError("lost")
+
+    keep, tables.append = tables.append, lost
+    try:
+        with pytest.raises(OSError):
+            tables.append_feedback(f.drop("id"), d, str(tmp_path / "fb"))
+    finally:
+        tables.append = keep
+    assert set(os.listdir(base)) == before
 
 
 def test_hot_and_null_keys_do_not_gather(spark):
     # a third of the rows has one record, a third no author
     n = 3000
-    rows = [(1 if i % 3 else 10 + i, True, None if i % 3 == 1 else i) for i in range(n)]
-    inc = spark.createDataFrame(rows, "record_id long, is_correct boolean, user_id long")
+    rows = [(1 if i % 3 else 10 + i, True, None if i % 3 == 1 else i, hashlib.md5(b"%d" % i).hexdigest()) for i in range(n)]
+    inc = spark.createDataFrame(rows, "record_id long, is_correct boolean, user_id long, feedback_content string").repartition(8)
     d = spark.range(n + 20).select("id")
     users = spark.range(n).select("id")
+    n_null = n // 3
     marked = tables.mark_feedback(inc, d, users)
     assert marked.filter("reject_reason is null").count() == n
-    salted = tables._mark_known(inc, "user_id", users.select(F.col("id").alias("user_id")), "_ok")
-    parts = salted.filter("user_id is null").withColumn("p", F.spark_partition_id()).groupBy("p").count()
-    assert salted.filter("_ok").count() == n - n // 3
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    skew = "spark.sql.adaptive.skewJoin."
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+           skew + "skewedPartitionThresholdInBytes": "1k", skew + "skewedPartitionFactor": "1.1"}
+    old = {k: spark.conf.get(k) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
     try:
+        from plan_utils import executed
+        accepted, rejected = tables.accept_feedback(inc, d, users)
+        for df in (accepted, rejected):
+            joins = [n for n in executed(df) if n.nodeName().startswith("SortMergeJoin")]
+            assert joins
+            for j in joins:
+                for i in range(2):  # a sort and the exchange itself below each join, which Spark can split
+                    n, way = j.children().apply(i), []
+                    while n.children().size() and "Exchange" not in n.nodeName():
+                        way.append(n.nodeName())
+                        n = n.children().apply(0)
+                    assert not any("Aggregate" in x for x in way)
+        # the hot record's rows without an author are dealt to several tasks
+        parts = accepted.filter("user_id is null").withColumn("p", F.spark_partition_id()).groupBy("p").count()
         sizes = [r["count"] for r in parts.collect()]
-        assert len(sizes) > 2 and max(sizes) < n / 3 / 2
+        assert sum(sizes) == n_null and len(sizes) > 2 and max(sizes) < n_null / 2
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_one_name_on_a_third_of_the_sign_ups(spark):
