@@ -494,3 +494,16 @@ SQL["posted_texts_stream"] = with_("lines AS (" + SQL["texts_intake"].replace("m
 SELECT 1099511627776 + row_number() OVER (ORDER BY request_id) - 1 AS id, request_id, md5(text) AS text_md5, bias_type, bias_type <> 'false' AS is_biased,
        CAST(CASE WHEN bias_type <> 'false' THEN 0.8 ELSE 0.2 END AS FLOAT) AS confidence, user_id
 FROM vec JOIN named USING (request_id)"""
+
+SQL["epoch_batches"] = with_(LABELLED, "n AS (SELECT count(*) AS n, sum(doc_id) AS ids FROM labelled)") + """
+SELECT epoch::INTEGER AS epoch, n AS rows, (n + 15) // 16 AS batches, CASE WHEN n % 16 = 0 THEN 16 ELSE n % 16 END AS least, 16::BIGINT AS most,
+       ((n // 16) * 120 + (n % 16) * (n % 16 - 1) // 2)::BIGINT AS places, n AS different, ids::BIGINT AS ids, n AS docs
+FROM n, range(3) e(epoch)"""
+
+SQL["subword_counts"] = r"""
+WITH tok AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')) AS token FROM documents),
+w AS (SELECT token, count(*) AS c FROM tok GROUP BY token),
+p AS (SELECT c, regexp_extract_all(token, '(?s).') AS l FROM w),
+pr AS (SELECT c, unnest(list_transform(range(len(l) - 1), lambda i: {'a': CASE WHEN i = 0 THEN l[1] ELSE '##' || l[i + 1] END, 'b': '##' || l[i + 2]})) AS x FROM p WHERE len(l) > 1)
+SELECT x.a AS a, x.b AS b, sum(c)::BIGINT AS n FROM pr GROUP BY x.a, x.b
+"""

@@ -14,8 +14,9 @@ from ..functions.predicates import reject_reason, text_rules
 from ..functions.scalars import argmax2, head_input
 from ..operators import buckets
 from ..operators import encode as enc
+from ..operators import epochs
 from ..operators import evaluate as ev
-from ..operators import reports, rollup, scoring, stats, tables, topic_model, training
+from ..operators import reports, rollup, scoring, stats, subwords, tables, topic_model, training
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import intake, layout, readers
@@ -514,6 +515,32 @@ def shuffled_rows(spark, sf_dir):
 FIXED_CLOCK = dt.datetime(2024, 6, 1)
 
 
+@query("epoch_batches")
+def epoch_batches(spark, sf_dir):
+    # what every run has to give: each epoch holds each row once, in full batches but the last
+    lab = fx.labelled(spark, sf_dir).select("doc_id", "split")
+    path = scratch_path(spark, "epochs")
+    epochs.write_epochs(lab, ["doc_id"], path, epochs=3)
+    per = spark.read.parquet(path).groupBy("epoch", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("places"), F.count_distinct("place").alias("different"))
+    rows = spark.read.parquet(path).groupBy("epoch").agg(F.sum("doc_id").alias("ids"), F.count_distinct("doc_id").alias("docs"))
+    return per.groupBy("epoch").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("batches"), F.min("n").alias("least"), F.max("n").alias("most"),
+                                    F.sum("places").alias("places"), F.sum("different").alias("different")).join(rows, "epoch")
+
+
+@query("subword_counts")
+def subword_counts(spark, sf_dir):
+    # the count of each pair of neighbouring letters, the first step of the learner
+    words = enc.token_counts(fx.table(spark, sf_dir, "documents"), "text").withColumn("pieces", subwords._pieces("token"))
+    return subwords.pair_counts(words)
+
+
+@query("subword_ids")
+def subword_ids(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    pieces = subwords.learn(docs, "text", 600)
+    return subwords.encode(fx.labelled(spark, sf_dir), pieces, "TEXT", ["doc_id"])
+
+
 @query("load_training")
 def load_training(spark, sf_dir):
     # rows without times take the clock's, an update moves updated_at; the stored table is read by its schema
