@@ -53,24 +53,24 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, scratch_path(spark, name), 0
-        self.paths: dict[int, str] = {}
+        self.stored: list[tuple[DataFrame, str]] = []
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n:03d}"
         self.n += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.stored.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         conf = self.spark._jsc.hadoopConfiguration()
-        for f in frames:
-            path = self.paths.pop(id(f), None)
-            if path:
-                p = hadoop(path)
-                p.getFileSystem(conf).delete(p, True)
+        gone = [path for f, path in self.stored if any(f is x for x in frames)]
+        self.stored = [(f, path) for f, path in self.stored if path not in gone]
+        for path in gone:
+            p = hadoop(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def numbered(df: DataFrame, t: Scratch, name: str = "rid") -> DataFrame:

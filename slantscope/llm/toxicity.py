@@ -25,6 +25,7 @@ SAMPLE = 20_000  # labelled rows to fit on
 STEMS = (3, 4, 5, 6)  # lengths of word beginnings
 MIN_CHI2, MIN_DOCS = 30.0, 4
 L2, SWAP_PENALTY = 1e-4, 1.0
+BALANCE = 10.0  # weight of a labelled row against a clean one, at most
 CUT = 0.7
 COUNTED = 200_000  # different words that a task counts before it hands the counts on
 SLICE = 256  # texts whose word numbers are handed on together
@@ -99,11 +100,11 @@ def _solve(times, right: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[int, list[int], list[int]]], words: list[str], l2: float = L2,
-        swap_penalty: float = SWAP_PENALTY, steps: int = 50) -> Model:
+        swap_penalty: float = SWAP_PENALTY, steps: int = 50, balance: float = BALANCE) -> Model:
     """Weights for ``rows`` of (label, word numbers, word numbers after the swap), by Newton's method with sparse products.
 
-    Loss: mean log loss + l2/2 |w|^2 + swap_penalty * mean squared change of the logit under the swap.
-    Without rows, every score is 0.5.
+    Loss: weighted mean log loss + l2/2 |w|^2 + swap_penalty * mean squared change of the logit under the swap.  Rows of label 1
+    weigh up to ``balance`` times the others, where they are that much fewer.  Without rows, every score is 0.5.
     """
     n, m = len(rows), len(words)
     if not n:
@@ -117,7 +118,9 @@ def fit(rows: list[tuple[int, list[int], list[int]]], words: list[str], l2: floa
     s_at, s_col, s_val = (np.array([x[k] for x in swaps], dtype=d) for k, d in enumerate((np.int64, np.int64, float)))
     ridge = np.full(m + 1, l2)
     ridge[m] = 0
-    rate = (y.sum() + 0.5) / (n + 1)
+    share = np.where(y == 1, np.clip((n - y.sum()) / max(y.sum(), 1), 1, balance), 1.0)
+    share /= share.sum()  # of each row in the mean
+    rate = (share @ y * n + 0.5) / (n + 1)
     w = np.zeros(m + 1)
     w[m] = np.log(rate / (1 - rate))
 
@@ -133,13 +136,13 @@ def fit(rows: list[tuple[int, list[int], list[int]]], words: list[str], l2: floa
 
     def loss(w):
         z = logits(w)
-        return float(np.mean(np.logaddexp(0, z) - y * z) + 0.5 * ridge @ (w * w) + 0.5 * w @ pull(w))
+        return float(share @ (np.logaddexp(0, z) - y * z) + 0.5 * ridge @ (w * w) + 0.5 * w @ pull(w))
 
     now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(logits(w), -40, 40)))
-        grad = back(p - y) / n + ridge * w + pull(w)
-        weight = p * (1 - p) / n
+        grad = back(share * (p - y)) + ridge * w + pull(w)
+        weight = share * p * (1 - p)
         diagonal = back(weight) + ridge + 1e-9 + 2 * swap_penalty / n * np.bincount(s_col, weights=s_val * s_val, minlength=m + 1)
         step, size = _solve(lambda v: back(weight * logits(v)) + (ridge + 1e-9) * v + pull(v), grad, diagonal), 1.0
         while size > 1e-6 and (new := loss(w - size * step)) > now:

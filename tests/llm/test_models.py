@@ -18,10 +18,12 @@ def test_toxicity_on_held_out_labels(spark, tables):
     rows = got.join(tables["labels"], "doc_id", "left").join(tables["documents"].select("doc_id", "lang", "text"), "doc_id").collect()
     assert len(rows) == tables["documents"].count() and all(0 <= r["score"] <= 1 for r in rows)
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
-    # labels of the other languages are noise; in English they follow the words
-    held = [r for r in rows if r["held_out"] and r["toxic"] is not None and r["lang"] == "en"]
+    # all languages; some toxic rows hold no word that any other toxic row has
+    held = [r for r in rows if r["held_out"] and r["toxic"] is not None]
     clean, toxic = [r for r in held if not r["toxic"]], [r for r in held if r["toxic"]]
-    assert sum(r["predicted"] for r in clean) == 0 and sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean) and sum(r["predicted"] for r in toxic) >= 0.7 * len(toxic)
+    english = [r for r in toxic if r["lang"] == "en"]
+    assert sum(r["predicted"] for r in english) >= 0.8 * len(english)
     # labels of held-out rows are not learned from
     flipped = tables["labels"].withColumn("toxic", toxicity.F.when(toxicity.held_out("doc_id"), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
     again = toxicity.score(tables["documents"], toxicity.train(tables["documents"], flipped))
@@ -211,3 +213,71 @@ def test_every_significant_word_is_learned(spark, tmp_path):
     plain = model.score("some plain talk")
     assert plain < 0.1 and all(model.score("some plain talk " + w) > plain for w in often)
     assert all(model.score(" ".join(often[i:i + 8])) >= 0.7 for i in range(0, len(often), 8))
+
+
+def test_features_and_rows_equal_brute_force(spark, tmp_path, monkeypatch):
+    import random
+    r = random.Random(8)
+    bad, good = ["idiotic", "idiots", "scumbag", "trash"], ["garden", "river", "women", "men", "letter", "über"]
+    data = []
+    for i in range(400):
+        toxic = int(i % 5 == 0)
+        data.append((i, " ".join(r.choice(good) for _ in range(r.randint(0, 8))) + (" " + r.choice(bad) if toxic and i % 15 else ""), toxic))
+    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")  # noqa: F811
+    labels = spark.createDataFrame([(x[0], x[2]) for x in data] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    got, fit = {}, toxicity.fit
+
+    def kept(rows, words, **options):
+        got["rows"], got["words"] = rows, words
+        return fit(rows, words, **options)
+
+    monkeypatch.setattr(toxicity, "fit", kept)
+    model = toxicity.train(docs, labels)
+    import zlib
+    seen = [(t, y) for i, t, y in data if zlib.crc32(str(i).encode()) % 3 != 1]
+    n, n1, swaps = len(seen), sum(y for _, y in seen), toxicity.swap_table()
+    sets = [toxicity.features_of(toxicity.words_of(t)) for t, _ in seen]
+    words = set(swaps)
+    for w in set().union(*sets):
+        c = sum(w in s for s in sets)
+        a = sum(y for s, (_, y) in zip(sets, seen) if w in s)
+        if toxicity.MIN_DOCS <= c < n and n * (a * n - c * n1) ** 2 / (c * (n - c) * n1 * (n - n1)) >= toxicity.MIN_CHI2:
+            words.add(w)
+    assert got["words"] == sorted(words) and {"^idiot", "trash"} <= words
+    number = {w: i for i, w in enumerate(got["words"])}
+    of = lambda s: sorted(number[w] for w in toxicity.features_of(s) if w in number)
+    want = [(y, of(toxicity.words_of(t)), of(toxicity.swapped(toxicity.words_of(t), swaps))) for t, y in seen]
+    assert sorted(got["rows"]) == sorted(want)
+    assert model.score("idiotic") > 0.7 > 0.3 > model.score("garden women")
+    # counted in many small lots, and handed on in small slices, it is the same
+    monkeypatch.setattr(toxicity, "COUNTED", 3)
+    monkeypatch.setattr(toxicity, "SLICE", 2)
+    assert toxicity.train(docs, labels).weights == model.weights
+
+
+def test_fit_is_a_minimum_of_the_loss():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    rows = []
+    for _ in range(150):
+        own = sorted(rng.choice(12, 4, replace=False).tolist())
+        other = own if rng.random() < 0.6 else sorted({(i + 1) % 3 if i < 3 else i for i in own})
+        rows.append((int(rng.random() < (0.6 if 5 in own else 0.1)), own, other))
+    model = toxicity.fit(rows, words, l2=1e-3, swap_penalty=0.5, balance=4.0)
+    n = len(rows)
+    x, s = np.zeros((n, 13)), np.zeros((n, 13))
+    for k, (_, own, other) in enumerate(rows):
+        x[k, own], s[k, other] = 1, 1
+    x[:, 12] = s[:, 12] = 1
+    y = np.array([r[0] for r in rows])
+    share = np.where(y == 1, min(4.0, (n - y.sum()) / y.sum()), 1.0)
+
+    def loss(w):
+        z = x @ w
+        return ((share * (np.logaddexp(0, z) - y * z)).sum() / share.sum() + 0.5e-3 * (w[:12] ** 2).sum()
+                + 0.5 * ((x - s) @ w) @ ((x - s) @ w) / n)
+
+    w = np.array([model.weights[k] for k in words] + [model.bias])
+    grad = np.array([(loss(w + 1e-5 * e) - loss(w - 1e-5 * e)) / 2e-5 for e in np.eye(13)])
+    assert np.abs(grad).max() < 1e-4
+    assert all(loss(w + 0.05 * rng.standard_normal(13)) > loss(w) for _ in range(50))
