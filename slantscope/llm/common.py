@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,11 +74,35 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
-def numbered(df: DataFrame, t: Scratch, name: str = "rid") -> DataFrame:
-    """``df``, stored once with a row number, so that every later pass sees the same numbers.
+ROW_BITS = 38  # rows of a file: 2.7e11; files: 3.3e7
 
-    Numbers given while files are read again would follow the splits, which change with the executors at hand."""
-    return t.put(df.withColumn(name, F.monotonically_increasing_id()))
+
+def _plain_read(df: DataFrame) -> bool:
+    """True for the rows of files, filtered at most: then a file and a place in it name a row."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith("LogicalRelation") and "_metadata" not in [c.lower() for c in df.columns]
+
+
+def numbered(df: DataFrame, t: Scratch, name: str = "rid", cols: list[Column] | None = None) -> DataFrame:
+    """``cols`` (all by default) with a row number that is the same in every pass.
+
+    Numbers given by place in a task would follow the splits, which change with the executors at hand.  Rows of Parquet files are
+    numbered by file and place in the file, which costs one short row per file; rows of any other frame are stored once with their numbers."""
+    cols = [F.col(f"`{c}`") for c in df.columns] if cols is None else cols
+    names = df.select(*cols).columns
+    if _plain_read(df):
+        path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        try:
+            found = df.select(*cols, path.alias("_file_"), place.alias("_place_"))
+        except AnalysisException:  # files without places of rows
+            found = None
+        if found is not None and len(set(map(str.lower, found.columns))) == len(found.columns):
+            files = t.put(df.select(path.alias("_file_")).distinct().withColumn("_no_", F.row_number().over(Window.orderBy("_file_")).cast("long")))
+            number = F.shiftleft(F.col("_no_"), ROW_BITS) + F.col("_place_")
+            return found.join(F.broadcast(files), "_file_").select(*[F.col(f"`{c}`") for c in names], number.alias(name))  # one row per file
+    return t.put(df.select(*cols).withColumn(name, F.monotonically_increasing_id()))
 
 
 def sorted_names(df: DataFrame, *cols: str, name: str = "name") -> DataFrame:

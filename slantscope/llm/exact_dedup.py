@@ -104,7 +104,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest id.
 
     Null text equals the empty text, and a null id is smaller than any other; of repeated rows one stays.  An empty table stays
-    empty.  ``docs`` is stored once with row numbers; it may be any frame.
+    empty.  ``docs`` may be any frame; one that is no read of Parquet files is stored once.
     """
     rid = fresh_name(docs, "_rid")
     stored = numbered(docs, Scratch(docs.sparkSession, "exact-dedup"), rid)

@@ -214,8 +214,8 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    **options) -> DataFrame:
     """The rows of ``docs`` as training reads them: one row per copy, range-sorted by training position.
 
-    All columns of ``docs`` stay as they are.  Nulls, empty and repeated rows count as in :func:`mix`; an empty table stays empty.  ``docs`` is
-    stored once with row numbers; it may be any frame.
+    All columns of ``docs`` stay as they are.  Nulls, empty and repeated rows count as in :func:`mix`; an empty table stays empty.  ``docs`` may be
+    any frame; one that is no read of Parquet files is stored once.
     """
     rid, pos, n = (fresh_name(docs, c) for c in ("_rid", "_position", "_copy"))
     stored = numbered(docs, Scratch(docs.sparkSession, "mixing"), rid)

@@ -192,7 +192,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all their columns: one of each class, the smallest id.
 
     Null and empty texts are one class; a null id is larger than any other; of repeated rows one stays.  An empty table stays empty.
-    ``docs`` is stored once with row numbers; it may be any frame.
+    ``docs`` may be any frame; one that is no read of Parquet files is stored once.
     """
     rid = fresh_name(docs, "_rid")
     stored = numbered(docs, Scratch(docs.sparkSession, "simhash"), rid)

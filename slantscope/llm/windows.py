@@ -116,8 +116,8 @@ def runs_of(units: Units, length: int, core: int) -> Iterator[tuple[np.ndarray,
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str, t: Scratch) -> DataFrame:
-    """``rid, id, text`` of each row, stored."""
-    return numbered(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), t).select("rid", "id", "text")
+    """``rid, id, text`` of each row; every pass gives a row the same number."""
+    return numbered(docs, t, cols=[F.col(id_col).alias("id"), whole_text(text_col).alias("text")]).select("rid", "id", "text")
 
 
 def repeated_runs(texts: DataFrame, length: int, core: int, words: bool, t: Scratch) -> DataFrame:
