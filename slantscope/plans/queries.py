@@ -17,7 +17,7 @@ from ..operators import encode as enc
 from ..operators import epochs
 from ..operators import evaluate as ev
 from ..operators import reports, rollup, scoring, stats, subwords, tables, topic_model, training
-from ..session import scratch_path
+from ..session import is_folder, scratch_path
 from ..sources import fixtures as fx
 from ..sources import intake, layout, readers
 from ..streaming import jobs as stream_jobs
@@ -626,12 +626,13 @@ def csv_round_trip(spark, sf_dir):
 
 
 def _stream_of(spark, sf_dir, name):
-    """A generated table read as a file stream."""
+    """A generated table, one file or a folder of part files, read as a file stream."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
     # a file source watches a folder; the filter picks this table's file
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(sf_dir.rstrip("/")))
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/"))
 
 
 def _run_to_table(spark, stream, tag, mode="append"):

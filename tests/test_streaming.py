@@ -138,3 +138,11 @@ def test_feedback_of_a_user_stored_twice_comes_once(spark):
     got = sorted(r.feedback_content for r in jobs.accepted_feedback_stream(inc, d, users).collect())
     batch, _ = tables.accept_feedback(inc, d, users)
     assert got == ["x", "y"] == sorted(r.feedback_content for r in batch.collect())
+
+
+def test_streams_read_tables_stored_as_folders(spark, tmp_path):
+    rows = [(i, [float((i * 7 + k) % 5) - 2 for k in range(8)]) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    cols = ["vec_id", "bias_type", "is_biased", "best_probability"]
+    out, want = (E.queries()[q](spark, str(tmp_path)).select(*cols).collect() for q in ("score_stream", "classify"))
+    assert len(out) == 40 and sorted(out) == sorted(want)
