@@ -111,14 +111,20 @@ def fit(labelled: DataFrame, keys: Sequence[str] = ("doc_id",), text_col: str =
     from pyspark.ml.feature import IDF
     spark = labelled.sparkSession
     made, stages = token_vectors(labelled, [*keys, "topic", "label"], text_col, num_features)
+    work: list[str] = []
     stored, path = written(made, "token-vectors")
+    work.append(path)
     try:
         idf = IDF(inputCol="_tf", outputCol="_text").fit(stored)
         rows = class_weights(augment(idf.transform(stored), topics))
         lr = LogisticRegression(featuresCol="features", labelCol="label_d", weightCol="weight", maxIter=max_iter, regParam=reg_param)
-        model = lr.fit(crossed(rows, num_features, topics).select("features", "label_d", "weight"))
+        # stored, as the names that the assembler gives all its elements would go to each task of each iteration with the plan
+        ready, path = written(crossed(rows, num_features, topics).select("features", "label_d", "weight"), "crossed-rows")
+        work.append(path)
+        model = lr.fit(ready)
     finally:
-        drop_path(spark, path)
+        for w in work:
+            drop_path(spark, w)
     out = TopicModel(PipelineModel([*stages, idf]), heads_of(model, num_features, spark, topics, scored))
     return (out, model) if keep_crossed else out
 
@@ -159,7 +165,8 @@ def predicted_rows(labelled: DataFrame, model: TopicModel, keys: Sequence[str] =
 
     Probabilities are taken per text, before the rows multiply."""
     probs = topic_probabilities(_vectors(labelled, model, text_col), {t: model.heads[t] for t in topics})
-    rows = probs.select(*keys, "split", F.col("topic").alias("orig_topic"), F.col("label").alias("_label"), F.inline("_c"))
+    # a plain inline would add a filter on the size of ``_c``, for which the texts below are tokenised again, once per topic
+    rows = probs.select(*keys, "split", F.col("topic").alias("orig_topic"), F.col("label").alias("_label"), F.inline_outer("_c"))
     label = F.when(F.col("orig_topic") == F.col("topic"), F.col("_label")).otherwise(F.lit(0)).cast("int")
     return rows.select(*keys, "split", "topic", label.alias("label"), F.col("probability").alias("p"),
                        F.when(F.col("probability") > 0.5, 1).otherwise(0).alias("pred"))

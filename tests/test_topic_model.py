@@ -89,3 +89,28 @@ def test_same_data_as_the_exploded_pipeline(spark):
     one = evaluate.evaluate(topic_model.predicted_rows(part, topic_model.fit(part))).first()
     two = evaluate.evaluate(training.predict_rows(augment(part), training.train(augment(part), num_features=1 << 14))).first()
     assert one["n"] == two["n"] and abs(one["accuracy"] - two["accuracy"]) < 0.05
+
+
+def test_evaluation_tokenises_labelled_texts_once(spark, fitted):
+    lab, model, _ = fitted
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    plan = topic_model.predicted_rows(lab, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(text") == 1  # in the vector, not in a filter on all documents
+    docs = spark.createDataFrame([(i, f"word{i} bad", "train", "race", 0) for i in range(30)], "doc_id long, TEXT string, split string, topic string, label int")
+    out = topic_model.predicted_rows(docs.withColumn("TEXT", counted("TEXT")), model)
+    assert len(out.collect()) == 90 and seen.value == 30
+
+
+def test_iterations_do_not_carry_the_names_of_elements(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    plans, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan()), fit(self, df))[1])
+    df = spark.createDataFrame([(i, f"word{i % 5}", "race", i % 2) for i in range(40)], "doc_id long, TEXT string, topic string, label int")
+    topic_model.fit(df, max_iter=2, num_features=64)
+    assert len(plans) == 1 and "UDF" not in plans[0].toString()  # stored rows are read, nothing is assembled again
