@@ -1,15 +1,19 @@
 """Sub-word vocabulary (X14): merges learned from counted words, encoding by the longest match.
 
 Words and their counts come from one distributed pass over the texts.  A word starts as its characters; each round counts adjacent pairs over
-all words (weighted by how often the word occurs, summed in each task first) and joins the most frequent pairs that do not touch each other.  Only those pairs, a
+all words (weighted by how often the word occurs, summed in each batch first) and joins the most frequent pairs that do not touch each other.  Only those pairs, a
 bounded number per round, pass through the driver.  A text is encoded word by word with the longest known piece first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from .encode import CLS_ID, FIRST_WORD_ID, PAD_ID, SEP_ID, UNK_ID, token_counts,
 
 PER_ROUND = 64  # merges that a round may take
 INNER = "##"  # marks a piece that does not begin a word
+WORDS = "ids binary, count long"  # a word as the numbers of its pieces
 
 
 def _pieces(word: str | Column) -> Column:
@@ -27,17 +32,73 @@ def _pieces(word: str | Column) -> Column:
     return F.transform(c, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(INNER), x)))
 
 
-def _merged(pieces: Column, pairs: dict[tuple[str, str], str]) -> Column:
-    """The pieces with every occurrence of the pairs joined, from the left.  No two pairs share a piece, so their order does not matter."""
-    known = F.create_map(*[F.lit(x) for (a, b), _ in pairs.items() for x in (f"{a} {b}", _text(a, b))])
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        hit = F.when(F.size(acc) > 0, F.try_element_at(known, F.concat(last, F.lit(" "), x)))
-        return F.when(hit.isNotNull(), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(pieces, empty, step)
+def _numbered(words: DataFrame, pieces: Sequence[str]) -> DataFrame:
+    """``ids, count``: the words of two and more characters as the numbers of their characters in ``pieces``, four bytes each."""
+    number = words.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(pieces)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = number.value
+        for b in batches:
+            ids = [np.array([known[c if i == 0 else INNER + c] for i, c in enumerate(w)], np.int32).tobytes() for w in b.column("token").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column("count")], names=["ids", "count"])
+
+    return words.where(F.char_length("token") > 1).select("token", "count").mapInArrow(run, WORDS)
+
+
+def _padded(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a batch as the rows of a matrix that ends in -1, and their lengths."""
+    col = b.column("ids")
+    sizes = pc.binary_length(col).to_numpy(zero_copy_only=False) // 4
+    flat = np.frombuffer(b"".join(col.to_pylist()), np.int32)
+    rows = np.full((len(sizes), int(sizes.max(initial=0))), -1, np.int32)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = flat
+    return rows, sizes
+
+
+def _merge(words: DataFrame, merges: Sequence[tuple[int, int, int]], n_pieces: int) -> DataFrame:
+    """The words with every occurrence of the pairs (a, b) joined to c, from the left; words of one piece have no pair any more and go.
+    No two pairs share a piece, so their order does not matter."""
+    partner, joined = np.full(n_pieces + 1, -2, np.int32), np.zeros(n_pieces + 1, np.int32)  # the last is for -1
+    for x, y, c in merges:
+        partner[x], joined[x] = y, c
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, sizes = _padded(b)
+            out, at, each = np.full_like(rows, -1), np.full(len(rows), -1), np.arange(len(rows))
+            for j in range(rows.shape[1]):  # a place of all words at a time
+                x, there = rows[:, j], sizes > j
+                last = np.where(at >= 0, out[each, at], -1)
+                hit = there & (partner[last] == x)
+                out[each[hit], at[hit]] = joined[last[hit]]
+                at += there & ~hit
+                new = there & ~hit
+                out[each[new], at[new]] = x[new]
+            left = at > 0
+            ids = [r[:n].tobytes() for r, n in zip(out[left], (at + 1)[left].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column("count").filter(pa.array(left))], names=["ids", "count"])
+
+    return words.mapInArrow(run, WORDS)
+
+
+def _numbered_pair_counts(words: DataFrame, pieces: Sequence[str]) -> DataFrame:
+    """``a, b, n`` like :func:`pair_counts`, of numbered words; each batch sums its own pairs first."""
+    names = words.sparkSession.sparkContext.broadcast(list(pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.array(names.value, pa.string())
+        for b in batches:
+            rows, _ = _padded(b)
+            if rows.shape[1] < 2:
+                continue
+            first, second = rows[:, :-1], rows[:, 1:]
+            there = second >= 0
+            pairs, which = np.unique(first[there].astype(np.int64) * len(text) + second[there], return_inverse=True)
+            n = np.zeros(len(pairs), np.int64)
+            np.add.at(n, which, np.broadcast_to(b.column("count").to_numpy()[:, None], there.shape)[there])
+            yield pa.RecordBatch.from_arrays([text.take(pa.array(pairs // len(text))), text.take(pa.array(pairs % len(text))), pa.array(n)], names=["a", "b", "n"])
+
+    return words.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _text(a: str, b: str) -> str:
@@ -69,25 +130,29 @@ def learn(df: DataFrame, text_col: str, size: int, per_round: int = PER_ROUND, l
     A pair must occur ``least`` times.  Ties go to the pair that sorts first.  With ``per_round`` 1 this is the plain greedy
     learner; larger rounds take pairs that do not share a piece together, which saves passes.
     """
-    counts, path = written(token_counts(df, text_col).withColumn("pieces", _pieces("token")), "words")
+    counts, path = written(token_counts(df, text_col), "words")
     work = [path]
     try:
-        chars = counts.select(F.explode("pieces").alias("x"), "count").groupBy("x").agg(F.sum("count").alias("n"))
+        chars = counts.select(F.explode(_pieces("token")).alias("x"), "count").groupBy("x").agg(F.sum("count").alias("n"))
         pieces = [r["x"] for r in chars.orderBy(F.col("n").desc(), "x").limit(size).collect()]  # at most `size`
-        have = set(pieces)
+        at = {p: i for i, p in enumerate(pieces)}
+        if len(pieces) < size:  # then all characters are among them
+            words, path = written(_numbered(counts, pieces), "words")
+            work.append(path)
         while len(pieces) < size:
-            top = pair_counts(counts).where(F.col("n") >= least).orderBy(F.col("n").desc(), "a", "b").limit(4 * per_round).collect()
+            top = _numbered_pair_counts(words, pieces).where(F.col("n") >= least).orderBy(F.col("n").desc(), "a", "b").limit(4 * per_round).collect()
             new = _chosen(top, min(per_round, size - len(pieces)))
             if not new:
                 break
             for t in new.values():
-                if t not in have:
-                    have.add(t)
+                if t not in at:
+                    at[t] = len(pieces)
                     pieces.append(t)
-            old = work.pop()
-            counts, path = written(counts.withColumn("pieces", _merged(F.col("pieces"), new)), "words")
+            if len(pieces) >= size:
+                break
+            words, path = written(_merge(words, [(at[a], at[b], at[t]) for (a, b), t in new.items()], len(pieces)), "words")
+            drop_path(df.sparkSession, work.pop())
             work.append(path)
-            drop_path(df.sparkSession, old)
         return pieces[:size]
     finally:
         for w in work:

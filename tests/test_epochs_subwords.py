@@ -118,3 +118,29 @@ def test_encoded_texts(spark):
         assert len(ids) == r["n_tokens"]
         if 1 not in ids:
             assert "".join(name[i].removeprefix("##") if len(name[i]) > 2 else name[i] for i in ids) == "".join(words[r["doc_id"]])
+
+
+def test_rounds_on_numbered_words(spark):
+    r = random.Random(9)
+    words = [([r.randrange(5) for _ in range(r.randint(2, 9))], r.randint(1, 1 << 40)) for _ in range(300)]
+    merges = [(0, 1, 5), (2, 2, 3), (5, 4, 6)]  # the second one overlaps itself, the third begins with what the first one gives
+    want = Counter()
+    for w, n in words:
+        out = []
+        for x in w:
+            hit = next((c for a, b, c in merges if out and (out[-1], x) == (a, b)), None)
+            out[-1:] = out[-1:] + [x] if hit is None else [hit]
+        if len(out) > 1:
+            want[tuple(out)] += n
+    pack = lambda ids: b"".join(i.to_bytes(4, "little") for i in ids)
+    df = spark.createDataFrame([(pack(w), n) for w, n in words], subwords.WORDS).repartition(3)
+    merged = subwords._merge(df, merges, 7)
+    got = Counter()
+    for x in merged.collect():
+        got[tuple(int.from_bytes(x["ids"][k:k + 4], "little") for k in range(0, len(x["ids"]), 4))] += x["count"]
+    assert got == want  # words that became one piece are not carried on
+    names, pairs = list("abcdefg"), Counter()
+    for w, n in want.items():
+        for a, b in zip(w, w[1:]):
+            pairs[(names[a], names[b])] += n
+    assert {(x["a"], x["b"]): x["n"] for x in subwords._numbered_pair_counts(merged, names).collect()} == pairs
