@@ -611,7 +611,7 @@ def texts_intake_stream(spark, sf_dir):
     lines = intake.read_lines(spark, _posted(spark, sf_dir), "texts", stream=True)
     good, bad, ckpt = (scratch_path(spark, f"intake-{x}") for x in ("sink", "quarantine", "ckpt"))
     intake.run_intake(lines, good, bad, ckpt).awaitTermination()
-    return _posted_rows(spark.read.parquet(good), spark.read.parquet(bad))
+    return _posted_rows(_kept_rows(spark, good, intake.usable(lines).schema), _kept_rows(spark, bad, intake.quarantined(lines).schema))
 
 
 @query("csv_round_trip")
@@ -635,6 +635,11 @@ def _stream_of(spark, sf_dir, name):
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/"))
 
 
+def _kept_rows(spark, sink, schema):
+    """What a stream stored by micro-batches; without rows there is no file to take the columns from."""
+    return spark.read.schema(schema).parquet(sink)
+
+
 def _run_to_table(spark, stream, tag, mode="append"):
     sink, ckpt = scratch_path(spark, f"{tag}-sink"), scratch_path(spark, f"{tag}-ckpt")
     q = stream_jobs.run(stream, sink, ckpt, mode=mode)
@@ -646,9 +651,9 @@ def _run_to_table(spark, stream, tag, mode="append"):
 def score_stream(spark, sf_dir):
     vecs = _stream_of(spark, sf_dir, "embeddings")
     sink, ckpt = scratch_path(spark, "score-sink"), scratch_path(spark, "score-ckpt")
-    stream_jobs.run_with_ids(stream_jobs.scored_stream(vecs, "embedding", ["vec_id"]), ["vec_id"],
-                             sink, ckpt).awaitTermination()
-    out = spark.read.parquet(sink)
+    scored = stream_jobs.scored_stream(vecs, "embedding", ["vec_id"])
+    stream_jobs.run_with_ids(scored, ["vec_id"], sink, ckpt).awaitTermination()
+    out = _kept_rows(spark, sink, scored.schema)
     return out.select("vec_id", "bias_type", "is_biased", "confidence",
                       F.round("best_probability", 6).alias("best_probability"), "score_error")
 
@@ -671,7 +676,8 @@ def posted_texts_stream(spark, sf_dir):
     lines = intake.read_lines(spark, _posted(spark, sf_dir), "texts", stream=True)
     sink, bad, ckpt = (scratch_path(spark, f"scored-{x}") for x in ("sink", "quarantine", "ckpt"))
     stream_jobs.run_scoring(lines, _length_encoder, 8, sink, bad, ckpt).awaitTermination()
-    return spark.read.parquet(sink).select("id", "request_id", F.md5("text_content").alias("text_md5"), "bias_type", "is_biased", "confidence", "user_id")
+    stored = "id long, request_id string, text_content string, bias_type string, is_biased boolean, confidence float, user_id long"
+    return _kept_rows(spark, sink, stored).select("id", "request_id", F.md5("text_content").alias("text_md5"), "bias_type", "is_biased", "confidence", "user_id")
 
 
 @query("feedback_stream")

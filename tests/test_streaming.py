@@ -146,3 +146,13 @@ def test_streams_read_tables_stored_as_folders(spark, tmp_path):
     cols = ["vec_id", "bias_type", "is_biased", "best_probability"]
     out, want = (E.queries()[q](spark, str(tmp_path)).select(*cols).collect() for q in ("score_stream", "classify"))
     assert len(out) == 40 and sorted(out) == sorted(want)
+
+
+def test_streams_over_tables_without_rows_give_none(spark, tmp_path):
+    # a file without rows still makes a micro-batch, which stores no file
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for stream, batch in (("score_stream", "classify"), ("texts_intake_stream", "texts_intake")):
+        out, want = (E.queries()[q](spark, str(tmp_path)) for q in (stream, batch))
+        assert out.collect() == [] and out.dtypes == want.dtypes
+    assert E.queries()["posted_texts_stream"](spark, str(tmp_path)).collect() == []
