@@ -631,8 +631,8 @@ def _stream_of(spark, sf_dir, name):
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if is_folder(spark, path):
         return reader.parquet(path)
-    # a file source watches a folder; the filter picks this table's file
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/"))
+    # a file source watches a folder or a pattern; the pattern keeps the folders of other tables, and how they are cut, out of this one
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{{{name}}}.parquet")
 
 
 def _kept_rows(spark, sink, schema):

@@ -156,3 +156,15 @@ def test_streams_over_tables_without_rows_give_none(spark, tmp_path):
         out, want = (E.queries()[q](spark, str(tmp_path)) for q in (stream, batch))
         assert out.collect() == [] and out.dtypes == want.dtypes
     assert E.queries()["posted_texts_stream"](spark, str(tmp_path)).collect() == []
+
+
+def test_streams_read_a_file_beside_folders_of_other_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float((i * 7 + k) % 5) - 2 for k in range(8)]) for i in range(40)], "vec_id long, embedding array<float>")
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (file,) = (tmp_path / "made").glob("part-*")
+    data = tmp_path / "data"
+    rows.select("vec_id", (F.col("vec_id") % 2).alias("half")).write.partitionBy("half").parquet(str(data / "labels.parquet"))
+    (data / "embeddings.parquet").write_bytes(file.read_bytes())
+    cols = ["vec_id", "bias_type", "is_biased", "best_probability"]
+    out, want = (E.queries()[q](spark, str(data)).select(*cols).collect() for q in ("score_stream", "classify"))
+    assert len(out) == 40 and sorted(out) == sorted(want)
